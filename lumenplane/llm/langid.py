@@ -49,7 +49,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, by
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])
     drawn = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
     sample: dict[str, list] = {k: [] for k in counts}
-    for l, t, u in rows.withColumn("u", drawn).where(F.col("u") < F.try_element_at(share, F.col("l"))).collect():
+    for t, l, u in rows.withColumn("u", drawn).where(F.col("u") < F.try_element_at(share, F.col("l"))).collect():
         sample[l].append((u, t))
     learned = {}
     for l in sorted(sample, key=lambda l: (-counts[l], l)):
