@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenplane.llm import bpe, langid, toxicity
-from lumenplane.llm.common import held_out, table
+from lumenplane.llm import bpe, langid, licenses, merkle, tokenfile, toxicity, warc
+from lumenplane.llm.common import held_out, table, work_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,29 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = langid.fit(docs.where(~held_out()))
     found = langid.predict(docs.select("doc_id", "text", held_out().alias("held_out")), learned)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{work_dir(spark)}/archive"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+@query
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = tokenfile.write(docs, P.path("word_bpe_49k.json"), f"{work_dir(spark)}/tokens", end_id=1)
+    return tokenfile.read(spark, files)
