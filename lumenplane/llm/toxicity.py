@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from lumenplane.llm.common import word_hashes
 
-#: Labelled documents learned from, at most; half of them toxic where there are as many.
+#: Labelled documents learned from, at most; a third of them toxic where there are as many.
 TRAIN_DOCS = 6000
 BUCKETS = 1 << 20
 MIN_DOCS = 3
@@ -34,6 +34,7 @@ EPOCHS = 6
 CUT = 0.3
 #: Texts are scored in groups of about so many bytes.
 GROUP_BYTES = 4 << 20
+SLICE = 200
 
 
 def _rows(hashes: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -85,23 +86,33 @@ class Model:
         return score
 
 
-def train(texts: list, labels: np.ndarray, langs: list, seed: int = 11) -> Model | None:
+def train(texts: list, labels: np.ndarray, langs: list, clean_weight: float = 1.0, seed: int = 11) -> Model | None:
+    """clean_weight: documents labelled 0 that each of those given stands for, against those labelled 1."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    hashes, bounds, _, _ = word_hashes(texts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-    pairs = np.unique(owner * BUCKETS + bucket)
-    in_docs, toxic_docs = np.bincount(pairs % BUCKETS, minlength=BUCKETS), np.bincount(pairs % BUCKETS, weights=labels[pairs // BUCKETS], minlength=BUCKETS)
+    buckets, sizes = [], [0]  # the driver has little memory: some hundred texts at a time
+    in_docs, toxic_docs = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for i in range(0, len(texts), SLICE):
+        hashes, part, _, _ = word_hashes(texts[i : i + SLICE])
+        bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
+        buckets.append(bucket)
+        sizes += np.diff(part).tolist()
+        for d in range(len(part) - 1):
+            own = np.unique(bucket[part[d] : part[d + 1]])
+            in_docs[own] += 1
+            toxic_docs[own] += int(labels[i + d])
+    bounds = np.cumsum(sizes)
+    bucket = np.concatenate(buckets)
     used = np.flatnonzero(in_docs >= MIN_DOCS)
     index = np.zeros(BUCKETS, np.int32)
     index[used] = np.arange(1, len(used) + 1)
     rows = index[bucket]
+    del bucket, buckets
 
     # embeddings begin with the lower bound of each word's log-odds, the other dimensions small
-    n1, n, base = toxic_docs[used], in_docs[used].astype(float), labels.mean()
+    n1, n, base = toxic_docs[used].astype(float), in_docs[used].astype(float), labels.mean()
     odds = np.log((n1 + 0.5) / (n - n1 + 0.5)) - np.log(base / (1 - base))
     wide = np.sqrt(1 / (n1 + 0.5) + 1 / (n - n1 + 0.5))
     embedding = rng.normal(0, 0.05, (len(used) + 1, DIMENSIONS))
@@ -117,7 +128,8 @@ def train(texts: list, labels: np.ndarray, langs: list, seed: int = 11) -> Model
     number = np.array([kinds.index(l) if l in kinds else -1 for l in langs])
     counts = np.ones((len(used) + 1, len(kinds)))
     for k in range(len(kinds)):
-        counts[:, k] += np.bincount(rows[number[owner] == k], minlength=len(used) + 1)
+        for d in np.flatnonzero(number == k):
+            np.add.at(counts[:, k], rows[bounds[d] : bounds[d + 1]], 1)
     counts[0] = 1
     lang_logp = np.log(counts / counts.sum(0)).astype(np.float32)
     lang_logp -= lang_logp.mean(1, keepdims=True)
@@ -160,24 +172,28 @@ def train(texts: list, labels: np.ndarray, langs: list, seed: int = 11) -> Model
                 p -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
     model = Model(index, embedding, filters, bias, weights, offset[0], lang_logp, np.zeros(len(kinds)))
-    logits = model.logits(model.pooled(rows, bounds))
-    guess = model.language(rows, bounds)
+    logits, guess = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for i in range(0, len(texts), SLICE):
+        part = bounds[i : i + SLICE + 1]
+        own = rows[part[0] : part[-1]]
+        logits[i : i + SLICE] = model.logits(model.pooled(own, part - part[0]))
+        guess[i : i + SLICE] = model.language(own, part - part[0])
     cut = np.log(CUT / (1 - CUT))
-    overall = _threshold(logits[aside], labels[aside])
+    overall = _threshold(logits[aside], labels[aside], clean_weight)
     for k in range(len(kinds)):
         mine = aside & (guess == k)
-        at = _threshold(logits[mine], labels[mine]) if labels[mine].sum() >= 10 and (1 - labels[mine]).sum() >= 10 else overall
+        at = _threshold(logits[mine], labels[mine], clean_weight) if labels[mine].sum() >= 10 and (1 - labels[mine]).sum() >= 10 else overall
         model.shifts[k] = cut - at
     return model
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
+def _threshold(logits: np.ndarray, labels: np.ndarray, clean_weight: float) -> float:
     """The middle of the widest stretch of thresholds whose F1 is best."""
     if not len(logits):
         return 0.0
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(labels.sum(), 1e-9))
+    f1 = 2 * hits / (hits + clean_weight * np.cumsum(1 - labels[order]) + max(labels.sum(), 1e-9))
     ranked = logits[order]
     gap = ranked - np.append(ranked[1:], ranked[-1] - 1)
     best = np.flatnonzero((f1 >= f1.max() - 1e-9) & (gap > 0))
@@ -189,15 +205,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lan
     """A model from labelled training rows only; of several labels of a document the largest counts."""
     known = labels.where("toxic is not null").groupBy(key).agg(F.max("toxic").alias("toxic"))
     counts = dict(map(tuple, known.groupBy("toxic").count().collect()))
-    if len(counts) < 2:
+    if not {0, 1} <= set(counts):
         return None
-    few = min(counts.get(1, 0), TRAIN_DOCS // 2)
-    share = {1: few / max(1, counts.get(1, 0)), 0: min(1.0, (TRAIN_DOCS - few) / max(1, counts.get(0, 0)))}
+    few = min(counts[1], TRAIN_DOCS // 3)
+    share = {1: few / counts[1], 0: min(1.0, (TRAIN_DOCS - few) / counts[0])}
     drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit(5)), 11) / float(1 << 53)
     chosen = known.where(drawn < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))  # TRAIN_DOCS rows or so
     rows = docs.select(key, F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(chosen), key).select("t", "l", "toxic", F.xxhash64("t").alias("h")).collect()
     rows.sort(key=lambda r: (r.h, r.t or "", r.l or "", r.toxic))  # the fit must not hang on the order of arrival
-    return train([r.t for r in rows], [r.toxic for r in rows], [r.l for r in rows])
+    return train([r.t for r in rows], [r.toxic for r in rows], [r.l for r in rows], share[1] / share[0])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
