@@ -1,12 +1,65 @@
-"""The training-data pipeline: stages over documents, each written and read again."""
+"""The training-data pipeline: stages over documents, each written and read again.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps, with
+the columns of documents (the last stage: token ids instead of texts). Rows whose doc_id is null are
+never near-duplicates and pass every stage that keeps their text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenplane.llm import bagminhash, bpe, decontaminate, langid, toxicity
+from lumenplane.llm.common import held_out, table, work_dir, written
+
+RANKS = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.fit(docs.where(~held_out()), labels)
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told by a clear margin."""
+    return langid.predict(docs, langid.fit(docs.where(~held_out()))).where("not rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of the least doc_id."""
+    found = bagminhash.classes(docs).where("doc_id = class_id").select("doc_id")
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, whole or edited."""
+    return decontaminate.flag(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return bpe.encode(docs, RANKS, P.PATTERN).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_copies),
+    ("bpe", tokenize),
+]
 
-STAGES: list = []
+#: Trained models and hashed signatures are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, folder = table(spark, sf_dir, "documents"), work_dir(spark)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{k}_{name}")
+    return docs

@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At most so many words are folded beforehand and broadcast: some 20 MB.
-HEAD_WORDS = 300_000
+#: At most so many words are folded beforehand and broadcast: some 25 MB.
+HEAD_WORDS = 400_000
 #: About so many documents are looked at for them.
-HEAD_DOCS = 20_000
+HEAD_DOCS = 30_000
 #: A partition's own dictionary starts anew beyond so many words.
 BLOCK_WORDS = 1_000_000
 #: Folding costs the square of a word's bytes; longer words are merged with a heap, to the same ids.

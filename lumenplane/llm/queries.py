@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenplane.llm import bpe, langid, licenses, merkle, tokenfile, toxicity, warc
+from lumenplane.llm import bagminhash, bpe, chat, decontaminate, langid, licenses, merkle, tokenfile, toxicity, warc
 from lumenplane.llm.common import held_out, table, work_dir
 
 QUERIES: dict = {}
@@ -73,3 +73,19 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = tokenfile.write(docs, P.path("word_bpe_49k.json"), f"{work_dir(spark)}/tokens", end_id=1)
     return tokenfile.read(spark, files)
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, items)
