@@ -89,3 +89,40 @@ def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, items)
+
+
+# --- SQL of the queries that SQL can express ---------------------------------------------------
+
+
+def _base32_sql(digest: str) -> str:
+    parts = " || ".join(f"lpad(to_base(CAST('0x' || substr({digest}, {i}, 5) AS BIGINT), 32), 4, '0')" for i in range(1, 41, 5))
+    return f"translate({parts}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+ORACLES["op3_warc"] = (
+    "WITH p AS (SELECT DISTINCT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS r, sha1(h) AS s FROM p) "
+    f"SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, {_base32_sql('s')} AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, "
+    "CASE WHEN page_id <> r THEN r END AS refers_to, true AS verified FROM f"
+)
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    for old, new in licenses.SPELLINGS:
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"nullif(trim({out}), '')"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+ORACLES["op5_licenses"] = (
+    f"WITH known AS (SELECT DISTINCT sha256({_canonical_sql('t')}) AS d, l FROM (VALUES {_KNOWN_SQL}) AS v(l, t)), docs AS (SELECT DISTINCT doc_id, text FROM documents), "
+    f"lines AS (SELECT doc_id, text, sha256({_canonical_sql('line')}) AS d FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM docs)), "
+    "hits AS (SELECT doc_id, text, string_agg(DISTINCT l, ',' ORDER BY l) AS line_licenses FROM lines JOIN known USING (d) GROUP BY ALL) "
+    f"SELECT docs.doc_id, sha256({_canonical_sql('docs.text')}) AS text_digest, known.l AS license, coalesce(hits.line_licenses, '') AS line_licenses FROM docs LEFT JOIN known ON known.d = sha256({_canonical_sql('docs.text')}) LEFT JOIN hits ON hits.doc_id = docs.doc_id AND hits.text = docs.text"
+)
+
+# the table holds no tool call: every message is plain content
+ORACLES["op7_chat"] = (
+    "SELECT DISTINCT conv_id, turn, turn AS order_turn, CAST(0 AS INTEGER) AS order_step, role, CAST(0 AS INTEGER) AS n_calls, CAST(NULL AS BIGINT) AS call_turn, true AS valid, '' AS problem, "
+    "'{\"content\":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',\"role\":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}' AS message FROM conversations"
+)
