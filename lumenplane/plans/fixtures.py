@@ -102,8 +102,8 @@ def _segment(name: bytes, body: bytes) -> bytes:
     return name.ljust(16, b"\0") + struct.pack("<2q", len(body), len(body)) + body
 
 
-def czi(tiles: list[dict], kind: int, xml: str = "") -> bytes:
-    """Sub-blocks {X, Y, width, height, stored, data, codec, Z, C, T, ...} behind a file header."""
+def czi(tiles: list[dict], kind: int, xml: str = "", attached: dict[str, bytes] | None = None) -> bytes:
+    """Attached files by name, and sub-blocks {X, Y, width, height, stored, data, codec, Z, C, T, ...} behind a file header."""
     out = bytearray(_segment(b"ZISRAWFILE", bytes(512)))
     directory = b""
     for t in tiles:
@@ -116,19 +116,29 @@ def czi(tiles: list[dict], kind: int, xml: str = "") -> bytes:
         directory += entry
     struct.pack_into("<q", out, 32 + 52, len(out))
     out += _segment(b"ZISRAWDIRECTORY", struct.pack("<i", len(tiles)).ljust(128, b"\0") + directory)
+    if attached:
+        entries = []
+        for name, body in attached.items():
+            entries.append(b"A1".ljust(12, b"\0") + struct.pack("<qi", len(out), 0) + bytes(16) + b"CZI".ljust(8, b"\0") + name.encode().ljust(80, b"\0"))
+            head = struct.pack("<i", len(body)).ljust(16, b"\0") + entries[-1]
+            out += _segment(b"ZISRAWATTACH", head.ljust(256, b"\0") + body)
+        struct.pack_into("<q", out, 32 + 72, len(out))
+        out += _segment(b"ZISRAWATTDIR", struct.pack("<i", len(entries)).ljust(256, b"\0") + b"".join(entries))
     if xml:
         struct.pack_into("<q", out, 32 + 60, len(out))
         out += _segment(b"ZISRAWMETADATA", struct.pack("<i", len(xml.encode())).ljust(256, b"\0") + xml.encode())
     return bytes(out)
 
 
-def nd2(planes: np.ndarray, parts: int = 1, packed: bool = False, pad: int = 0) -> bytes:
+def nd2(planes: np.ndarray, parts: int = 1, packed: bool = False, pad: int = 0, text: str = "") -> bytes:
     """A sequence of interleaved planes (n, height, width * parts)."""
     n, y, x = planes.shape
     wide = planes.dtype.itemsize
     values = {"uiWidth": x // parts, "uiHeight": y, "uiWidthBytes": x * wide + pad, "uiComp": parts, "uiBpcInMemory": 8 * wide, "uiBpcSignificant": 8 * wide}
     chunk = lambda name, body: b"\xda\xce\xbe\x0a" + struct.pack("<IQ", len(name), len(body)) + name.encode() + body
     out = chunk("ImageAttributes!", ("<variant>" + "".join(f'<{k} value="{v}"/>' for k, v in values.items()) + "</variant>").encode())
+    if text:
+        out += chunk("ImageTextInfo!", text.encode())
     for i, p in enumerate(planes):
         raw = b"".join(row.tobytes() + bytes(pad) for row in p)
         out += chunk(f"ImageDataSeq|{i}!", bytes(8) + (zlib.compress(raw) if packed else raw))

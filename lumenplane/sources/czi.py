@@ -83,6 +83,34 @@ def entries(data: bytes) -> tuple[list[Entry], str]:
     return found, xml
 
 
+def attachments(data: bytes) -> list[tuple[str, int, int]]:
+    """(name, offset, length) of the first label and the first slide preview, by place in the file."""
+    b = Bytes(data)
+    part, directory = b.get("i", 32 + 48), b.get("q", 32 + 72)
+    if directory <= 0:
+        return []
+    used, count = _segment(b, directory, "ZISRAWATTDIR"), b.get("i", directory + 32)
+    if count < 0 or 256 + 128 * count > used:
+        raise ImageError("InvalidData", "CZI attachment directory size")
+    text = lambda at, n: b.at(at, n).split(b"\0")[0].decode("utf-8", "replace").strip()
+    listed = []
+    for at in (directory + 288 + 128 * i for i in range(count)):
+        name = text(at + 48, 80)
+        if name in ("Label", "SlidePreview") and b.get("i", at + 20) == part:
+            listed.append((b.get("q", at + 12), name, text(at + 40, 8)))
+    found: dict[str, tuple[str, int, int]] = {}
+    for position, name, kind in sorted(listed):
+        if name in found:
+            continue
+        if kind != "CZI":
+            raise ImageError("InvalidData", f"CZI {name} is {kind}")
+        used, size = _segment(b, position, "ZISRAWATTACH"), b.get("i", position + 32)
+        if size < 0 or 256 + size > used:
+            raise ImageError("InvalidData", f"CZI {name} size")
+        found[name] = name, position + 288, size
+    return list(found.values())
+
+
 def metadata(xml: str) -> dict:
     """Precision, micrometres, time step, objective and channels."""
     out: dict = {"physical": [None] * 3, "channels": []}
@@ -109,8 +137,8 @@ def metadata(xml: str) -> dict:
     return out
 
 
-def czi(files: list[bytes]) -> list[list[Level]]:
-    """Series by scene, block and view; levels by the scale of their sub-blocks; files are parts in order."""
+def czi(files: list[bytes], inner: bool = True) -> list[list[Level]]:
+    """Series by scene, block and view, then labels and previews; levels by the scale of their sub-blocks; files are parts in order."""
     found, xml = [], ""
     for part, data in enumerate(files):
         own, text = entries(data)
@@ -130,6 +158,15 @@ def czi(files: list[bytes]) -> list[list[Level]]:
         split = len(mosaics) > 1 and all(layout(m) == layout(mosaics[0]) for m in mosaics)
         for part in [[e for e in group if e.at("M") == m] for m in mosaics] if split else [group]:
             series.append(_levels(part, files, info))
+    for source, data in enumerate(files if inner else []):
+        for name, offset, size in attachments(data):
+            own = czi([data[offset : offset + size]], inner=False)
+            if len(own) != 1 or len(own[0]) != 1 or own[0][0].image_count != 1:
+                raise ImageError("Unsupported", f"CZI {name} is no single plane")
+            own[0][0].extra |= {"attachment": name, "thumbnail": True}
+            for block in own[0][0].planes[0]:  # places count from the start of the file that holds it
+                block.offset, block.source = block.offset + offset, source
+            series.append(own[0])
     return series
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import xml.etree.ElementTree as ET
@@ -107,6 +108,70 @@ def _loops(values) -> list[tuple[str, int]]:
     return axes
 
 
+# The end of a loop's run-time type -> axis.
+LOOPS = (("ZStackLoop", "Z"), ("TimeLoop", "T"), ("XYPosLoop", "S"))
+
+
+def _parsed(text: str) -> ET.Element | None:
+    try:
+        return ET.fromstring("<root>" + re.sub(r"<\?xml.*?\?>", "", text) + "</root>")
+    except ET.ParseError:
+        return None
+
+
+def xml_loops(text: str) -> list[list[list[tuple[str, int]]]]:
+    """For each outermost experiment of the text, every way its loops may count: axes, outermost first."""
+    root = _parsed(text)
+    if root is None:
+        return []
+    value = lambda e: (e.get("value") or e.text or "").strip() if e is not None else ""
+    kind = lambda e: next((a for end, a in LOOPS if (e.get("runtype") or "").endswith(end)), None)
+    tops, stack = [], [root]
+    while stack:
+        e = stack.pop(0)
+        if e.get("runtype") == "RLxExperiment":
+            tops.append(e)
+        else:
+            stack += list(e)
+    found = []
+    for e in tops:
+        ways: list[list[tuple[str, int]]] = [[]]
+        for _ in range(16):
+            pars = e.find("uLoopPars")
+            inner = list(pars.iter()) if pars is not None else []
+            axis = AXES.get(_number(value(e.find("eType"))) or 0) or next((kind(n) for n in inner if kind(n)), None)
+            counts = dict.fromkeys(n for p in inner if kind(p) == axis and (n := _number(value(p.find("uiCount")))))
+            if axis and all(axis != a for a, _ in ways[0]):
+                ways = [[*w, (axis, n)] for w in ways for n in counts or [1]]
+            below = e.find("ppNextLevelEx")
+            e = next((n for n in below.iter() if n.get("runtype") == "RLxExperiment"), None) if below is not None else None
+            if e is None:
+                break
+        if ways[0]:
+            found.append(ways)
+    return found
+
+
+def colours(text: str) -> dict[str, int]:
+    """A channel's colour (32 bits) by its dye's name; both share the prefix of their element names."""
+    root, shades, dyes = _parsed(text), {}, {}
+    for e in root.iter() if root is not None else ():
+        value = (e.get("value") or e.text or "").strip()
+        if e.tag.endswith("ChannelColor") and re.fullmatch(r"[+-]?\d+", value) and -(1 << 31) <= int(value) < 1 << 32:
+            shades[e.tag[: e.tag.index("Channel")]] = int(value) & 0xFFFFFFFF
+        elif e.tag.endswith("DyeName") and value:
+            dyes[e.tag[: max(0, e.tag.find("Channel"))]] = value
+    return {dyes.get(k, k): v for k, v in shades.items()}
+
+
+def colour_table(colour: int, pixel_type: str) -> tuple | None:
+    """Red, green and blue ramps: peak times i / 255, truncated, at most 65535."""
+    entries = {"uint8": 256, "uint16": 65536}.get(pixel_type)
+    if not colour or entries is None:
+        return None
+    return tuple([min(65535, int((colour >> s & 255) * (i / 255.0))) for i in range(entries)] for s in (0, 8, 16))
+
+
 def nd2(data: bytes) -> list[list[Level]]:
     found = chunks(data)
     images = sorted((int(m[1]), at, size) for n, at, size in found if (m := re.fullmatch(r"ImageDataSeq\|(\d+)!", n)))
@@ -116,7 +181,7 @@ def nd2(data: bytes) -> list[list[Level]]:
         raise ImageError("InvalidData", "ND2 image sequence has gaps")
     values: dict = {}
     attributes: dict = {}
-    experiments = []
+    experiments, texts, shades = [], [], {}
     for name, at, size in found:
         low = name.lower()
         if name.startswith("ImageDataSeq") or not any(w in low for w in ("metadata", "attrib", "text", "calibra", "customdata")):
@@ -127,6 +192,9 @@ def nd2(data: bytes) -> list[list[Level]]:
         target = attributes if name.startswith("ImageAttributes") else values
         for k, v in flat:
             target.setdefault(k, v)
+        if not tree:
+            texts += xml_loops(body.decode("utf-8", "replace"))
+            shades |= colours(body.decode("utf-8", "replace"))
         experiments += [v for n, v in tree if n in ("SLxExperiment", "RLxExperiment") and isinstance(v, list)]
     get = lambda key: _number(attributes.get(key, values.get(key)))
     width, height, parts = get("uiWidth"), get("uiHeight"), get("uiComp") or 1
@@ -134,14 +202,14 @@ def nd2(data: bytes) -> list[list[Level]]:
     kind = {8: "uint8", 16: "uint16"}.get(memory)
     if not width or not height or kind is None:
         raise ImageError("InvalidData", "ND2 image attributes")
-    fits = []
-    for e in experiments:
-        loops = _loops(e)
-        total = 1
-        for _, n in loops:
-            total *= n
-        if total == len(images) and loops not in fits:
-            fits.append(loops)
+    # the one experiment whose counts give the planes stored; binary records come before XML
+    fits: list[list[tuple[str, int]]] = []
+    for ways in ([[_loops(e)] for e in experiments], texts):
+        for loops in (w for group in ways for w in group):
+            if loops and math.prod(n for _, n in loops) == len(images) and loops not in fits:
+                fits.append(loops)
+        if fits:
+            break
     if len(fits) > 1:
         raise ImageError("InvalidData", "ND2 experiments are ambiguous")
     loops = fits[0] if fits else [("T", len(images))]
@@ -156,6 +224,9 @@ def nd2(data: bytes) -> list[list[Level]]:
         step = _real(values.get("dCalibration"))
         level.physical = (step, step, _real(values.get("dZStep")))
         level.extra = {k: v for k, v in values.items() if isinstance(v, (str, int, float))}
+        level.channels = [{"name": n, "color": v} for n, v in list(shades.items())[:parts]]
+        if parts == 1 and shades:
+            level.lut = colour_table(next(iter(shades.values())), kind)
         series.append([level])
     for i, (_, at, length) in enumerate(images):
         place, rest = {"T": 0, "S": 0, "Z": 0}, i

@@ -278,3 +278,30 @@ def test_levels_tiles_cache_and_stream(spark, tmp_path):
     run = minmax.known_min_max(stream, ["dataset_id"]).writeStream.outputMode("complete").format("memory").queryName("known").trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert sorted((r.known_minimum, r.known_maximum) for r in spark.table("known").collect()) == [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]
+
+
+def test_czi_label_and_preview_are_series():
+    label = fixtures.czi([_tile(0, 0, 77)], 0)
+    data = fixtures.czi([_tile(0, 0, 5)], 0, attached={"Label": label, "Thumbnail": b"jpg", "SlidePreview": fixtures.czi([_tile(3, 3, 78)], 0)})
+    _, series, files = opened("a.czi", data)
+    assert [whole(s[0], files)[0] for s in series] == [5, 77, 78] and series[1][0].extra["attachment"] == "Label"
+    with pytest.raises(ImageError):
+        opened("a.czi", fixtures.czi([_tile(0, 0, 5)], 0, attached={"Label": b"no file"}))
+
+
+def _experiment(axis, run, count, inner=""):
+    return f'<x runtype="RLxExperiment"><eType value="{axis}"/><uLoopPars runtype="{run}"><uiCount value="{count}"/></uLoopPars><ppNextLevelEx>{inner}</ppNextLevelEx></x>'
+
+
+def test_nd2_loops_and_colours_from_text():
+    planes = np.arange(12, dtype="u1").reshape(12, 1, 1)
+    text = _experiment(2, "RLxXYPosLoop", 2, _experiment(1, "RLxNETimeLoop", 3, _experiment(4, "RLxZStackLoop", 2)))
+    _, series, files = opened("a.nd2", fixtures.nd2(planes, text=text + '<sAChannelColor value="-1"/><sAChannelDyeName value="DAPI"/>'))
+    assert len(series) == 2 and (series[1][0].size_z, series[1][0].size_t) == (2, 3)
+    assert [whole(series[1][0], files, plane_index("XYCZT", (2, 1, 3), z, 0, t))[0] for t in range(3) for z in range(2)] == [6, 7, 8, 9, 10, 11]
+    assert series[0][0].channels == [{"name": "DAPI", "color": 0xFFFFFFFF}] and series[0][0].lut[0][255] == 255
+    assert nd2.colour_table(0x0000FF, "uint16")[0][65535] == min(65535, int(255 * (65535 / 255.0)))
+    assert opened("a.nd2", fixtures.nd2(planes, text="<broken"))[1][0][0].size_t == 12
+    both = _experiment(1, "RLxTimeLoop", 12) + _experiment(4, "RLxZStackLoop", 12)
+    with pytest.raises(ImageError):
+        opened("a.nd2", fixtures.nd2(planes, text=both))
