@@ -81,8 +81,8 @@ def cuckoo(pairs: dict[tuple[int, int], int]) -> bytes:
 
 
 def _bound(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value evaluated once (get() would evaluate its array twice, at every depth)."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def with_literals(ranks: dict[bytes, int], table: bytes, body) -> Column:
@@ -112,8 +112,8 @@ def fold_word(word: Column, literals: Column) -> Column:
     def merge(parts: Column, ranks: Column, best: Column, i: Column) -> Column:
         """The pair at i (from 1) becomes one part; only the ranks beside it are looked up anew."""
         n = F.size(ranks)
-        left = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(F.get(parts, i - 2), best)))).otherwise(empty)
-        right = F.when(i < n, F.concat(F.array(rank(best, F.get(parts, i + 1))), F.slice(ranks, i + 2, n))).otherwise(empty)
+        left = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(parts.getItem(i - 2), best)))).otherwise(empty)
+        right = F.when(i < n, F.concat(F.array(rank(best, parts.getItem(i + 1))), F.slice(ranks, i + 2, n))).otherwise(empty)
         return F.struct(F.concat(F.slice(parts, F.lit(1), i - 1), F.array(best), F.slice(parts, i + 2, n)).alias("parts"), F.concat(left, right).alias("ranks"))
 
     def step(state: Column, _) -> Column:
@@ -124,7 +124,7 @@ def fold_word(word: Column, literals: Column) -> Column:
     number = lambda b: F.conv(F.hex(b), 16, 10).cast("int")
     size = F.octet_length(word)
     parts = _bound(F.encode(word, "utf-8"), lambda d: F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(single, number(F.substring(d, i, F.lit(1))) * 2 + 1, F.lit(2))))
-    begin = _bound(parts, lambda p: F.struct(p.alias("parts"), F.when(size > 1, F.transform(F.slice(p, F.lit(1), size - 1), lambda x, i: rank(x, F.get(p, i + 1)))).otherwise(empty).alias("ranks")))
+    begin = _bound(parts, lambda p: F.struct(p.alias("parts"), F.when(size > 1, F.transform(F.slice(p, F.lit(1), size - 1), lambda x, i: rank(x, p.getItem(i + 1)))).otherwise(empty).alias("ranks")))
     merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step)
     return F.when(size > 0, F.transform(merged["parts"], number)).otherwise(F.array().cast("array<int>"))
 
