@@ -61,7 +61,7 @@ def components(samples: Column, count: int, component: Column) -> Column:
 
 def lookup(indices: Column, table: Column) -> Column:
     """Palette entries; an index out of range gives 0."""
-    return F.transform(indices, lambda i: F.coalesce(F.get(table, i.cast("int")), F.lit(0)))
+    return F.transform(F.array(table), lambda t: F.transform(indices, lambda i: F.coalesce(F.get(t, i.cast("int")), F.lit(0)))).getItem(0)
 
 
 def lookup_ramp(peak: int, entries: int) -> Column:
