@@ -44,13 +44,13 @@ class Encoder:
     differently are given to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, definition: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
 
@@ -68,13 +68,16 @@ class Encoder:
         return [b"".join(map(find, ps)) if ps is not None else self.whole([t])[0] for t, ps in zip(texts, pieces)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(definition: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    mark = zlib.crc32(definition.encode())
+    if mark not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[mark] = Encoder(definition)
+    return _ENCODERS[mark]
 
 
 def _filesystem(path: str):
@@ -157,9 +160,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str =
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     end = np.array([end_id], "<u4").tobytes()
+    with open(tokenizer, encoding="utf-8") as file:  # on the driver: executors need not have the file
+        definition = spark.sparkContext.broadcast(file.read())
 
     def put(batches):
-        coder, writer = encoder(tokenizer), None
+        coder, writer = encoder(definition.value), None
         first = None
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
