@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplane.functions import geometry, units
+from lumenplane.functions import text as meta
 from lumenplane.operators import compose, patterns, reshape, stats
 from lumenplane.plans import fixtures
 from lumenplane.plans.registry import ORACLES, QUERIES
@@ -350,3 +351,29 @@ def detect_format(spark, sf_dir):
 @query("SELECT * FROM (VALUES (0, 'tiff'), (1, 'czi'), (2, 'nd2'), (3, 'nrrd'), (4, 'dcimg'), (5, 'mrc')) AS f(priority, format)")
 def supported_formats(spark, sf_dir):
     return scan.supported_formats(spark).select(F.col("priority").cast("int").alias("priority"), "format")
+
+
+@query(
+    "SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS slices, CAST(1 AS BIGINT) AS frames, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE 0 END AS BIGINT) AS channels, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'nm' ELSE 'mm' END AS unit FROM nation"
+)
+def imagej_comment(spark, sf_dir):
+    key = F.col("n_nationkey")
+    text = F.concat(
+        F.lit("ImageJ=1\r\nslices=99\nframes =7\nslices="), F.col("n_regionkey").cast("string"), F.lit("\rchannels="), key.cast("string"), F.when(key % 2 == 0, "").otherwise("x"),
+        F.when(key % 3 == 0, "").when(key % 3 == 1, "\nunit=nm").otherwise("\nunit=nm\nunit=mm"),
+    )
+    base = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", text.alias("comment"))
+    counts = {k: meta.comment_count(F.col("comment"), k).cast("bigint") for k in ("slices", "frames", "channels")}
+    return base.select("n_nationkey", *[c.alias(k) for k, c in counts.items()], meta.last_unit(F.col("comment")).alias("unit"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity / (l_linenumber % 3) END AS ratio, CAST(CASE l_linenumber % 3 WHEN 0 THEN l_partkey WHEN 1 THEN (4294967296 - l_partkey) % 4294967296 END AS BIGINT) AS colour, "
+    "(least(l_quantity, l_extendedprice) + greatest(l_quantity, l_extendedprice)) / 2 AS centre, CASE WHEN l_returnflag = 'A' THEN l_tax ELSE 0.5::DOUBLE * l_linenumber END AS position FROM lineitem"
+)
+def metadata_values(spark, sf_dir):
+    n, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    text = F.when(n % 3 == 0, part).when(n % 3 == 1, F.concat(F.lit("-"), part)).otherwise(F.concat(F.lit(" "), part))
+    waves = F.array(F.col("l_quantity"), F.lit(0.0), F.col("l_extendedprice"), F.lit(-5.0))
+    position = meta.plane_value(F.when(F.col("l_returnflag") == "A", F.col("l_tax")), F.lit(0.5), n)
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", meta.ratio(F.col("l_quantity"), n % 3).alias("ratio"), meta.colour(text).alias("colour"), meta.emission_centre(waves).alias("centre"), position.alias("position"))
