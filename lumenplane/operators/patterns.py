@@ -18,7 +18,10 @@ def block_values(block: Column) -> Column:
 
 
 def expand(patterns: DataFrame, blocks: int, column: str = "pattern") -> DataFrame:
-    """Rows (pattern, file_index, file): the product of the blocks' values, the last block fastest."""
+    """Rows (pattern, file_index, file, digits, lengths): the product of the blocks' values, the last fastest.
+
+    digits are the positions of a file's values in their blocks, lengths the blocks' numbers of values.
+    """
     literals, inner = F.split(F.col(column), _BLOCK), F.regexp_extract_all(F.col(column), F.lit(_BLOCK), F.lit(1))
     rows = patterns.withColumn("__lit", literals).withColumn("__blk", inner).where(F.size("__blk") == blocks)
     name, index = F.get("__lit", F.lit(0)), F.lit(0).cast("bigint")
@@ -27,7 +30,8 @@ def expand(patterns: DataFrame, blocks: int, column: str = "pattern") -> DataFra
         rows = rows.withColumn(f"__n{k}", F.size(values)).select("*", F.posexplode(values).alias(f"__p{k}", f"__v{k}"))
         name = F.concat(name, F.col(f"__v{k}"), F.get("__lit", F.lit(k + 1)))
         index = index * F.col(f"__n{k}") + F.col(f"__p{k}")
-    return rows.select(*patterns.columns, index.alias("file_index"), name.alias("file"))
+    each = lambda prefix: F.array(*[F.col(f"__{prefix}{k}").cast("int") for k in range(blocks)]).cast("array<int>")
+    return rows.select(*patterns.columns, index.alias("file_index"), name.alias("file"), each("p").alias("digits"), each("n").alias("lengths"))
 
 
 def infer(names: DataFrame, column: str = "name") -> DataFrame:
@@ -51,3 +55,14 @@ def guess_axes(hints: list[str | None], size_z: int, size_t: int, channels: int)
     """An axis for each block: its hint, else the first of Z, T and C that the files do not use."""
     free = [a for a, ok in (("Z", size_z == 1), ("T", size_t == 1), ("C", channels <= 1)) if ok]
     return [h or (free.pop(0) if free else None) for h in hints]
+
+
+def file_places(files: DataFrame, axes: list[str | None]) -> DataFrame:
+    """file_z, file_c and file_t of expanded files: blocks of one axis count together, the last fastest."""
+    for axis in "ZCT":
+        place = F.lit(0)
+        for k, a in enumerate(axes):
+            if a == axis:
+                place = place * F.col("lengths").getItem(k) + F.col("digits").getItem(k)
+        files = files.withColumn(f"file_{axis.lower()}", place.cast("int"))
+    return files

@@ -45,10 +45,11 @@ def fill_channels(planes: DataFrame, red: Column, green: Column, blue: Column, i
 
 def swap_dimensions(levels: DataFrame, source: str, target: str) -> DataFrame:
     """Relabel the sizes: what lay at an axis of the source order now bears the target's letter there."""
-    if source.index("C") != target.index("C"):
-        levels = levels.withColumn("c_moves", F.when(F.col("samples_per_pixel") > 1, F.raise_error(F.lit("InvalidData: C cannot move with several samples"))))
     sizes = {b: F.col(f"size_{a.lower()}") for a, b in zip(source[2:], target[2:])}
-    return levels.select(*[c for c in levels.columns if c not in ("size_z", "size_c", "size_t", "c_moves")], *[sizes[a].alias(f"size_{a.lower()}") for a in "ZCT"])
+    if source.index("C") != target.index("C"):  # the check is part of a size, or it would be pruned
+        several = F.raise_error(F.lit("InvalidData: C cannot move with several samples")).cast("int")
+        sizes["C"] = F.when(F.col("samples_per_pixel") > 1, several).otherwise(sizes["C"])
+    return levels.select(*[c for c in levels.columns if c not in ("size_z", "size_c", "size_t")], *[sizes[a].alias(f"size_{a.lower()}") for a in "ZCT"])
 
 
 def reorder(planes: DataFrame, order: str, sizes: tuple[Column, Column, Column]) -> DataFrame:

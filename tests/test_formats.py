@@ -305,3 +305,36 @@ def test_nd2_loops_and_colours_from_text():
     both = _experiment(1, "RLxTimeLoop", 12) + _experiment(4, "RLxZStackLoop", 12)
     with pytest.raises(ImageError):
         opened("a.nd2", fixtures.nd2(planes, text=both))
+
+
+def test_files_of_a_pattern_are_one_dataset(spark):
+    from pyspark.sql import functions as F
+
+    files = patterns.expand(spark.createDataFrame([("m/sample_Z<0-1>T<0-1>C<0-2>.tif",)], "pattern string"), 3).collect()
+    content = [(f.file, bytearray(fixtures.tiff(np.array([[[100 * f.digits[0] + 10 * f.digits[1] + f.digits[2]]]], "u1")))) for f in files]
+    planes = scan.read(scan.datasets(spark.createDataFrame(content, "path string, content binary")))
+    where = patterns.file_places(spark.createDataFrame(files), ["Z", "T", "C"]).select(F.col("file").alias("dataset_id"), "file_z", "file_c", "file_t", F.lit(1).alias("base_z"), F.lit(1).alias("base_c"), F.lit(1).alias("base_t"))
+    got = {(r.z, r.c, r.t): r.samples[0] for r in reshape.stitch(planes, where).collect()}
+    assert len(got) == 12 and all(v == 100 * z + 10 * t + c for (z, c, t), v in got.items()) and got[1, 2, 1] == 112
+
+
+def test_relabelling_keeps_c_of_several_samples(spark):
+    levels = spark.createDataFrame([(3, 4, 2, 1)], "samples_per_pixel int, size_z int, size_c int, size_t int")
+    with pytest.raises(Exception, match="C cannot move"):
+        reshape.swap_dimensions(levels, "XYCZT", "XYZCT").collect()
+
+
+def test_extremes_are_global_once_all_planes_are_read(spark):
+    from pyspark.sql import functions as F
+
+    from lumenplane.operators import stats
+
+    rows = spark.createDataFrame([(0, False, [1.0, 2.0]), (0, True, [1.0, 2.0, 3.0, 4.0]), (1, True, [float("nan")] * 4)], "plane_index int, full boolean, samples array<double>")
+    part = lambda df: stats.global_min_max(stats.plane_min_max(df).withColumn("c", F.lit(0)), ["c"], 2).first()
+    first, last = part(rows.limit(1)), part(rows)
+    assert (first.known_minimum, first.known_maximum, first.global_maximum) == (1.0, 2.0, None)
+    assert (last.known_minimum, last.global_minimum, last.global_maximum) == (1.0, 1.0, 4.0)
+    lone = stats.plane_min_max(rows.where("plane_index = 1")).first()
+    assert (lone.minimum, lone.maximum) == (float("inf"), float("-inf"))
+    two = spark.createDataFrame([([10.0, 100.0, 20.0, 80.0],)], "samples array<double>")
+    assert [(r.minimum, r.maximum) for r in stats.plane_min_max(two, 2).orderBy("component").collect()] == [(10.0, 20.0), (80.0, 100.0)]
