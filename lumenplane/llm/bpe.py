@@ -34,6 +34,8 @@ from pyspark.sql import types as T
 HEAD_WORDS = 400_000
 #: About so many documents are looked at for them.
 HEAD_DOCS = 30_000
+#: Documents of a task, about: the longer its partition, the fewer words are folded in several.
+TASK_DOCS = 20_000
 #: A partition's own dictionary starts anew beyond so many words.
 BLOCK_WORDS = 1_000_000
 #: Folding costs the square of a word's bytes; longer words are merged with a heap, to the same ids.
@@ -190,9 +192,8 @@ class _Splitter:
         return b"".join(map(self.pieces.__getitem__, pieces)), self.words.new
 
 
-def _head(docs: DataFrame, text: str, pattern: str) -> list[str]:
+def _head(docs: DataFrame, text: str, pattern: str, total: int) -> list[str]:
     """Words that occur twice or more in a sample of documents, the most frequent first."""
-    total = docs.count()
     sample = docs.select(text).sample(fraction=min(1.0, HEAD_DOCS / max(total, 1)), seed=7)
 
     def count(batches):
@@ -218,7 +219,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     ranks = load_ranks(spark, ranks_path)
     pairs = pair_ranks(ranks)
     slots = cuckoo(pairs)
-    head = _head(docs, text, pattern)
+    total = docs.count()
+    head = _head(docs, text, pattern, total)
     folded = spark.createDataFrame(pa.table({"word": pa.array(head, pa.string()), "n": pa.array(range(len(head)), pa.int64())}))
     ids = folded.repartition(max(1, min(spark.sparkContext.defaultParallelism, len(head) // 2000 + 1))).select("n", with_literals(ranks, slots, lambda v: fold_word(F.col("word"), v)).alias("ids"))
     by_number = dict(map(tuple, ids.collect()))
@@ -295,7 +297,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
             values = pa.array(np.frombuffer(b"".join(v for v, _ in out_values), np.int32))
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, values)], names=[*names, out])
 
-    split_df = docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(split, split_schema)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK_DOCS)
+    split_df = docs.select(*[F.col(f"`{n}`") for n in names]).coalesce(tasks).mapInArrow(split, split_schema)
     short = lambda w: F.octet_length(w) <= LONG_WORD
     long_words = F.map_from_entries(F.filter(F.transform(F.col("__new"), lambda w, i: F.struct(i.alias("i"), F.when(short(w), None).otherwise(w).alias("w"))), lambda s: s["w"].isNotNull()))
     with_ids = split_df.select(
