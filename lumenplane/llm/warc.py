@@ -36,9 +36,11 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     facts = spark.read.parquet(f"{path}/facts")
     first = facts.groupBy("digest").agg(F.max("page_id").alias("response_id"))
 
-    kept = first.select(F.col("response_id").alias("page_id"), "digest")
-    same = told.alias("p").join(kept.hint("shuffle_hash").alias("k"), F.col("p.page_id").eqNullSafe(F.col("k.page_id")) & (F.col("p.digest") == F.col("k.digest")), "left_semi")
-    same.dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # a null page_id has a key of its own, so that one exchange serves the join and the collapse
+    key = F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("k")
+    kept = first.select(F.coalesce(F.col("response_id").cast("long"), F.lit(-(1 << 63))).alias("k"), "digest")
+    same = told.select(key, "digest", "payload").join(kept.hint("shuffle_hash"), ["k", "digest"], "left_semi")
+    same.dropDuplicates(["k", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     linked = facts.join(first, "digest").withColumn("revisit", (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("response_id")))
     uuid = lambda c: F.concat(F.lit("<urn:lumenplane:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
