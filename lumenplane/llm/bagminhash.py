@@ -12,8 +12,8 @@ Bags that are equal collapse to one representative. Signatures are cut into BAND
 components; documents that share a band are candidates, and every link is verified by the exact
 multiset overlap of the two texts. Within a band's bucket the pairs are never all listed: one hub is
 compared with every member that is not yet in its class, classes are merged, and the next round takes
-another hub, until no bucket has two classes left to compare. After ROUNDS rounds what is left in a
-bucket is compared in full, so no link is lost to the order of hubs.
+another hub, until no bucket has two classes left to compare. After ROUNDS rounds the classes that
+still share a bucket are compared in full, in blocks, so no link is lost to the order of hubs.
 
 Defined results: null and empty texts, and texts without a word, are alone in their class; a text of
 fewer than five words is one shingle of all its words. Rows that share a doc_id share a class; a null
@@ -33,7 +33,9 @@ N = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-ROUNDS = 6
+ROUNDS = 4
+#: Bags in a row where classes are compared in full.
+BLOCK = 128
 GROUP_BYTES = 6 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _U64 = np.uint64
@@ -195,6 +197,44 @@ def verify(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """Edges between classes that still share a bucket, compared in full.
+
+    A document's home is the fullest bucket that it is still in; the documents of a home stand in rows
+    of about BLOCK bags. Homes whose documents share a bucket meet block by block, so that no pair of
+    documents becomes a row unless it is a link.
+    """
+    sizes = open_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    seats = open_members.join(sizes, "bucket")
+    homes = seats.groupBy("k").agg(F.max(F.struct("c", "bucket")).alias("top"), F.first("label").alias("label")).select("k", "label", F.col("top.bucket").alias("home"))
+    counts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = homes.join(counts, "home").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    blocks = placed.join(bag, "k").groupBy("home", "block").agg(F.collect_list(F.struct("k", "label", "bag")).alias("held"))
+
+    present = open_members.join(homes.select("k", "home"), "k").select("bucket", "home").distinct()
+    other = present.select("bucket", F.col("home").alias("home_b"))
+    meets = present.join(other, "bucket").where("home <= home_b").select("home", "home_b").distinct()
+    left = meets.join(blocks, "home")
+    right = blocks.select(F.col("home").alias("home_b"), F.col("block").alias("block_b"), F.col("held").alias("held_b"))
+    rows = left.join(right, "home_b").where("home <> home_b or block <= block_b").select("held", "held_b")
+
+    def run(batches):
+        parts = lambda held: [(r["k"], r["label"], len(v := np.frombuffer(r["bag"], np.uint32)), *np.unique(v, return_counts=True)) for r in held]
+        for batch in batches:
+            for row in batch.to_pylist():
+                ours, theirs, found = parts(row["held"]), parts(row["held_b"]), []
+                for k, label, n, v, c in ours:
+                    for j, its, m, w, d in theirs:
+                        if label != its and min(n, m) >= least * max(n, m):
+                            _, x, y = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+                            both = int(np.minimum(c[x], d[y]).sum())
+                            if both >= least * (n + m - both):
+                                found.append((k, j))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """k and label (the least k of its component), by label propagation with pointer jumping."""
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/both")
@@ -229,23 +269,24 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str
         return joined.select(F.col("k").alias(key), F.coalesce("head", "k").alias("class_id"))
     bag = written(_bags_of(docs, members.select("k").distinct(), text, key), f"{folder}/bags")
 
-    edges, labels, open_members = None, None, members.withColumn("label", F.col("k"))
+    # hubs of the first round are central: the documents that share most buckets with most others
+    crowd = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket").groupBy("k").agg(F.sum("c").alias("weight"))
+    edges, labels, open_members = None, None, written(members.join(crowd, "k").withColumn("label", F.col("k")), f"{folder}/open")
     for step in range(ROUNDS + 1):
         at = f"{folder}/round{step}"
         if step < ROUNDS:  # one hub for each bucket against members of other classes
-            hub = open_members.groupBy("bucket").agg(F.min(F.struct((F.xxhash64("k", F.lit(step)) if step else F.col("k")).alias("draw"), "k", "label")).alias("hub")).select("bucket", F.col("hub.k").alias("b"), F.col("hub.label").alias("hub_label"))
-            pairs = open_members.join(hub, "bucket").where("label != hub_label")
-        else:  # what is left, in full
-            other = open_members.select("bucket", F.col("k").alias("b"), F.col("label").alias("hub_label"))
-            pairs = open_members.join(other, "bucket").where("label < hub_label")
-        pairs = written(pairs.select(F.col("k").alias("a"), "b").distinct(), f"{at}/pairs")
-        found = written(verify(pairs, bag, least), f"{at}/edges")
+            draw = F.struct(-F.col("weight"), "k") if step == 0 else F.struct(F.xxhash64("k", "bucket", F.lit(step)), "k")
+            hub = open_members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), "k", "label")).alias("hub")).select("bucket", F.col("hub.k").alias("b"), F.col("hub.label").alias("hub_label"))
+            pairs = written(open_members.join(hub, "bucket").where("label != hub_label").select(F.col("k").alias("a"), "b").distinct(), f"{at}/pairs")
+            found = written(verify(pairs, bag, least), f"{at}/edges")
+        else:
+            found = written(verify_classes(open_members, bag, least), f"{at}/edges")
         edges = found if edges is None else edges.unionAll(found)
         labels = components(edges, f"{at}/labels") if not edges.isEmpty() else None
         if step == ROUNDS:
             break
         # hubs have met all of their bucket; of the rest, buckets with two classes stay open
-        rest = open_members.join(hub.select("bucket", F.col("b").alias("k")), ["bucket", "k"], "left_anti").select("bucket", "k")
+        rest = open_members.join(hub.select("bucket", F.col("b").alias("k")), ["bucket", "k"], "left_anti").select("bucket", "k", "weight")
         if labels is not None:
             rest = rest.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
         else:

@@ -146,3 +146,18 @@ def test_tool_calls_are_linked(spark):
     assert (got[1, 3].order_turn, got[1, 3].order_step) == (3, 0) and got[1, 4].problem == "result without a call"
     assert got[1, 5].problem == "unknown tool fly; wrong argument of search"
     assert json.loads(got[2, 1].message)["content"] == "{not json" and json.loads(got[2, 0].message) == {"content": "", "role": ""}
+
+
+def test_classes_compared_in_full_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "ROUNDS", 0)  # no hubs: blocks find every link
+    monkeypatch.setattr(bagminhash, "BLOCK", 8)
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, rows = [word() for _ in range(200)], []
+    for i in range(50):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(200)] = word()
+        rows.append((i, " ".join(copy)))
+    got = dict(map(tuple, bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == _classes(rows)
