@@ -1,11 +1,13 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-A test item's seeds are its word trigrams that are rare: those whose words carry RARE_BITS of
-information together, by their counts over all test items (an item with fewer than LEAST_SEEDS such
-keeps its rarest ones; an item shorter than three words is its own seed). Seeds join training
-passages to items; around the seeds found, words of item and passage are aligned by Smith-Waterman
-(match 2, mismatch and gap -1). A score is the alignment's points over those of a perfect copy, so
-paraphrased and edited copies score high; pairs that reach `least` are returned.
+A test item's seeds are all of its word trigrams (an item shorter than three words is its own seed).
+Seeds join training passages to items; around the seeds found, words of item and passage are aligned
+by Smith-Waterman (match 2, mismatch and gap -1). A score is the alignment's points over those of a
+perfect copy, so paraphrased and edited copies score high; pairs that reach `least` are returned.
+
+The passage around a seed reaches as far as an alignment of `least` through it can. It is aligned
+only if the item's words that it holds could reach `least`, which leaves out most meetings by a
+common trigram and no pair. A pair that reaches `least` without three words in a row is not found.
 
 Items are a query set: they are taken in blocks of BLOCK_ITEMS, each broadcast with its seeds in one
 pass over all documents, however many documents hold an item. A null doc_id keeps its pairs. Texts are neither shuffled nor cut.
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 from lumenplane.llm.common import mix, word_hashes
 
 N = 3
-RARE_BITS = 24.0
-LEAST_SEEDS = 4
 #: Items held at once by the driver and each task.
 BLOCK_ITEMS = 20_000
 GROUP_BYTES = 2 << 20
@@ -46,7 +46,7 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Seeds of a block of items: sorted hashes, and for each its items and places."""
 
-    def __init__(self, ids: list[int], texts: list[str], counts: dict[int, int], total: int):
+    def __init__(self, ids: list[int], texts: list[str]):
         hashes, bounds, _, _ = word_hashes(texts)
         self.ids, self.words = ids, [hashes[a:b] for a, b in zip(bounds, bounds[1:])]
         seeds = []
@@ -54,13 +54,7 @@ class Index:
             n = min(N, len(words))
             if not n:
                 continue
-            bits = np.array([np.log2(total / counts[int(w)]) for w in words])
-            rare = np.convolve(bits, np.ones(n), "valid")
-            keep = np.flatnonzero(rare >= RARE_BITS) if n == N else np.arange(len(rare))
-            if len(keep) < LEAST_SEEDS:
-                keep = np.argsort(-rare, kind="stable")[:LEAST_SEEDS]
-            g = grams(words, n)
-            seeds += [(int(g[k]), n, item, int(k)) for k in keep]
+            seeds += [(int(g), n, item, k) for k, g in enumerate(grams(words, n))]
         self.sizes = sorted({n for _, n, _, _ in seeds})
         by = {n: sorted((h, i, k) for h, m, i, k in seeds if m == n) for n in self.sizes}
         self.hashes = {n: np.array([h for h, _, _ in rows], np.uint64) for n, rows in by.items()}
@@ -115,14 +109,17 @@ def match(index: Index, texts: list, least: float) -> list[tuple[int, int, float
             j += 1
         doc, item = int(hits[i, 0]), int(hits[i, 2])
         words, begin, stop = index.words[item], bounds[doc], bounds[doc + 1]
-        reach, diagonals = len(words) // 2 + 2, np.unique(hits[i:j, 1] - hits[i:j, 3])
+        needed, diagonals = least * 2 * len(words), np.unique(hits[i:j, 1] - hits[i:j, 3])
+        reach = max(0, int(2 * len(words) - needed)) + 1  # more gaps than that cost too many points
         best, end = 0, 0
         for part in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > 2 * reach) + 1):
             a, b = max(begin, part[0] - reach), min(stop, part[-1] + len(words) + reach)
+            if 2 * np.isin(words, hashes[a:b]).sum() < needed:
+                continue
             points, last = align(words, hashes[a:b])
             if points > best:
                 best, end = points, int(a - begin) + last
-        if best >= least * 2 * len(words):
+        if best >= needed:
             out.append((doc, item, best / (2 * len(words)), end))
         i = j
     return out
@@ -159,20 +156,15 @@ def flag(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "tex
 
 
 def _blocks(spark, items: DataFrame) -> list:
-    """Broadcast indexes of all items, BLOCK_ITEMS at a time; words are counted over all of them."""
-    vocabulary, total, spans, part = {}, 0, [], []
+    """Broadcast indexes of all items, BLOCK_ITEMS at a time."""
+    spans, part = [], []
     for r in items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
         if len(part) == BLOCK_ITEMS:
             spans.append(part)
             part = []
         part.append((r.item_id, r.text))
     spans += [part] if part else []
-    for span in spans:
-        values, counts = np.unique(word_hashes([t for _, t in span])[0], return_counts=True)
-        total += int(counts.sum())
-        for v, c in zip(values.tolist(), counts.tolist()):
-            vocabulary[v] = vocabulary.get(v, 0) + c
-    return [spark.sparkContext.broadcast(Index([i for i, _ in span], [t for _, t in span], vocabulary, total)) for span in spans]
+    return [spark.sparkContext.broadcast(Index([i for i, _ in span], [t for _, t in span])) for span in spans]
 
 
 def _groups(texts: list, index: Index, least: float):

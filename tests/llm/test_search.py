@@ -126,6 +126,21 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_decontamination_by_a_small_benchmark(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{60 * i + k}" for k in range(36))) for i in range(3)]
+    common = [(3, " ".join(f"w{rng.randrange(6)}" for _ in range(40)))]  # common words only
+    other = lambda n: [f"x{rng.randrange(500)}" for _ in range(n)]
+    docs = [(i, " ".join([*other(50), *words(text)[len(words(text)) // 3 :], *other(50)])) for i, text in items + common]
+    spread = [w for k, word in enumerate(words(items[0][1])) for w in ((word,) if k < 3 else (f"y{k}", word))]
+    docs += [(10, " ".join(other(20) + spread + other(20))), (11, " ".join(other(150)))]  # a word put in behind each but three
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for asked in (items, items + common):
+        got = {(r.doc_id, r.item_id): round(r.score, 9) for r in decontaminate.contaminated(frame, spark.createDataFrame(asked, "item_id long, text string")).collect()}
+        want = {(d, i): round(s, 9) for d, text in docs for i, item in asked if (s := _score(words(item), words(text))) >= 0.5}
+        assert got == want and len(got) == len(asked) + 1
+
+
 def test_tool_calls_are_linked(spark):
     call = lambda *calls: json.dumps({"content": "let me see", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
     answer = lambda i, c: json.dumps({"tool_call_id": i, "content": c})
