@@ -5,7 +5,8 @@ dictionary gives the fewest bytes is its language. Whole texts count: letters ar
 characters become single blanks, and the bytes are compressed in blocks of BLOCK bytes, so that a
 text's own history does not drown the dictionaries.
 
-Dictionaries are learned from at most SAMPLE_DOCS documents for each language.
+Dictionaries are learned from at most SAMPLE_DOCS distinct texts for each language, those of the
+least hashes; copies of a text count once, and no more than that many texts reach the driver.
 
 Defined results: null texts and texts without a letter are `und`, score 0 and rejected. Equal sizes
 take the language learned from most documents, with score 0. Without any learned language all texts
@@ -20,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents a language learned from, at most, and bytes of a dictionary.
+#: Texts a language is learned from, at most, and bytes of a dictionary.
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 112_640
 BLOCK = 4096
@@ -42,18 +44,25 @@ def normalised(text: str | None) -> bytes:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language of docs, which must hold training rows only."""
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t rlike '\\\\p{L}'")
-    counts = dict(map(tuple, rows.groupBy("l").count().collect()))
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t rlike '\\\\p{L}'").withColumn("h", F.xxhash64("t"))
+    texts = rows.groupBy("l", "h").agg(F.count(F.lit(1)).alias("n"))
+    counts, share = {}, []
+    for l, n, distinct in texts.groupBy("l").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        counts[l] = n
+        share += [F.lit(l), F.lit(min(1.0, 2 * SAMPLE_DOCS / distinct))]
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * SAMPLE_DOCS / n))])
-    drawn = F.shiftrightunsigned(F.xxhash64("t"), 11) / float(1 << 53)
-    sample: dict[str, list] = {k: [] for k in counts}
-    for t, l, u in rows.withColumn("u", drawn).where(F.col("u") < F.try_element_at(share, F.col("l"))).collect():
-        sample[l].append((u, t))
+    # a first draw of about 2 * SAMPLE_DOCS texts, so that ranking never meets a whole language
+    drawn = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    near = rows.select("l", "h").where(drawn < F.try_element_at(F.create_map(*share), F.col("l"))).distinct()
+    rank = F.row_number().over(W.partitionBy("l").orderBy(F.shiftrightunsigned("h", 11), "h"))
+    least = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("l", "h")
+    sample: dict[str, list] = {l: [] for l in counts}
+    for l, h, t in rows.join(F.broadcast(least), ["l", "h"]).groupBy("l", "h").agg(F.min("t")).collect():
+        sample[l].append((h % (1 << 64) >> 11, h, t))
     learned = {}
     for l in sorted(sample, key=lambda l: (-counts[l], l)):
-        texts = [normalised(t) for _, t in sorted(sample[l])[:SAMPLE_DOCS]]
+        texts = [normalised(t) for *_, t in sorted(sample[l])]
         each = max(64, DICTIONARY_BYTES // max(1, len(texts)))
         learned[l] = b" ".join(t[:each] for t in texts)[:DICTIONARY_BYTES] or b" "
     return learned

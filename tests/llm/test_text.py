@@ -54,6 +54,17 @@ def test_languages_of_held_out_documents(spark):
     assert np.mean([got[d.doc_id].rejected for d in docs]) < 0.03
 
 
+def test_copies_are_learned_from_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 20)
+    rows = [(f"text {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} of many", "en") for i in range(100)]
+    copies = [(f"copied {'abcdefghij'[i]} text", "en") for i in range(10) for _ in range(300)]
+    learned = langid.fit(spark.createDataFrame(rows + copies + [("einer", "de")] * 50, "text string, lang string").repartition(6))
+    assert list(learned) == ["en", "de"] and learned["de"] == b"einer"
+    once = langid.fit(spark.createDataFrame([*rows, *sorted(set(copies)), ("einer", "de")], "text string, lang string"))
+    assert learned == once
+    assert learned["en"].count(b"text") == 20 and max(learned["en"].count(f"copied {c} text".encode()) for c in "abcdefghij") <= 1
+
+
 def test_language_of_odd_texts(spark):
     learned = {"en": b"the cat and the dog sat on the mat with another " * 40, "de": b"der hund und die katze sassen auf einer matte " * 40}
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(["the dog and the cat", "der hund und die katze", None, "", "123 ... !", "a"])], "doc_id long, text string, score string")
