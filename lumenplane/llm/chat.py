@@ -6,7 +6,8 @@ Calls and results are hash-joined by conversation and identifier. The order is t
 message keeps its turn unless it is the result of a call made later (or in the same turn), in which
 case it moves behind that call; of several calls with one identifier the first by turn counts.
 Arguments are validated against a table of schemas: every required field present, every field known
-and of its type. One row comes back per message, so no conversation is ever gathered in one task.
+and of its JSON type. A call without an identifier is a call like others, with a problem of its own
+and `"id":null`; it links to nothing. Values of arguments are written as strings. One row comes back per message, so no conversation is ever gathered in one task.
 
 Defined results: null roles and texts are written as empty strings; a text that is not such an object
 is plain content; rows alike in conv_id, turn, role and text collapse to one; a null conv_id or turn
@@ -19,14 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:map<string,string>>>>"
+TYPED = "struct<tool_calls:array<struct<arguments:map<string,variant>>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
-#: Tool, field, pattern of the field's JSON text, required.
+#: Tool, field, pattern of the field's text, required, JSON type.
 SCHEMAS = (
-    ("search", "query", "(?s).+", True),
-    ("search", "limit", "-?[0-9]+", False),
-    ("weather", "city", "(?s).+", True),
-    ("weather", "celsius", "true|false", False),
-    ("calculate", "expression", "(?s).+", True),
+    ("search", "query", "(?s).+", True, "string"),
+    ("search", "limit", "-?[0-9]+", False, "number"),
+    ("weather", "city", "(?s).+", True, "string"),
+    ("weather", "celsius", "true|false", False, "boolean"),
+    ("calculate", "expression", "(?s).+", True, "string"),
 )
 
 
@@ -46,34 +48,44 @@ def _object(*members: tuple[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant: string, number, boolean, array, object or null."""
+    kind = F.schema_of_variant(value)
+    named = F.when(kind.isin("STRING", "BOOLEAN"), F.lower(kind)).when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "VOID", "null")
+    return named.otherwise("number")
+
+
 def link(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """conv_id, turn, order_turn, order_step, role, n_calls, call_turn, valid, problem and message."""
     spark = messages.sparkSession
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     looks = F.col("text").rlike("^\\s*\\{")
     rows = rows.withColumn("said", F.when((F.col("role") == "assistant") & looks, F.from_json("text", CALLS))).withColumn("got", F.when((F.col("role") == "tool") & looks, F.from_json("text", RESULT)))
-    rows = rows.withColumn("calls", F.filter(F.coalesce("said.tool_calls", F.array().cast(CALLS[CALLS.index("array") : -1])), lambda c: c["id"].isNotNull())).withColumn("call_id", F.col("got.tool_call_id")).withColumn("m", F.xxhash64("role", "text"))
+    rows = rows.withColumn("calls", F.coalesce("said.tool_calls", F.array().cast(CALLS[CALLS.index("array") : -1]))).withColumn("call_id", F.col("got.tool_call_id")).withColumn("m", F.xxhash64("role", "text"))
 
-    calls = rows.where(F.size("calls") > 0).select("conv_id", "turn", "m", F.explode("calls").alias("c")).select("conv_id", "turn", "m", "c.id", "c.name", F.coalesce("c.arguments", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("arguments"))
-    first = calls.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    typed = F.transform(F.from_json("text", TYPED)["tool_calls"], lambda c: F.transform_values(c["arguments"], lambda _, v: _kind(v)))
+    calls = rows.where(F.size("calls") > 0).select("conv_id", "turn", "m", F.explode(F.arrays_zip("calls", typed.alias("kinds"))).alias("c"))
+    calls = calls.select("conv_id", "turn", "m", "c.calls.id", "c.calls.name", F.coalesce("c.calls.arguments", none).alias("arguments"), F.coalesce("c.kinds", none).alias("kinds"))
+    first = calls.where("id is not null").groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
     answered = rows.join(first.withColumnRenamed("id", "call_id"), ["conv_id", "call_id"], "left")
 
     # schemas are a small fixed table: one row for each tool
-    known = spark.createDataFrame(list(schemas), "name string, field string, pattern string, required boolean")
-    tools = known.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "pattern"))).alias("patterns"), F.collect_list(F.when(F.col("required"), F.col("field"))).alias("needed"))
+    known = spark.createDataFrame(list(schemas), "name string, field string, pattern string, required boolean, kind string")
+    tools = known.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("field", "pattern"))).alias("patterns"), F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("wanted"), F.collect_list(F.when(F.col("required"), F.col("field"))).alias("needed"))
     checked = calls.join(F.broadcast(tools), "name", "left").select(
-        "conv_id", "turn", "m",
+        "conv_id", "turn", "m", F.when(F.col("id").isNull(), F.lit("call without an id")).alias("nameless"),
         F.when(F.col("patterns").isNull(), F.concat(F.lit("unknown tool "), F.coalesce("name", F.lit(""))))
         .when(F.exists("needed", lambda f: F.try_element_at("arguments", f).isNull()), F.concat(F.lit("missing argument of "), F.col("name")))
-        .when(F.exists(F.map_entries("arguments"), lambda e: ~F.coalesce(F.regexp(F.coalesce(e["value"], F.lit("")), F.concat(F.lit("^(?:"), F.try_element_at("patterns", e["key"]), F.lit(")$"))), F.lit(False))), F.concat(F.lit("wrong argument of "), F.col("name"))).alias("fault"),
+        .when(F.exists(F.map_entries("arguments"), lambda e: ~F.coalesce(F.regexp(F.coalesce(e["value"], F.lit("")), F.concat(F.lit("^(?:"), F.try_element_at("patterns", e["key"]), F.lit(")$"))) & (F.try_element_at("kinds", e["key"]) == F.try_element_at("wanted", e["key"])), F.lit(False))), F.concat(F.lit("wrong argument of "), F.col("name"))).alias("fault"),
     )
-    faults = checked.groupBy("conv_id", "turn", "m").agg(F.array_join(F.array_sort(F.collect_set("fault")), "; ").alias("fault"))
+    faults = checked.groupBy("conv_id", "turn", "m").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("fault"), F.collect_set("nameless"))), "; ").alias("fault"))
     same = [answered["conv_id"].eqNullSafe(faults["conv_id"]), answered["turn"].eqNullSafe(faults["turn"]), answered["m"] == faults["m"]]
     both = answered.join(faults, same, "left").select(*[answered[c] for c in answered.columns], "fault")
 
     call_json = lambda c: _object(
-        ("id", _json(c["id"])), ("name", _json(F.coalesce(c["name"], F.lit("")))),
-        ("arguments", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(c["arguments"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))), lambda e: F.concat(_json(e["key"]), F.lit(":"), F.coalesce(_json(e["value"]), F.lit("null")))), ","), F.lit("}"))),
+        ("id", F.coalesce(_json(c["id"]), F.lit("null"))), ("name", _json(F.coalesce(c["name"], F.lit("")))),
+        ("arguments", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce(c["arguments"], none))), lambda e: F.concat(_json(e["key"]), F.lit(":"), F.coalesce(_json(e["value"]), F.lit("null")))), ","), F.lit("}"))),
     )
     has_calls, is_result = F.size("calls") > 0, F.col("call_id").isNotNull()
     content = F.when(has_calls, F.coalesce("said.content", F.lit(""))).when(is_result, F.coalesce("got.content", F.lit(""))).otherwise(F.col("text"))

@@ -163,6 +163,39 @@ def test_tool_calls_are_linked(spark):
     assert json.loads(got[2, 1].message)["content"] == "{not json" and json.loads(got[2, 0].message) == {"content": "", "role": ""}
 
 
+def _problem(calls):
+    fields = {"search": {"query": str, "limit": int}, "weather": {"city": str, "celsius": bool}, "calculate": {"expression": str}}
+    needed, found = {"search": "query", "weather": "city", "calculate": "expression"}, set()
+    for c in calls:
+        name, args = c.get("name"), c.get("arguments") or {}
+        if c.get("id") is None:
+            found.add("call without an id")
+        if name not in fields:
+            found.add(f"unknown tool {name or ''}")
+        elif args.get(needed[name]) is None:
+            found.add(f"missing argument of {name}")
+        elif any(type(v) is not fields[name].get(k) or v == "" for k, v in args.items()):
+            found.add(f"wrong argument of {name}")
+    return "; ".join(sorted(found))
+
+
+def test_calls_are_checked_against_brute_force(spark):
+    values = ["x", "3", "true", "", "2020-01-01", 3, -4, 10**25, 2.5, 3.0, True, False, None, [1], [], {"a": 1}, {}]
+    asked = [("search", lambda v: {"query": v}), ("search", lambda v: {"query": "q", "limit": v}), ("weather", lambda v: {"city": "c", "celsius": v}), ("calculate", lambda v: {"expression": "1", "other": v})]
+    made = [[{"id": f"{k}", "name": name, "arguments": f(v)}] for k, v in enumerate(values) for name, f in asked]
+    bare = {"id": None, "name": "search", "arguments": {"query": "lost"}}
+    made += [[bare], [{"name": "calculate", "arguments": {"expression": "1+1"}}], [bare, {"id": "z", "name": "weather", "arguments": {"city": "c"}}], [{"id": None, "name": "fly"}, bare], [{"id": "y", "name": "search"}]]
+    rows = [(k, 0, "assistant", json.dumps({"content": "", "tool_calls": calls})) for k, calls in enumerate(made)]
+    rows.append((len(made) - 5, 1, "tool", json.dumps({"tool_call_id": None, "content": "nothing"})))
+    got = {(r.conv_id, r.turn): r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for k, calls in enumerate(made):
+        r = got[k, 0]
+        assert (r.n_calls, r.problem, r.valid) == (len(calls), _problem(calls), not _problem(calls)), calls
+        sent = json.loads(r.message)["tool_calls"]
+        assert [(c["id"], c["name"], set(c["arguments"])) for c in sent] == [(c.get("id"), c["name"], set(c.get("arguments", ()))) for c in calls]
+    assert got[len(made) - 5, 1].call_turn is None and len(got) == len(rows)
+
+
 def test_classes_compared_in_full_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "ROUNDS", 0)  # no hubs: blocks find every link
     monkeypatch.setattr(bagminhash, "BLOCK", 8)
