@@ -6,12 +6,17 @@ way, since licences are often granted in one line. No part of a text is compared
 
 Defined results: null and empty texts, and texts that normalise to nothing, match nothing and have a
 null digest. Rows that share a doc_id are told apart by their text; identical rows collapse to one.
-Only DataFrame functions are used. The table of known digests is a constant of this module, some
-tens of rows; that is the proven bound behind its broadcast.
+Only DataFrame functions are used. The table of known digests is a constant of this module, below
+two hundred rows; that is the proven bound behind its broadcast. Full texts are known with and without
+their title lines and what follows their terms, wrapped as published and with a line for each
+paragraph.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ SPELLINGS = (
     ("https", "http"),
 )
 
-# Public licence texts and one-line grants.
+# Public licence texts and one-line grants; full texts with titles follow below.
 KNOWN = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
@@ -58,6 +63,46 @@ KNOWN = (
     ("ISC", "SPDX-License-Identifier: ISC"),
 )
 
+_ISC = dict(KNOWN[:2])["ISC"]
+_WTFPL = """Everyone is permitted to copy and distribute verbatim or modified
+copies of this license document, and changing it is allowed as long
+as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO."""
+#: Licence, its text (None: the file of its name in texts), its titles, and where its terms end if more may follow.
+FULL = (
+    ("MIT", KNOWN[0][1], ("MIT License", "The MIT License", "The MIT License (MIT)"), None),
+    ("ISC", _ISC, ("ISC License", "The ISC License"), None),
+    ("ISC", _ISC.replace("modify, and/or distribute", "modify, and distribute"), ("ISC License", "The ISC License"), None),
+    ("WTFPL", _WTFPL, ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004", "WTFPL"), None),
+    ("Apache-2.0", None, ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache License\nVersion 2.0, January 2004"), "END OF TERMS AND CONDITIONS"),
+    ("GPL-2.0-only", None, ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",), "END OF TERMS AND CONDITIONS"),
+    ("GPL-3.0-only", None, ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",), "END OF TERMS AND CONDITIONS"),
+    ("LGPL-2.1-only", None, ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999",), "END OF TERMS AND CONDITIONS"),
+    ("LGPL-3.0-only", None, ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",), None),
+    ("MPL-2.0", None, ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"), None),
+    ("CC0-1.0", None, ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "CC0 1.0 Universal"), None),
+    ("Unlicense", None, ("The Unlicense", "Unlicense"), None),
+    *((f"BSD-{n}-Clause", None, (f"BSD {n}-Clause License", f"The BSD {n}-Clause License", f"BSD {n}-Clause License\nAll rights reserved.", "All rights reserved."), None) for n in (2, 3)),
+)
+
+
+def _versions(text: str | None, name: str, titles: tuple, end: str | None) -> list[str]:
+    """A licence with and without its title and what follows its terms, as wrapped and by paragraphs."""
+    text = text or (Path(__file__).parent / "texts" / f"{name}.txt").read_text("utf-8")
+    bodies = [text, text[: text.index(end) + len(end)]] if end else [text]
+    if name.startswith("BSD"):
+        bodies.append(re.sub(r"(?m)^\s*[123]\. ", "* ", text))
+    notice = re.compile(r"(?im)^\W*copyright (?:\(c\)|\d{4}).*\n")
+    bodies += ["\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", notice.sub("", b))) for b in bodies]
+    return [f"{title}\n\n{b}" for title in ("", *titles) for b in bodies]
+
+
+KNOWN += tuple(dict.fromkeys((name, version) for name, text, titles, end in FULL for version in _versions(text, name, titles, end)))
+
 _COPYRIGHT = "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$"
 
 

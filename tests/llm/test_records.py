@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import io
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -130,3 +132,21 @@ def test_licences(spark):
     docs = [(1, "Copyright (c) 2020 A. Body\n" + mit.lower().replace("license", "licence"), "en", 0.0), (2, "Some words.\nReleased under the MIT Licence.\nLicensed under CC-BY-NC 4.0", "en", 0.0), (3, None, None, None), (4, " ... ", "", 0.0), (5, "released under the mit license", "en", 0.0), (5, "released under the mit license", "en", 0.0), (6, "not released under the mit license", "en", 0.0), (None, "word " * 30000, "en", 0.0)]
     got = sorted(((r.doc_id or 0, r.license, r.line_licenses, r.text_digest is None) for r in licenses.scan(spark.createDataFrame(docs, DOCS)).collect()))
     assert got == [(0, None, "", False), (1, "MIT", "MIT", False), (2, None, "CC-BY-NC-4.0,MIT", False), (3, None, "", True), (4, None, "", True), (5, "MIT", "MIT", False), (6, None, "", False)]
+
+
+def test_licence_files(spark):
+    notice = "Copyright (c) 2021 A. Body\n"
+    folder = Path(licenses.__file__).parent / "texts"
+    text = lambda name: (folder / f"{name}.txt").read_text()
+    mit, isc = (dict(licenses.KNOWN[:2])[k] for k in ("MIT", "ISC"))
+    wtfpl = "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nCopyright (C) 2004 Sam Hocevar <sam@hocevar.net>\n\nEveryone is permitted to copy and distribute verbatim or modified\ncopies of this license document, and changing it is allowed as long\nas the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO.\n"
+    files = [("MIT", f"MIT License\n\n{notice}\n{textwrap.fill(mit, 78)}\n"), ("ISC", f"ISC License\n\n{notice}\n{textwrap.fill(isc, 70)}\n"), ("WTFPL", wtfpl)]
+    files += [(f"BSD-{n}-Clause", f"BSD {n}-Clause License\n\n{notice}All rights reserved.\n\n" + text(f"BSD-{n}-Clause")) for n in (2, 3)]
+    titles = {"Apache-2.0": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "GPL-2.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-3.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-2.1-only": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-3.0-only": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "MPL-2.0": "Mozilla Public License Version 2.0\n====", "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal"}
+    files += [(name, f"    {title}\n\n{text(name)}") for name, title in titles.items()]
+    files += [(name, text(name)) for name in (*titles, "Unlicense")]
+    files += [(name, t[: t.index("END OF TERMS AND CONDITIONS") + 28]) for name in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only") for t in [text(name)]]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in files)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(files))] == [name for name, _ in files]
+    parts = licenses.known(spark).collect()
+    assert len({r.digest for r in parts}) == len(parts)  # no text of two licences
