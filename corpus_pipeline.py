@@ -1,8 +1,8 @@
 """The training-data pipeline: stages over documents, each written and read again.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps, with
-the columns of documents (the last stage: token ids instead of texts). Rows whose doc_id is null are
-never near-duplicates and pass every stage that keeps their text.
+the columns of documents (the last stage: token ids instead of texts). Rows whose doc_id is
+null are documents like others, and rows that share a doc_id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -30,10 +30,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the least doc_id."""
-    found = bagminhash.classes(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each class of near-duplicates: that of the least doc_id, null last."""
+    return bagminhash.representatives(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ another hub, until no bucket has two classes left to compare. After ROUNDS round
 still share a bucket are compared in full, in blocks, so no link is lost to the order of hubs.
 
 Defined results: null and empty texts, and texts without a word, are alone in their class; a text of
-fewer than five words is one shingle of all its words. Rows that share a doc_id share a class; a null
-doc_id is kept as a class of its own kind (null). Extra columns are ignored.
+fewer than five words is one shingle of all its words. Rows that share a doc_id are told apart by
+their text. A row whose doc_id is null belongs to the class of its text, whose class_id is the least
+doc_id that is not null (null if there is none). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ROUNDS = 4
 #: Bags in a row where classes are compared in full.
 BLOCK = 128
 GROUP_BYTES = 6 << 20
+#: What equal bags have in common.
+EQUAL = ["d1", "d2", "size"]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _U64 = np.uint64
 
@@ -123,8 +126,8 @@ def _signed(rows: np.ndarray) -> pa.Array:
 
 
 def sign(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """k, d1 and d2 (digests of the bag), size (shingles) and bands (hashes of the bands)."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    """k, h (hash of the text), d1 and d2 (digests of the bag), size (shingles) and bands (hashes of the bands)."""
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
 
     def run(batches):
         for batch in batches:
@@ -148,15 +151,20 @@ def sign(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     band = mix(band * _ODD[3] + parts[:, :, k])
                 total = np.bincount(doc, weights=weight, minlength=n).astype(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), _signed(band.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), _signed(d1), _signed(d2), pa.array(total), bands], names=["k", "d1", "d2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), _signed(d1), _signed(d2), pa.array(total), bands], names=["k", "h", "d1", "d2", "size", "bands"])
                 i = j
 
-    return rows.mapInArrow(run, "k long, d1 long, d2 long, size long, bands array<long>")
+    return rows.mapInArrow(run, "k long, h long, d1 long, d2 long, size long, bands array<long>")
+
+
+def _doc(key: str):
+    """A key to join by: null is the least."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc")
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """k and bag (binary: sorted 32-bit shingle hashes, with repeats) of the documents wanted."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(wanted, ["k", ], "left_semi").dropDuplicates(["k"])
+    """k and bag (binary: sorted 32-bit shingle hashes, with repeats) of the bags wanted (k, doc, h)."""
+    rows = docs.select(_doc(key), F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(wanted, ["doc", "h"]).select("k", "t").dropDuplicates(["k"])
 
     def run(batches):
         for batch in batches:
@@ -255,19 +263,39 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
 def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and class_id (the least key of the class) of every document."""
+    signed, bags = _labelled(docs, least, text, key)
+    heads = bags.groupBy("label").agg(F.min("rep").alias("rep")).select("label", F.col("rep.k").alias("class_id"))
+    of_bag = bags.join(heads, "label").select(*EQUAL, "class_id")
+    return signed.select("k", *EQUAL).join(of_bag, EQUAL, "left").select(F.col("k").alias(key), F.coalesce("class_id", "k").alias("class_id"))
+
+
+def representatives(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One document of each class as it is in docs: that of the least key, null last; texts without words stay."""
+    signed, bags = _labelled(docs, least, text, key)
+    kept = bags.groupBy("label").agg(F.min("rep").alias("rep")).select("rep.k", "rep.h").unionAll(signed.where("size = 0").select("k", "h")).select(_doc("k"), "h").distinct()
+    return docs.withColumns({"__doc": _doc(key), "__h": F.xxhash64(text)}).join(kept.toDF("__doc", "__h"), ["__doc", "__h"], "left_semi").dropDuplicates(["__doc", "__h"]).select(*docs.columns)
+
+
+def _labelled(docs: DataFrame, least: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows; and of each distinct bag its digest, rep (the row that stands for it) and label (its class).
+
+    A bag's k is a number of its own, so that keys that are repeated or null stand for nothing.
+    """
     folder = work_dir(docs.sparkSession)
     signed = written(sign(docs, text, key), f"{folder}/signed")
-    equal = ["d1", "d2", "size"]
-    heads = written(signed.where("size > 0 and k is not null").groupBy(*equal).agg(F.min("k").alias("head")), f"{folder}/heads")
+    row = F.struct(F.col("k").isNull().alias("none"), "k", "h")
+    found = signed.where("size > 0").groupBy(*EQUAL).agg(F.min(row).alias("rep"))
+    heads = written(found.withColumn("id", F.monotonically_increasing_id()), f"{folder}/heads")
 
-    heads_only = signed.where("size > 0").join(heads.select(F.col("head").alias("k"), *equal), ["k", *equal], "left_semi").dropDuplicates(["k"])
+    reps = heads.select(F.col("id"), *EQUAL, _doc("rep.k"), F.col("rep.h").alias("h"))
+    heads_only = signed.where("size > 0").withColumn("doc", _doc("k")).drop("k").join(reps, ["doc", "h", *EQUAL]).withColumnRenamed("id", "k").dropDuplicates(["k"])
     banded = heads_only.select("k", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
     members = written(banded.join(shared, "bucket", "left_semi"), f"{folder}/members")
     if members.isEmpty():
-        joined = signed.join(heads, equal, "left")
-        return joined.select(F.col("k").alias(key), F.coalesce("head", "k").alias("class_id"))
-    bag = written(_bags_of(docs, members.select("k").distinct(), text, key), f"{folder}/bags")
+        return signed, heads.withColumn("label", F.col("id"))
+    wanted = reps.withColumnRenamed("id", "k").join(members.select("k").distinct(), "k", "left_semi").select("k", "doc", "h")
+    bag = written(_bags_of(docs, wanted, text, key), f"{folder}/bags")
 
     # hubs of the first round are central: the documents that share most buckets with most others
     crowd = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket").groupBy("k").agg(F.sum("c").alias("weight"))
@@ -296,5 +324,6 @@ def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str
         if open_members.isEmpty():
             break
 
-    head_class = heads if labels is None else heads.join(labels.withColumnRenamed("k", "head"), "head", "left").withColumn("head", F.coalesce("label", "head")).drop("label")
-    return signed.select("k", *equal).join(head_class, equal, "left").select(F.col("k").alias(key), F.coalesce("head", "k").alias("class_id"))
+    if labels is None:
+        return signed, heads.withColumn("label", F.col("id"))
+    return signed, heads.join(labels.withColumnRenamed("k", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))

@@ -73,6 +73,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert bagminhash.classes(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    texts, bases = [], [[f"w{rng.randrange(3000)}" for _ in range(150)] for _ in range(8)]
+    for base in bases:
+        for i in range(4):
+            copy = list(base)
+            copy[i * 30] = "edited"
+            texts.append(" ".join(copy))
+    ids = [None if i % 4 == 3 or i < 4 else i % 5 for i in range(len(texts))]  # five ids for many texts, and none
+    rows = [(k, t, "clash") for k, t in zip(ids, texts)] + [(0, "", ""), (0, None, ""), (7, "", "")]
+    df = spark.createDataFrame(rows + rows[3:9], DOCS).repartition(5)
+    groups = [range(4 * g, 4 * g + 4) for g in range(len(bases))]
+    assert all(_similarity(_bag(texts[g[0]]), _bag(texts[j])) >= 0.8 for g in groups for j in g)
+    want = Counter((ids[i], min((ids[j] for j in g if ids[j] is not None), default=None)) for g in groups for i in g for _ in range(2 if 3 <= i < 9 else 1))
+    got = Counter((r.doc_id, r.class_id) for r in bagminhash.classes(df).collect())
+    assert got == want + Counter({(0, 0): 2, (7, 7): 1})
+    kept = bagminhash.representatives(df)
+    assert kept.columns == df.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert Counter(texts.index(t) // 4 for _, t in kept if t) == Counter(range(len(bases)))
+    for k, t in kept:
+        assert not t or k == min((ids[j] for j in groups[texts.index(t) // 4] if ids[j] is not None), default=None)
+    assert sorted(map(repr, (x for x in kept if not x[1]))) == sorted(map(repr, [(0, ""), (0, None), (7, "")]))
+
+
 def test_values_agree_as_often_as_bags_overlap():
     rng, errors = random.Random(5), []
     for n, times, edits in ((60, 1, 5), (300, 1, 30), (8, 40, 40), (5, 3, 1)):
