@@ -1,18 +1,19 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding folds ranked merges with Spark higher-order functions. A word starts as the array of its
-bytes' ids; `aggregate` then merges the adjacent pair of least rank again and again. Ranks are a
-literal: bytes laid out as a two-way (cuckoo) hash map from the pair of ids to the merged id, so one
-lookup reads one or two slots, however large the vocabulary.
+bytes; `aggregate` then merges the leftmost adjacent pair of least rank again and again. Tokens and
+ranks are cells of three bytes (one character each), so that an array of them is one binary that native
+functions cut, search and join. Ranks are a literal: bytes laid out as a two-way (cuckoo) hash map from
+a pair of cells to the merged cell, so one lookup reads one or two slots, however large the vocabulary.
 
 Only distinct words are folded. A text never shuffles: one Arrow pass splits texts and lists the words
-that are new in its partition, the JVM folds those, and a second Arrow pass over the same partition
-looks every word up. Words that a sample of documents holds often are folded once beforehand and
-broadcast (HEAD_WORDS bounds them); that cache never alters a result. A partition's list of words
-starts anew after BLOCK_WORDS of them, which bounds memory.
+that are new in its block, the JVM folds those, and a second Arrow pass over the same partition looks
+every word up. A block ends after BLOCK_WORDS distinct words, which bounds memory; nothing is
+collected, and only the tables of the vocabulary are broadcast.
 
 Defined results: null text counts as empty and has no ids; a text's ids equal what the tiktoken library
-gives without special tokens; repeated rows and clashing extra columns pass through unharmed.
+gives without special tokens; repeated rows stay. Extra columns pass through; one that bears the name of
+the result, in any case, gets `_given` added to its name.
 """
 
 from __future__ import annotations
@@ -20,9 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import struct
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +29,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At most so many words are folded beforehand and broadcast: some 25 MB.
-HEAD_WORDS = 400_000
-#: About so many documents are looked at for them.
-HEAD_DOCS = 30_000
+from lumenplane.llm.common import beside
+
 #: Documents of a task, about: the longer its partition, the fewer words are folded in several.
 TASK_DOCS = 20_000
-#: A partition's own dictionary starts anew beyond so many words.
-BLOCK_WORDS = 1_000_000
-#: Folding costs the square of a word's bytes; longer words are merged with a heap, to the same ids.
-LONG_WORD = 200
+#: A block's dictionary starts anew beyond so many words, the cache of blank-free pieces beyond so many pieces.
+BLOCK_WORDS, CACHE_PIECES = 500_000, 250_000
+#: Folding costs the square of a word's bytes (4,096: half a second); longer words are merged with a heap, to the same ids.
+LONG_WORD = 4096
+#: Texts of an Arrow batch between the passes hold about so many characters.
+GROUP_CHARS = 4 << 20
 
 _BITS = 17
 _MASK = (1 << _BITS) - 1
+#: Cells are characters from here on, three bytes each and below the surrogates.
+_FIRST, _CELL = 0x800, 3
+_SLOT = 3 * _CELL
+_EDGE, _NONE = "￾", "￿"
+#: Fixed value: the pattern whose matches all begin at a run of blanks or behind one, so that texts may be cut there.
+BLANKS_PART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space that the splitting pattern knows; Python's own class has four control characters more.
 _CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _IRREGULAR = re.compile(r"\s\s|[\x1c-\x1f]|^ | $|^$")
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """Ranks of a tiktoken file, by a path that Spark or the driver can read."""
+    """Ranks of a tiktoken file, by a path that the driver can read."""
     lines = open(path, "rb").read().splitlines()
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
 
@@ -65,70 +70,78 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-def cuckoo(pairs: dict[tuple[int, int], int]) -> bytes:
-    """Two tables, one after the other; a slot of six bytes holds both ids of a pair and the merged id."""
-    table: list[tuple[int, int, int] | None] = [None] * (2 * (_MASK + 1))
-    for (a, b), rank in pairs.items():
-        entry, side = (a, b, rank), 0
+def cell_ids(ranks: dict[bytes, int]) -> list[int]:
+    """The id of each cell: single bytes in their order, then longer tokens by rank."""
+    if len(ranks) > 0xD800 - _FIRST:
+        raise ValueError("a vocabulary of more tokens than there are cells")
+    return [ranks[bytes([i])] for i in range(256)] + sorted(r for t, r in ranks.items() if len(t) > 1)
+
+
+def cells(ids: list[int]) -> bytes:
+    """Cell numbers as cells."""
+    return "".join(chr(_FIRST + i) for i in ids).encode("utf-8")
+
+
+def cuckoo(ranks: dict[bytes, int]) -> bytes:
+    """Two tables, one after the other; a slot holds both cells of a pair and the merged cell."""
+    cell = {rank: i for i, rank in enumerate(cell_ids(ranks))}
+    table: list[bytes | None] = [None] * (2 * (_MASK + 1))
+    for (a, b), rank in pair_ranks(ranks).items():
+        entry, side = cells([cell[a], cell[b], cell[rank]]), 0
         for _ in range(1000):
-            crc = zlib.crc32(struct.pack(">HH", *entry[:2]))
-            slot = side * (_MASK + 1) + (crc >> side * (32 - _BITS) & _MASK)
+            slot = side * (_MASK + 1) + (zlib.crc32(entry[: 2 * _CELL]) >> side * (32 - _BITS) & _MASK)
             entry, table[slot] = table[slot], entry
             if entry is None:
                 break
             side ^= 1
         else:
             raise ValueError("the rank map does not fit its table")
-    return b"".join(b"\xff" * 6 if e is None else struct.pack(">HHH", *e) for e in table)
+    return b"".join(e or b"\xff" * _SLOT for e in table)
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with value evaluated once (get() would evaluate its array twice, at every depth)."""
-    return F.transform(F.array(value), body).getItem(0)
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, and not copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
 
 
-def with_literals(ranks: dict[bytes, int], table: bytes, body) -> Column:
-    """body(literals), where the literal rank map stands in the expression once: Spark prints plans."""
-    single = b"".join(struct.pack(">H", ranks[bytes([i])]) for i in range(256))
-    values = F.struct(F.lit(bytearray(table)).alias("slots"), F.lit(bytearray(single)).alias("single"))
-    return _bound(values, body)
+def _if(condition: Column, yes: Column, no: Column) -> Column:
+    return F.call_function("if", condition, yes, no)
 
 
-def fold_word(word: Column, literals: Column) -> Column:
-    """The ids of a word (string), by folding ranked merges over its bytes.
+def fold_word(word: Column, slots: Column) -> Column:
+    """The cells of a word (binary), by folding ranked merges over its bytes.
 
-    Ids are two bytes, big end first, so that the least binary is the least rank; the first pair of
-    least rank is merged, until no adjacent pair has one.
+    The state is the word's cells p behind an edge that pairs with nothing, the ranks r of each cell with
+    the next one, and the least rank b, which a cell that is no token ends. The leftmost b in r tells where
+    to merge; only the ranks beside it are looked up anew.
     """
-    slots, single = literals["slots"], literals["single"]
-    none = F.lit(bytearray(b"\xff\xff"))
-    empty = F.array().cast("array<binary>")
-
-    def probe(key: Column, side: int, otherwise: Column) -> Column:
-        at = (F.shiftright(F.crc32(key), side * (32 - _BITS)).bitwiseAND(_MASK) + side * (_MASK + 1)) * 6 + 1
-        return _bound(at.cast("int"), lambda i: F.when(F.substring(slots, i, F.lit(4)) == key, F.substring(slots, i + 4, F.lit(2))).otherwise(otherwise))
-
-    def rank(a: Column, b: Column) -> Column:
-        return _bound(F.concat(a, b), lambda key: probe(key, 0, probe(key, 1, none)))
-
-    def merge(parts: Column, ranks: Column, best: Column, i: Column) -> Column:
-        """The pair at i (from 1) becomes one part; only the ranks beside it are looked up anew."""
-        n = F.size(ranks)
-        left = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(rank(parts.getItem(i - 2), best)))).otherwise(empty)
-        right = F.when(i < n, F.concat(F.array(rank(best, parts.getItem(i + 1))), F.slice(ranks, i + 2, n))).otherwise(empty)
-        return F.struct(F.concat(F.slice(parts, F.lit(1), i - 1), F.array(best), F.slice(parts, i + 2, n)).alias("parts"), F.concat(left, right).alias("ranks"))
-
-    def step(state: Column, _) -> Column:
-        best = F.array_min(state["ranks"])
-        merged = lambda b: merge(state["parts"], state["ranks"], b["best"], b["at"].cast("int"))
-        return F.when(F.coalesce(best, none) == none, state).otherwise(_bound(F.struct(best.alias("best"), F.array_position(state["ranks"], best).alias("at")), merged))
-
-    number = lambda b: F.conv(F.hex(b), 16, 10).cast("int")
+    cut, rest, none = F.substring, F.lit(1 << 30), F.lit(_NONE)
+
+    def rank(pair: Column) -> Column:
+        def probe(key: Column, side: int, otherwise: Column) -> Column:
+            at = (F.shiftright(F.crc32(key), side * (32 - _BITS)).bitwiseAND(_MASK) + side * (_MASK + 1)) * _SLOT + 1
+            hit = lambda slot: _if(cut(slot, F.lit(1), F.lit(2 * _CELL)) == key, cut(slot, F.lit(2 * _CELL + 1), F.lit(_CELL)).cast("string"), otherwise)
+            return _let(cut(slots, at.cast("int"), F.lit(_SLOT)), hit)
+
+        return _let(pair, lambda key: probe(key, 0, probe(key, 1, none)))
+
+    def state(p: Column, ranks: Column) -> Column:
+        return _let(ranks, lambda r: F.struct(p.alias("p"), r.cast("binary").alias("r"), F.array_min(F.split(r, "")).alias("b")))
+
+    def step(now: Column, _) -> Column:
+        def merge(end: Column) -> Column:  # the last byte of the pair's first cell
+            beside = lambda q: F.concat(
+                cut(now["r"], F.lit(1), end - 2 * _CELL).cast("string"), rank(cut(q, end - 5, F.lit(2 * _CELL))), rank(cut(q, end - 2, F.lit(2 * _CELL))), cut(now["r"], end + 4, rest).cast("string"),
+            )
+            return _let(F.concat(cut(now["p"], F.lit(1), end - _CELL), now["b"].cast("binary"), cut(now["p"], end + 4, rest)), lambda q: state(q, beside(q)))
+
+        return _if(now["b"] == none, now, _let(F.instr(now["r"].cast("string"), now["b"]) * _CELL, merge))
+
     size = F.octet_length(word)
-    parts = _bound(F.encode(word, "utf-8"), lambda d: F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(single, number(F.substring(d, i, F.lit(1))) * 2 + 1, F.lit(2))))
-    begin = _bound(parts, lambda p: F.struct(p.alias("parts"), F.when(size > 1, F.transform(F.slice(p, F.lit(1), size - 1), lambda x, i: rank(x, p.getItem(i + 1)))).otherwise(empty).alias("ranks")))
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step)
-    return F.when(size > 0, F.transform(merged["parts"], number)).otherwise(F.array().cast("array<int>"))
+    every = "".join(map(chr, range(256)))
+    start = F.concat(F.lit(_EDGE), F.translate(F.decode(word, "ISO-8859-1"), every, "".join(chr(_FIRST + i) for i in range(256)))).cast("binary")
+    begin = _let(start, lambda p: state(p, F.array_join(F.transform(F.sequence(F.lit(1), size + 1), lambda i: rank(cut(p, _CELL * i - 2, F.lit(2 * _CELL)))), "")))
+    return cut(F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step)["p"], F.lit(_CELL + 1), rest)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -153,14 +166,11 @@ def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int]
 
 
 class _Splitter:
-    """Texts to word numbers; words beyond the head get numbers as they first occur."""
+    """Texts to word numbers; words get numbers as they first occur in a block."""
 
     class _Pieces(dict):
-        def __init__(self, split):
-            self.split = split
-
         def __missing__(self, piece: str) -> bytes:
-            self[piece] = out = np.array([*map(self.split, self.words(piece))], np.int32).tobytes()
+            self[piece] = out = np.array([*map(self.number, self.words_of(piece))], np.int32).tobytes()
             return out
 
     class _Words(dict):
@@ -169,144 +179,152 @@ class _Splitter:
             self.new.append(word)
             return n
 
-    def __init__(self, pattern: str, head: list[str]):
+    def __init__(self, pattern: str):
         import regex
 
-        self.head, self.words_of = head, regex.compile(pattern).findall
+        self.words_of, self.cuts = regex.compile(pattern).findall, pattern == BLANKS_PART
         self.begin()
 
     def begin(self) -> None:
-        self.words = self._Words((w, i) for i, w in enumerate(self.head))
+        self.words = self._Words()
         self.words.new = []
-        self.pieces = self._Pieces(self.words.__getitem__)
-        self.pieces.words = self.words_of
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces = self._Pieces()
+        self.pieces.number, self.pieces.words_of = self.words.__getitem__, self.words_of
 
     def take(self, text: str) -> tuple[bytes, list[str]]:
         """The text's word numbers as bytes of int32, and the words that are new."""
         self.words.new = []
+        if len(self.pieces) > CACHE_PIECES:
+            self.forget()
+        if not self.cuts:
+            return np.array([*map(self.words.__getitem__, self.words_of(text))], np.int32).tobytes(), self.words.new
         if _IRREGULAR.search(text):
             pieces = _CHUNK.findall(text)
         else:  # single blanks only: each starts a piece
-            pieces = text.split(" ")
-            pieces[1:] = [" " + p for p in pieces[1:]]
+            first, *others = text.split(" ")
+            return b"".join([self.pieces[first], *map(self.pieces.__getitem__, [" " + p for p in others])]), self.words.new
         return b"".join(map(self.pieces.__getitem__, pieces)), self.words.new
 
 
-def _head(docs: DataFrame, text: str, pattern: str, total: int) -> list[str]:
-    """Words that occur twice or more in a sample of documents, the most frequent first."""
-    sample = docs.select(text).sample(fraction=min(1.0, HEAD_DOCS / max(total, 1)), seed=7)
-
-    def count(batches):
-        import regex
-
-        find, counts = regex.compile(pattern).findall, Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                for piece, n in Counter(_CHUNK.findall(value or "")).items():
-                    for word in find(piece):
-                        counts[word] += n
-        rows = [(w, n) for w, n in counts.items() if n > 1 and len(w.encode()) <= LONG_WORD]
-        for i in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_pydict({"word": [w for w, _ in rows[i : i + 50_000]], "n": [n for _, n in rows[i : i + 50_000]]})
-
-    counted = sample.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word").collect()]
+class _Dictionary:
+    """The ids of a block's words, one behind the other, in arrays that double as they fill."""
 
+    def __init__(self, ids_of: np.ndarray):
+        self.ids_of = ids_of
+        self.begin()
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with a column of token ids (array<int>)."""
+    def begin(self) -> None:
+        self.flat, self.ends, self.used, self.words = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def add(self, sizes: np.ndarray, raw: np.ndarray) -> None:
+        """Words as cells: bytes of each, and all of them."""
+        cell = raw.reshape(-1, _CELL).astype(np.int32)
+        ids = self.ids_of[((cell[:, 0] & 15) << 12 | (cell[:, 1] & 63) << 6 | cell[:, 2] & 63) - _FIRST]
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.words + len(sizes) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[self.words + 1 : self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes // _CELL)
+        self.used, self.words = self.used + len(ids), self.words + len(sizes)
+
+    def look_up(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and where each word's ids end."""
+        begin = self.ends[numbers]
+        size = self.ends[numbers + 1] - begin
+        stop = np.cumsum(size)
+        at = np.repeat(begin - (stop - size), size)
+        at += np.arange(len(at))
+        return self.flat[at], stop
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns `keep`, if given) with a column of token ids (array<int>)."""
     spark = docs.sparkSession
     ranks = load_ranks(spark, ranks_path)
-    pairs = pair_ranks(ranks)
-    slots = cuckoo(pairs)
-    total = docs.count()
-    head = _head(docs, text, pattern, total)
-    folded = spark.createDataFrame(pa.table({"word": pa.array(head, pa.string()), "n": pa.array(range(len(head)), pa.int64())}))
-    ids = folded.repartition(max(1, min(spark.sparkContext.defaultParallelism, len(head) // 2000 + 1))).select("n", with_literals(ranks, slots, lambda v: fold_word(F.col("word"), v)).alias("ids"))
-    by_number = dict(map(tuple, ids.collect()))
-    shared = spark.sparkContext.broadcast((head, [np.array(by_number[i], np.int32).tobytes() for i in range(len(head))]))
-    known = spark.sparkContext.broadcast((ranks, pairs))
-
-    fields = [f for f in docs.schema.fields if f.name != out]
+    slots, ids_of = cuckoo(ranks), np.array(cell_ids(ranks), np.int32)
+    vocabulary = spark.sparkContext.broadcast((ranks, ids_of))
+    carried = beside(docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]), out)
+    # private names, the text last: any column may be carried, and the text need not be
+    n = len(carried.columns)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns if keep is None else keep)], F.col(f"`{text}`").alias("_text"))
+    fields = [T.StructField(f"_{i}", f.dataType) for i, f in enumerate(carried.schema.fields)]
     names = [f.name for f in fields]
-    split_schema = T.StructType([*fields, T.StructField("__numbers", T.BinaryType()), T.StructField("__new", T.ArrayType(T.StringType())), T.StructField("__begins", T.BooleanType())])
+    word = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("cells", T.BinaryType())])
+    split_schema = T.StructType([*fields, T.StructField("_numbers", T.BinaryType()), T.StructField("_new", T.ArrayType(word)), T.StructField("_begins", T.BooleanType())])
+    new_type = pa.list_(pa.struct([("word", pa.binary()), ("cells", pa.binary())]))
 
     def split(batches):
-        splitter, begins = _Splitter(pattern, shared.value[0]), True
+        splitter, begins, pairs, cell_of = _Splitter(pattern), True, None, None
         for batch in batches:
-            numbers, new, starts = [], [], []
-            for value in batch.column(names.index(text)).to_pylist():
-                if len(splitter.words) - len(splitter.head) > BLOCK_WORDS:
-                    splitter.begin()
-                    begins = True
-                found, words = splitter.take(value or "")
-                numbers.append(found)
-                new.append(words)
-                starts.append(begins)
-                begins = False
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.binary()), pa.array(new, pa.list_(pa.string())), pa.array(starts, pa.bool_())], names=[*names, "__numbers", "__new", "__begins"])
+            texts, i = batch.column(n), 0
+            while i < len(texts):
+                numbers, new, starts, size, first = [], [], [], 0, i
+                while i < len(texts) and size < GROUP_CHARS:
+                    value = texts[i].as_py() or ""
+                    if len(splitter.words) > BLOCK_WORDS:
+                        splitter.begin()
+                        begins = True
+                    found, words = splitter.take(value)
+                    told = []
+                    for w in words:
+                        raw = w.encode("utf-8", "surrogatepass")
+                        if len(raw) <= LONG_WORD:
+                            told.append((raw, None))
+                        else:
+                            if pairs is None:
+                                pairs, cell_of = pair_ranks(vocabulary.value[0]), {int(r): c for c, r in enumerate(vocabulary.value[1])}
+                            told.append((None, cells([cell_of[r] for r in merge_long(raw, vocabulary.value[0], pairs)])))
+                    numbers.append(found)
+                    new.append(told)
+                    starts.append(begins)
+                    begins = False
+                    size += len(value) + 1
+                    i += 1
+                kept = [batch.column(k).slice(first, i - first) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.binary()), pa.array(new, new_type), pa.array(starts, pa.bool_())], names=split_schema.names)
 
     def assemble(batches):
-        """Looks words up; keeps the dictionary of its partition, whose rows come in split's order."""
-        head_ids = shared.value[1]
-        sizes0 = np.fromiter((len(x) // 4 for x in head_ids), np.int64, len(head_ids))
-        flat0 = np.frombuffer(b"".join(head_ids), np.int32)
-        ranks, pairs = known.value
-        sizes, flats = [sizes0], [flat0]
-        place = None
+        """Looks words up; keeps the dictionary of its block, whose rows come in split's order."""
+        known = _Dictionary(vocabulary.value[1])
         for batch in batches:
-            columns = [batch.column(i) for i in range(len(names))]
-            numbers, new_ids, new_long, begins = (batch.column(batch.schema.get_field_index(n)) for n in ("__numbers", "__ids", "__long", "__begins"))
-            out_values, out_sizes = [], []
-            flat_new, off_new = new_ids.flatten(), new_ids.offsets.to_numpy()
-            sizes_new = np.diff(flat_new.offsets.to_numpy())
-            values_new = flat_new.flatten().to_numpy()
-            ends = np.concatenate(([0], np.cumsum(sizes_new)))
-            off_new = off_new - off_new[0]
-            for i, (begin, raw, longs) in enumerate(zip(begins.to_pylist(), numbers, new_long.to_pylist())):
-                if begin:
-                    sizes, flats, place = [sizes0], [flat0], None
-                lo, hi = off_new[i], off_new[i + 1]
-                if hi > lo:
-                    if longs:
-                        each = [values_new[ends[k] : ends[k + 1]] for k in range(lo, hi)]
-                        for k, word in longs:
-                            each[k] = np.array(merge_long(word.encode("utf-8"), ranks, pairs), np.int32)
-                        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-                        flats.append(np.concatenate(each))
-                    else:
-                        sizes.append(sizes_new[lo:hi].astype(np.int64))
-                        flats.append(values_new[ends[lo] : ends[hi]])
-                    place = None
-                index = np.frombuffer(raw.as_buffer(), np.int32)
-                out_values.append((index, hi > lo))
-                out_sizes.append(len(index))
-                # words are looked up once the dictionary stands still: at the batch's end or at a new block
-                if i + 1 == len(begins) or begins[i + 1].as_py():
-                    size, flat = np.concatenate(sizes), np.concatenate(flats)
-                    sizes, flats = [size], [flat]
-                    place = np.concatenate(([0], np.cumsum(size)[:-1]))
-                    for k, (index, _) in enumerate(out_values):
-                        if isinstance(index, np.ndarray):
-                            n = size[index]
-                            stop = np.cumsum(n)
-                            at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(place[index] - (stop - n), n)
-                            out_values[k] = (flat[at].tobytes(), False)
-            lengths = [len(v) // 4 for v, _ in out_values]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-            values = pa.array(np.frombuffer(b"".join(v for v, _ in out_values), np.int32))
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, values)], names=[*names, out])
+            numbers, words, begins = (batch.column(batch.schema.get_field_index(c)) for c in ("_numbers", "_words", "_begins"))
+            marks = begins.to_numpy(zero_copy_only=False)
+            edges = sorted({0, *np.flatnonzero(marks).tolist(), len(marks)})
+            for a, b in zip(edges, edges[1:]):
+                for i, j in _groups(numbers, a, b):
+                    if marks[i]:
+                        known.begin()
+                    new = words.slice(i, j - i).flatten()
+                    raw = b"".join(new.to_pylist())
+                    known.add(np.array([len(x) for x in new.to_pylist()], np.int64), np.frombuffer(raw, np.uint8))
+                    own = numbers.slice(i, j - i).to_pylist()
+                    lengths = np.cumsum([0, *(len(x) // 4 for x in own)])
+                    ids, stop = known.look_up(np.frombuffer(b"".join(own), np.int32))
+                    offsets = np.concatenate(([0], stop))[lengths].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(n)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=[*names, "_ids"])
 
+    total = docs.count()
     tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK_DOCS)
-    split_df = docs.select(*[F.col(f"`{n}`") for n in names]).coalesce(tasks).mapInArrow(split, split_schema)
-    short = lambda w: F.octet_length(w) <= LONG_WORD
-    long_words = F.map_from_entries(F.filter(F.transform(F.col("__new"), lambda w, i: F.struct(i.alias("i"), F.when(short(w), None).otherwise(w).alias("w"))), lambda s: s["w"].isNotNull()))
-    with_ids = split_df.select(
-        *[F.col(f"`{n}`") for n in names], "__numbers", "__begins",
-        with_literals(ranks, slots, lambda v: F.transform(F.col("__new"), lambda w: F.when(short(w), fold_word(w, v)).otherwise(F.array().cast("array<int>")))).alias("__ids"),
-        F.when(F.exists(F.col("__new"), lambda w: ~short(w)), long_words).alias("__long"),
-    )
-    return with_ids.mapInArrow(assemble, T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    folded = _let(F.lit(bytearray(slots)), lambda s: F.transform("_new", lambda w: _if(w["cells"].isNull(), fold_word(w["word"], s), w["cells"])))
+    with_words = rows.coalesce(tasks).mapInArrow(split, split_schema).select(*names, "_numbers", "_begins", folded.alias("_words"))
+    return with_words.mapInArrow(assemble, T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])).toDF(*carried.columns, out)
+
+
+def _groups(numbers, a: int, b: int):
+    """Rows a to b in groups of about GROUP_CHARS words."""
+    sizes = np.diff(np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset : numbers.offset + len(numbers) + 1])
+    i = a
+    while i < b:
+        j, size = i + 1, int(sizes[i]) // 4
+        while j < b and size + int(sizes[j]) // 4 <= GROUP_CHARS // 4:
+            size += int(sizes[j]) // 4
+            j += 1
+        yield i, j
+        i = j
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

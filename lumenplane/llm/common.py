@@ -48,6 +48,22 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, *results: str) -> DataFrame:
+    """docs with `_given` added to the names that a result bears, in any case, so that no column is lost."""
+    taken, names = {r.lower() for r in results}, []
+    for name in docs.columns:
+        while name.lower() in taken:
+            name += "_given"
+        taken.add(name.lower())
+        names.append(name)
+    return docs if names == docs.columns else docs.toDF(*names)
+
+
+def columns_of(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs out of df, in which they stand first, by their own names."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns[: len(docs.columns)]]).toDF(*docs.columns)
+
+
 def held_out(doc_id="doc_id"):
     """Rows kept from learning: crc32 of the decimal id leaves 2 modulo 4 (a null id is never held out)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

@@ -23,7 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, path, P.PATTERN)
+    encoded = bpe.encode(docs, path, P.PATTERN, keep=["doc_id"])
     return bpe.decode(encoded, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

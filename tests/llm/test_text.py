@@ -14,7 +14,7 @@ from tests.llm.test_search import _classes, _score
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
-ODD = ["", None, "a", "  a  b \n c\t\td ", "x" * 1000 + " " + "ab" * 700, "don't we'll \x1c!\x1c! 　  x", "日本語テキスト 🙂🙂 é ñ", "\n\n\n", " lead", "trail ", " ", "a\r\n b", "wort " * 5000]
+ODD = ["", None, "a", "  a  b \n c\t\td ", "x" * 1000 + " " + "ab" * 700, "don't we'll \x1c!\x1c! 　  x", "日本語テキスト 🙂🙂 é ñ", "\n\n\n", " lead", "trail ", " ", "a\r\n b", "wort " * 5000, "nul \0byte\0\0", "pq" * 3000 + " zz" + "é" * 2500]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def library():
 def test_ids_are_those_of_the_library(spark, library, monkeypatch):
     texts = [*ODD, *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").collect())]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(0, "", "clash")], "doc_id long, text string, ids string").repartition(3)
-    for block in (1_000_000, 50):  # with a dictionary that starts anew all the time, too
+    for block in (500_000, 50):  # with a dictionary that starts anew all the time, too
         monkeypatch.setattr(bpe, "BLOCK_WORDS", block)
         rows = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS).collect()
         assert len(rows) == len(texts) + 1
@@ -34,6 +34,17 @@ def test_ids_are_those_of_the_library(spark, library, monkeypatch):
     assert bpe.encode(df.limit(0), RANKS, P.PATTERN).collect() == []
 
 
+def test_other_patterns_and_clashing_names(spark):
+    pattern = r" ?[^\s\p{L}\p{N}]+[\r\n]*|\p{L}+|\p{N}|\s+"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.load_ranks(None, RANKS), special_tokens={})
+    texts = ["a !\n\nb 12", " ?!\r\n x", "plain words here", "!\n"]
+    df = spark.createDataFrame([(t, "a", 7, True) for t in texts], "text string, IDS string, _text int, _0 boolean")
+    rows = bpe.encode(df, RANKS, pattern)
+    assert rows.columns == ["text", "IDS_given", "_text", "_0", "ids"]
+    assert sorted((r.text, r.IDS_given, r._text, r._0, r.ids) for r in rows.collect()) == sorted((t, "a", 7, True, other.encode_ordinary(t)) for t in texts)
+    assert bpe.encode(df, RANKS, pattern, keep=["_0"]).columns == ["_0", "ids"]
+
+
 def test_long_words_are_merged_alike(library):
     ranks = bpe.load_ranks(None, RANKS)
     pairs = bpe.pair_ranks(ranks)
