@@ -41,7 +41,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
-    return bpe.encode(docs, RANKS, P.PATTERN).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
