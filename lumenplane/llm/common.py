@@ -48,6 +48,13 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(docs: DataFrame, each: int) -> int:
+    """Partitions of about `each` bytes of the tables below docs, as the optimiser knows them; at least two a core."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(size // each, 1_000_000))
+
+
 def beside(docs: DataFrame, *results: str) -> DataFrame:
     """docs with `_given` added to the names that a result bears, in any case, so that no column is lost."""
     taken, names = {r.lower() for r in results}, []

@@ -71,8 +71,9 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = tokenfile.write(docs, P.path("word_bpe_49k.json"), f"{work_dir(spark)}/tokens", end_id=1)
-    return tokenfile.read(spark, files)
+    folder = f"{work_dir(spark)}/tokens"
+    tokenfile.write(docs, P.path("word_bpe_49k.json"), folder, end_id=1)
+    return tokenfile.read(spark, folder)
 
 
 @query

@@ -1,47 +1,59 @@
 """Token ids as seekable binary files.
 
-Documents are range-partitioned by doc_id and sorted; each partition becomes one file of independent
-zstandard frames. A frame holds whole documents (about FRAME_TOKENS ids): their number, doc_ids,
-numbers of ids and ids, little-endian. Behind the frames stands a skippable frame with a table of
-each frame's sizes, XXH64 checksum and first doc_id, then a footer; a reader takes the footer,
-the table and only the frames that it wants, and a checksum that differs raises an error.
-
-Files are written under a name of their own for each attempt and then renamed, so a lost executor
-leaves no half file. They go to the folder given, which all executors must share.
-
-Defined results: null text counts as empty and gives the end id alone. A null doc_id comes first and
-is stored as the least 64-bit integer. Rows alike in doc_id are ordered by their text; extra columns
-are ignored.
+Documents are dealt by ranges of doc_id and sorted; each range becomes one file of independent zstandard
+frames. A frame holds whole documents (about FRAME_TOKENS ids): their number, doc_ids, numbers of ids
+and ids, little-endian. The last frame is a skippable one with a table of each frame's place, sizes,
+XXH64 checksum and first doc_id, and a footer; a reader takes the footer, the table and only the frames
+that it wants, and a checksum that differs raises an error. Between frames stands an empty skippable
+frame, so any zstandard reader takes a file for one stream.
+
+Files are written by Spark's own text writer (a frame is a row, the empty frame its line end), so they
+go to any file system that Spark knows, are committed as a whole, and a lost executor leaves none behind.
+
+Defined results: null text counts as empty and gives the end id alone. A null doc_id comes first and is
+told from every integer. Rows alike in doc_id are ordered by their first KEY_CHARS characters, then by a
+hash of the text, so that one id shared by many rows is dealt to many files; equal rows all stay. Extra
+columns are ignored. Strings of added tokens in a text are these tokens, as in a plain call of the library.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenplane.llm.common import partitions_for, work_dir, written
+
 FRAME_TOKENS = 1 << 16
-#: Pieces whose ids a worker keeps; beyond them it starts anew.
-CACHE = 1_000_000
-SKIPPABLE, FOOTER, NULL_ID = 0x184D2A5E, b"LPTKFILE", -(1 << 63)
+#: Bytes of input (as the catalogue estimates them) to a file, about.
+FILE_BYTES = 64 << 20
+#: Pieces whose ids a worker keeps; beyond them it starts anew. Texts are encoded in groups of about so many bytes.
+CACHE, GROUP_BYTES = 500_000, 8 << 20
+KEY_CHARS = 64
+SKIPPABLE, FOOTER = 0x184D2A5E, b"LPTKFIL2"
+#: An empty skippable frame, all ASCII.
+BETWEEN = struct.pack("<II", 0x184D2A50, 0)
 _ENTRY = struct.Struct("<QIIQq")  # offset, packed size, ids, checksum, first doc_id
-_ODD = re.compile(r"[\x1c-\x1f\x85]|\s(?=[̀-ͯ])")
+#: White space behind which a mark would be composed otherwise, and what not all hold for white space.
+_ODD = re.compile("[\x0b\x0c]|\\s(?=[̀-ͯ])")
+_MAY_BE_ODD = (b"\x0b", b"\x0c", b"\xcc", b"\xcd")
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, which sees every distinct blank-free piece once.
 
     The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
-    pieces in turn. Texts with characters that the library and Python hold for white space
-    differently are given to the library whole.
+    pieces in turn. Arrow splits texts and numbers their distinct pieces; numpy gathers the ids. The few
+    texts where the library might see white space otherwise are given to it whole.
     """
 
     def __init__(self, definition: str):
@@ -51,21 +63,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self.ids) > CACHE:
-            self.ids = {}
-        new = list({p for ps in pieces if ps for p in ps}.difference(self.ids))
-        for i in range(0, len(new), 20_000):
-            self.ids.update(zip(new[i : i + 20_000], self.whole(new[i : i + 20_000])))
-        find = self.ids.__getitem__
-        return [b"".join(map(find, ps)) if ps is not None else self.whole([t])[0] for t, ps in zip(texts, pieces)]
+        self.begin()
+
+    def begin(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            ids = self.whole(part)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            more, known = int(sizes.sum()), len(self.place)
+            while self.used + more > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            while known + len(part) >= len(self.ends):
+                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+            self.flat[self.used : self.used + more] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, more)
+            self.ends[known + 1 : known + 1 + len(part)] = self.used + np.cumsum(sizes)
+            self.used += more
+            self.place.update(zip(part, range(known, known + len(part))))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (a string array without nulls)."""
+        odd = np.zeros(len(texts), bool)
+        for mark in _MAY_BE_ODD:
+            odd |= pc.count_substring(texts.cast(pa.binary()), mark).to_numpy(zero_copy_only=False) > 0
+        for i in np.flatnonzero(odd):
+            odd[i] = _ODD.search(texts[i].as_py()) is not None
+        if odd.any():
+            plain = iter(self.encode(texts.filter(pa.array(~odd))))
+            whole = iter(self.whole([texts[int(i)].as_py() for i in np.flatnonzero(odd)]))
+            return [np.array(next(whole), np.uint32) if o else next(plain) for o in odd]
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        if len(self.place) > CACHE:
+            self.begin()
+        self.learn([p for p in pieces if p not in self.place])
+        slot = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        slot = slot[numbered.indices.to_numpy()] if len(pieces) else slot
+        begin = self.ends[slot]
+        size = self.ends[slot + 1] - begin
+        stop = np.cumsum(size)
+        at = np.repeat(begin - (stop - size), size)
+        at += np.arange(len(at))
+        ids = self.flat[at]
+        bounds = np.concatenate(([0], stop))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -80,137 +128,127 @@ def encoder(definition: str) -> Encoder:
     return _ENCODERS[mark]
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class Writer:
-    """One token file; documents come in order."""
+    """The frames of one token file; documents come in order."""
 
-    def __init__(self, stream):
-        self.stream, self.offset, self.table, self.pack = stream, 0, [], zstandard.ZstdCompressor(level=3).compress
+    def __init__(self):
+        self.offset, self.table, self.pack = 0, [], zstandard.ZstdCompressor(level=3).compress
         self.docs, self.count = [], 0
 
-    def add(self, doc_id: int, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> bytes | None:
+        """The frame that this document fills, if it does."""
         self.docs.append((doc_id, ids))
-        self.count += len(ids) // 4
-        if self.count >= FRAME_TOKENS:
-            self.flush()
-
-    def flush(self) -> None:
-        if not self.docs:
-            return
-        n = len(self.docs)
-        body = struct.pack("<I", n) + np.array([d for d, _ in self.docs], "<i8").tobytes() + np.array([len(x) // 4 for _, x in self.docs], "<u4").tobytes() + b"".join(x for _, x in self.docs)
+        self.count += len(ids)
+        return self.frame() if self.count >= FRAME_TOKENS else None
+
+    def frame(self) -> bytes:
+        ids = [d for d, _ in self.docs]
+        none = np.array([d is None for d in ids], np.uint8)
+        body = struct.pack("<I", len(ids)) + none.tobytes() + np.array([d or 0 for d in ids], "<i8").tobytes() + np.array([len(x) for _, x in self.docs], "<u4").tobytes()
+        body += np.concatenate([x for _, x in self.docs]).astype("<u4", copy=False).tobytes()
         packed = self.pack(body)
-        self.table.append((self.offset, len(packed), self.count, xxhash.xxh64_intdigest(body), self.docs[0][0]))
-        self.stream.write(packed)
-        self.offset, self.docs, self.count = self.offset + len(packed), [], 0
+        self.table.append((self.offset, len(packed), self.count, xxhash.xxh64_intdigest(body), -(1 << 63) if none[0] else ids[0]))
+        self.offset, self.docs, self.count = self.offset + len(packed) + len(BETWEEN), [], 0
+        return packed
 
-    def close(self) -> int:
-        self.flush()
+    def end(self) -> list[bytes]:
+        """What is left: the last frame, if any, and the table."""
+        left = [self.frame()] if self.docs else []
         body = b"".join(_ENTRY.pack(*e) for e in self.table) + struct.pack("<I", len(self.table)) + FOOTER
-        self.stream.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
-        return sum(e[2] for e in self.table)
+        return [*left, struct.pack("<II", SKIPPABLE, len(body)) + body]
 
 
 class Reader:
-    """Random access to a token file: the seek table first, then only the frames asked for."""
+    """Random access to a token file by any stream that seeks: the table first, then only the frames asked for."""
 
     def __init__(self, stream):
         self.stream = stream
-        size = stream.seek(0, 2) if hasattr(stream, "getvalue") else stream.size()
-        stream.seek(size - 12)
+        behind = stream.seek(0, 2) - len(BETWEEN)  # the writer ends every row, the table too
+        stream.seek(max(0, behind - 12))
         tail = stream.read(12)
-        if tail[4:] != FOOTER:
+        if behind < 12 or tail[4:] != FOOTER:
             raise ValueError("not a token file")
         n = struct.unpack("<I", tail[:4])[0]
-        stream.seek(size - 12 - n * _ENTRY.size)
+        stream.seek(behind - 12 - n * _ENTRY.size)
         raw = stream.read(n * _ENTRY.size)
         self.table = [_ENTRY.unpack_from(raw, i * _ENTRY.size) for i in range(n)]
 
-    def frame(self, k: int) -> list[tuple[int, np.ndarray]]:
+    def frame(self, k: int) -> list[tuple[int | None, np.ndarray]]:
         offset, size, _, check, _ = self.table[k]
         self.stream.seek(offset)
         body = zstandard.ZstdDecompressor().decompress(self.stream.read(size))
         if xxhash.xxh64_intdigest(body) != check:
             raise ValueError(f"frame {k} is damaged")
         n = struct.unpack_from("<I", body)[0]
-        doc_ids = np.frombuffer(body, "<i8", n, 4)
-        ends = np.cumsum(np.frombuffer(body, "<u4", n, 4 + 8 * n), dtype=np.int64)
-        ids = np.frombuffer(body, "<u4", offset=4 + 12 * n)
-        return [(int(d), ids[e - s : e]) for d, e, s in zip(doc_ids, ends, np.diff(ends, prepend=0))]
+        none = np.frombuffer(body, np.uint8, n, 4)
+        doc_ids = np.frombuffer(body, "<i8", n, 4 + n)
+        ends = np.cumsum(np.frombuffer(body, "<u4", n, 4 + 9 * n), dtype=np.int64)
+        ids = np.frombuffer(body, "<u4", offset=4 + 13 * n)
+        return [(None if z else int(d), ids[e - s : e]) for z, d, e, s in zip(none, doc_ids, ends, np.diff(ends, prepend=0))]
 
     def document(self, doc_id: int) -> list[np.ndarray]:
         """The ids of every document of that id, from the frames that can hold it."""
         found = []
         for k, entry in enumerate(self.table):
             last = k + 1 < len(self.table) and self.table[k + 1][4] < doc_id
-            if entry[4] <= doc_id and not last:
+            if k == 0 or entry[4] <= doc_id and not last:
                 found += [ids for d, ids in self.frame(k) if d == doc_id]
         return found
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id") -> list[tuple[str, int]]:
-    """Write the files; returns path and number of ids of each, in ascending order of doc_id."""
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
+    """Write the files under folder; their names are in ascending order of doc_id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
-    end = np.array([end_id], "<u4").tobytes()
+    order = [F.col("k").asc_nulls_first(), F.substring("t", 1, KEY_CHARS), F.xxhash64("t")]
+    ordered = rows.repartitionByRange(partitions_for(docs, FILE_BYTES), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "t")
+    end = np.array([end_id], np.uint32)
     with open(tokenizer, encoding="utf-8") as file:  # on the driver: executors need not have the file
         definition = spark.sparkContext.broadcast(file.read())
 
     def put(batches):
         coder, writer = encoder(definition.value), None
-        first = None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                for k, ids in zip(keys[i : i + 256], coder.encode(texts[i : i + 256])):
-                    if writer is None:
-                        first = NULL_ID if k is None else k
-                        name = f"{folder}/{uuid.uuid4().hex}"
-                        where, path = _filesystem(name + ".part")
-                        where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                        stream = where.open_output_stream(path)
-                        writer = Writer(stream)
-                    writer.add(NULL_ID if k is None else k, ids + end)
-        if writer is not None:
-            total = writer.close()
-            stream.close()
-            where.move(path, path[: -len(".part")] + ".tok")
-            yield pa.RecordBatch.from_pydict({"path": [name + ".tok"], "first": [first], "total": [total]})
-
-    # a row per file, no more than there are partitions
-    files = ordered.mapInArrow(put, "path string, first long, total long").collect()
-    return [(f.path, f.total) for f in sorted(files, key=lambda f: f.first)]
-
-
-def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids_crc32, from the files."""
-    base, at = [], 0
-    for path, total in files:
-        base.append((path, at))
-        at += total
-    listed = spark.createDataFrame(base, "path string, base long").repartition(max(1, len(base)), "path")
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            i = 0
+            while i < len(keys):
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + GROUP_BYTES, "right")))
+                for k, ids in zip(keys[i:j], coder.encode(texts.slice(i, j - i))):
+                    writer = writer or Writer()
+                    full = writer.add(k, np.concatenate((ids, end)))
+                    if full:
+                        yield pa.RecordBatch.from_pydict({"frame": [full]})
+                i = j
+        for left in writer.end() if writer else ():
+            yield pa.RecordBatch.from_pydict({"frame": [left]})
+
+    ordered.mapInArrow(put, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN.decode()).text(folder)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids_crc32, from the files under folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).where("length > 0")
+    files = files.select(F.regexp_extract("path", "part-(\\d+)", 1).cast("int").alias("file"), "content")
 
     def get(batches):
+        import io
+
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                where, local = _filesystem(path)
-                with where.open_input_file(local) as stream:
-                    reader = Reader(stream)
-                    for k in range(len(reader.table)):
-                        docs = reader.frame(k)
-                        sizes = np.array([len(ids) for _, ids in docs], np.int64)
-                        starts = start + np.cumsum(sizes) - sizes
-                        start += int(sizes.sum())
-                        yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array([None if d == NULL_ID else d for d, _ in docs], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(sizes),
-                            "ids_crc32": pa.array([zlib.crc32(ids.tobytes()) for _, ids in docs], pa.int64()),
-                        })
-
-    return listed.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reader, start = Reader(io.BytesIO(content)), 0
+                for k in range(len(reader.table)):
+                    docs = reader.frame(k)
+                    sizes = np.array([len(ids) for _, ids in docs], np.int64)
+                    starts = start + np.cumsum(sizes) - sizes
+                    start += int(sizes.sum())
+                    yield pa.RecordBatch.from_pydict({
+                        "file": pa.array([file] * len(docs), pa.int32()), "doc_id": pa.array([d for d, _ in docs], pa.int64()), "start": pa.array(starts), "n_tokens": pa.array(sizes),
+                        "ids_crc32": pa.array([zlib.crc32(ids.tobytes()) for _, ids in docs], pa.int64()),
+                    })
+
+    found = written(files.mapInArrow(get, "file int, doc_id long, start long, n_tokens long, ids_crc32 long"), f"{work_dir(spark)}/found")
+    # one row a file, no more than there are partitions: where each file's ids begin
+    totals = sorted(map(tuple, found.groupBy("file").agg(F.sum("n_tokens")).collect()))
+    bases = spark.createDataFrame(list(zip([f for f, _ in totals], itertools.accumulate([0, *(n for _, n in totals)]))), "file int, base long")
+    return found.join(F.broadcast(bases), "file").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,13 +3,16 @@
 import base64
 import hashlib
 import io
+import random
 import textwrap
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lumenplane.llm import licenses, merkle, tokenfile, warc
@@ -54,37 +57,63 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert merkle.compare_edits(none).collect() == []
     assert licenses.scan(none).collect() == []
-    files = tokenfile.write(none, P.path("word_bpe_49k.json"), f"{work_dir(spark)}/t", 1)
-    assert tokenfile.read(spark, files).collect() == []
+    folder = f"{work_dir(spark)}/t"
+    tokenfile.write(none, P.path("word_bpe_49k.json"), folder, 1)
+    assert tokenfile.read(spark, folder).collect() == []
 
 
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    files = tokenfile.write(spark.createDataFrame(ODD, DOCS), P.path("word_bpe_49k.json"), f"{work_dir(spark)}/t", 1)
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read(spark, files).collect())
-    start, want = 0, []
-    for i, text, *_ in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
-        want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert got == want
+    odd = [(4, "an <|endoftext|> and<|startoftext|>x", "en", 0.0), (4, "v\x0bt\x0cf\x1cs\x85n\u00a0b\u3000i", "en", 0.0), (4, "e \u0301 a\u0308 o\n\u0308", "en", 0.0), (-(1 << 63), "least", "en", 0.0)]
+    for rows in (ODD, [*ODD, *odd]):
+        folder = f"{work_dir(spark)}/t"
+        tokenfile.write(spark.createDataFrame(rows, DOCS), P.path("word_bpe_49k.json"), folder, 1)
+        got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read(spark, folder).collect())
+        start, want = 0, []
+        for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+            want.append((start, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        assert got == want
+    assert t.encode("<|endoftext|>", add_special_tokens=False).ids == [49407]
+
+
+def test_pieces_are_encoded_as_the_library_encodes_texts():
+    from tokenizers import Tokenizer
+
+    definition = Path(P.path("word_bpe_49k.json")).read_text("utf-8")
+    coder, t, rng = tokenfile.Encoder(definition), Tokenizer.from_str(definition), random.Random(12)
+    letters = "ab C'sé\u0301\u0308\u1100\u1161ßİ日本\n\t\x0b\x0c\x1c\x85\xa0\u2009\u3000.,!0123 ' 're <|endoftext|>🙂\0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    got = coder.encode(pa.array(texts))
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_one_id_of_many_rows_is_dealt_to_many_files(spark):
+    df = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 900) as text").repartition(4)
+    folder = f"{work_dir(spark)}/t"
+    tokenfile.write(df, P.path("word_bpe_49k.json"), folder, 1)
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").collect()
+    assert len(files) > 8
+    read = [[i for k in range(len(r.table)) for i, _ in r.frame(k)] for r in (tokenfile.Reader(io.BytesIO(f.content)) for f in files)]
+    assert sum(map(len, read)) == 4000 and max(map(len, read)) < 1000 and {i for ids in read for i in ids} == {None}
 
 
 def test_reader_takes_only_the_frames_asked_for(monkeypatch):
-    out = io.BytesIO()
     monkeypatch.setattr(tokenfile, "FRAME_TOKENS", 8)
-    writer = tokenfile.Writer(out)
-    docs = [(i // 2, np.arange(i % 5 + 1, dtype="<u4")) for i in range(40)]
-    for i, ids in docs:
-        writer.add(i, ids.tobytes())
-    writer.close()
+    writer = tokenfile.Writer()
+    docs = [(i // 2 if i else None, np.arange(i % 5 + 1, dtype="<u4")) for i in range(40)]
+    frames = [f for i, ids in docs if (f := writer.add(i, ids))] + writer.end()
+    out = io.BytesIO(b"".join(f + tokenfile.BETWEEN for f in frames))
     reader = tokenfile.Reader(out)
     assert len(reader.table) > 5
     for i in range(20):
         assert [x.tolist() for x in reader.document(i)] == [ids.tolist() for d, ids in docs if d == i]
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read()
+    assert len(whole) == sum(4 + 13 * len(reader.frame(k)) + 4 * reader.table[k][2] for k in range(len(reader.table)))
     broken = bytearray(out.getvalue())
     broken[reader.table[1][0] + 12] ^= 0xFF
     reader = tokenfile.Reader(io.BytesIO(bytes(broken)))
