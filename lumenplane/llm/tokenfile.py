@@ -36,24 +36,34 @@ from lumenplane.llm.common import partitions_for, work_dir, written
 FRAME_TOKENS = 1 << 16
 #: Bytes of input (as the catalogue estimates them) to a file, about.
 FILE_BYTES = 64 << 20
-#: Pieces whose ids a worker keeps; beyond them it starts anew. Texts are encoded in groups of about so many bytes.
-CACHE, GROUP_BYTES = 500_000, 8 << 20
+#: Runs whose ids a worker keeps; beyond them it starts anew. Texts are encoded in groups of about so many bytes.
+CACHE, GROUP_BYTES = 600_000, 4 << 20
 KEY_CHARS = 64
 SKIPPABLE, FOOTER = 0x184D2A5E, b"LPTKFIL2"
 #: An empty skippable frame, all ASCII.
 BETWEEN = struct.pack("<II", 0x184D2A50, 0)
 _ENTRY = struct.Struct("<QIIQq")  # offset, packed size, ids, checksum, first doc_id
-#: White space behind which a mark would be composed otherwise, and what not all hold for white space.
-_ODD = re.compile("[\x0b\x0c]|\\s(?=[̀-ͯ])")
-_MAY_BE_ODD = (b"\x0b", b"\x0c", b"\xcc", b"\xcd")
+#: White space in front of a combining mark (its first byte is one of two): the library may see it otherwise.
+_BEFORE_MARK, _MARK_LEAD = re.compile("\\s(?=[\u0300-\u036f])"), 0xCC
+_PLAIN = re.compile("[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+").fullmatch
+_BLANK, _LETTER, _DIGIT, _MARKS, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[9, 10, 13, 32]] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARKS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which sees every distinct blank-free piece once.
+    """Ids of texts by the tokenizers library, which sees every distinct run once.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its
-    pieces in turn. Arrow splits texts and numbers their distinct pieces; numpy gathers the ids. The few
-    texts where the library might see white space otherwise are given to it whole.
+    The tokenizer lowers letters, drops white space and parts plain letters, marks and digits from each
+    other; it never joins what it parts, so a text's ids are those of its runs in turn. numpy cuts runs
+    out of the bytes of many texts, Arrow numbers the distinct ones, numpy gathers their ids. Whatever
+    holds anything else is a run up to the next white space; the few texts where the library might see
+    white space otherwise are given to it whole.
     """
 
     def __init__(self, definition: str):
@@ -63,57 +73,121 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.begin()
-
-    def begin(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 3, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.runs = _Ids()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            ids = self.whole(part)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            more, known = int(sizes.sum()), len(self.place)
-            while self.used + more > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            while known + len(part) >= len(self.ends):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            self.flat[self.used : self.used + more] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, more)
-            self.ends[known + 1 : known + 1 + len(part)] = self.used + np.cumsum(sizes)
-            self.used += more
-            self.place.update(zip(part, range(known, known + len(part))))
+    def learn(self, runs: list[str]) -> None:
+        plain, other = [], []
+        for run in runs:
+            (plain if _PLAIN(run) else other).append(run)
+        for i in range(0, len(plain), 10_000):  # each run is one word to the tokenizer, whose last id is of a kind of its own
+            ids = np.array(self.whole([" ".join(plain[i : i + 10_000])])[0], np.uint32)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) != len(plain[i : i + 10_000]):
+                raise ValueError("the tokenizer does not part words as expected")
+            self.runs.add(plain[i : i + 10_000], np.diff(stop, prepend=0), ids)
+        for i in range(0, len(other), 10_000):
+            ids = self.whole(other[i : i + 10_000])
+            self.runs.add(other[i : i + 10_000], np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (a string array without nulls)."""
-        odd = np.zeros(len(texts), bool)
-        for mark in _MAY_BE_ODD:
-            odd |= pc.count_substring(texts.cast(pa.binary()), mark).to_numpy(zero_copy_only=False) > 0
-        for i in np.flatnonzero(odd):
-            odd[i] = _ODD.search(texts[i].as_py()) is not None
-        if odd.any():
-            plain = iter(self.encode(texts.filter(pa.array(~odd))))
-            whole = iter(self.whole([texts[int(i)].as_py() for i in np.flatnonzero(odd)]))
-            return [np.array(next(whole), np.uint32) if o else next(plain) for o in odd]
-        split = pc.ascii_split_whitespace(texts)
-        numbered = split.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_pylist()
-        if len(self.place) > CACHE:
-            self.begin()
-        self.learn([p for p in pieces if p not in self.place])
-        slot = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        slot = slot[numbered.indices.to_numpy()] if len(pieces) else slot
-        begin = self.ends[slot]
-        size = self.ends[slot + 1] - begin
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        if (raw >> 1 == _MARK_LEAD >> 1).any():
+            odd = np.array([_BEFORE_MARK.search(t) is not None for t in texts.to_pylist()], bool)
+            if odd.any():
+                rest = texts.filter(pa.array(~odd))
+                plain, whole = iter(self.encode(pa.concat_arrays([rest])) if len(rest) else ()), iter(self.whole(texts.filter(pa.array(odd)).to_pylist()))
+                return [np.array(next(whole), np.uint32) if o else next(plain) for o in odd]
+        starts, runs = _runs(raw, bounds)
+        numbered = runs.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        if len(self.runs.place) > CACHE:
+            self.runs = _Ids()
+        known = self.runs.place
+        self.learn([r for r in distinct if r not in known])
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        ids, stop = self.runs.gather(place[numbered.indices.to_numpy()])
+        ends = np.concatenate(([0], stop))[np.searchsorted(starts, bounds)].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _runs(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the runs of texts begin in their bytes, and the runs, in lower case as far as they are plain."""
+    kind, low = _KIND[raw], _LOWER[raw]
+    latin = np.flatnonzero(raw[:-1] == 0xC3) + 1  # letters from À to ÿ, but for two signs
+    second = raw[latin]
+    kind[latin] = np.where((second == 0x97) | (second == 0xB7), _ODD, _LETTER)
+    low[latin] = np.where((second >= 0x80) & (second <= 0x9E), second | 0x20, second)
+    angle = np.flatnonzero(raw[:-1] == ord("<"))
+    kind[angle[raw[angle + 1] == ord("|")]] = _ODD  # may begin an added token
+    inside = kind != _BLANK
+    change = np.ones(len(raw), bool)
+    change[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    own = bounds[:-1][bounds[:-1] < len(raw)]  # a text's first byte begins a run
+    change[own] = True
+    first[own] = inside[own]
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):  # no cut within what holds anything odd, and its letters as they are
+        piece = np.cumsum(first, dtype=np.int32)
+        strange = np.zeros(int(piece[-1]) + 1, bool)
+        strange[piece[odd]] = True
+        held = strange[piece] & inside
+        change &= ~held | first
+        low[held] = raw[held]
+    starts = np.flatnonzero(change & inside)
+    place = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int32)
+    return starts, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(low[inside]))
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder(definition: str) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    mark = zlib.crc32(definition.encode())
+    if mark not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[mark] = Encoder(definition)
+    return _ENCODERS[mark]
+
+
+class _Ids:
+    """Strings, each with its ids, one behind the other in arrays that double as they fill."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, strings: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        known = len(self.place)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while known + len(strings) >= len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.ends[known + 1 : known + 1 + len(strings)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.place.update(zip(strings, range(known, known + len(strings))))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings in a row, and where each one's end."""
+        begin = self.ends[places]
+        size = self.ends[places + 1] - begin
         stop = np.cumsum(size)
         at = np.repeat(begin - (stop - size), size)
         at += np.arange(len(at))
-        ids = self.flat[at]
-        bounds = np.concatenate(([0], stop))[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [ids[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        return self.flat[at], stop
 
 
 _ENCODERS: dict[int, Encoder] = {}
