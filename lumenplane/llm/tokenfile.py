@@ -35,9 +35,9 @@ from lumenplane.llm.common import partitions_for, work_dir, written
 
 FRAME_TOKENS = 1 << 16
 #: Bytes of input (as the catalogue estimates them) to a file, about.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 #: Runs whose ids a worker keeps; beyond them it starts anew. Texts are encoded in groups of about so many bytes.
-CACHE, GROUP_BYTES = 600_000, 4 << 20
+CACHE, GROUP_BYTES = 300_000, 2 << 20
 KEY_CHARS = 64
 SKIPPABLE, FOOTER = 0x184D2A5E, b"LPTKFIL2"
 #: An empty skippable frame, all ASCII.
