@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,24 +33,29 @@ from lumenplane.llm.common import beside
 
 #: Documents of a task, about: the longer its partition, the fewer words are folded in several.
 TASK_DOCS = 20_000
-#: A block's dictionary starts anew beyond so many words, the cache of blank-free pieces beyond so many pieces.
-BLOCK_WORDS, CACHE_PIECES = 500_000, 250_000
+#: A block's dictionary starts anew beyond so many words.
+BLOCK_WORDS = 600_000
 #: Folding costs the square of a word's bytes (4,096: half a second); longer words are merged with a heap, to the same ids.
 LONG_WORD = 4096
-#: Texts of an Arrow batch between the passes hold about so many characters.
-GROUP_CHARS = 4 << 20
+#: Texts that are split together and handed on together hold about so many bytes.
+GROUP_BYTES = 6 << 20
 
 _BITS = 17
 _MASK = (1 << _BITS) - 1
 #: Cells are characters from here on, three bytes each and below the surrogates.
 _FIRST, _CELL = 0x800, 3
-_SLOT = 3 * _CELL
+_SLOT = 3 * _CELL + 1
 _EDGE, _NONE = "￾", "￿"
-#: Fixed value: the pattern whose matches all begin at a run of blanks or behind one, so that texts may be cut there.
-BLANKS_PART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space that the splitting pattern knows; Python's own class has four control characters more.
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_IRREGULAR = re.compile(r"\s\s|[\x1c-\x1f]|^ | $|^$")
+#: Fixed value: the pattern whose matches are cut out of bytes; by any other, texts are split whole.
+RUNS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space beyond ASCII.
+_WIDE_BLANK = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANK, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
 
 
 def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -83,20 +88,24 @@ def cells(ids: list[int]) -> bytes:
 
 
 def cuckoo(ranks: dict[bytes, int]) -> bytes:
-    """Two tables, one after the other; a slot holds both cells of a pair and the merged cell."""
+    """Two tables, one after the other. A slot holds both cells of a pair, the merged cell, and whether a
+    pair whose first place this is stands in the second table."""
     cell = {rank: i for i, rank in enumerate(cell_ids(ranks))}
     table: list[bytes | None] = [None] * (2 * (_MASK + 1))
+    places = {}
     for (a, b), rank in pair_ranks(ranks).items():
         entry, side = cells([cell[a], cell[b], cell[rank]]), 0
         for _ in range(1000):
-            slot = side * (_MASK + 1) + (zlib.crc32(entry[: 2 * _CELL]) >> side * (32 - _BITS) & _MASK)
-            entry, table[slot] = table[slot], entry
+            crc = zlib.crc32(entry[: 2 * _CELL])
+            place = places[entry] = crc & _MASK, (_MASK + 1) + (crc >> 32 - _BITS)
+            entry, table[place[side]] = table[place[side]], entry
             if entry is None:
                 break
             side ^= 1
         else:
             raise ValueError("the rank map does not fit its table")
-    return b"".join(e or b"\xff" * _SLOT for e in table)
+    more = {first for entry, (first, second) in places.items() if table[second] == entry}
+    return b"".join((e or b"\xff" * (_SLOT - 1)) + (b"+" if i in more else b"-") for i, e in enumerate(table))
 
 
 def _let(value: Column, body) -> Column:
@@ -118,21 +127,26 @@ def fold_word(word: Column, slots: Column) -> Column:
     cut, rest, none = F.substring, F.lit(1 << 30), F.lit(_NONE)
 
     def rank(pair: Column) -> Column:
-        def probe(key: Column, side: int, otherwise: Column) -> Column:
-            at = (F.shiftright(F.crc32(key), side * (32 - _BITS)).bitwiseAND(_MASK) + side * (_MASK + 1)) * _SLOT + 1
-            hit = lambda slot: _if(cut(slot, F.lit(1), F.lit(2 * _CELL)) == key, cut(slot, F.lit(2 * _CELL + 1), F.lit(_CELL)).cast("string"), otherwise)
-            return _let(cut(slots, at.cast("int"), F.lit(_SLOT)), hit)
+        def probe(key: Column, place: Column, otherwise) -> Column:
+            hit = lambda slot: _if(cut(slot, F.lit(1), F.lit(2 * _CELL)) == key, cut(slot, F.lit(2 * _CELL + 1), F.lit(_CELL)).cast("string"), otherwise(slot))
+            return _let(cut(slots, (place * _SLOT + 1).cast("int"), F.lit(_SLOT)), hit)
 
-        return _let(pair, lambda key: probe(key, 0, probe(key, 1, none)))
+        def look(key: Column) -> Column:
+            second = probe(key, F.shiftright(F.crc32(key), 32 - _BITS) + (_MASK + 1), lambda _: none)
+            return probe(key, F.crc32(key).bitwiseAND(_MASK), lambda slot: _if(cut(slot, F.lit(_SLOT), F.lit(1)) == F.lit(bytearray(b"+")), second, none))
+
+        return _let(pair, look)
 
     def state(p: Column, ranks: Column) -> Column:
         return _let(ranks, lambda r: F.struct(p.alias("p"), r.cast("binary").alias("r"), F.array_min(F.split(r, "")).alias("b")))
 
     def step(now: Column, _) -> Column:
         def merge(end: Column) -> Column:  # the last byte of the pair's first cell
-            beside = lambda q: F.concat(
-                cut(now["r"], F.lit(1), end - 2 * _CELL).cast("string"), rank(cut(q, end - 5, F.lit(2 * _CELL))), rank(cut(q, end - 2, F.lit(2 * _CELL))), cut(now["r"], end + 4, rest).cast("string"),
-            )
+            def beside(q: Column) -> Column:
+                left = _if(end > 2 * _CELL, rank(cut(q, end - 5, F.lit(2 * _CELL))), none)
+                right = _if(F.octet_length(q) > end, rank(cut(q, end - 2, F.lit(2 * _CELL))), none)
+                return F.concat(cut(now["r"], F.lit(1), end - 2 * _CELL).cast("string"), left, right, cut(now["r"], end + 4, rest).cast("string"))
+
             return _let(F.concat(cut(now["p"], F.lit(1), end - _CELL), now["b"].cast("binary"), cut(now["p"], end + 4, rest)), lambda q: state(q, beside(q)))
 
         return _if(now["b"] == none, now, _let(F.instr(now["r"].cast("string"), now["b"]) * _CELL, merge))
@@ -140,7 +154,8 @@ def fold_word(word: Column, slots: Column) -> Column:
     size = F.octet_length(word)
     every = "".join(map(chr, range(256)))
     start = F.concat(F.lit(_EDGE), F.translate(F.decode(word, "ISO-8859-1"), every, "".join(chr(_FIRST + i) for i in range(256)))).cast("binary")
-    begin = _let(start, lambda p: state(p, F.array_join(F.transform(F.sequence(F.lit(1), size + 1), lambda i: rank(cut(p, _CELL * i - 2, F.lit(2 * _CELL)))), "")))
+    inner = lambda p: F.array_join(F.transform(F.sequence(F.lit(2), size), lambda i: rank(cut(p, _CELL * i - 2, F.lit(2 * _CELL)))), "")
+    begin = _let(start, lambda p: state(p, F.concat(none, _if(size > 1, inner(p), F.lit("")), none)))
     return cut(F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), begin, step)["p"], F.lit(_CELL + 1), rest)
 
 
@@ -165,13 +180,54 @@ def merge_long(word: bytes, ranks: dict[bytes, int], pairs: dict[tuple[int, int]
     return [x for x in ids if x >= 0]
 
 
+def _pieces(raw: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts may be cut by RUNS_PATTERN in their bytes, and whether each piece needs the pattern itself.
+
+    A piece is a run of plain letters, digits or marks with the blank in front of it, or white space; what
+    holds anything else goes up to the next white space. Texts that are `whole` are not cut.
+    """
+    kind = _KIND[raw]
+    latin = np.flatnonzero(raw[:-1] == 0xC3) + 1  # letters from À to ÿ, but for two signs
+    kind[latin] = np.where((raw[latin] == 0x97) | (raw[latin] == 0xB7), _ODD, _LETTER)
+    inside = kind != _BLANK
+    own = bounds[:-1][bounds[:-1] < len(raw)]
+    begins = np.zeros(len(raw), bool)
+    begins[own] = True
+    after = np.zeros(len(raw), bool)  # in a text's white space or run, behind its first byte
+    after[1:] = inside[1:] == inside[:-1]
+    after &= ~begins
+    first = inside & ~after
+    odd = kind == _ODD
+    for i in np.flatnonzero(whole):
+        odd[bounds[i] : bounds[i + 1]] = True
+    strange = np.flatnonzero(odd & inside)
+    piece = np.cumsum(first, dtype=np.int32)
+    has_odd = np.zeros(int(piece[-1]) + 1 if len(raw) else 1, bool)
+    has_odd[piece[strange]] = True
+    cut = begins | (~inside & ~after)
+    change = np.zeros(len(raw), bool)
+    change[1:] = after[1:] & inside[1:] & (kind[1:] != kind[:-1])
+    at = np.flatnonzero(change)
+    cut[at[~has_odd[piece[at]]]] = True
+    head = np.flatnonzero(first & ~begins)  # behind white space: its last character stands alone or, a blank, with the run
+    cut[head - 1] = True
+    cut[head[raw[head - 1] != 32]] = True
+    for i in np.flatnonzero(whole):
+        cut[bounds[i] + 1 : bounds[i + 1]] = False
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(raw))
+    needs = np.zeros(len(starts), bool)
+    marked = np.flatnonzero(odd)
+    needs[np.searchsorted(starts, marked, "right") - 1] = True
+    return starts, needs & (ends > starts)
+
+
 class _Splitter:
-    """Texts to word numbers; words get numbers as they first occur in a block."""
+    """Texts to word numbers; words get numbers as they first occur in a block.
 
-    class _Pieces(dict):
-        def __missing__(self, piece: str) -> bytes:
-            self[piece] = out = np.array([*map(self.number, self.words_of(piece))], np.int32).tobytes()
-            return out
+    numpy cuts pieces out of the bytes of many texts and Arrow numbers the distinct ones; most are words,
+    the others are split by the pattern.
+    """
 
     class _Words(dict):
         def __missing__(self, word: str) -> int:
@@ -182,31 +238,42 @@ class _Splitter:
     def __init__(self, pattern: str):
         import regex
 
-        self.words_of, self.cuts = regex.compile(pattern).findall, pattern == BLANKS_PART
+        self.words_of, self.cuts = regex.compile(pattern).findall, pattern == RUNS_PATTERN
         self.begin()
 
     def begin(self) -> None:
         self.words = self._Words()
         self.words.new = []
-        self.forget()
 
-    def forget(self) -> None:
-        self.pieces = self._Pieces()
-        self.pieces.number, self.pieces.words_of = self.words.__getitem__, self.words_of
-
-    def take(self, text: str) -> tuple[bytes, list[str]]:
-        """The text's word numbers as bytes of int32, and the words that are new."""
+    def take(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The word numbers of texts (a string array without nulls), where each text's begin (and the last's end), and the words that are new."""
         self.words.new = []
-        if len(self.pieces) > CACHE_PIECES:
-            self.forget()
-        if not self.cuts:
-            return np.array([*map(self.words.__getitem__, self.words_of(text))], np.int32).tobytes(), self.words.new
-        if _IRREGULAR.search(text):
-            pieces = _CHUNK.findall(text)
-        else:  # single blanks only: each starts a piece
-            first, *others = text.split(" ")
-            return b"".join([self.pieces[first], *map(self.pieces.__getitem__, [" " + p for p in others])]), self.words.new
-        return b"".join(map(self.pieces.__getitem__, pieces)), self.words.new
+        bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds -= bounds[0]
+        whole = pc.match_substring_regex(texts, _WIDE_BLANK).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        starts, needs = _pieces(raw, bounds, whole)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw)).astype(np.int32)), pa.py_buffer(raw))
+        numbered = pieces.dictionary_encode()
+        distinct, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        split = np.zeros(len(distinct), bool)
+        split[code[needs]] = True
+        number, more = self.words.__getitem__, []
+        size, first = np.ones(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        flat = np.zeros(len(distinct), np.int32)
+        plain = np.flatnonzero(~split)
+        flat[plain] = np.fromiter((number(distinct[i]) for i in plain.tolist()), np.int32, len(plain))
+        first[plain] = plain
+        for i in np.flatnonzero(split).tolist():
+            own = [*map(number, self.words_of(distinct[i]))]
+            size[i], first[i] = len(own), len(distinct) + len(more)
+            more += own
+        flat = np.concatenate((flat, np.array(more, np.int32)))
+        each = size[code]
+        stop = np.concatenate(([0], np.cumsum(each)))
+        at = np.repeat(first[code] - stop[:-1], each)
+        at += np.arange(len(at))
+        return flat[at], stop[np.searchsorted(starts, bounds)], self.words.new
 
 
 class _Dictionary:
@@ -255,37 +322,32 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     names = [f.name for f in fields]
     word = T.StructType([T.StructField("word", T.BinaryType()), T.StructField("cells", T.BinaryType())])
     split_schema = T.StructType([*fields, T.StructField("_numbers", T.BinaryType()), T.StructField("_new", T.ArrayType(word)), T.StructField("_begins", T.BooleanType())])
-    new_type = pa.list_(pa.struct([("word", pa.binary()), ("cells", pa.binary())]))
 
     def split(batches):
         splitter, begins, pairs, cell_of = _Splitter(pattern), True, None, None
         for batch in batches:
-            texts, i = batch.column(n), 0
+            texts = pc.fill_null(batch.column(n), "")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            i = 0
             while i < len(texts):
-                numbers, new, starts, size, first = [], [], [], 0, i
-                while i < len(texts) and size < GROUP_CHARS:
-                    value = texts[i].as_py() or ""
-                    if len(splitter.words) > BLOCK_WORDS:
-                        splitter.begin()
-                        begins = True
-                    found, words = splitter.take(value)
-                    told = []
-                    for w in words:
-                        raw = w.encode("utf-8", "surrogatepass")
-                        if len(raw) <= LONG_WORD:
-                            told.append((raw, None))
-                        else:
-                            if pairs is None:
-                                pairs, cell_of = pair_ranks(vocabulary.value[0]), {int(r): c for c, r in enumerate(vocabulary.value[1])}
-                            told.append((None, cells([cell_of[r] for r in merge_long(raw, vocabulary.value[0], pairs)])))
-                    numbers.append(found)
-                    new.append(told)
-                    starts.append(begins)
-                    begins = False
-                    size += len(value) + 1
-                    i += 1
-                kept = [batch.column(k).slice(first, i - first) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.binary()), pa.array(new, new_type), pa.array(starts, pa.bool_())], names=split_schema.names)
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + GROUP_BYTES, "right")))
+                if len(splitter.words) > BLOCK_WORDS:
+                    splitter.begin()
+                    begins = True
+                numbers, ends, words = splitter.take(texts.slice(i, j - i))
+                raw = [w.encode("utf-8") for w in words]
+                merged = [None] * len(raw)
+                for k in [k for k, w in enumerate(raw) if len(w) > LONG_WORD]:
+                    if pairs is None:
+                        pairs, cell_of = pair_ranks(vocabulary.value[0]), {int(r): c for c, r in enumerate(vocabulary.value[1])}
+                    merged[k], raw[k] = cells([cell_of[r] for r in merge_long(raw[k], vocabulary.value[0], pairs)]), None
+                new = pa.StructArray.from_arrays([pa.array(raw, pa.binary()), pa.array(merged, pa.binary())], names=["word", "cells"])
+                held = pa.array([0] + [len(raw)] * (j - i), pa.int32())  # the first text of a group bears its new words
+                told = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(numbers)])
+                marks = np.zeros(j - i, bool)
+                marks[0], begins = begins, False
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(n)), told, pa.ListArray.from_arrays(held, new), pa.array(marks)], names=split_schema.names)
+                i = j
 
     def assemble(batches):
         """Looks words up; keeps the dictionary of its block, whose rows come in split's order."""
@@ -298,9 +360,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
                 for i, j in _groups(numbers, a, b):
                     if marks[i]:
                         known.begin()
-                    new = words.slice(i, j - i).flatten()
-                    raw = b"".join(new.to_pylist())
-                    known.add(np.array([len(x) for x in new.to_pylist()], np.int64), np.frombuffer(raw, np.uint8))
+                    new = words.slice(i, j - i).flatten().to_pylist()
+                    known.add(np.fromiter(map(len, new), np.int64, len(new)), np.frombuffer(b"".join(new), np.uint8))
                     own = numbers.slice(i, j - i).to_pylist()
                     lengths = np.cumsum([0, *(len(x) // 4 for x in own)])
                     ids, stop = known.look_up(np.frombuffer(b"".join(own), np.int32))
@@ -315,12 +376,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
 
 def _groups(numbers, a: int, b: int):
-    """Rows a to b in groups of about GROUP_CHARS words."""
+    """Rows a to b in groups of about a quarter as many words as GROUP_BYTES."""
     sizes = np.diff(np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset : numbers.offset + len(numbers) + 1])
     i = a
     while i < b:
         j, size = i + 1, int(sizes[i]) // 4
-        while j < b and size + int(sizes[j]) // 4 <= GROUP_CHARS // 4:
+        while j < b and size + int(sizes[j]) // 4 <= GROUP_BYTES // 4:
             size += int(sizes[j]) // 4
             j += 1
         yield i, j
