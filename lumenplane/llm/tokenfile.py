@@ -31,13 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenplane.llm.common import partitions_for, work_dir, written
+from lumenplane.llm.common import partitions_for, settings, work_dir, written
 
 FRAME_TOKENS = 1 << 16
 #: Bytes of input (as the catalogue estimates them) to a file, about.
 FILE_BYTES = 32 << 20
 #: Runs whose ids a worker keeps; beyond them it starts anew. Texts are encoded in groups of about so many bytes.
-CACHE, GROUP_BYTES = 300_000, 2 << 20
+CACHE, GROUP_BYTES = 500_000, 4 << 20
+#: Rows of an Arrow batch: whole texts are large.
+BATCH_ROWS = "2000"
 KEY_CHARS = 64
 SKIPPABLE, FOOTER = 0x184D2A5E, b"LPTKFIL2"
 #: An empty skippable frame, all ASCII.
@@ -297,7 +299,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str =
         for left in writer.end() if writer else ():
             yield pa.RecordBatch.from_pydict({"frame": [left]})
 
-    ordered.mapInArrow(put, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN.decode()).text(folder)
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        ordered.mapInArrow(put, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", BETWEEN.decode()).text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
