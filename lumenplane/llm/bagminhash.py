@@ -10,10 +10,13 @@ component has a point, so a text of any length costs about M log M points beyond
 
 Bags that are equal collapse to one representative. Signatures are cut into BANDS bands of ROWS
 components; documents that share a band are candidates, and every link is verified by the exact
-multiset overlap of the two texts. Within a band's bucket the pairs are never all listed: one hub is
-compared with every member that is not yet in its class, classes are merged, and the next round takes
-another hub, until no bucket has two classes left to compare. After ROUNDS rounds the classes that
-still share a bucket are compared in full, in blocks, so no link is lost to the order of hubs.
+multiset overlap of the two texts (of 64-bit shingle hashes). Within a band's bucket the pairs are never
+listed. In each of ROUNDS rounds every document meets one hub, that of the buckets it shares with
+documents of other classes which it shares most; classes that are linked become one. The classes that
+still share a bucket are then compared in full, block by block, so no link is lost to the choice of hubs;
+a task keeps its classes in a union-find and returns a forest, not all links.
+
+Buckets that hold many documents are dealt by bucket and a salt that follows their size.
 
 Defined results: null and empty texts, and texts without a word, are alone in their class; a text of
 fewer than five words is one shingle of all its words. Rows that share a doc_id are told apart by
@@ -37,6 +40,8 @@ M = BANDS * ROWS
 ROUNDS = 4
 #: Bags in a row where classes are compared in full.
 BLOCK = 128
+#: Documents of a bucket that are dealt together.
+SALT_EACH = 500
 GROUP_BYTES = 6 << 20
 #: What equal bags have in common.
 EQUAL = ["d1", "d2", "size"]
@@ -163,7 +168,7 @@ def _doc(key: str):
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """k and bag (binary: sorted 32-bit shingle hashes, with repeats) of the bags wanted (k, doc, h)."""
+    """k and bag (binary: sorted 64-bit shingle hashes, with repeats) of the bags wanted (k, doc, h)."""
     rows = docs.select(_doc(key), F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(wanted, ["doc", "h"]).select("k", "t").dropDuplicates(["k"])
 
     def run(batches):
@@ -171,76 +176,118 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
             keys, out = batch.column(0), []
             for t in batch.column(1).to_pylist():
                 hashes, bounds, _, _ = word_hashes([t])
-                out.append(np.sort((shingles(hashes, bounds)[0] >> _U64(32)).astype(np.uint32)).tobytes())
+                out.append(np.sort(shingles(hashes, bounds)[0]).tobytes())
             yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], names=["k", "bag"])
 
     return rows.mapInArrow(run, "k long, bag binary")
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets; 0 for two empty ones."""
-    va, ca = np.unique(a, return_counts=True)
-    vb, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    both = int(np.minimum(ca[i], cb[j]).sum())
-    return both / max(1, len(a) + len(b) - both)
+class _Bags:
+    """Many bags side by side, ready for the overlap of each with one other."""
+
+    def __init__(self, raw: list[bytes]):
+        flat = np.frombuffer(b"".join(raw), _U64)
+        self.size = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+        owner = np.repeat(np.arange(len(raw)), self.size)
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(new)
+        self.count = np.diff(np.append(at, len(flat)))
+        self.values, self.code = np.unique(flat[at], return_inverse=True)
+        self.owner = owner[at]
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Values, counts and size of bag i."""
+        own = slice(*np.searchsorted(self.owner, [i, i + 1]))
+        return self.values[self.code[own]], self.count[own], int(self.size[i])
+
+    def near(self, values: np.ndarray, counts: np.ndarray, size: int, least: float) -> np.ndarray:
+        """Whether the weighted Jaccard similarity of each bag with this one reaches `least`."""
+        place = np.searchsorted(self.values, values)
+        place[place == len(self.values)] = 0
+        hit = self.values[place] == values
+        weight = np.zeros(len(self.values), np.int64)
+        weight[place[hit]] = counts[hit]
+        both = np.bincount(self.owner, weights=np.minimum(self.count, weight[self.code]), minlength=len(self.size))
+        return (both > 0) & (both >= least * (self.size + size - both))
 
 
 def verify(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose multiset overlap reaches `least`. The side with hubs is joined by key and salt."""
-    salts = 16
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    right = bag.select(F.col("k").alias("b"), F.col("bag").alias("bag_b")).join(pairs.select("b").distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hubs = pairs.groupBy("b").count().where(f"count > {salts * 4}").select("b", F.lit(True).alias("hot"))
-    left = left.join(hubs, "b", "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(0)).drop("hot")
-    right = right.join(hubs, "b", "left").where(F.coalesce("hot", F.lit(False)) | (F.col("salt") == 0)).drop("hot")
-    both = left.join(bag.select(F.col("k").alias("a"), F.col("bag").alias("bag_a")), "a").join(right, ["b", "salt"]).select("a", "b", "bag_a", "bag_b")
+    """la and lb of the pairs (a, b, la, lb) whose multiset overlap reaches `least`. The side with hubs is joined by key and salt."""
+    of_b = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_EACH).cast("int").alias("salts"))
+    left = pairs.join(of_b, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    right = bag.select(F.col("k").alias("b"), F.col("bag").alias("bag_b")).join(of_b, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    both = left.join(bag.select(F.col("k").alias("a"), F.col("bag").alias("bag_a")), "a").join(right, ["b", "salt"]).select("b", "la", "lb", "bag_a", "bag_b")
 
     def run(batches):
         for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint32) for v in batch.column(i).to_pylist()] for i in (2, 3))
-            good = [overlap(p, q) >= least for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["a", "b"])
+            b = batch.column(0).to_numpy()
+            order = np.argsort(b, kind="stable")
+            good = []
+            for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else ():
+                hub = _Bags([batch.column(4)[int(part[0])].as_py()]).one(0)
+                near = _Bags(batch.column(3).take(pa.array(part)).to_pylist()).near(*hub, least)
+                good += part[near].tolist()
+            kept = pa.array(sorted(good), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(kept), batch.column(2).take(kept)], names=["la", "lb"])
+
+    return both.mapInArrow(run, "la long, lb long")
+
+
+class _Classes:
+    """Which labels have become one, by union-find."""
 
-    return both.mapInArrow(run, "a long, b long")
+    def __init__(self, labels):
+        self.head = {x: x for x in labels}
+
+    def find(self, x: int) -> int:
+        while self.head[x] != x:
+            self.head[x] = x = self.head[self.head[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = sorted((self.find(x), self.find(y)))
+        self.head[y] = x
+        return x != y
 
 
 def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """Edges between classes that still share a bucket, compared in full.
+    """la and lb of classes that still share a bucket and are linked, compared in full.
 
     A document's home is the fullest bucket that it is still in; the documents of a home stand in rows
-    of about BLOCK bags. Homes whose documents share a bucket meet block by block, so that no pair of
-    documents becomes a row unless it is a link.
+    of about BLOCK bags, those of its largest class apart from the others. Homes whose documents share a
+    bucket meet block by block, unless both blocks are of one class.
     """
     sizes = open_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    seats = open_members.join(sizes, "bucket")
-    homes = seats.groupBy("k").agg(F.max(F.struct("c", "bucket")).alias("top"), F.first("label").alias("label")).select("k", "label", F.col("top.bucket").alias("home"))
-    counts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = homes.join(counts, "home").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    blocks = placed.join(bag, "k").groupBy("home", "block").agg(F.collect_list(F.struct("k", "label", "bag")).alias("held"))
-
-    present = open_members.join(homes.select("k", "home"), "k").select("bucket", "home").distinct()
+    homes = open_members.drop("c").join(sizes, "bucket").groupBy("k").agg(F.max(F.struct("c", "bucket")).alias("top"), F.first("label").alias("label")).select("k", "label", F.col("top.bucket").alias("home"))
+    main = homes.groupBy("home", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("home").agg(F.max(F.struct("n", "label")).alias("m")).select("home", F.col("m.label").alias("main"))
+    homes = homes.join(main, "home").withColumn("own", F.col("label") == F.col("main")).drop("main")
+    counts = homes.groupBy("home", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = homes.join(counts, ["home", "own"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")) * 2 + F.col("own").cast("int"))
+    blocks = placed.join(bag, "k").groupBy("home", "block").agg(F.collect_list(F.struct("label", "bag")).alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+
+    present = open_members.select("k", "bucket").join(homes.select("k", "home"), "k").select("bucket", "home").distinct()
     other = present.select("bucket", F.col("home").alias("home_b"))
     meets = present.join(other, "bucket").where("home <= home_b").select("home", "home_b").distinct()
-    left = meets.join(blocks, "home")
-    right = blocks.select(F.col("home").alias("home_b"), F.col("block").alias("block_b"), F.col("held").alias("held_b"))
-    rows = left.join(right, "home_b").where("home <> home_b or block <= block_b").select("held", "held_b")
+    right = blocks.select(F.col("home").alias("home_b"), F.col("block").alias("block_b"), F.col("held").alias("held_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    rows = meets.join(blocks, "home").join(right, "home_b").where("(home <> home_b or block <= block_b) and not (lo = hi and lo_b = hi_b and lo = lo_b)").select("held", "held_b")
 
     def run(batches):
-        parts = lambda held: [(r["k"], r["label"], len(v := np.frombuffer(r["bag"], np.uint32)), *np.unique(v, return_counts=True)) for r in held]
         for batch in batches:
-            for row in batch.to_pylist():
-                ours, theirs, found = parts(row["held"]), parts(row["held_b"]), []
-                for k, label, n, v, c in ours:
-                    for j, its, m, w, d in theirs:
-                        if label != its and min(n, m) >= least * max(n, m):
-                            _, x, y = np.intersect1d(v, w, assume_unique=True, return_indices=True)
-                            both = int(np.minimum(c[x], d[y]).sum())
-                            if both >= least * (n + m - both):
-                                found.append((k, j))
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return rows.mapInArrow(run, "a long, b long")
+            for i in range(batch.num_rows):
+                ours, theirs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                a, b = _Bags([r["bag"] for r in ours]), _Bags([r["bag"] for r in theirs])
+                known, found = _Classes({r["label"] for r in ours} | {r["label"] for r in theirs}), []
+                for k, r in enumerate(ours):
+                    heads = np.array([known.find(x["label"]) for x in theirs])
+                    if (heads == known.find(r["label"])).all():
+                        continue
+                    for j in np.flatnonzero(b.near(*a.one(k), least) & (heads != known.find(r["label"]))).tolist():
+                        if known.join(r["label"], theirs[j]["label"]):
+                            found.append((r["label"], theirs[j]["label"]))
+                yield pa.RecordBatch.from_pydict({"la": pa.array([x for x, _ in found], pa.int64()), "lb": pa.array([x for _, x in found], pa.int64())})
+
+    return rows.mapInArrow(run, "la long, lb long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -298,32 +345,41 @@ def _labelled(docs: DataFrame, least: float, text: str, key: str) -> tuple[DataF
     bag = written(_bags_of(docs, wanted, text, key), f"{folder}/bags")
 
     # hubs of the first round are central: the documents that share most buckets with most others
-    crowd = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket").groupBy("k").agg(F.sum("c").alias("weight"))
-    edges, labels, open_members = None, None, written(members.join(crowd, "k").withColumn("label", F.col("k")), f"{folder}/open")
+    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket")
+    crowd = sized.groupBy("k").agg(F.sum("c").alias("weight"))
+    salt = F.pmod(F.xxhash64("k"), _salts(F.col("c"))).cast("int")
+    open_members = written(sized.join(crowd, "k").withColumn("salt", salt).withColumn("label", F.col("k")), f"{folder}/open")
+    labels = written(members.select("k").distinct().withColumn("label", F.col("k")), f"{folder}/labels")
     for step in range(ROUNDS + 1):
         at = f"{folder}/round{step}"
-        if step < ROUNDS:  # one hub for each bucket against members of other classes
-            draw = F.struct(-F.col("weight"), "k") if step == 0 else F.struct(F.xxhash64("k", "bucket", F.lit(step)), "k")
-            hub = open_members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), "k", "label")).alias("hub")).select("bucket", F.col("hub.k").alias("b"), F.col("hub.label").alias("hub_label"))
-            pairs = written(open_members.join(hub, "bucket").where("label != hub_label").select(F.col("k").alias("a"), "b").distinct(), f"{at}/pairs")
-            found = written(verify(pairs, bag, least), f"{at}/edges")
+        if step < ROUNDS:
+            draw = F.struct(-F.col("weight"), "k") if step == 0 else F.struct(F.xxhash64("k", F.lit(step)), "k")
+            hub = _to_salts(open_members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), "k", "label")).alias("hub"), F.max("c").alias("c")).select("bucket", "c", F.col("hub.k").alias("b"), F.col("hub.label").alias("lb")))
+            met = open_members.join(hub, ["bucket", "salt"]).where("label <> lb").groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+            pairs = met.groupBy("k").agg(F.max(F.struct("n", -F.col("b"), "b", "la", "lb")).alias("m")).select(F.col("k").alias("a"), "m.b", "m.la", "m.lb")
+            found = verify(written(pairs, f"{at}/pairs"), bag, least)
         else:
-            found = written(verify_classes(open_members, bag, least), f"{at}/edges")
-        edges = found if edges is None else edges.unionAll(found)
-        labels = components(edges, f"{at}/labels") if not edges.isEmpty() else None
+            found = verify_classes(open_members, bag, least)
+        edges = written(found.distinct(), f"{at}/edges")
+        if not edges.isEmpty():
+            moved = components(edges.toDF("a", "b"), f"{at}/classes").toDF("label", "head")
+            renamed = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")  # noqa: E731, B023
+            labels = written(renamed(labels), f"{at}/labels")
+            open_members = renamed(open_members)
         if step == ROUNDS:
             break
-        # hubs have met all of their bucket; of the rest, buckets with two classes stay open
-        rest = open_members.join(hub.select("bucket", F.col("b").alias("k")), ["bucket", "k"], "left_anti").select("bucket", "k", "weight")
-        if labels is not None:
-            rest = rest.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
-        else:
-            rest = rest.withColumn("label", F.col("k"))
-        mixed = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        open_members = written(rest.join(mixed, "bucket", "left_semi"), f"{at}/open")
+        mixed = _to_salts(open_members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("c").alias("c")).where("x <> y").select("bucket", "c"))
+        open_members = written(open_members.join(mixed, ["bucket", "salt"], "left_semi").select("bucket", "k", "c", "weight", "salt", "label"), f"{at}/open")
         if open_members.isEmpty():
             break
-
-    if labels is None:
-        return signed, heads.withColumn("label", F.col("id"))
     return signed, heads.join(labels.withColumnRenamed("k", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _salts(size):
+    """Into how many parts a bucket of this many documents is dealt."""
+    return F.ceil(size / SALT_EACH).cast("int")
+
+
+def _to_salts(buckets: DataFrame) -> DataFrame:
+    """A row of each bucket (with its size c) for every part of it."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("c")) - 1))).drop("c")
