@@ -64,9 +64,9 @@ def lookup(indices: Column, table: Column) -> Column:
     return F.transform(F.array(table), lambda t: F.transform(indices, lambda i: F.coalesce(F.get(t, i.cast("int")), F.lit(0)))).getItem(0)
 
 
-def lookup_ramp(peak: int, entries: int) -> Column:
+def lookup_ramp(peak: Column, entries: int) -> Column:
     """A channel's ramp of 256 or 65536 entries: peak times i / 255, truncated, at most 65535."""
-    return F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda i: F.least(F.lit(65535), F.floor(F.lit(float(peak)) * (i / F.lit(255.0))).cast("int")))
+    return F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda i: F.least(F.lit(65535), F.floor(peak.cast("double") * (i / F.lit(255.0))).cast("int")))
 
 
 def undo_predictor(samples: Column, width: int, modulus: int) -> Column:

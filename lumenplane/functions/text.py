@@ -11,13 +11,13 @@ def normalise_newlines(text: Column) -> Column:
 
 
 def control_to_newline(text: Column) -> Column:
-    """Text kept as numbers: control characters part its lines."""
-    return F.regexp_replace(text, "[\\x00-\\x1f]", "\n")
+    """Text kept as numbers: NUL goes, other control characters part its lines."""
+    return F.regexp_replace(F.replace(text, F.lit("\0"), F.lit("")), "[\\x01-\\x1f\\x7f-\\x9f]", "\n")
 
 
 def last_unit(comment: Column) -> Column:
     """The last word behind `unit=`; null without one."""
-    return F.try_element_at(F.regexp_extract_all(comment, F.lit("unit=(\\w+)"), F.lit(1)), F.lit(-1))
+    return F.try_element_at(F.regexp_extract_all(comment, F.lit("unit=([A-Za-z0-9_]+)"), F.lit(1)), F.lit(-1))
 
 
 def comment_value(comment: Column, key: str) -> Column:

@@ -77,7 +77,8 @@ def zstd(data: bytes, limit: int) -> bytes:
     import zstandard
 
     try:
-        out = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as stream:
+            out = stream.read(limit + 1)
     except zstandard.ZstdError as error:
         raise ImageError("Codec", str(error)) from error
     return _bounded(out, limit)

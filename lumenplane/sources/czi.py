@@ -49,8 +49,26 @@ class Entry:
         return self.start.get(name, 0)
 
     @property
-    def scale(self) -> int:
-        return max(1, round(self.extent["X"] / self.stored["X"]), round(self.extent["Y"] / self.stored["Y"]))
+    def native(self) -> bool:
+        return all(self.stored[n] == self.extent[n] for n in "XY")
+
+    def fits(self, scale: int) -> bool:
+        """Whether the stored sizes are the full ones over scale, rounded either way."""
+        return all(max(1, self.extent[n] // scale) <= self.stored[n] <= max(1, -(-self.extent[n] // scale)) for n in "XY")
+
+    def own_scale(self) -> int:
+        """The scale that the sizes tell: both axes alike, or that of the longer one if it fits both."""
+        told = {}
+        for n in "XY":
+            if self.extent[n] < self.stored[n]:
+                raise ImageError("InvalidData", f"CZI sub-block is stored larger than it is in {n}")
+            told[n] = (self.extent[n] + self.stored[n] // 2) // self.stored[n]
+        if told["X"] == told["Y"]:
+            return told["X"]
+        longer = "X" if self.extent["X"] > self.extent["Y"] else "Y"
+        if self.extent["X"] == self.extent["Y"] or not self.fits(told[longer]):
+            raise ImageError("InvalidData", f"CZI scales differ in X ({told['X']}) and Y ({told['Y']})")
+        return told[longer]
 
     def block(self, b: Bytes) -> tuple[int, int]:
         """Offset and length of the sub-block's data."""
@@ -152,7 +170,7 @@ def czi(files: list[bytes], inner: bool = True) -> list[list[Level]]:
         group = [e for e in found if tuple(e.at(n) for n in "SBV") == scene]
         if len({e.type for e in group}) > 1:
             raise ImageError("Unsupported", "CZI pixel types differ")
-        native = [e for e in group if e.scale == 1]
+        native = [e for e in group if e.native]
         mosaics = sorted({e.at("M") for e in group})
         layout = lambda m: sorted((*(e.at(n) for n in "ZCTXY"), e.extent["X"], e.extent["Y"]) for e in native if e.at("M") == m)  # noqa: B023, E731
         split = len(mosaics) > 1 and all(layout(m) == layout(mosaics[0]) for m in mosaics)
@@ -170,17 +188,53 @@ def czi(files: list[bytes], inner: bool = True) -> list[list[Level]]:
     return series
 
 
+def _base(scale: int) -> int | None:
+    """2 or 3 if scale is a power of it (beyond 1)."""
+    for factor in (2, 3):
+        left = scale
+        while left > 1 and left % factor == 0:
+            left //= factor
+        if left == 1 and scale > 1:
+            return factor
+    return None
+
+
+def by_scale(group: list[Entry]) -> dict[int, list[Entry]]:
+    """Sub-blocks of a series by their scale, all powers of one factor.
+
+    The largest reduced block tells the factor; small blocks at an edge, whose ratios are rounded, belong
+    to the one level that fits both their axes.
+    """
+    found: dict[int, list[Entry]] = {1: [e for e in group if e.native]}
+    if any(e.own_scale() != 1 for e in found[1]):
+        raise ImageError("InvalidData", "CZI full-size sub-block of a reduced scale")
+    reduced = [(e, e.own_scale()) for e in group if not e.native]
+    told = [(e.stored["X"] * e.stored["Y"], max(e.stored["X"], e.stored["Y"]), k, _base(s)) for k, (e, s) in enumerate(reduced) if _base(s)]
+    if reduced and not told:
+        raise ImageError("Unsupported", "CZI levels are no powers of 2 or 3")
+    scales = sorted({s for _, s in reduced if _base(s) == max(told)[3]}) if told else []
+    for e, scale in reduced:
+        fit = [s for s in scales if e.fits(s)]
+        if not fit:
+            raise ImageError("InvalidData", f"CZI sub-block of scale {scale} fits no level")
+        if len(fit) > 1:
+            raise ImageError("Unsupported", f"CZI sub-block of scale {scale} fits several levels")
+        found.setdefault(fit[0], []).append(e)
+    return found
+
+
 def _levels(group: list[Entry], files: list[bytes], info: dict) -> list[Level]:
     if group[0].type not in TYPES:
         raise ImageError("Unsupported", f"CZI pixel type {group[0].type}")
     kind, samples = TYPES[group[0].type]
     size = {n: max(e.at(n) + e.extent.get(n, 1) for e in group) for n in "ZCT"}
-    native = [e for e in group if e.scale == 1]
+    held = by_scale(group)
+    native = held[1]
     if not native:
         raise ImageError("InvalidData", "CZI without full resolution")
     x0, y0 = min(e.at("X") for e in native), min(e.at("Y") for e in native)
     wide, high = max(e.at("X") + e.extent["X"] for e in native) - x0, max(e.at("Y") + e.extent["Y"] for e in native) - y0
-    scales = sorted({e.scale for e in group})
+    scales = sorted(held)
     rgb, out = samples > 1, []
     for scale in scales:
         level = Level(wide // scale, high // scale, size["Z"], size["C"] * samples, size["T"], kind, samples=samples, order="XYCZT", rgb=rgb, interleaved=rgb, false_color=False)
@@ -188,12 +242,11 @@ def _levels(group: list[Entry], files: list[bytes], info: dict) -> list[Level]:
         level.bits = info.get("bits") or 0
         level.physical = tuple(None if v is None else v * (scale if k < 2 else 1) for k, v in enumerate(info["physical"]))
         level.time_step, level.objective, level.channels = info.get("time_step"), info.get("objective", (None, None, None)), info["channels"]
-        level.extra = {"scale": scale, "subblocks": sum(e.scale == scale for e in group)}
+        level.extra = {"scale": scale, "subblocks": len(held[scale])}
         level.planes = [[] for _ in range(size["Z"] * size["C"] * size["T"])]
-        for e in group:
-            if e.scale == scale:
-                offset, length = e.block(Bytes(files[e.part]))
-                at = plane_index("XYCZT", (size["Z"], size["C"], size["T"]), e.at("Z"), e.at("C"), e.at("T"))
-                level.planes[at].append(Block((e.at("X") - x0) // scale, (e.at("Y") - y0) // scale, e.stored["X"], e.stored["Y"], offset, length, CODECS.get(e.codec, f"czi{e.codec}"), samples=samples, swap_rgb=rgb, source=e.part))
+        for e in held[scale]:
+            offset, length = e.block(Bytes(files[e.part]))
+            at = plane_index("XYCZT", (size["Z"], size["C"], size["T"]), e.at("Z"), e.at("C"), e.at("T"))
+            level.planes[at].append(Block((e.at("X") - x0) // scale, (e.at("Y") - y0) // scale, e.stored["X"], e.stored["Y"], offset, length, CODECS.get(e.codec, f"czi{e.codec}"), samples=samples, swap_rgb=rgb, source=e.part))
         out.append(level)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import xml.etree.ElementTree as ET
 
 from lumenplane.functions import units
@@ -163,43 +164,77 @@ def _ratio(tags: dict, tag: int):
     return value[0][0] / value[0][1] if value and value[0][1] else None
 
 
-def calibration(tags: dict, comment: str | None) -> tuple:
-    """Micrometres of a pixel in x and y."""
-    unit = _int(tags, 296, 2) if isinstance(tags.get(296, [2]), list) else 2
+def calibration(tags: dict) -> tuple:
+    """Micrometres of a pixel in x and y, by the directory's own unit and comment."""
+    unit, comment = _int(tags, 296, 1), tags.get(270)
     factor = {2: 25400.0, 3: 10000.0}.get(unit, 1.0)
-    words = re.findall(r"unit=(\w+)", comment or "")
-    if words and unit != 3:
-        factor = (units.IMAGEJ_ALIASES.get(words[-1].lower().strip()) or units.LENGTHS.get(words[-1]) or 1.0) * (1.0 if unit == 1 else factor)
-    out = []
-    for tag in (282, 283):
-        r = _ratio(tags, tag)
-        out.append(factor / r if r and r > 0 else None)
-    return tuple(out)
+    words = re.findall(r"unit=([A-Za-z0-9_]+)", comment) if isinstance(comment, str) else []
+    named = units.comment_factor(words[-1]) if words and unit != 3 else None
+    ratios = [_ratio(tags, tag) for tag in (282, 283)]
+    return tuple(factor / r * (named or 1.0) if r and r > 0 else None for r in ratios)
+
+
+def plain_lines(value) -> str | None:
+    """A comment's text: as it is, or written as numbers, of which NUL goes and control characters part lines."""
+    if isinstance(value, str):
+        return value.replace("\r\n", "\n").replace("\r", "\n")
+    if isinstance(value, list) and all(isinstance(v, int) for v in value):
+        letters = [chr(v & 0xFFFF) for v in value if v and not 0xD800 <= v & 0xFFFF < 0xE000]
+        return "".join("\n" if unicodedata.category(c) == "Cc" else c for c in letters)
+    return None
+
+
+def imagej_comment(pages: list[Page]) -> str | None:
+    """The ImageJ comment of a series: its first page's, else its last one's, and the first page's further text."""
+    for page in (pages[0], pages[-1]):
+        own = page.tags.get(270)
+        if isinstance(own, str) and own.startswith("ImageJ="):
+            more = plain_lines(pages[0].tags.get(50839))
+            return plain_lines(own) + ("\n" + more if more else "")
+    return None
+
+
+def _count(text: str) -> int:
+    """A whole number of 32 bits, else 0."""
+    return int(text) if re.fullmatch(r"\+?[0-9]+", text) and int(text) < 1 << 32 else 0
+
+
+def _real(text: str) -> float:
+    try:
+        return 0.0 if "_" in text else float(text.strip())
+    except ValueError:
+        return 0.0
 
 
 def _imagej(level: Level, comment: str, pages: int) -> None:
-    sizes = {"channels": level.size_c if not level.rgb else 1, "slices": 1, "frames": 1}
-    sizes["channels"] = sizes["channels"] if level.rgb else 1
-    number = lambda v: int(v) if re.fullmatch(r"\+?\d+", v) else 0
-    real = lambda v: float(v) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v.strip()) else 0.0
-    for line in comment.splitlines():
+    """Sizes, calibration and further fields that a comment tells; C is the fastest axis, then Z and T."""
+    sizes, names = {"channels": level.size_c, "slices": 1, "frames": 1}, {"mode": "Color mode", "unit": "Unit", "ImageJ": "ImageJ"}
+    for k, line in enumerate(comment.splitlines()):
         key, found, value = line.partition("=")
-        if not found:
+        if not found or key == "images" or key == "ImageJ" and k:
             continue
         if key in sizes:
-            sizes[key] = number(value)
+            sizes[key] = _count(value)
         elif key == "finterval":
-            level.time_step = real(value)
+            level.time_step = level.extra["Frame Interval"] = _real(value)
         elif key == "spacing":
-            level.physical = (*level.physical[:2], abs(real(value)) or None)
-        elif key.strip() and key not in ("images",):
-            level.extra[key.strip()] = value.strip()
+            level.extra["Spacing"] = _real(value)
+            size = abs(_real(value))
+            level.physical = (*level.physical[:2], size if 0 < size < float("inf") else None)
+        elif key in ("xorigin", "yorigin"):
+            whole = int(value) if re.fullmatch(r"[+-]?[0-9]+", value) else 0
+            level.extra[f"{key[0].upper()} Origin"] = whole if -(1 << 31) <= whole < 1 << 31 else 0
+        elif key.strip():
+            level.extra[names.get(key, key.strip())] = value.strip()
     c, z, t = sizes["channels"], sizes["slices"], sizes["frames"]
-    if c * z * t == pages and pages:
-        level.order, level.size_z, level.size_t = "XYCZT", z, t
-        level.size_c = c * level.samples
-    else:
-        level.size_z, level.size_t = 1, pages
+    level.order = "XYCZT"
+    # an RGB page holds its samples; `channels` may count them, or pages of them
+    if level.rgb and z * c * t == c:
+        t = pages
+    if z * t * (1 if level.rgb else c) == pages:
+        level.size_z, level.size_t, level.size_c = z, t, level.size_c if level.rgb else c
+    elif level.rgb and z * c * t == pages:
+        level.size_z, level.size_t, level.size_c = z, t, level.size_c * c
 
 
 def _pyramid(file: File, pages: list[Page], first: Level) -> list[Level]:
@@ -221,15 +256,13 @@ def generic(file: File) -> list[list[Level]]:
     pages = [Page(t, file.bytes.order) for t in file.chain]
     if len(pages) > 1:
         pages = [p for p in pages if _int(p.tags, 254, 0) != 1] or pages
-    comments = [p.tags.get(270) for p in pages if isinstance(p.tags.get(270), str)]
     groups = [pages] if len({p.layout for p in pages}) == 1 else [[p] for p in pages]
     series = []
     for group in groups:
         level = group[0].level([p.blocks() for p in group])
         level.size_t = len(group)
-        comment = next((c.replace("\r\n", "\n").replace("\r", "\n") for c in comments if c.startswith("ImageJ=")), None)
-        level.physical = (*calibration(group[0].tags, comments[0] if comments else None), None)
-        if comment:
+        level.physical = (*calibration(group[0].tags), None)
+        if comment := imagej_comment(group):
             _imagej(level, comment, len(group))
         date = group[0].tags.get(306)
         level.timestamp = date if isinstance(date, str) else None
