@@ -21,16 +21,19 @@ def expand(patterns: DataFrame, blocks: int, column: str = "pattern") -> DataFra
     """Rows (pattern, file_index, file, digits, lengths): the product of the blocks' values, the last fastest.
 
     digits are the positions of a file's values in their blocks, lengths the blocks' numbers of values.
+    `blocks` is the largest number of blocks that a pattern has; one of more is an error.
     """
     literals, inner = F.split(F.col(column), _BLOCK), F.regexp_extract_all(F.col(column), F.lit(_BLOCK), F.lit(1))
-    rows = patterns.withColumn("__lit", literals).withColumn("__blk", inner).where(F.size("__blk") == blocks)
+    many = F.raise_error(F.concat(F.lit(f"InvalidData: more than {blocks} blocks in "), F.col(column))).cast("array<string>")
+    rows = patterns.withColumn("__lit", literals).withColumn("__blk", F.when(F.size(inner) > blocks, many).otherwise(inner))
     name, index = F.get("__lit", F.lit(0)), F.lit(0).cast("bigint")
     for k in range(blocks):
-        values = block_values(F.get("__blk", F.lit(k)))
+        # a block that a pattern lacks stands for nothing, once
+        values = F.when(F.size("__blk") > k, block_values(F.get("__blk", F.lit(k)))).otherwise(F.array(F.lit("")))
         rows = rows.withColumn(f"__n{k}", F.size(values)).select("*", F.posexplode(values).alias(f"__p{k}", f"__v{k}"))
-        name = F.concat(name, F.col(f"__v{k}"), F.get("__lit", F.lit(k + 1)))
+        name = F.concat(name, F.col(f"__v{k}"), F.coalesce(F.get("__lit", F.lit(k + 1)), F.lit("")))
         index = index * F.col(f"__n{k}") + F.col(f"__p{k}")
-    each = lambda prefix: F.array(*[F.col(f"__{prefix}{k}").cast("int") for k in range(blocks)]).cast("array<int>")
+    each = lambda prefix: F.slice(F.array(*[F.col(f"__{prefix}{k}").cast("int") for k in range(blocks)]).cast("array<int>"), F.lit(1), F.size("__blk"))
     return rows.select(*patterns.columns, index.alias("file_index"), name.alias("file"), each("p").alias("digits"), each("n").alias("lengths"))
 
 

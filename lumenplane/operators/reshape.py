@@ -10,13 +10,24 @@ from pyspark.sql import functions as F
 
 from lumenplane.functions import geometry
 
-KEY = ["dataset_id", "z", "t"]
+#: What planes of one merged plane have in common, as far as they bear it.
+SAME = ("dataset_id", "series", "resolution", "z", "t", "x", "y", "width", "height", "pixel_type", "little_endian")
 
 
-def separate_channels(planes: DataFrame, samples: int) -> DataFrame:
-    """Each interleaved component becomes a plane of its own, behind its channel's earlier ones."""
-    split = planes.withColumn("component", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    return split.withColumn("c", (F.col("c") * samples + F.col("component")).cast("int")).withColumn("samples", geometry.components(F.col("samples"), samples, F.col("component"))).drop("component")
+def separate_channels(planes: DataFrame, samples: int, interleaved: bool | Column = True, rgb: Column | None = None) -> DataFrame:
+    """Each component becomes a plane of its own, behind its channel's earlier ones.
+
+    interleaved: whether a pixel's components lie together, or each component's pixels. rgb: whether a
+    plane is RGB and not indexed (all are, without it); others stay as they are.
+    """
+    rgb, together = F.lit(True) if rgb is None else rgb, F.lit(interleaved) if isinstance(interleaved, bool) else interleaved
+    last = F.when(rgb, F.lit(samples - 1)).otherwise(0)
+    split = planes.withColumn("component", F.explode(F.sequence(F.lit(0), last)))
+    length = F.floor(F.size("samples") / samples).cast("int")
+    planar = F.slice("samples", F.col("component") * length + 1, length)
+    own = F.when(~rgb, F.col("samples")).when(together, geometry.components(F.col("samples"), samples, F.col("component"))).otherwise(planar)
+    c = F.when(rgb, F.col("c") * samples + F.col("component")).otherwise(F.col("c"))
+    return split.withColumns({"c": c.cast("int"), "samples": own}).drop("component")
 
 
 def separated_order(order: str) -> str:
@@ -25,12 +36,18 @@ def separated_order(order: str) -> str:
 
 
 def merge_channels(planes: DataFrame) -> DataFrame:
-    """The two to four one-sample channels of each Z and T as one planar RGB plane; others stay."""
-    parts = planes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("c", "samples"))).alias("parts"))
+    """The two to four one-sample channels of each Z and T as one planar RGB plane (its c is 0); others stay.
+
+    Planes are one where they agree in series, resolution, window and type. Rows have the columns of SAME
+    that planes have, c and samples; a group holds no more planes than there are channels.
+    """
+    keys = [k for k in SAME if k in planes.columns]
+    own = F.col("samples_per_pixel") if "samples_per_pixel" in planes.columns else F.lit(1)
+    parts = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "samples"))).alias("parts"), F.max(own).alias("own"))
     merged = F.flatten(F.transform("parts", lambda p: p["samples"]))
-    many = F.size("parts").between(2, 4)
-    whole = F.when(many, F.array(F.struct(F.lit(0).alias("c"), merged.alias("samples")))).otherwise(F.col("parts"))
-    return parts.select(*KEY, F.explode(whole).alias("p")).select(*KEY, "p.c", "p.samples")
+    few = F.size("parts").between(2, 4) & (F.col("own") == 1)
+    whole = F.when(few, F.array(F.struct(F.lit(0).alias("c"), merged.alias("samples")))).otherwise(F.col("parts"))
+    return parts.select(*keys, F.explode(whole).alias("p")).select(*keys, "p.c", "p.samples")
 
 
 def fill_channels(planes: DataFrame, red: Column, green: Column, blue: Column, interleaved: bool = True) -> DataFrame:

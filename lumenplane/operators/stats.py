@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _INF = float("inf")
@@ -23,10 +23,14 @@ def known_min_max(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.min("minimum").alias("known_minimum"), F.max("maximum").alias("known_maximum"))
 
 
-def global_min_max(parts: DataFrame, keys: list[str], image_count: int) -> DataFrame:
-    """Known values, and global ones once every plane has been read in full (column full)."""
+def global_min_max(parts: DataFrame, keys: list[str], image_count: int | Column) -> DataFrame:
+    """Known values, and global ones once every plane has been read in full (column full).
+
+    image_count: how many planes there are, a number or an aggregate.
+    """
     return parts.groupBy(*keys).agg(
+        (F.lit(image_count) if isinstance(image_count, int) else image_count).alias("__all"),
         F.min("minimum").alias("known_minimum"),
         F.max("maximum").alias("known_maximum"),
         F.count_distinct(F.when(F.col("full"), F.col("plane_index"))).alias("planes_read"),
-    ).withColumn("global_minimum", F.when(F.col("planes_read") == image_count, F.col("known_minimum"))).withColumn("global_maximum", F.when(F.col("planes_read") == image_count, F.col("known_maximum")))
+    ).withColumn("global_minimum", F.when(F.col("planes_read") == F.col("__all"), F.col("known_minimum"))).withColumn("global_maximum", F.when(F.col("planes_read") == F.col("__all"), F.col("known_maximum"))).drop("__all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,14 @@ def quantise(df: DataFrame) -> DataFrame:
     return df.withColumn("samples", F.transform("samples", lambda v: F.floor((v + 16) * 1000).cast("double")))
 
 
-@query(f"WITH {PIXELS_SQL} SELECT c, min(value) AS known_minimum, max(value) AS known_maximum, CAST(count(DISTINCT vec_id) AS BIGINT) AS planes_read FROM pixels WHERE NOT isnan(value) GROUP BY c")
+@query(f"WITH {PIXELS_SQL} SELECT c, min(value) AS known_minimum, max(value) AS known_maximum, CAST(count(DISTINCT vec_id) AS BIGINT) AS planes_read, CASE WHEN c < 5 THEN min(value) END AS global_minimum, CASE WHEN c < 5 THEN max(value) END AS global_maximum FROM pixels WHERE NOT isnan(value) GROUP BY c")
 def channel_stats(spark, sf_dir):
-    parts = stats.plane_min_max(planes(spark, sf_dir)).withColumns({"full": F.lit(True), "plane_index": F.col("vec_id")})
-    return stats.global_min_max(parts, ["c"], 1).select("c", "known_minimum", "known_maximum", "planes_read")
+    """All planes of a channel are read; the channels from the sixth on have one more that is not."""
+    read = planes(spark, sf_dir)
+    per_channel = read.agg((F.count(F.lit(1)) / C).cast("bigint").alias("n"))  # one row
+    parts = stats.plane_min_max(read).withColumns({"full": F.lit(True), "plane_index": F.col("vec_id")}).join(F.broadcast(per_channel))
+    expected = F.max(F.col("n") + F.when(F.col("c") < 5, 0).otherwise(1))
+    return stats.global_min_max(parts, ["c"], expected).select("c", "known_minimum", "known_maximum", "planes_read", "global_minimum", "global_maximum")
 
 
 @query(f"WITH {PIXELS_SQL} SELECT vec_id, min(value) AS minimum, max(value) AS maximum FROM pixels GROUP BY vec_id")
@@ -64,8 +69,8 @@ def plane_min_max(spark, sf_dir):
 def partial_min_max(spark, sf_dir):
     full = F.col("t") % 2 == 0
     read = planes(spark, sf_dir).withColumn("samples", F.when(full, F.col("samples")).otherwise(F.slice("samples", 1, 32))).withColumns({"full": full, "plane_index": F.col("vec_id")})
-    count = read.count()
-    return stats.global_min_max(stats.plane_min_max(read, 2), ["component"], count).select("component", "known_minimum", "known_maximum", "global_minimum", "global_maximum")
+    count = read.agg(F.count(F.lit(1)).alias("image_count"))  # one row
+    return stats.global_min_max(stats.plane_min_max(read, 2).join(F.broadcast(count)), ["component"], F.max("image_count")).select("component", "known_minimum", "known_maximum", "global_minimum", "global_maximum")
 
 
 def _order_sql() -> str:
@@ -82,13 +87,11 @@ def _order_sql() -> str:
 def plane_coordinates(spark, sf_dir):
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
     total = base.agg(F.floor(F.count(F.lit(1)) / 50).cast("bigint").alias("total"))
-    base, out = base.join(F.broadcast(total)), None  # one row: the number of time points
     sizes = F.lit(Z).cast("bigint"), F.lit(C).cast("bigint"), F.col("total")
-    for order in ORDERS:
-        at = base.select("vec_id", "total", F.lit(order).alias("dimension_order"), geometry.plane_coordinates(order, F.col("vec_id"), *sizes).alias("at")).select("vec_id", "total", "dimension_order", "at.*")
-        part = at.withColumn("plane_index", geometry.plane_index(order, sizes, F.col("z"), F.col("c"), F.col("t"))).drop("total")
-        out = part if out is None else out.unionAll(part)
-    return out
+    rows = base.join(F.broadcast(total)).withColumn("dimension_order", F.explode(F.array(*map(F.lit, ORDERS))))  # one row: the number of time points
+    of = lambda f: F.coalesce(*[F.when(F.col("dimension_order") == o, f(o)) for o in ORDERS])
+    at = rows.withColumn("at", of(lambda o: geometry.plane_coordinates(o, F.col("vec_id"), *sizes))).select("vec_id", "total", "dimension_order", "at.*")
+    return at.withColumn("plane_index", of(lambda o: geometry.plane_index(o, sizes, F.col("z"), F.col("c"), F.col("t")))).drop("total")
 
 
 @query(f"WITH {PIXELS_SQL} SELECT vec_id, CAST(y - 2 AS INTEGER) AS y, CAST(x - vec_id % 3 AS INTEGER) AS x, value FROM pixels WHERE y BETWEEN 2 AND 4 AND x BETWEEN vec_id % 3 AND vec_id % 3 + 4")
@@ -115,9 +118,13 @@ def channel_separator(spark, sf_dir):
     return pixel_rows(reshape.separate_channels(planes(spark, sf_dir), 2), "vec_id", "c", width=4)
 
 
-@query(f"WITH {PIXELS_SQL} SELECT z, t, CAST(c * 8 + y AS INTEGER) AS y, x, value FROM pixels WHERE c < 3")
+@query(
+    f"WITH {PIXELS_SQL} SELECT CAST(CASE WHEN c = 9 THEN 3 ELSE c // 3 END AS VARCHAR) AS dataset_id, z, t, CAST(CASE WHEN c = 9 THEN 9 ELSE 0 END AS INTEGER) AS c, CAST(CASE WHEN c = 9 THEN 0 ELSE c % 3 END * 8 + y AS INTEGER) AS y, x, value FROM pixels"
+)
 def channel_merger(spark, sf_dir):
-    return pixel_rows(reshape.merge_channels(planes(spark, sf_dir).where("c < 3")), "z", "t")
+    """Ten channels as four datasets: three of three channels, merged, and one of a single channel, which stays."""
+    parted = planes(spark, sf_dir).withColumn("dataset_id", F.floor(F.col("c") / 3).cast("string"))
+    return pixel_rows(reshape.merge_channels(parted), "dataset_id", "z", "t", "c")
 
 
 @query(
@@ -145,9 +152,10 @@ def dimension_reorder(spark, sf_dir):
 
 @query(f"WITH {PIXELS_SQL} SELECT z, c, t, sum({QUANTISED})::BIGINT AS total FROM pixels GROUP BY z, c, t")
 def file_stitcher(spark, sf_dir):
-    """Every time point as a file of its own, opened together by a pattern."""
-    base = quantise(planes(spark, sf_dir)).withColumn("dataset_id", F.concat(F.lit("plane_T"), F.lpad(F.col("t").cast("string"), 4, "0"), F.lit(".mrc"))).withColumn("t", F.lit(0))
-    wanted = spark.createDataFrame([("plane_T<0000-9999>.mrc",)], "pattern string")
+    """Every time point as a file of its own, opened together by a pattern that reaches as far as they do."""
+    base = quantise(planes(spark, sf_dir)).withColumn("dataset_id", F.concat(F.lit("plane_T"), F.lpad(F.col("t").cast("string"), 9, "0"), F.lit(".mrc"))).withColumn("t", F.lit(0))
+    last = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.floor(F.max("vec_id") / 50).alias("last"))
+    wanted = last.select(F.concat(F.lit("plane_T<000000000-"), F.lpad(F.col("last").cast("string"), 9, "0"), F.lit(">.mrc")).alias("pattern"))
     files = patterns.expand(wanted, 1).select(F.col("file").alias("dataset_id"), F.lit(0).alias("file_z"), F.lit(0).alias("file_c"), F.col("file_index").alias("file_t"), F.lit(Z).alias("base_z"), F.lit(C).alias("base_c"), F.lit(1).alias("base_t"))
     total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).cast("bigint")
     return reshape.stitch(base, files).select("z", "c", "t", total.alias("total"))
@@ -170,21 +178,40 @@ def find_pattern(spark, sf_dir):
     return patterns.infer(names)
 
 
-@query("SELECT p_partkey, CASE WHEN upper(p_name[-1]) IN ('Z','C','T','S') THEN upper(p_name[-1]) END AS axis FROM part WHERE regexp_matches(p_name, '[A-Za-z]$')")
+@query(
+    "SELECT p_partkey, CASE WHEN l IN ('Z','C','T','S') THEN l END AS axis FROM (SELECT p_partkey, upper(coalesce(nullif(regexp_extract(p_name, '([A-Za-z])[^A-Za-z]*$', 1), ''), 'z')) AS l FROM part)"
+)
 def axis_hint(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_name rlike '[A-Za-z]$'")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     return parts.select("p_partkey", patterns.axis_hint(F.col("p_name"), F.lit("zzz")).alias("axis"))
 
 
-@query(
-    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_retailprice * 1e-3 WHEN 1 THEN p_retailprice * 1.0 WHEN 2 THEN p_retailprice * 1e3 WHEN 3 THEN p_retailprice * 25400.0 WHEN 4 THEN p_retailprice * 1e-4 END AS micrometres, "
-    "CASE p_partkey % 6 WHEN 0 THEN p_retailprice * 1e-9 WHEN 3 THEN p_retailprice * 60.0 WHEN 4 THEN p_retailprice * 3600.0 END AS seconds FROM part"
+# Fixed values, beside those of the operator: units and their factors to micrometres and seconds, as text.
+_LENGTHS_SQL = (
+    "Ym 1e30, Zm 1e27, Em 1e24, Pm 1e21, Tm 1e18, Gm 1e15, Mm 1e12, km 1e9, hm 1e8, dam 1e7, m 1e6, dm 1e5, cm 1e4, mm 1e3, µm 1e0, um 1e0, nm 1e-3, pm 1e-6, fm 1e-9, am 1e-12, zm 1e-15, ym 1e-18, "
+    "Å 1e-4, thou 25.4e0, li (25400e0/12), in 25400e0, ft 304800e0, yd 914400e0, mi 1609344000e0, ua 1.495978707e17, ly 9.4607304725808e21, pc 3.085677581491367e22, pt (25400e0/72), furlong NULL, mil NULL, MM NULL, pixel NULL"
 )
+_TIMES_SQL = "Ys 1e24, Zs 1e21, Es 1e18, Ps 1e15, Ts 1e12, Gs 1e9, Ms 1e6, ks 1e3, hs 1e2, das 1e1, s 1e0, ds 1e-1, cs 1e-2, ms 1e-3, µs 1e-6, us 1e-6, ns 1e-9, ps 1e-12, fs 1e-15, as 1e-18, zs 1e-21, ys 1e-24, min 60e0, h 3600e0, d 86400e0, x NULL"
+_COMMENTS_SQL = "micron 1e0, Microns 1e0, micrometer 1e0, MICROMETERS 1e0, nanometer 1e-3, nanometers 1e-3, millimeter 1e3, millimeters 1e3, centimeter 1e4, centimeters 1e4, meter 1e6, meters 1e6, inch 25400e0, Inches 25400e0, cm 1e4, CM NULL, nm 1e-3, µm 1e0, pixel NULL, ä NULL"
+_UNITS = {name: [u.rsplit(" ", 1) for u in text.split(", ")] for name, text in (("length", _LENGTHS_SQL), ("time", _TIMES_SQL), ("comment", _COMMENTS_SQL))}
+
+
+def _units_sql() -> str:
+    parts = []
+    for name, value in (("length", "p_retailprice * f"), ("time", "p_retailprice * f"), ("comment", "f")):
+        rows = ", ".join(f"({k}, '{u}', CAST({f} AS DOUBLE))" for k, (u, f) in enumerate(_UNITS[name]))
+        parts.append(f"SELECT p_partkey, '{name}' AS kind, u AS unit, {value} AS value FROM part JOIN (VALUES {rows}) AS v(k, u, f) ON p_partkey % {len(_UNITS[name])} = k")
+    return " UNION ALL ".join(parts)
+
+
+@query(_units_sql())
 def unit_conversion(spark, sf_dir):
-    length = F.element_at(F.array(*[F.lit(u) for u in ("nm", "µm", "mm", "in", "Å", "furlong")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    time = F.element_at(F.array(*[F.lit(u) for u in ("ns", "x", "y", "min", "h", "")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    base = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return base.select("p_partkey", units.convert(F.col("p_retailprice"), length, units.LENGTHS).alias("micrometres"), units.convert(F.col("p_retailprice"), time, units.TIMES).alias("seconds"))
+    """Every unit of length, time and comments, and some that are none, one for each part."""
+    base, key = spark.read.parquet(f"{sf_dir}/part.parquet"), F.col("p_partkey")
+    unit = {name: F.element_at(F.array(*[F.lit(u) for u, _ in rows]), (key % len(rows) + 1).cast("int")) for name, rows in _UNITS.items()}
+    values = {"length": units.convert(F.col("p_retailprice"), unit["length"], units.LENGTHS), "time": units.convert(F.col("p_retailprice"), unit["time"], units.TIMES), "comment": units.comment_factors(unit["comment"])}
+    told = F.array(*[F.struct(F.lit(name).alias("kind"), unit[name].alias("unit"), value.alias("value")) for name, value in values.items()])
+    return base.select("p_partkey", F.explode(told).alias("v")).select("p_partkey", "v.*")
 
 
 @query("SELECT o_orderkey, TRY_CAST(regexp_extract(v, '^[+-]?[0-9]+$') AS BIGINT) AS number FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN ' ' || o_custkey WHEN 2 THEN '-' || o_custkey ELSE o_custkey || 'd' END AS v FROM orders)")
@@ -195,23 +222,23 @@ def strict_numbers(spark, sf_dir):
 
 
 @query(
-    f"WITH {PIXELS_SQL} SELECT CAST(t AS INTEGER) AS canvas, CAST(y + 5 * (s // 3) AS INTEGER) AS y, CAST(x + 5 * (s % 3) AS INTEGER) AS x, arg_max(value, s) AS value FROM (SELECT *, vec_id % 50 AS s FROM pixels WHERE vec_id % 50 < 9) GROUP BY ALL"
+    f"WITH {PIXELS_SQL} SELECT CAST(t AS INTEGER) AS canvas, CAST(y + 5 * (s // 7) AS INTEGER) AS y, CAST(x + 5 * (s % 7) AS INTEGER) AS x, arg_max(value, s) AS value FROM (SELECT *, vec_id % 50 AS s FROM pixels) GROUP BY ALL"
 )
 def mosaic(spark, sf_dir):
     seq = F.pmod("vec_id", F.lit(50)).cast("int")
-    tiles = planes(spark, sf_dir).where(seq < 9).select(F.col("t").alias("canvas"), seq.alias("tile_seq"), (5 * (seq % 3)).alias("x"), (5 * F.floor(seq / 3)).cast("int").alias("y"), F.lit(SIZE).alias("width"), "samples")
+    tiles = planes(spark, sf_dir).select(F.col("t").alias("canvas"), seq.alias("tile_seq"), (5 * (seq % 7)).alias("x"), (5 * F.floor(seq / 7)).cast("int").alias("y"), F.lit(SIZE).alias("width"), "samples")
     return compose.mosaic(tiles, ["canvas"])
 
 
 @query(
     "WITH b AS (SELECT vec_id % 7 AS g, vec_id AS id, CAST(vec_id * 37 % 1500 AS INTEGER) AS x, CAST(vec_id * 53 % 1100 AS INTEGER) AS y, CAST(20 + vec_id % 90 AS INTEGER) AS w, CAST(10 + vec_id % 70 AS INTEGER) AS h FROM embeddings) "
     "SELECT t.g, t.id AS tile_seq, w.id AS window_id, CAST(greatest(t.x, w.x) AS INTEGER) AS x, CAST(greatest(t.y, w.y) AS INTEGER) AS y, CAST(least(t.x + t.w, w.x + w.w) - greatest(t.x, w.x) AS INTEGER) AS width, CAST(least(t.y + t.h, w.y + w.h) - greatest(t.y, w.y) AS INTEGER) AS height "
-    "FROM b t JOIN b w ON t.g = w.g AND w.id % 5 = 0 AND t.x < w.x + w.w AND w.x < t.x + t.w AND t.y < w.y + w.h AND w.y < t.y + t.h"
+    "FROM b t JOIN b w ON t.g = w.g AND t.x < w.x + w.w AND w.x < t.x + t.w AND t.y < w.y + w.h AND w.y < t.y + t.h"
 )
 def tile_overlap(spark, sf_dir):
     v = F.col("vec_id")
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((v % 7).alias("g"), v.alias("id"), (v * 37 % 1500).cast("int").alias("x"), (v * 53 % 1100).cast("int").alias("y"), (20 + v % 90).cast("int").alias("width"), (10 + v % 70).cast("int").alias("height"))
-    windows = base.where("id % 5 = 0").withColumnRenamed("id", "window_id")
+    windows = base.withColumnRenamed("id", "window_id")
     return compose.overlapping(base.withColumnRenamed("id", "tile_seq"), windows, ["g"], 128)
 
 
@@ -230,11 +257,8 @@ def predictor(spark, sf_dir):
 
 @query("SELECT n_nationkey, CAST(i AS INTEGER) AS entry, CAST(least(65535, floor(CAST(n_nationkey * 10 AS DOUBLE) * (i / 255.0::DOUBLE))) AS INTEGER) AS value FROM nation, range(256) AS r(i)")
 def lookup_ramp(spark, sf_dir):
-    out = None
-    for k in range(25):
-        part = spark.range(1).select(F.lit(k).alias("n_nationkey"), F.posexplode(geometry.lookup_ramp(10 * k, 256)).alias("entry", "value"))
-        out = part if out is None else out.unionAll(part)
-    return out.join(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey"), "n_nationkey", "left_semi")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select("n_nationkey", F.posexplode(geometry.lookup_ramp(F.col("n_nationkey") * 10, 256)).alias("entry", "value"))
 
 
 def _files(spark, sf_dir, extension: str, make, dtype: str, quantised: bool = False) -> DataFrame:
@@ -308,11 +332,13 @@ def scan_nd2(spark, sf_dir):
     return _decoded(spark, sf_dir, "nd2", lambda p: fixtures.nd2(p, packed=True, pad=2), "u2", True)
 
 
-@query(f"WITH {PIXELS_SQL} SELECT CAST(vec_id % 50 AS INTEGER) AS t, CAST(t AS INTEGER) AS z, CAST(7 - y AS INTEGER) AS y, x, CAST({QUANTISED} AS DOUBLE) AS value FROM pixels WHERE t < 10")
+@query(f"WITH {PIXELS_SQL} SELECT CAST(vec_id % 50 AS INTEGER) AS t, CAST(t AS INTEGER) AS z, CAST(7 - y AS INTEGER) AS y, x, CAST({QUANTISED} AS DOUBLE) AS value FROM pixels")
 def scan_dcimg_group(spark, sf_dir):
     """The files of a folder are Z, in order of name; frames are T; rows come bottom up."""
-    base = quantise(planes(spark, sf_dir)).where("t < 10")
-    read = scan.read(scan.datasets(fixtures.build(base, "mem", "dcimg", fixtures.dcimg, "u2")))
+    made = fixtures.build(quantise(planes(spark, sf_dir)), "mem", "dcimg", fixtures.dcimg, "u2")
+    # names sort as text, so that file 10 does not come before file 2
+    named = made.withColumn("path", F.concat(F.lit("mem/"), F.lpad(F.regexp_extract("path", "(\\d+)\\.", 1), 9, "0"), F.lit(".dcimg")))
+    read = scan.read(scan.datasets(named))
     return pixel_rows(read.select("t", "z", "samples"), "t", "z")
 
 
@@ -338,11 +364,12 @@ def tile_index(spark, sf_dir):
 
 
 @query(
-    "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'tiff' WHEN 1 THEN 'czi' WHEN 2 THEN 'nd2' WHEN 3 THEN 'nrrd' WHEN 4 THEN 'dcimg' WHEN 5 THEN 'tiff' END AS format FROM part"
+    "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'tiff' WHEN 1 THEN 'czi' WHEN 2 THEN 'nd2' WHEN 3 THEN 'nrrd' WHEN 4 THEN 'dcimg' WHEN 5 THEN 'tiff' WHEN 7 THEN 'mrc' WHEN 8 THEN 'mrc' END AS format FROM part"
 )
 def detect_format(spark, sf_dir):
-    marks = (b"II*\0", b"ZISRAWFILE", b"\xda\xce\xbe\x0a", b"NRRD0004", b"DCIMG", b"none", b"none")
-    k = (F.col("p_partkey") % 7 + 1).cast("int")
+    volume = fixtures.mrc(np.zeros((2, 3, 4), np.uint16))
+    marks = (b"II*\0", b"ZISRAWFILE", b"\xda\xce\xbe\x0a", b"NRRD0004", b"DCIMG", b"none", b"none", volume, fixtures.mrc(np.zeros((2, 3, 4), np.float32), ">"), volume[:1000])
+    k = (F.col("p_partkey") % 10 + 1).cast("int")
     content = F.element_at(F.array(*[F.lit(bytearray(m)) for m in marks]), k)
     path = F.when(k == 6, F.lit("a/b.TIFF")).otherwise(F.lit("a/b.bin"))
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", scan.detect(content, path).alias("format"))
