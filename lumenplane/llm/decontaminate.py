@@ -9,26 +9,32 @@ The passage around a seed reaches as far as an alignment of `least` through it c
 only if the item's words that it holds could reach `least`, which leaves out most meetings by a
 common trigram and no pair. A pair that reaches `least` without three words in a row is not found.
 
-Items are a query set: they are taken in blocks of BLOCK_ITEMS, each broadcast with its seeds in one
-pass over all documents, however many documents hold an item. A null doc_id keeps its pairs. Texts are neither shuffled nor cut.
-
-Defined results: null and empty texts and items match nothing. Rows that are repeated give repeated
-pairs; of several passages of a document the best alignment counts, the first on a tie. Extra columns
-are ignored.
+Items are a query set: they are taken in blocks of BLOCK_ITEMS items and BLOCK_BYTES bytes at most (or
+one item), each broadcast with its seeds for one pass over all documents, however many documents hold an
+item. The driver and the executors hold one block at a time: with several, each one's result is written
+before the next is read. Texts are neither shuffled nor cut.
+
+Defined results: null and empty texts and items match nothing. A null doc_id keeps its pairs. Rows that
+are repeated give repeated pairs; of several passages of a document the best alignment counts, the first
+on a tie. `contaminated` ignores extra columns; `flag` passes them through, and one that bears the name of
+the result, in any case, gets `_given` added to its name.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumenplane.llm.common import mix, word_hashes
+from lumenplane.llm.common import beside, mix, word_hashes, work_dir, written
 
 N = 3
 #: Items held at once by the driver and each task.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 GROUP_BYTES = 2 << 20
 _FILTER_BITS = 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -127,44 +133,64 @@ def match(index: Index, texts: list, least: float) -> list[tuple[int, int, float
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, item_id, score (0 to 1) and end_word of all pairs of a document and a test item that it holds."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     kind, item_kind = rows.schema["k"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"{key} {kind}, item_id {item_kind}, score double, end_word long"
-    found = rows.limit(0).selectExpr(f"k as {key}", f"cast(null as {item_kind}) as item_id", "cast(null as double) as score", "cast(null as bigint) as end_word")
-    for index in _blocks(docs.sparkSession, items):
-        found = found.unionAll(rows.mapInArrow(_searcher(index, least), schema))
-    return found
+    spark, parts, blocks = docs.sparkSession, [], _blocks(items)
+    block = next(blocks, None)
+    while block is not None:
+        after, shared = next(blocks, None), spark.sparkContext.broadcast(Index(*block))
+        found = rows.mapInArrow(_searcher(shared, least), schema)
+        if after is not None or parts:
+            found = written(found, f"{work_dir(spark)}/found")
+            shared.destroy()
+        parts.append(found)
+        block = after
+    return functools.reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
 def flag(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "text", out: str = "contaminated") -> DataFrame:
     """docs with a boolean column: whether a document holds any test item."""
-    fields = [f for f in docs.schema.fields if f.name != out]
-    at, names = [f.name for f in fields].index(text), [*(f.name for f in fields), out]
-    flagged = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.lit(False).alias(out))
-    schema = flagged.schema
-    for index in _blocks(docs.sparkSession, items):
-
-        def run(batches, index=index):
+    at = docs.columns.index(text)
+    carried = beside(docs, out)
+    names = [*carried.columns, out]
+    rows = carried.withColumn(out, F.lit(False))
+    schema = T.StructType([*carried.schema.fields, T.StructField(out, T.BooleanType())])
+
+    def mark(df, index):
+        def run(batches):
             for batch in batches:
                 held = np.array(batch.column(len(names) - 1).to_numpy(zero_copy_only=False), bool)
                 for i, pairs in _groups(batch.column(at).to_pylist(), index.value, least):
                     held[[i + p[0] for p in pairs]] = True
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held)], names=names)
 
-        flagged = flagged.mapInArrow(run, schema)
-    return flagged
+        return df.mapInArrow(run, schema)
+
+    spark, blocks = docs.sparkSession, _blocks(items)
+    block = next(blocks, None)
+    while block is not None:
+        after, shared = next(blocks, None), spark.sparkContext.broadcast(Index(*block))
+        rows = mark(rows, shared)
+        if after is not None:  # rows so far, as they are known, before the next block is held
+            rows = written(rows, f"{work_dir(spark)}/flagged")
+            shared.destroy()
+        block = after
+    return rows
 
 
-def _blocks(spark, items: DataFrame) -> list:
-    """Broadcast indexes of all items, BLOCK_ITEMS at a time."""
-    spans, part = [], []
+def _blocks(items: DataFrame):
+    """Ids and texts of all items, a block at a time."""
+    ids, texts, size = [], [], 0
     for r in items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
-        if len(part) == BLOCK_ITEMS:
-            spans.append(part)
-            part = []
-        part.append((r.item_id, r.text))
-    spans += [part] if part else []
-    return [spark.sparkContext.broadcast(Index([i for i, _ in span], [t for _, t in span])) for span in spans]
+        if ids and (len(ids) == BLOCK_ITEMS or size + len(r.text) > BLOCK_BYTES):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(r.item_id)
+        texts.append(r.text)
+        size += len(r.text)
+    if ids:
+        yield ids, texts
 
 
 def _groups(texts: list, index: Index, least: float):

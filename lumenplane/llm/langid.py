@@ -6,11 +6,15 @@ characters become single blanks, and the bytes are compressed in blocks of BLOCK
 text's own history does not drown the dictionaries.
 
 Dictionaries are learned from at most SAMPLE_DOCS distinct texts for each language, those of the
-least hashes; copies of a text count once, and no more than that many texts reach the driver.
+least hashes; copies of a text count once. Each text is cut, as a whole, into pieces of about PIECE
+bytes, and a dictionary takes one piece of every text, then a second one and so on, in the order of
+their hashes, until it is full: any place of a text counts alike, and only what is taken reaches the
+driver, at most DICTIONARY_BYTES for each language.
 
 Defined results: null texts and texts without a letter are `und`, score 0 and rejected. Equal sizes
 take the language learned from most documents, with score 0. Without any learned language all texts
-are `und`. Repeated rows and clashing extra columns pass through.
+are `und`. Repeated rows stay. Extra columns pass through; one that bears the name of a result, in any
+case, gets `_given` added to its name.
 """
 
 from __future__ import annotations
@@ -19,15 +23,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenplane.llm.common import beside
+
 #: Texts a language is learned from, at most, and bytes of a dictionary.
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 112_640
+PIECE = 256
 BLOCK = 4096
 #: Below this share of bytes saved against the second language a text is rejected.
 MARGIN = 0.004
@@ -57,15 +65,35 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, by
     near = rows.select("l", "h").where(drawn < F.try_element_at(F.create_map(*share), F.col("l"))).distinct()
     rank = F.row_number().over(W.partitionBy("l").orderBy(F.shiftrightunsigned("h", 11), "h"))
     least = near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("l", "h")
+    chosen = rows.join(F.broadcast(least), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = W.partitionBy("l").orderBy("turn", "h", "piece")  # of a sample of bounded size
+    full = F.sum(F.octet_length("piece") + 1).over(order.rowsBetween(W.unboundedPreceding, 0))
+    taken = chosen.mapInArrow(_cut, "l string, h long, turn int, piece binary").withColumn("used", full).where(F.col("used") <= DICTIONARY_BYTES + 1)
     sample: dict[str, list] = {l: [] for l in counts}
-    for l, h, t in rows.join(F.broadcast(least), ["l", "h"]).groupBy("l", "h").agg(F.min("t")).collect():
-        sample[l].append((h % (1 << 64) >> 11, h, t))
-    learned = {}
-    for l in sorted(sample, key=lambda l: (-counts[l], l)):
-        texts = [normalised(t) for *_, t in sorted(sample[l])]
-        each = max(64, DICTIONARY_BYTES // max(1, len(texts)))
-        learned[l] = b" ".join(t[:each] for t in texts)[:DICTIONARY_BYTES] or b" "
-    return learned
+    for l, h, turn, piece in taken.select("l", "h", "turn", "piece").collect():
+        sample[l].append((turn, h, bytes(piece)))
+    return {l: b" ".join(p for *_, p in sorted(sample[l])) or b" " for l in sorted(sample, key=lambda l: (-counts[l], l))}
+
+
+def pieces(data: bytes) -> list[bytes]:
+    """Normalised text in pieces of about PIECE bytes, in the order of their hashes."""
+    out, at = [], 0
+    while at < len(data):
+        stop = at + PIECE
+        if stop < len(data):
+            blank = data.rfind(b" ", at + 1, stop + 1)
+            stop = blank if blank > 0 else stop
+            while blank <= 0 and stop < len(data) and data[stop] & 0xC0 == 0x80:  # no cut within a letter
+                stop += 1
+        out.append(data[at:stop].strip(b" "))
+        at = stop
+    return sorted({p for p in out if p}, key=lambda p: (xxhash.xxh64_intdigest(p), p))
+
+
+def _cut(batches):
+    for batch in batches:
+        rows = [(l, h, k, p) for l, h, t in zip(*(c.to_pylist() for c in batch.columns)) for k, p in enumerate(pieces(normalised(t))[: DICTIONARY_BYTES // PIECE + 1])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["l", "h", "turn", "piece"])
 
 
 def compressors(learned: dict[str, bytes]) -> list:
@@ -85,8 +113,9 @@ def sizes(data: bytes, made: list) -> list[int]:
 def predict(docs: DataFrame, learned: dict[str, bytes], text: str = "text") -> DataFrame:
     """docs with lang_pred (string), score (double, 0 to 1) and rejected (boolean)."""
     new = ("lang_pred", "score", "rejected")
-    fields = [f for f in docs.schema.fields if f.name not in new]
-    at = [f.name for f in fields].index(text)
+    at = docs.columns.index(text)
+    carried = beside(docs, *new)
+    fields = carried.schema.fields
     langs, shared = list(learned), docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
@@ -106,4 +135,4 @@ def predict(docs: DataFrame, learned: dict[str, bytes], text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(f.name for f in fields), *new])
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema)

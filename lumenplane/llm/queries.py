@@ -76,9 +76,32 @@ def op9_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def with_tool_traffic(conversations: DataFrame) -> DataFrame:
+    """conversations, and a twin of each (its id counted down from -1) that talks to tools.
+
+    The table itself holds no call. In a twin every assistant's message becomes calls (tool and arguments
+    by conversation and turn, some of them faulty, some without an id) and every user's message the result
+    of the call a turn later or earlier; others stay.
+    """
+    turn, n, h = F.col("turn"), F.char_length(F.coalesce("text", F.lit(""))).cast("string"), F.md5(F.coalesce("text", F.lit("")))
+    kind = F.pmod(F.col("conv_id") + turn, F.lit(6))
+    q = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    asked = (
+        F.when(kind == 0, q('"search","arguments":{"query":"', h, '","limit":', n, "}")).when(kind == 1, q('"search","arguments":{"query":"', h, '","limit":"', n, '"}'))
+        .when(kind == 2, q('"weather","arguments":{"city":"', h, '","celsius":true}')).when(kind == 3, q('"weather","arguments":{"celsius":false}'))
+        .when(kind == 4, q('"calculate","arguments":{"expression":"', h, '","depth":{"a":null,"b":[', n, ",1.5]}}")).otherwise(q('"fly","arguments":{}'))
+    )
+    more = F.when(turn % 5 == 3, q(',{"id":null,"name":"calculate","arguments":{"expression":"', h, '"}}')).otherwise("")
+    call = q('{"tool_calls":[{"id":"c', turn.cast("string"), '","name":', asked, "}", more, '],"content":"', h, '"}')
+    answer = q('{"tool_call_id":"c', (turn + F.when(F.col("conv_id") % 2 == 0, 1).otherwise(-1)).cast("string"), '","content":"', h, '"}')
+    role = F.col("role")
+    twin = conversations.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", F.when(role == "user", "tool").otherwise(role).alias("role"), F.when(role == "assistant", call).when(role == "user", answer).otherwise(F.col("text")).alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").unionAll(twin)
+
+
 @query
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.link(with_tool_traffic(table(spark, sf_dir, "conversations")))
 
 
 @query
@@ -122,8 +145,30 @@ ORACLES["op5_licenses"] = (
     f"SELECT docs.doc_id, sha256({_canonical_sql('docs.text')}) AS text_digest, known.l AS license, coalesce(hits.line_licenses, '') AS line_licenses FROM docs LEFT JOIN known ON known.d = sha256({_canonical_sql('docs.text')}) LEFT JOIN hits ON hits.doc_id = docs.doc_id AND hits.text = docs.text"
 )
 
-# the table holds no tool call: every message is plain content
+_TRAFFIC_SQL = (
+    "base AS (SELECT conv_id, turn, role, text, CAST(length(coalesce(text, '')) AS VARCHAR) AS n, md5(coalesce(text, '')) AS h, (conv_id + turn) % 6 AS kind FROM conversations), "
+    "rows AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1 - conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END, CASE role WHEN 'assistant' THEN "
+    "'{\"tool_calls\":[{\"id\":\"c' || turn || '\",\"name\":' || CASE kind WHEN 0 THEN '\"search\",\"arguments\":{\"query\":\"' || h || '\",\"limit\":' || n || '}' WHEN 1 THEN '\"search\",\"arguments\":{\"query\":\"' || h || '\",\"limit\":\"' || n || '\"}' "
+    "WHEN 2 THEN '\"weather\",\"arguments\":{\"city\":\"' || h || '\",\"celsius\":true}' WHEN 3 THEN '\"weather\",\"arguments\":{\"celsius\":false}' WHEN 4 THEN '\"calculate\",\"arguments\":{\"expression\":\"' || h || '\",\"depth\":{\"a\":null,\"b\":[' || n || ',1.5]}}' ELSE '\"fly\",\"arguments\":{}' END "
+    "|| '}' || CASE WHEN turn % 5 = 3 THEN ',{\"id\":null,\"name\":\"calculate\",\"arguments\":{\"expression\":\"' || h || '\"}}' ELSE '' END || '],\"content\":\"' || h || '\"}' "
+    "WHEN 'user' THEN '{\"tool_call_id\":\"c' || (turn + CASE WHEN conv_id % 2 = 0 THEN 1 ELSE -1 END) || '\",\"content\":\"' || h || '\"}' ELSE text END FROM base)"
+)
+_OWN = {"search": ("query", "limit"), "weather": ("city", "celsius"), "calculate": ("expression",)}
+_FAULT_SQL = " ".join(
+    f"WHEN c.name = '{tool}' AND coalesce(json_type(c.a, '$.{fields[0]}'), 'NULL') = 'NULL' THEN 'missing argument of {tool}' "
+    f"WHEN c.name = '{tool}' AND (NOT list_has_all({list(fields)}, json_keys(c.a)) OR json_type(c.a, '$.{fields[0]}') <> 'VARCHAR' OR json_extract_string(c.a, '$.{fields[0]}') = '' OR {more}) THEN 'wrong argument of {tool}'"
+    for (tool, fields), more in zip(_OWN.items(), ("coalesce(json_type(c.a, '$.limit') NOT IN ('UBIGINT', 'BIGINT', 'HUGEINT'), false)", "coalesce(json_type(c.a, '$.celsius') <> 'BOOLEAN', false)", "false"))
+)
 ORACLES["op7_chat"] = (
-    "SELECT DISTINCT conv_id, turn, turn AS order_turn, CAST(0 AS INTEGER) AS order_step, role, CAST(0 AS INTEGER) AS n_calls, CAST(NULL AS BIGINT) AS call_turn, true AS valid, '' AS problem, "
-    "'{\"content\":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',\"role\":' || CAST(to_json(coalesce(role, '')) AS VARCHAR) || '}' AS message FROM conversations"
+    f"WITH {_TRAFFIC_SQL}, told AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN role IN ('assistant', 'tool') AND regexp_matches(text, '^\\s*\\{{') AND json_valid(text) THEN CAST(text AS JSON) END AS j, row_number() OVER () AS id FROM rows), "
+    "made AS (SELECT id, conv_id, turn, CASE WHEN role = 'assistant' AND json_type(j, '$.tool_calls') = 'ARRAY' THEN json_extract(j, '$.tool_calls[*]') ELSE [] END AS calls, CASE WHEN role = 'tool' THEN json_extract_string(j, '$.tool_call_id') END AS call_id FROM told), "
+    "each AS (SELECT id, conv_id, turn, k, json_extract_string(v, '$.id') AS cid, json_extract_string(v, '$.name') AS name, coalesce(json_extract(v, '$.arguments'), CAST('{}' AS JSON)) AS a FROM (SELECT id, conv_id, turn, unnest(calls) AS v, generate_subscripts(calls, 1) AS k FROM made)), "
+    "firsts AS (SELECT conv_id, cid, min(turn) AS call_turn FROM each WHERE cid IS NOT NULL GROUP BY ALL), "
+    f"checked AS (SELECT id, CASE WHEN cid IS NULL THEN 'call without an id' END AS nameless, CASE WHEN coalesce(c.name, '') NOT IN ('search', 'weather', 'calculate') THEN 'unknown tool ' || coalesce(c.name, '') {_FAULT_SQL} END AS fault FROM each c), "
+    "problems AS (SELECT id, string_agg(DISTINCT p, '; ' ORDER BY p) AS problem FROM (SELECT id, nameless AS p FROM checked UNION ALL SELECT id, fault FROM checked) WHERE p IS NOT NULL GROUP BY id), "
+    "written AS (SELECT id, string_agg('{\"arguments\":{' || array_to_string(list_transform(list_sort(json_keys(a)), lambda x: to_json(x) || ':' || json_extract(a, '$.\"' || x || '\"')), ',') || '},\"id\":' || coalesce(CAST(to_json(cid) AS VARCHAR), 'null') || ',\"name\":' || to_json(coalesce(name, '')) || '}', ',' ORDER BY k) AS calls FROM each GROUP BY id), "
+    "linked AS (SELECT t.*, len(m.calls) AS n, m.call_id, f.call_turn, p.problem AS fault, w.calls FROM told t JOIN made m USING (id) LEFT JOIN firsts f ON f.conv_id = t.conv_id AND f.cid = m.call_id LEFT JOIN problems p ON p.id = t.id LEFT JOIN written w ON w.id = t.id) "
+    "SELECT conv_id, turn, CASE WHEN call_turn >= turn THEN call_turn ELSE turn END AS order_turn, CAST(CASE WHEN call_turn >= turn THEN 1 ELSE 0 END AS INTEGER) AS order_step, role, CAST(n AS INTEGER) AS n_calls, call_turn, "
+    "CASE WHEN call_id IS NOT NULL AND call_turn IS NULL THEN 'result without a call' ELSE coalesce(fault, '') END AS problem, CASE WHEN call_id IS NOT NULL AND call_turn IS NULL THEN false ELSE fault IS NULL END AS valid, "
+    "'{\"content\":' || to_json(CASE WHEN n > 0 OR call_id IS NOT NULL THEN coalesce(json_extract_string(j, '$.content'), '') ELSE text END) || ',\"role\":' || to_json(role) || CASE WHEN call_id IS NOT NULL THEN ',\"tool_call_id\":' || to_json(call_id) ELSE '' END || CASE WHEN n > 0 THEN ',\"tool_calls\":[' || calls || ']' ELSE '' END || '}' AS message FROM linked"
 )

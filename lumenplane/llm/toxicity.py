@@ -9,8 +9,10 @@ Thresholds are calibrated by language: the language a text is calibrated for com
 own words, and shifts the logit so that 0.3 is the threshold that did best for that language on
 training documents kept aside.
 
-Defined results: null and empty texts have no words and score 0.0 (predicted 0). Repeated rows and
-clashing extra columns pass through. Without a label of each class every score is 0.0.
+Defined results: null and empty texts have no words and score 0.0 (predicted 0). Repeated rows stay;
+of rows that share a labelled doc_id one text is learned from, that of the least hash. Extra columns pass
+through; one that bears the name of a result, in any case, gets `_given` added to its name. Without a
+label of each class every score is 0.0.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import word_hashes
+from lumenplane.llm.common import beside, word_hashes
 
 #: Labelled documents learned from, at most; a third of them toxic where there are as many.
 TRAIN_DOCS = 6000
@@ -211,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lan
     share = {1: few / counts[1], 0: min(1.0, (TRAIN_DOCS - few) / counts[0])}
     drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit(5)), 11) / float(1 << 53)
     chosen = known.where(drawn < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))  # TRAIN_DOCS rows or so
-    rows = docs.select(key, F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(chosen), key).select("t", "l", "toxic", F.xxhash64("t").alias("h")).collect()
+    texts = docs.select(key, F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l")).alias("row"))
+    rows = texts.join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min("row").alias("row")).select("row.*", "toxic").collect()
     rows.sort(key=lambda r: (r.h, r.t or "", r.l or "", r.toxic))  # the fit must not hang on the order of arrival
     return train([r.t for r in rows], [r.toxic for r in rows], [r.l for r in rows], share[1] / share[0])
 
@@ -219,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lan
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score (double) and predicted (int)."""
     new = ("score", "predicted")
-    fields = [f for f in docs.schema.fields if f.name not in new]
-    at = [f.name for f in fields].index(text)
+    at = docs.columns.index(text)
+    carried = beside(docs, *new)
+    fields = carried.schema.fields
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -239,4 +243,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array((values >= CUT).astype(np.int32))], names=[*(f.name for f in fields), *new])
 
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema)
