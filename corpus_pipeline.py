@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplane.llm import bagminhash, bpe, decontaminate, langid, toxicity
-from lumenplane.llm.common import held_out, table, work_dir, written
+from lumenplane.llm.common import columns_of, held_out, table, work_dir, written
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -21,12 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = toxicity.fit(docs.where(~held_out()), labels)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return columns_of(toxicity.score(docs, model).where("predicted = 0"), docs)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by a clear margin."""
-    return langid.predict(docs, langid.fit(docs.where(~held_out()))).where("not rejected").select(*docs.columns)
+    return columns_of(langid.predict(docs, langid.fit(docs.where(~held_out()))).where("not rejected"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark, whole or edited."""
-    return decontaminate.flag(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return columns_of(decontaminate.flag(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
