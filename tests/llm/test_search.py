@@ -182,7 +182,7 @@ def test_tool_calls_are_linked(spark):
     assert json.loads(got[1, 0].message) == {"content": 'quote " and \\ \n line', "role": "user"}
     assert (got[1, 1].order_turn, got[1, 1].order_step, got[1, 1].call_turn, got[1, 1].valid) == (2, 1, 2, True)
     assert (got[1, 2].n_calls, got[1, 2].valid, got[1, 2].problem) == (2, False, "missing argument of weather")
-    assert json.loads(got[1, 2].message)["tool_calls"][0] == {"arguments": {"limit": "3", "query": "x"}, "id": "a", "name": "search"}
+    assert json.loads(got[1, 2].message)["tool_calls"][0] == {"arguments": {"limit": 3, "query": "x"}, "id": "a", "name": "search"}
     assert (got[1, 3].order_turn, got[1, 3].order_step) == (3, 0) and got[1, 4].problem == "result without a call"
     assert got[1, 5].problem == "unknown tool fly; wrong argument of search"
     assert json.loads(got[2, 1].message)["content"] == "{not json" and json.loads(got[2, 0].message) == {"content": "", "role": ""}
@@ -217,10 +217,41 @@ def test_calls_are_checked_against_brute_force(spark):
         r = got[k, 0]
         assert (r.n_calls, r.problem, r.valid) == (len(calls), _problem(calls), not _problem(calls)), calls
         sent = json.loads(r.message)["tool_calls"]
-        assert [(c["id"], c["name"], set(c["arguments"])) for c in sent] == [(c.get("id"), c["name"], set(c.get("arguments", ()))) for c in calls]
+        assert [(c["id"], c["name"], c["arguments"]) for c in sent] == [(c.get("id"), c["name"], c.get("arguments", {})) for c in calls]
+        assert all(type(c["arguments"][k]) is type(v) or v == 3 for c, d in zip(sent, calls) for k, v in d.get("arguments", {}).items())
     assert got[len(made) - 5, 1].call_turn is None and len(got) == len(rows)
 
 
+def test_schemas_of_nested_arguments(spark):
+    schemas = {"book": {"type": "object", "required": ["seats"], "additionalProperties": False, "properties": {
+        "seats": {"type": "array", "items": {"type": "object", "required": ["row"], "properties": {"row": {"type": "integer", "minimum": 1, "maximum": 40}, "side": {"enum": ["left", "right", None]}}}},
+        "note": {"type": ["string", "null"], "maxLength": 3, "pattern": "^a"}, "price": {"type": "number", "minimum": 0},
+    }}}
+    good = [{"seats": []}, {"seats": [{"row": 3, "side": "left"}, {"row": 40, "x": [1]}]}, {"seats": [{"row": 1, "side": None}], "note": "abc", "price": 0.5}, {"seats": [], "note": None, "price": 3}]
+    bad = [{"seats": [{"row": 0}]}, {"seats": [{"row": 3}, {}]}, {"seats": [{"row": "3"}]}, {"seats": [{"row": 2.0}]}, {"seats": {}}, {"seats": [1]}, {"seats": [{"row": 2, "side": "up"}]}, {"seats": [], "note": "abcd"}, {"seats": [], "note": "b"}, {"seats": [], "price": -1}, {"seats": [], "other": 1}, "text", [1]]
+    rows = [(k, 0, "assistant", json.dumps({"tool_calls": [{"id": "i", "name": "book", "arguments": a}]})) for k, a in enumerate(good + bad)]
+    rows += [(100, 0, "assistant", '{"tool_calls": [{"id": 7, "name": "book", "arguments": {"seats": [{"row": 1, "k": "q\\u001f\\u000B\\\\u000B \\u00e9\\/"}]}}]}'), (101, 0, "assistant", '{"content": "a", "content": "b"}'), (102, 0, "assistant", '{"tool_calls": 3}')]
+    got = {r.conv_id: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    assert [got[k].problem for k in range(len(good + bad))] == [""] * len(good) + ["wrong argument of book"] * len(bad)
+    for r in got.values():
+        assert r.message == json.dumps(json.loads(r.message), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert json.loads(got[100].message)["tool_calls"][0] == {"id": "7", "name": "book", "arguments": {"seats": [{"row": 1, "k": "q\x1f\x0b\\u000B é/"}]}}
+    assert json.loads(got[101].message)["content"] == '{"content": "a", "content": "b"}' and got[102].n_calls == 0
+
+
+def test_order_of_results_and_ties(spark):
+    call = lambda i: json.dumps({"tool_calls": [{"id": i, "name": "calculate", "arguments": {"expression": "1"}}]})
+    rows = [(1, 0, "tool", json.dumps({"tool_call_id": "a", "content": str(k)})) if k < 0 else (1, k, "tool", json.dumps({"tool_call_id": "a", "content": str(k)})) for k in range(3)]
+    rows += [(1, 5, "assistant", call("a")), (1, 7, "assistant", call("a")), (1, 8, "tool", json.dumps({"tool_call_id": "a", "content": "8"})), (None, 1, "assistant", call("a")), (None, 2, "tool", json.dumps({"tool_call_id": "a", "content": "x"}))]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "conv_id long, turn long, role string, text string, n_calls int, Message string")
+    got = sorted((r.order_turn, r.order_step, r.turn, r.call_turn) for r in chat.link(df).where("conv_id = 1").collect())
+    assert got == [(5, 0, 5, None), (5, 1, 0, 5), (5, 1, 1, 5), (5, 1, 2, 5), (7, 0, 7, None), (8, 0, 8, 5)]
+    lone = {r.turn: r for r in chat.link(df).where("conv_id is null").collect()}
+    assert lone[2].problem == "result without a call" and lone[1].valid
+    assert chat.link(df.unionAll(df)).count() == 2 * len(rows)
+    assert chat.link(df.limit(0)).collect() == []
+
+
 def test_classes_compared_in_full_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "ROUNDS", 0)  # no hubs: blocks find every link
     monkeypatch.setattr(bagminhash, "BLOCK", 8)
