@@ -1,12 +1,14 @@
 """Licence scan by canonical digests.
 
-A text is normalised (case, copyright lines, punctuation, equivalent spellings) and its SHA-256 is
+A text is normalised (case, copyright notices, punctuation, equivalent spellings) and its SHA-256 is
 looked up, whole, among the digests of known licences; every line of a text is looked up in the same
-way, since licences are often granted in one line. No part of a text is compared otherwise.
+way, since licences are often granted in one line. No part of a text is compared otherwise. A notice is
+a line that begins with "copyright" and its sign, a year or a placeholder, so that a text wrapped in front
+of that word keeps its line. Lines that lack a word that all known texts need are not normalised at all.
 
 Defined results: null and empty texts, and texts that normalise to nothing, match nothing and have a
-null digest. Rows that share a doc_id are told apart by their text; identical rows collapse to one.
-Only DataFrame functions are used. The table of known digests is a constant of this module, below
+null digest. Rows that share a doc_id are told apart by their text; repeated rows all stay. Extra columns
+are ignored. Only DataFrame functions are used. The table of known digests is a constant of this module, below
 two hundred rows; that is the proven bound behind its broadcast. Full texts are known with and without
 their title lines and what follows their terms, wrapped as published and with a line for each
 paragraph.
@@ -14,6 +16,8 @@ paragraph.
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from pathlib import Path
 
@@ -103,16 +107,43 @@ def _versions(text: str | None, name: str, titles: tuple, end: str | None) -> li
 
 KNOWN += tuple(dict.fromkeys((name, version) for name, text, titles, end in FULL for version in _versions(text, name, titles, end)))
 
-_COPYRIGHT = "(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$"
+_COPYRIGHT = "(?m)^[^a-z0-9\\n]*(?:copyright:?[ \\t]+(?:\\(c\\)|©|[0-9]{4}|\\[|<)|(?:\\(c\\)|©)[ \\t]*(?:copyright[ \\t]+)?[0-9]{4})[^\\n]*$"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, words of ASCII letters and digits with single blanks, one spelling."""
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), "[^a-z0-9]+", " ")
-    padded = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
+    """Lower case, no copyright notices, words of ASCII letters and digits with single blanks, one spelling."""
+    words = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), "[^a-z0-9]+", "  ")
+    padded = F.concat(F.lit(" "), F.trim(words), F.lit(" "))  # each word has two blanks of its own
     for old, new in SPELLINGS:
-        padded = F.replace(padded, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(padded)
+        padded = F.replace(padded, F.lit(f" {old} ".replace(" ", "  ")[1:-1]), F.lit(f" {new} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
+
+
+def needles(texts) -> list[str]:
+    """Words of which every text with the canonical form of a known one holds at least one, in lower case."""
+
+    def before(word: str) -> frozenset[str]:
+        """What a word may have been spelled from: itself, or the longest word of an equivalent."""
+        found, todo = set(), [word]
+        while todo:
+            w = todo.pop()
+            if w not in found:
+                found.add(w)
+                todo += [max(old.split(), key=len) for old, new in SPELLINGS if w in new.split()]
+        return frozenset(found)
+
+    held = []
+    for _, text in texts:
+        words = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+        for old, new in SPELLINGS:
+            words = re.sub(rf"(?<= ){old}(?= )", new, words)
+        held.append({w: before(w) for w in set(words.split())})
+    chosen: set[str] = set()
+    rarity = {w: sum(w in words for words in held) for words in held for w in words}
+    for words in sorted(held, key=len):
+        if words and not any(own <= chosen for own in words.values()):
+            chosen |= words[max(words, key=lambda w: (min(len(x) for x in words[w]) >= 6, rarity[w], w))]
+    return sorted(w for w in chosen if not any(o != w and o in w for o in chosen))
 
 
 def digest(text: Column) -> Column:
@@ -128,9 +159,11 @@ def scan(docs: DataFrame, texts=KNOWN, text: str = "text", key: str = "doc_id")
     """key, text_digest, license (of the whole text) and line_licenses (sorted, joined by commas)."""
     spark = docs.sparkSession
     table = F.broadcast(known(spark, texts))
-    whole = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    digests = whole.select("k", F.xxhash64("t").alias("h"), digest(F.col("t")).alias("text_digest")).distinct()
-    lines = whole.select("k", F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.split("t", "\n"))).alias("line"))
+    whole = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    wanted = needles(texts)
+    may_hold = lambda c: functools.reduce(operator.or_, [F.contains(F.lower(c), F.lit(w)) for w in wanted])
+    digests = whole.select("k", F.xxhash64("t").alias("h"), digest(F.col("t")).alias("text_digest"))
+    lines = whole.where(may_hold(F.col("t"))).select("k", F.xxhash64("t").alias("h"), F.explode(F.array_distinct(F.filter(F.split("t", "\n"), may_hold))).alias("line"))
     hits = lines.select("k", "h", digest(F.col("line")).alias("digest")).join(table, "digest").groupBy("k", "h").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     by_text = digests.join(table.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
     same = by_text["k"].eqNullSafe(hits["k"]) & (by_text["h"] == hits["h"])

@@ -131,16 +131,17 @@ ORACLES["op3_warc"] = (
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m)^[^a-z0-9\\n]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{licenses._COPYRIGHT}', '', 'g'), '[^a-z0-9]+', '  ', 'g')) || ' '"
     for old, new in licenses.SPELLINGS:
+        old, new = old.replace(" ", "  "), new.replace(" ", "  ")
         out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"nullif(trim({out}), '')"
+    return f"nullif(trim(replace({out}, '  ', ' ')), '')"
 
 
 _KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
 ORACLES["op5_licenses"] = (
-    f"WITH known AS (SELECT DISTINCT sha256({_canonical_sql('t')}) AS d, l FROM (VALUES {_KNOWN_SQL}) AS v(l, t)), docs AS (SELECT DISTINCT doc_id, text FROM documents), "
-    f"lines AS (SELECT doc_id, text, sha256({_canonical_sql('line')}) AS d FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM docs)), "
+    f"WITH known AS (SELECT DISTINCT sha256({_canonical_sql('t')}) AS d, l FROM (VALUES {_KNOWN_SQL}) AS v(l, t)), docs AS (SELECT doc_id, text FROM documents), each AS (SELECT DISTINCT doc_id, text FROM documents), "
+    f"lines AS (SELECT doc_id, text, sha256({_canonical_sql('line')}) AS d FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM each)), "
     "hits AS (SELECT doc_id, text, string_agg(DISTINCT l, ',' ORDER BY l) AS line_licenses FROM lines JOIN known USING (d) GROUP BY ALL) "
     f"SELECT docs.doc_id, sha256({_canonical_sql('docs.text')}) AS text_digest, known.l AS license, coalesce(hits.line_licenses, '') AS line_licenses FROM docs LEFT JOIN known ON known.d = sha256({_canonical_sql('docs.text')}) LEFT JOIN hits ON hits.doc_id = docs.doc_id AND hits.text = docs.text"
 )

@@ -122,6 +122,26 @@ def test_reader_takes_only_the_frames_asked_for(monkeypatch):
         reader.frame(1)
 
 
+def test_licences_wrapped_anywhere(spark):
+    mit = dict(licenses.KNOWN[:1])["MIT"]
+    apache = (Path(licenses.__file__).parent / "texts" / "Apache-2.0.txt").read_text()
+    docs = [(w, "Copyright 2019-2021 A. Body and others\n" + textwrap.fill(mit, w)) for w in range(40, 130)]
+    docs += [(1000 + w, "\n\n".join(textwrap.fill(" ".join(p.split()), w) for p in apache.split("\n\n"))) for w in (60, 78, 100)]
+    docs += [(2000, "Released under the MIT licence licence."), (2001, "© 2020 B\nReleased under the\tMIT -- Licence"), (2002, "released under the mit license")] * 2
+    rows = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.license, r.line_licenses) for r in rows}
+    assert len(rows) == len(docs)
+    assert {got[w][0] for w in range(40, 130)} == {"MIT"} and {got[1000 + w][0] for w in (60, 78, 100)} == {"Apache-2.0"}
+    assert got[2000] == (None, "") and got[2001] == ("MIT", "MIT") and got[2002] == ("MIT", "MIT")
+
+
+def test_every_known_text_holds_a_needle(spark):
+    words = licenses.needles(licenses.KNOWN)
+    assert len(words) < 20 and all(any(w in text.lower() for w in words) for _, text in licenses.KNOWN)
+    for old, new in licenses.SPELLINGS:
+        assert all(any(w in text.lower().replace(new, old) for w in words) for _, text in licenses.KNOWN)
+
+
 def _fingerprint(text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     groups, now = [], []
@@ -160,7 +180,7 @@ def test_licences(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     docs = [(1, "Copyright (c) 2020 A. Body\n" + mit.lower().replace("license", "licence"), "en", 0.0), (2, "Some words.\nReleased under the MIT Licence.\nLicensed under CC-BY-NC 4.0", "en", 0.0), (3, None, None, None), (4, " ... ", "", 0.0), (5, "released under the mit license", "en", 0.0), (5, "released under the mit license", "en", 0.0), (6, "not released under the mit license", "en", 0.0), (None, "word " * 30000, "en", 0.0)]
     got = sorted(((r.doc_id or 0, r.license, r.line_licenses, r.text_digest is None) for r in licenses.scan(spark.createDataFrame(docs, DOCS)).collect()))
-    assert got == [(0, None, "", False), (1, "MIT", "MIT", False), (2, None, "CC-BY-NC-4.0,MIT", False), (3, None, "", True), (4, None, "", True), (5, "MIT", "MIT", False), (6, None, "", False)]
+    assert got == [(0, None, "", False), (1, "MIT", "MIT", False), (2, None, "CC-BY-NC-4.0,MIT", False), (3, None, "", True), (4, None, "", True), (5, "MIT", "MIT", False), (5, "MIT", "MIT", False), (6, None, "", False)]
 
 
 def test_licence_files(spark):
