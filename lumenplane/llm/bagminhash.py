@@ -11,10 +11,10 @@ component has a point, so a text of any length costs about M log M points beyond
 Bags that are equal collapse to one representative. Signatures are cut into BANDS bands of ROWS
 components; documents that share a band are candidates, and every link is verified by the exact
 multiset overlap of the two texts (of 64-bit shingle hashes). Within a band's bucket the pairs are never
-listed. In each of ROUNDS rounds every document meets one hub, that of the buckets it shares with
-documents of other classes which it shares most; classes that are linked become one. The classes that
-still share a bucket are then compared in full, block by block, so no link is lost to the choice of hubs;
-a task keeps its classes in a union-find and returns a forest, not all links.
+listed. In each of ROUNDS rounds every document meets one hub, the one of its buckets' hubs with which it
+shares most buckets; a class that is linked joins the other's. The classes that still share a bucket are
+then compared in full, block by block, so no link is lost to the choice of hubs; a task keeps its classes
+in a union-find and returns a forest, not all links.
 
 Buckets that hold many documents are dealt by bucket and a salt that follows their size.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenplane.llm.common import mix, word_hashes, work_dir, written
@@ -37,7 +38,9 @@ N = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
-ROUNDS = 4
+ROUNDS = 2
+#: So many wanted texts at most are told to all tasks (some 24 bytes each); more are joined by a shuffle.
+TOLD_ROWS = 500_000
 #: Bags in a row where classes are compared in full.
 BLOCK = 128
 #: Documents of a bucket that are dealt together.
@@ -169,7 +172,8 @@ def _doc(key: str):
 
 def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
     """k and bag (binary: sorted 64-bit shingle hashes, with repeats) of the bags wanted (k, doc, h)."""
-    rows = docs.select(_doc(key), F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(wanted, ["doc", "h"]).select("k", "t").dropDuplicates(["k"])
+    told = F.broadcast(wanted) if wanted.limit(TOLD_ROWS + 1).count() <= TOLD_ROWS else wanted
+    rows = docs.select(_doc(key), F.xxhash64(text).alias("h"), F.col(text).alias("t")).join(told, ["doc", "h"]).select("k", "t").dropDuplicates(["k"])
 
     def run(batches):
         for batch in batches:
@@ -213,11 +217,11 @@ class _Bags:
 
 
 def verify(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """la and lb of the pairs (a, b, la, lb) whose multiset overlap reaches `least`. The side with hubs is joined by key and salt."""
-    of_b = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_EACH).cast("int").alias("salts"))
-    left = pairs.join(of_b, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    right = bag.select(F.col("k").alias("b"), F.col("bag").alias("bag_b")).join(of_b, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    both = left.join(bag.select(F.col("k").alias("a"), F.col("bag").alias("bag_a")), "a").join(right, ["b", "salt"]).select("b", "la", "lb", "bag_a", "bag_b")
+    """la and lb of the pairs (a, b, la, lb, salts) whose multiset overlap reaches `least`. The side with hubs is joined by key and salt."""
+    left = pairs.join(bag.select(F.col("k").alias("a"), F.col("bag").alias("bag_a")), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    hubs = pairs.groupBy("b").agg(F.max("salts").alias("salts"))
+    right = bag.select(F.col("k").alias("b"), F.col("bag").alias("bag_b")).join(hubs, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    both = left.join(right, ["b", "salt"]).select("b", "la", "lb", "bag_a", "bag_b")
 
     def run(batches):
         for batch in batches:
@@ -291,23 +295,36 @@ def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> Dat
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """k and label (the least k of its component), by label propagation with pointer jumping."""
-    both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/both")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "k"), f"{folder}/labels0")
+    """label and head (the least label of its component) of all labels that edges (la, lb) join, by label propagation with pointer jumping."""
+    both = written(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionAll(edges.select(F.col("lb").alias("a"), F.col("la").alias("b"))).distinct(), f"{folder}/both")
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("head")).withColumnRenamed("a", "label"), f"{folder}/labels0")
     step = 0
     while True:
         step += 1
-        seen = both.join(labels, both["b"] == labels["k"]).groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(seen, labels["k"] == seen["a"]).select("k", "label", F.least("label", "near").alias("next"))
-        up = labels.select(F.col("k").alias("next"), F.col("label").alias("above"))
-        moved = nearer.join(up, "next").select("k", F.least("next", "above").alias("label"), (F.least("next", "above") != F.col("label")).alias("changed"))
+        seen = both.join(labels, both["b"] == labels["label"]).groupBy("a").agg(F.min("head").alias("near"))
+        nearer = labels.join(seen, labels["label"] == seen["a"]).select("label", "head", F.least("head", "near").alias("next"))
+        up = labels.select(F.col("label").alias("next"), F.col("head").alias("above"))
+        moved = nearer.join(up, "next").select("label", F.least("next", "above").alias("head"), (F.least("next", "above") != F.col("head")).alias("changed"))
         moved = written(moved, f"{folder}/labels{step}")
-        changed = moved.where("changed").limit(1).count()
-        labels = moved.select("k", "label")
-        if not changed:
+        labels = moved.select("label", "head")
+        if moved.where("changed").isEmpty():
             return labels
 
 
+def pointed(edges: DataFrame, folder: str) -> DataFrame:
+    """label and head of classes that join another: each points to the least of those before it, and pointers are followed to their end."""
+    up = edges.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("head"))
+    moved, step = written(up, f"{folder}/0"), 0
+    while True:
+        step += 1
+        above = moved.select(F.col("label").alias("head"), F.col("head").alias("above"))
+        jumped = moved.join(above, "head", "left").select("label", F.coalesce("above", "head").alias("head"), F.col("above").isNotNull().alias("changed"))
+        jumped = written(jumped, f"{folder}/{step}")
+        moved = jumped.select("label", "head")
+        if jumped.where("changed").isEmpty():
+            return moved
+
+
 def classes(docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and class_id (the least key of the class) of every document."""
     signed, bags = _labelled(docs, least, text, key)
@@ -330,49 +347,46 @@ def _labelled(docs: DataFrame, least: float, text: str, key: str) -> tuple[DataF
     """
     folder = work_dir(docs.sparkSession)
     signed = written(sign(docs, text, key), f"{folder}/signed")
-    row = F.struct(F.col("k").isNull().alias("none"), "k", "h")
+    row = F.struct(F.col("k").isNull().alias("none"), "k", "h", "bands")
     found = signed.where("size > 0").groupBy(*EQUAL).agg(F.min(row).alias("rep"))
     heads = written(found.withColumn("id", F.monotonically_increasing_id()), f"{folder}/heads")
 
-    reps = heads.select(F.col("id"), *EQUAL, _doc("rep.k"), F.col("rep.h").alias("h"))
-    heads_only = signed.where("size > 0").withColumn("doc", _doc("k")).drop("k").join(reps, ["doc", "h", *EQUAL]).withColumnRenamed("id", "k").dropDuplicates(["k"])
-    banded = heads_only.select("k", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = written(banded.join(shared, "bucket", "left_semi"), f"{folder}/members")
-    if members.isEmpty():
+    banded = heads.select(F.col("id").alias("k"), F.explode("rep.bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    sized = banded.join(shared, "bucket")
+    weight = F.sum("c").over(W.partitionBy("k"))  # over a document's buckets, of which there are BANDS
+    salt = F.pmod(F.xxhash64("k"), _salts(F.col("c"))).cast("int")
+    open_members = written(sized.withColumn("weight", weight).withColumn("salt", salt).withColumn("label", F.col("k")), f"{folder}/open")
+    if open_members.isEmpty():
         return signed, heads.withColumn("label", F.col("id"))
-    wanted = reps.withColumnRenamed("id", "k").join(members.select("k").distinct(), "k", "left_semi").select("k", "doc", "h")
-    bag = written(_bags_of(docs, wanted, text, key), f"{folder}/bags")
+    reps = heads.select(F.col("id").alias("k"), _doc("rep.k"), F.col("rep.h").alias("h"))
+    bag = written(_bags_of(docs, reps.join(open_members.select("k").distinct(), "k", "left_semi"), text, key), f"{folder}/bags")
 
-    # hubs of the first round are central: the documents that share most buckets with most others
-    sized = members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")), "bucket")
-    crowd = sized.groupBy("k").agg(F.sum("c").alias("weight"))
-    salt = F.pmod(F.xxhash64("k"), _salts(F.col("c"))).cast("int")
-    open_members = written(sized.join(crowd, "k").withColumn("salt", salt).withColumn("label", F.col("k")), f"{folder}/open")
-    labels = written(members.select("k").distinct().withColumn("label", F.col("k")), f"{folder}/labels")
+    maps = []
     for step in range(ROUNDS + 1):
         at = f"{folder}/round{step}"
-        if step < ROUNDS:
+        if step < ROUNDS:  # hubs of the first round are central: the documents that share most buckets with most others
             draw = F.struct(-F.col("weight"), "k") if step == 0 else F.struct(F.xxhash64("k", F.lit(step)), "k")
             hub = _to_salts(open_members.groupBy("bucket").agg(F.min(F.struct(draw.alias("draw"), "k", "label")).alias("hub"), F.max("c").alias("c")).select("bucket", "c", F.col("hub.k").alias("b"), F.col("hub.label").alias("lb")))
-            met = open_members.join(hub, ["bucket", "salt"]).where("label <> lb").groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
-            pairs = met.groupBy("k").agg(F.max(F.struct("n", -F.col("b"), "b", "la", "lb")).alias("m")).select(F.col("k").alias("a"), "m.b", "m.la", "m.lb")
-            found = verify(written(pairs, f"{at}/pairs"), bag, least)
+            met = open_members.join(hub, ["bucket", "salt"]).where("label <> lb").select("k", "b", "label", "lb", "c").repartition("k")
+            met = met.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"), F.max("c").alias("c"))
+            pairs = met.groupBy("k").agg(F.max(F.struct("n", -F.col("b"), "b", "la", "lb", "c")).alias("m")).select(F.col("k").alias("a"), "m.b", "m.la", "m.lb", _salts(F.col("m.c")).alias("salts"))
+            edges = written(verify(written(pairs, f"{at}/pairs"), bag, least), f"{at}/edges")
         else:
-            found = verify_classes(open_members, bag, least)
-        edges = written(found.distinct(), f"{at}/edges")
+            edges = written(verify_classes(open_members, bag, least), f"{at}/edges")
         if not edges.isEmpty():
-            moved = components(edges.toDF("a", "b"), f"{at}/classes").toDF("label", "head")
-            renamed = lambda df: df.join(moved, "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")  # noqa: E731, B023
-            labels = written(renamed(labels), f"{at}/labels")
-            open_members = renamed(open_members)
+            maps.append(pointed(edges, f"{at}/classes") if step < ROUNDS else components(edges, f"{at}/classes"))
+            open_members = open_members.join(maps[-1], "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")
         if step == ROUNDS:
             break
         mixed = _to_salts(open_members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("c").alias("c")).where("x <> y").select("bucket", "c"))
         open_members = written(open_members.join(mixed, ["bucket", "salt"], "left_semi").select("bucket", "k", "c", "weight", "salt", "label"), f"{at}/open")
         if open_members.isEmpty():
             break
-    return signed, heads.join(labels.withColumnRenamed("k", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labels = heads.withColumn("label", F.col("id"))
+    for moved in maps:
+        labels = labels.join(moved, "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")
+    return signed, labels
 
 
 def _salts(size):
