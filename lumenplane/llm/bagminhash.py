@@ -43,6 +43,8 @@ ROUNDS = 2
 TOLD_ROWS = 500_000
 #: Bags in a row where classes are compared in full.
 BLOCK = 128
+#: Shingles that are compared at once there.
+COLUMNS = 4096
 #: Documents of a bucket that are dealt together.
 SALT_EACH = 500
 GROUP_BYTES = 6 << 20
@@ -238,6 +240,34 @@ def verify(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "la long, lb long")
 
 
+def _elements(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bags as sets: each shingle with the number of its occurrence as one hash, its bag, and the bags' sizes."""
+    flat, size = np.frombuffer(b"".join(raw), _U64), np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+    owner = np.repeat(np.arange(len(raw)), size)
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    nth = np.arange(len(flat)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(flat))))
+    return np.where(nth > 0, mix(flat + nth.astype(_U64) * _ODD[4]), flat), owner, size
+
+
+def overlaps(ours: list[bytes], theirs: list[bytes], least: float) -> np.ndarray:
+    """Which pairs of bags (ours x theirs) reach a weighted Jaccard similarity of `least`, by products of their tables of elements."""
+    (x, own_x, size_x), (y, own_y, size_y) = _elements(ours), _elements(theirs)
+    common = np.intersect1d(x, y)  # what only one side holds adds nothing
+    both = np.zeros((len(ours), len(theirs)), np.float64)
+    for i in range(0, len(common), COLUMNS):
+        part, tables = common[i : i + COLUMNS], []
+        for values, owner, n in ((x, own_x, len(ours)), (y, own_y, len(theirs))):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            table = np.zeros((n, len(part)), np.float32)
+            table[owner[hit], at[hit]] = 1
+            tables.append(table)
+        both += tables[0] @ tables[1].T
+    return (both > 0) & (both >= least * (size_x[:, None] + size_y[None, :] - both))
+
+
 class _Classes:
     """Which labels have become one, by union-find."""
 
@@ -255,7 +285,7 @@ class _Classes:
         return x != y
 
 
-def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+def verify_classes(open_members: DataFrame, bag: DataFrame, least: float, folder: str) -> DataFrame:
     """la and lb of classes that still share a bucket and are linked, compared in full.
 
     A document's home is the fullest bucket that it is still in; the documents of a home stand in rows
@@ -263,9 +293,9 @@ def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> Dat
     bucket meet block by block, unless both blocks are of one class.
     """
     sizes = open_members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    homes = open_members.drop("c").join(sizes, "bucket").groupBy("k").agg(F.max(F.struct("c", "bucket")).alias("top"), F.first("label").alias("label")).select("k", "label", F.col("top.bucket").alias("home"))
+    homes = open_members.select("bucket", "k", "label").join(sizes, "bucket").groupBy("k").agg(F.max(F.struct("c", "bucket")).alias("top"), F.first("label").alias("label")).select("k", "label", F.col("top.bucket").alias("home"))
     main = homes.groupBy("home", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("home").agg(F.max(F.struct("n", "label")).alias("m")).select("home", F.col("m.label").alias("main"))
-    homes = homes.join(main, "home").withColumn("own", F.col("label") == F.col("main")).drop("main")
+    homes = written(homes.join(main, "home").withColumn("own", F.col("label") == F.col("main")).drop("main"), f"{folder}/homes")
     counts = homes.groupBy("home", "own").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = homes.join(counts, ["home", "own"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")) * 2 + F.col("own").cast("int"))
     blocks = placed.join(bag, "k").groupBy("home", "block").agg(F.collect_list(F.struct("label", "bag")).alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -279,16 +309,12 @@ def verify_classes(open_members: DataFrame, bag: DataFrame, least: float) -> Dat
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ours, theirs = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                a, b = _Bags([r["bag"] for r in ours]), _Bags([r["bag"] for r in theirs])
-                known, found = _Classes({r["label"] for r in ours} | {r["label"] for r in theirs}), []
-                for k, r in enumerate(ours):
-                    heads = np.array([known.find(x["label"]) for x in theirs])
-                    if (heads == known.find(r["label"])).all():
-                        continue
-                    for j in np.flatnonzero(b.near(*a.one(k), least) & (heads != known.find(r["label"]))).tolist():
-                        if known.join(r["label"], theirs[j]["label"]):
-                            found.append((r["label"], theirs[j]["label"]))
+                ours, theirs = batch.column(0)[i].values, batch.column(1)[i].values
+                x, y = ours.field("label").to_numpy(), theirs.field("label").to_numpy()
+                near = overlaps(ours.field("bag").to_pylist(), theirs.field("bag").to_pylist(), least) & (x[:, None] != y[None, :])
+                a, b = np.nonzero(near)
+                known = _Classes({*x.tolist(), *y.tolist()})
+                found = [(p, q) for p, q in np.unique(np.stack((x[a], y[b]), 1), axis=0).tolist() if known.join(p, q)]
                 yield pa.RecordBatch.from_pydict({"la": pa.array([x for x, _ in found], pa.int64()), "lb": pa.array([x for _, x in found], pa.int64())})
 
     return rows.mapInArrow(run, "la long, lb long")
@@ -373,7 +399,7 @@ def _labelled(docs: DataFrame, least: float, text: str, key: str) -> tuple[DataF
             pairs = met.groupBy("k").agg(F.max(F.struct("n", -F.col("b"), "b", "la", "lb", "c")).alias("m")).select(F.col("k").alias("a"), "m.b", "m.la", "m.lb", _salts(F.col("m.c")).alias("salts"))
             edges = written(verify(written(pairs, f"{at}/pairs"), bag, least), f"{at}/edges")
         else:
-            edges = written(verify_classes(open_members, bag, least), f"{at}/edges")
+            edges = written(verify_classes(open_members, bag, least, at), f"{at}/edges")
         if not edges.isEmpty():
             maps.append(pointed(edges, f"{at}/classes") if step < ROUNDS else components(edges, f"{at}/classes"))
             open_members = open_members.join(maps[-1], "label", "left").withColumn("label", F.coalesce("head", "label")).drop("head")
