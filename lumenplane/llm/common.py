@@ -67,10 +67,15 @@ def settings(spark: SparkSession, **values: str):
 
 
 def partitions_for(docs: DataFrame, each: int) -> int:
-    """Partitions of about `each` bytes of the tables below docs, as the optimiser knows them; at least two a core."""
-    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, min(size // each, 1_000_000))
+    """Partitions of about `each` bytes of the tables below docs, as the optimiser knows them; at least two a core.
+
+    Of rows that do not come from files it knows no size; then the session's number of shuffle partitions counts.
+    """
+    spark, leaves = docs.sparkSession, docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if len(sizes) > sum(s < 1 << 60 for s in sizes) else 0
+    return max(2 * spark.sparkContext.defaultParallelism, wanted, min(known // each, 1_000_000))
 
 
 def beside(docs: DataFrame, *results: str) -> DataFrame:

@@ -146,6 +146,31 @@ ORACLES["op5_licenses"] = (
     f"SELECT docs.doc_id, sha256({_canonical_sql('docs.text')}) AS text_digest, known.l AS license, coalesce(hits.line_licenses, '') AS line_licenses FROM docs LEFT JOIN known ON known.d = sha256({_canonical_sql('docs.text')}) LEFT JOIN hits ON hits.doc_id = docs.doc_id AND hits.text = docs.text"
 )
 
+def _tree_sql(name: str, source: str) -> str:
+    """Leaves, paragraphs' nodes, root and distinct leaves of a text, beside what `source` has."""
+    sep = "chr(30) || chr(31)"
+    cut = f"string_split(regexp_replace(p, '({merkle.PHRASE_END})', '\\1' || {sep}, 'g'), {sep})"
+    return (
+        f"{name}_a AS (SELECT *, list_transform(string_split({source}, chr(10)), lambda p: list_transform({cut}, lambda x: sha256(x))) AS leaves FROM {{before}}), "
+        f"{name}_b AS (SELECT *, list_transform(leaves, lambda x: sha256(array_to_string(x, ' '))) AS nodes FROM {name}_a), "
+        f"{name}_c AS (SELECT *, list_transform(string_split(regexp_replace(array_to_string(nodes, ' ') || ' ', '((?:^|\\b)[0-3][0-9a-f]{{{{63}}}}) ', '\\1|', 'g'), '|'), lambda s: trim(s)) AS parts FROM {name}_b), "
+        f"{name} AS (SELECT * EXCLUDE (leaves, nodes, parts), nodes AS {name}_nodes, list_distinct(flatten(leaves)) AS {name}_leaves, sha256(array_to_string(list_transform(list_filter(parts, lambda s: s <> ''), lambda s: sha256(s)), ' ')) AS {name}_root FROM {name}_c)"
+    )
+
+
+_LIKE_SQL = "len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE)"
+ORACLES["op4_merkle"] = (
+    "WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), "
+    "near AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, coalesce(lag(t) OVER (ORDER BY doc_id), last_value(t) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS other FROM base), "
+    "edits AS (SELECT *, substr(t, 1, n - n // 3) || substr(other, 1, n // 3) AS edited FROM near), "
+    + ", ".join(_tree_sql(name, source).format(before=before) for name, source, before in (("own", "t", "edits"), ("after", "edited", "own"), ("following", "other", "after")))
+    + " SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, own_root AS fingerprint, after_root AS edited_fingerprint, "
+    + _LIKE_SQL.format(a="own_leaves", b="after_leaves") + " AS near_edited, " + _LIKE_SQL.format(a="own_leaves", b="following_leaves") + " AS near_next, "
+    "CAST(len(list_filter(list_distinct(own_nodes), lambda x: NOT list_contains(after_nodes, x))) AS INTEGER) AS n_differing, "
+    "CAST(list_position(own_nodes, list_filter(own_nodes, lambda x: NOT list_contains(after_nodes, x))[1]) - 1 AS INTEGER) AS first_differing FROM following"
+)
+
+
 _TRAFFIC_SQL = (
     "base AS (SELECT conv_id, turn, role, text, CAST(length(coalesce(text, '')) AS VARCHAR) AS n, md5(coalesce(text, '')) AS h, (conv_id + turn) % 6 AS kind FROM conversations), "
     "rows AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1 - conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END, CASE role WHEN 'assistant' THEN "

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import textwrap
 import zlib
 from pathlib import Path
@@ -142,38 +143,64 @@ def test_every_known_text_holds_a_needle(spark):
         assert all(any(w in text.lower().replace(new, old) for w in words) for _, text in licenses.KNOWN)
 
 
+def _sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def _leaves(text):
+    return [[_sha(x) for x in re.split(f"(?:(?<=[.,;:!?|#%$&*d][ \t])|(?<={merkle.PHRASE_END.split(']|')[1]}))", line)] for line in text.split("\n")]
+
+
+def _nodes(text):
+    return [_sha(" ".join(x)) for x in _leaves(text)]
+
+
 def _fingerprint(text):
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     groups, now = [], []
-    for p in map(sha, text.split("\n")):
+    for p in _nodes(text):
         now.append(p)
         if p[0] in "0123":
             groups.append(now)
             now = []
     groups += [now] if now else []
-    return sha(" ".join(sha(" ".join(g)) for g in groups))
+    return _sha(" ".join(_sha(" ".join(g)) for g in groups))
+
+
+def _likeness(a, b):
+    a, b = ({x for line in _leaves(t) for x in line} for t in (a, b))
+    return len(a & b) / len(a | b)
 
 
 def test_merkle_against_brute_force(spark):
-    docs = [*ODD, *((100 + i, "\n".join(f"Line {j * (i % 3)}, of {i}. Word and word" for j in range(i)), "en", 0.0) for i in range(30))]
-    rows = {(r.doc_id, r.n_chars, r.fingerprint): r for r in merkle.compare_edits(spark.createDataFrame(docs, DOCS)).collect()}
+    chinese = "".join("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏的了是在不一有人这和"[(7 * i * i + i) % 34] for i in range(900))
+    docs = [*ODD, *((100 + i, "\n".join(f"Line {j * (i % 3)}, of {i}. Word and word" for j in range(i)), "en", 0.0) for i in range(30)), (200, chinese, "zh", 0.0), (199, chinese[:450] + "改" + chinese[450:], "zh", 0.0), (198, "x" * 3000, "", 0.0), (197, "a. b  d c,\td \u3002d d d x", "", 0.0)]
+    extra = spark.createDataFrame([(*d, "clash", 1) for d in docs], DOCS + ", fingerprint string, H int")
+    found = merkle.compare_edits(extra).collect()
+    rows = {(r.doc_id, r.n_chars, r.fingerprint): r for r in found}
     texts = {i: t or "" for i, t, *_ in docs}
     order = sorted(texts, key=lambda i: -1 if i is None else i, reverse=True)
-    assert len(rows) == len(order)
+    assert len(rows) == len(order) and len(found) == len(docs)
     for i, j in zip(order, [*order[1:], order[0]]):
         text, n = texts[i], len(texts[i])
         edited = text[: n - n // 3] + texts[j][: n // 3]
         r = rows[i, n, _fingerprint(text)]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.edited_fingerprint == _fingerprint(edited)
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert (r.near_next, r.near_edited) == (_likeness(text, texts[j]), _likeness(text, edited))
         assert (r.near_next == 1.0) >= (text == texts[j])
         assert (r.fingerprint == r.edited_fingerprint) == (text == edited)
+        nodes, after = _nodes(text), set(_nodes(edited))
+        lost = [k for k, x in enumerate(nodes) if x not in after]
+        assert (r.n_differing, r.first_differing) == (len({nodes[k] for k in lost}), lost[0] if lost else None)
+        assert texts[i] != chinese or r.near_edited > 0.3 and r.near_next > 0.8
 
 
 def test_differing_branches(spark):
     a, b = "one\ntwo\nthree\nfour", "one\ntwo!\nthree\nfour"
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(merkle.paragraphs(F.col("a")), merkle.paragraphs(F.col("b"))).alias("d")).first()
-    assert row.d == [1]
+    nodes = lambda c: merkle.paragraphs(merkle.leaves(F.col(c)))
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(nodes("a"), nodes("b")).alias("d"), nodes("a").alias("all")).first()
+    assert row.d == [row.all[1]]
+    spaces = spark.createDataFrame([("a, b",), ("a,  b",), ("a,\tb",)], "text string")
+    assert merkle.tree(spaces).select("fingerprint").distinct().count() == 3
 
 
 def test_licences(spark):
