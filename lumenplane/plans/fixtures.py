@@ -43,8 +43,8 @@ def dcimg(frames: np.ndarray, footer: int = 0) -> bytes:
     return bytes(head) + b"".join(f.tobytes() + bytes(footer) for f in frames)
 
 
-def tiff(pages: np.ndarray, coding: str = "raw", rows: int = 3, order: str = "<", predictor: bool = False, tile: int = 0, description: str = "") -> bytes:
-    """Pages of one sample per pixel in strips of `rows` or tiles of side `tile`."""
+def tiff(pages: np.ndarray, coding: str = "raw", rows: int = 3, order: str = "<", predictor: bool = False, tile: int = 0, description: str = "", first: tuple = ()) -> bytes:
+    """Pages of one sample per pixel in strips of `rows` or tiles of side `tile`; `first`: further (tag, field type, values) of the first page."""
     n, y, x = pages.shape
     kind = {"f": 3, "i": 2, "u": 1}[pages.dtype.kind]
     codes = {"raw": 1, "zlib": 8, "packbits": 32773, "zstd": 50000}
@@ -78,15 +78,16 @@ def tiff(pages: np.ndarray, coding: str = "raw", rows: int = 3, order: str = "<"
         if description:
             tags.append((270, "s", description.encode() + b"\0"))
             description = ""
+        tags, first = [*tags, *first], ()
         entries = b""
         for tag, unit, values in sorted(tags):
-            raw = values if unit == "s" else struct.pack(f"{order}{len(values)}{unit}", *values)
+            raw = values if unit == "s" else struct.pack(f"{order}{len(values)}{unit.replace('R', 'I')}", *values)
             if len(raw) > 4:
                 place = struct.pack(order + "I", len(out))
                 out += raw
             else:
                 place = raw.ljust(4, b"\0")
-            entries += struct.pack(order + "HHI", tag, {"s": 2, "H": 3, "I": 4}[unit], len(values)) + place
+            entries += struct.pack(order + "HHI", tag, {"s": 2, "H": 3, "I": 4, "R": 5}[unit], len(values) // (2 if unit == "R" else 1)) + place
         out += bytes(len(out) % 2)
         struct.pack_into(order + "I", out, link, len(out))
         link = len(out) + 2 + len(entries)
@@ -145,8 +146,8 @@ def nd2(planes: np.ndarray, parts: int = 1, packed: bool = False, pad: int = 0,
     return out
 
 
-def build(planes: DataFrame, folder: str, extension: str, make, dtype: str) -> DataFrame:
-    """Files (path, content) of 8 x 8 planes: one for each t, its planes in order of c and z."""
+def build(planes: DataFrame, folder: str, extension: str, make, dtype: str, by_t: bool = False) -> DataFrame:
+    """Files (path, content) of 8 x 8 planes: one for each t (which make gets, too, if by_t), its planes in order of c and z."""
     import pyarrow as pa
 
     grouped = planes.groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))), lambda p: p["samples"]).alias("planes"))
@@ -156,7 +157,8 @@ def build(planes: DataFrame, folder: str, extension: str, make, dtype: str) -> D
             paths, contents = [], []
             for row in batch.to_pylist():
                 paths.append(f"{folder}/{row['t']}.{extension}")
-                contents.append(make(np.array(row["planes"], np.float64).reshape(len(row["planes"]), 8, 8).astype(dtype)))
+                made = np.array(row["planes"], np.float64).reshape(len(row["planes"]), 8, 8).astype(dtype)
+                contents.append(make(made, row["t"]) if by_t else make(made))
             yield pa.RecordBatch.from_pydict({"path": paths, "content": contents})
 
     return grouped.mapInArrow(run, "path string, content binary")

@@ -346,8 +346,7 @@ def scan_dcimg_group(spark, sf_dir):
 def scan_region(spark, sf_dir):
     """A window of one plane of each file: only blocks that meet it are decoded."""
     sets = scan.datasets(_files(spark, sf_dir, "tif", fixtures.tiff, "f4"))
-    asked = sets.select("dataset_id").withColumns({"series": F.lit(0), "resolution": F.lit(0), "plane_index": F.lit(7), "x": F.lit(1), "y": F.lit(3), "width": F.lit(5), "height": F.lit(4)})
-    read = scan.read(sets, asked).select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("t"), "plane_index", "samples")
+    read = scan.read(sets, everywhere=[{"plane_index": 7, "x": 1, "y": 3, "width": 5, "height": 4}]).select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("t"), "plane_index", "samples")
     return pixel_rows(read, "t", "plane_index", width=5)
 
 
@@ -357,6 +356,42 @@ def level_index(spark, sf_dir):
     return table.select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("t"), "format", "size_x", "size_y", "size_z", "size_c", "size_t", "image_count", "pixel_type", "dimension_order")
 
 
+def _imagej_file(pages, t: int) -> bytes:
+    axes = ("channels=10\nslices=5\nframes=1", "channels=4\nslices=5", "slices=50\nslices =3")[t % 3]
+    unit = ("unit=nm", "unit=cm", "unit=mm\nunit=Micron", "", "unit=furlong")[t % 5]
+    step = "finterval=bad" if t % 4 == 0 else f"finterval= {t}.5"
+    text = f"ImageJ=1.53\nimages=50\n{axes}\n{unit}\nspacing=-{t}.25\n{step}\n"
+    resolution = ((282, "R", [t % 7 + 1, 2]), (283, "R", [4, t % 7 + 1]), *(((296, "H", [{1: 3, 2: 2, 3: 2}[t % 5]]),) if t % 5 in (1, 2, 3) else ()))
+    return fixtures.tiff(pages, description=text, first=resolution)
+
+
+@query(
+    "SELECT t, CAST(CASE t % 3 WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 50 END AS INTEGER) AS size_z, CAST(CASE t % 3 WHEN 0 THEN 10 ELSE 1 END AS INTEGER) AS size_c, CAST(CASE t % 3 WHEN 1 THEN 50 ELSE 1 END AS INTEGER) AS size_t, "
+    "f / ((t % 7 + 1) / 2::DOUBLE) * u AS physical_size_x_um, f / (4::DOUBLE / (t % 7 + 1)) * u AS physical_size_y_um, t + 0.25::DOUBLE AS physical_size_z_um, CASE WHEN t % 4 = 0 THEN 0::DOUBLE ELSE t + 0.5::DOUBLE END AS time_increment_seconds FROM "
+    "(SELECT DISTINCT CAST(vec_id // 50 AS INTEGER) AS t, CASE vec_id // 50 % 5 WHEN 1 THEN 10000::DOUBLE WHEN 2 THEN 25400::DOUBLE WHEN 3 THEN 25400::DOUBLE ELSE 1::DOUBLE END AS f, CASE vec_id // 50 % 5 WHEN 0 THEN 0.001::DOUBLE ELSE 1::DOUBLE END AS u FROM embeddings)"
+)
+def scan_imagej(spark, sf_dir):
+    """Sizes and calibration that comments and resolution tags tell, through the scan."""
+    table = scan.levels(scan.datasets(fixtures.build(planes(spark, sf_dir), "mem", "tif", _imagej_file, "f4", by_t=True)))
+    return table.select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("t"), "size_z", "size_c", "size_t", "physical_size_x_um", "physical_size_y_um", "physical_size_z_um", "time_increment_seconds")
+
+
+def _ome_file(pages, t: int) -> bytes:
+    told = "".join(f'<Plane TheZ="0" TheC="0" TheT="{p}" DeltaT="{p * 250 + t}" DeltaTUnit="ms" PositionX="{p}.5" PositionXUnit="mm" ExposureTime="{t}.5"/>' for p in range(0, len(pages), 2))
+    text = f'<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0"><Pixels ID="Pixels:0" DimensionOrder="XYZCT" Type="float" SizeX="8" SizeY="8" SizeZ="1" SizeC="1" SizeT="{len(pages)}" TimeIncrement="2" TimeIncrementUnit="min"><Channel ID="Channel:0:0"/><TiffData/>{told}</Pixels></Image></OME>'
+    return fixtures.tiff(pages, description=text)
+
+
+@query(
+    "SELECT CAST(vec_id // 50 AS INTEGER) AS file, CAST(vec_id % 50 AS INTEGER) AS t, CASE WHEN vec_id % 50 % 2 = 0 THEN (vec_id % 50 * 250 + vec_id // 50) * 0.001::DOUBLE ELSE 120::DOUBLE * (vec_id % 50) END AS delta_t_seconds, "
+    "CASE WHEN vec_id % 50 % 2 = 0 THEN (vec_id % 50 + 0.5::DOUBLE) * 1000 END AS position_x_um, CASE WHEN vec_id % 50 % 2 = 0 THEN vec_id // 50 + 0.5::DOUBLE END AS exposure_seconds FROM embeddings"
+)
+def ome_planes(spark, sf_dir):
+    """Times, places and exposures of planes: those told by an OME document, else the time step's."""
+    table = scan.planes(scan.datasets(fixtures.build(planes(spark, sf_dir), "mem", "ome.tif", _ome_file, "f4", by_t=True)))
+    return table.select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("file"), "t", "delta_t_seconds", "position_x_um", "exposure_seconds")
+
+
 @query("SELECT CAST(vec_id // 50 AS INTEGER) AS t, CAST(vec_id % 50 AS INTEGER) AS plane_index, CAST(s AS INTEGER) AS tile_seq, CAST(s * 3 AS INTEGER) AS y, CAST(least(3, 8 - s * 3) AS INTEGER) AS height FROM embeddings, range(3) AS r(s)")
 def tile_index(spark, sf_dir):
     table = scan.tiles(scan.datasets(_files(spark, sf_dir, "tif", fixtures.tiff, "f4")))

@@ -133,7 +133,7 @@ def plane_coordinates(order: str, sizes: tuple[int, int, int], index: int) -> tu
 
 
 class Bytes:
-    """Checked reads of a file's bytes."""
+    """Checked reads of a file's bytes, or of a file that is cut like bytes."""
 
     def __init__(self, data: bytes, order: str = "<"):
         self.data, self.order = data, order

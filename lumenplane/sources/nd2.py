@@ -20,7 +20,7 @@ def chunks(data: bytes) -> list[tuple[str, int, int]]:
     """(name, offset, length) of every chunk; what is no chunk is passed over byte by byte."""
     out, at = [], data.find(MARK)
     while at >= 0 and at + 16 <= len(data):
-        name_size, size = struct.unpack_from("<IQ", data, at + 4)
+        name_size, size = struct.unpack("<IQ", data[at + 4 : at + 16])
         start = at + 16 + name_size
         name = data[at + 16 : start].split(b"\0")[0]
         good = 0 < name_size <= NAME_LIMIT and start + size <= len(data) and name and all(32 <= c < 127 for c in name)

@@ -1,26 +1,39 @@
 """Image files as DataFrames: format detection, levels, planes and windows of pixels.
 
-Files are rows (path, content), as Spark's binaryFile source gives them from any file system, or as
-any other DataFrame with such columns holds them. Index tables never hold pixels; decoding is one
-Arrow pass over datasets joined to the requests for them, and decodes only blocks that meet a window.
+Files are rows of a path, listed by Spark's binaryFile source without their contents: headers and blocks
+are read by ranges in the tasks that need them, and no file's bytes ever cross a shuffle. Rows that hold
+contents (path, content), from any DataFrame, serve as well. Index tables never hold pixels; decoding is
+one Arrow pass over datasets joined to the requests for them, and decodes only blocks that meet a window.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenplane.sources import czi, nd2, tiff, volumes
-from lumenplane.sources.model import ImageError, Level, pixels, plane_coordinates
+from lumenplane.sources.files import RangedFile
+from lumenplane.sources.model import ImageError, Level, pixels, plane_coordinates, plane_index
 
 # Formats in the order of detection, with their extensions.
-FORMATS = (("tiff", "tif,tiff,tf2,tf8,btf,ome"), ("czi", "czi"), ("nd2", "nd2"), ("nrrd", "nrrd,nhdr"), ("dcimg", "dcimg"), ("mrc", "mrc,mrcs,map,st,ali,rec,ccp4"))
-
-FILES = "dataset_id string, files array<struct<path:string,content:binary>>"
+FORMATS = (
+    ("tiff", ("tif", "tiff", "tf2", "tf8", "btf", "ome")), ("czi", ("czi",)), ("nd2", ("nd2",)), ("nrrd", ("nrrd", "nhdr")), ("dcimg", ("dcimg",)),
+    ("mrc", ("mrc", "mrcs", "map", "st", "ali", "rec", "ccp4")),
+)
+# Formats by the bytes at a place, in the order of detection; MRC has no such mark.
+MARKS = (("tiff", 0, b"II\x2a\x00"), ("tiff", 0, b"MM\x00\x2a"), ("tiff", 0, b"II\x2b\x00"), ("tiff", 0, b"MM\x00\x2b"), ("czi", 0, b"ZISRAWFILE"), ("nd2", 0, nd2.MARK), ("nd2", 4, b"jP  "), ("nrrd", 0, b"NRRD"), ("dcimg", 0, b"DCIMG"))
+#: Requests of at most so many bytes are broadcast.
+TOLD_BYTES = 32 << 20
+#: Bytes that detection looks at.
+HEAD = 4096
+
+FILES = "dataset_id string, format string, files array<struct<path:string,content:binary,length:long,modificationTime:timestamp>>"
 LEVELS = (
     "dataset_id string, format string, series int, resolution int, resolution_count int, size_x int, size_y int, size_z int, size_c int, size_t int, image_count int, "
     "logical_channels int, pixel_type string, bits_per_pixel int, samples_per_pixel int, dimension_order string, is_rgb boolean, is_interleaved boolean, is_indexed boolean, "
@@ -28,16 +41,19 @@ LEVELS = (
     "acquisition_timestamp string, objective_model string, objective_magnification double, objective_na double, channels string, lookup_table string, metadata string"
 )
 TILES = "dataset_id string, series int, resolution int, plane_index int, z int, c int, t int, tile_seq int, source int, offset long, length long, codec string, x int, y int, width int, height int"
+PLANE_INFO = "dataset_id string, series int, plane_index int, z int, c int, t int, delta_t_seconds double, position_x_um double, position_y_um double, position_z_um double, exposure_seconds double"
 PLANES = "dataset_id string, series int, resolution int, plane_index int, z int, c int, t int, x int, y int, width int, height int, pixel_type string, samples_per_pixel int, interleaved boolean, little_endian boolean, data binary, samples array<double>"
 
 
 def supported_formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, e.split(",")) for i, (n, e) in enumerate(FORMATS)], "priority int, format string, extensions array<string>")
+    return spark.createDataFrame([(i, n, list(e)) for i, (n, e) in enumerate(FORMATS)], "priority int, format string, extensions array<string>")
 
 
-def load_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def load_files(spark: SparkSession, path: str, glob: str | None = None, content: bool = False) -> DataFrame:
+    """path, length and modificationTime of files, and their content only if it is wanted."""
     reader = spark.read.format("binaryFile")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return found if content else found.drop("content")
 
 
 def _i32(content: Column, offset: int, little: bool) -> Column:
@@ -48,37 +64,51 @@ def _i32(content: Column, offset: int, little: bool) -> Column:
     return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
 
 
-def detect(content: Column, path: Column) -> Column:
-    """The format by its first bytes, in a fixed order, else by extension; null if neither tells."""
-    head = lambda *marks: F.substring(content, 1, len(marks[0])).isin([F.lit(bytearray(m)) for m in marks])
+def detect(head: Column, path: Column) -> Column:
+    """The format by a file's first bytes, in a fixed order, else by extension; null if neither tells."""
     plausible = F.lit(False)
     for little in (True, False):
-        sizes = [_i32(content, o, little) for o in (0, 4, 8)]
-        plausible = plausible | (_i32(content, 12, little).isin(*volumes.MRC_MODES) & (_i32(content, 92, little) >= 0) & (F.least(*sizes) > 0))
+        sizes = [_i32(head, o, little) for o in (0, 4, 8)]
+        plausible = plausible | (_i32(head, 12, little).isin(*volumes.MRC_MODES) & (_i32(head, 92, little) >= 0) & (F.least(*sizes) > 0))
     extension = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
-    by_name = F.coalesce(*[F.when(extension.isin(*e.split(",")), n) for n, e in FORMATS])
-    return (
-        F.when(head(b"II\x2a\x00", b"MM\x00\x2a", b"II\x2b\x00", b"MM\x00\x2b"), "tiff")
-        .when(head(b"ZISRAWFILE"), "czi")
-        .when(head(nd2.MARK) | (F.substring(content, 5, 4) == F.lit(bytearray(b"jP  "))), "nd2")
-        .when(head(b"NRRD"), "nrrd")
-        .when(head(b"DCIMG"), "dcimg")
-        .when((F.octet_length(content) >= 1024) & plausible, "mrc")
-        .otherwise(by_name)
-    )
+    by_name = F.coalesce(*[F.when(extension.isin(*e), n) for n, e in FORMATS])
+    marked = F.coalesce(*[F.when(F.substring(head, at + 1, len(mark)) == F.lit(bytearray(mark)), n) for n, at, mark in MARKS])
+    return F.coalesce(marked, F.when((F.octet_length(head) >= 1024) & plausible, "mrc"), by_name)
+
+
+def _with_heads(files: DataFrame) -> DataFrame:
+    """path, content (null where it is not given), length, modificationTime, head and wanted (an NRRD header's data file)."""
+    if "content" not in files.columns:
+        told = files.select("path", F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length"), F.col("modificationTime") if "modificationTime" in files.columns else F.lit(None).cast("timestamp").alias("modificationTime")).dropDuplicates(["path"])
+
+        def look(batches):
+            for batch in batches:
+                heads, wanted = [], []
+                for path in batch.column(0).to_pylist():
+                    file = RangedFile(path)
+                    heads.append(file[:HEAD])
+                    wanted.append(volumes.nrrd_companion(file) if heads[-1].startswith(b"NRRD") else None)
+                    file.close()
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(wanted, pa.string())], names=[*batch.schema.names, "head", "wanted"])
+
+        return told.mapInArrow(look, "path string, length long, modificationTime timestamp, head binary, wanted string").withColumn("content", F.lit(None).cast("binary"))
+    head = F.substring("content", 1, HEAD)
+    text = F.when(F.substring("content", 1, 4) == F.lit(bytearray(b"NRRD")), F.col("content").cast("string"))
+    header = F.substring_index(F.substring_index(text, "\n\n", 1), "\r\n\r\n", 1)  # as far as its blank line, wherever that is
+    wanted = F.nullif(F.trim(F.regexp_extract(header, '(?im)^data ?file\\s*:\\s*"?([^"\\r\\n]*)', 1)), F.lit(""))
+    modified = F.col("modificationTime") if "modificationTime" in files.columns else F.lit(None).cast("timestamp")
+    return files.select("path", "content", F.octet_length("content").cast("long").alias("length"), modified.alias("modificationTime"), head.alias("head"), wanted.alias("wanted"))
 
 
 def datasets(files: DataFrame) -> DataFrame:
-    """(dataset_id, files): files that belong together, the primary one first.
+    """(dataset_id, format, files): files that belong together, the primary one first.
 
     Parts of a split CZI and the DCIMG files of a folder are siblings; a detached NRRD data file is the
-    named companion of its header, and an error if it is missing.
+    named companion of its header, and an error if it is missing. Paths are grouped (a path listed twice
+    is one file), and contents only where rows hold them.
     """
-    kind = detect(F.col("content"), F.col("path"))
     folder, name = F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
-    header = F.when(kind == "nrrd", F.substring("content", 1, 65536).cast("string"))
-    wanted = F.nullif(F.trim(F.regexp_extract(header, '(?im)^data ?file\\s*:\\s*"?([^"\\r\\n]*)', 1)), F.lit(""))
-    told = files.select("path", "content", kind.alias("format"), folder.alias("folder"), name.alias("name"), wanted.alias("wanted"))
+    told = _with_heads(files).withColumn("format", detect(F.col("head"), F.col("path"))).drop("head").withColumns({"folder": folder, "name": name})
     needed = told.where("wanted is not null").select(F.concat("folder", "wanted").alias("path"), F.col("path").alias("header")).dropDuplicates(["path"])
     joined = told.join(needed, "path", "left")
     part = F.coalesce(F.regexp_extract("name", "\\((\\d+)\\)\\.[cC][zZ][iI]$", 1).try_cast("int"), F.lit(0))
@@ -90,17 +120,22 @@ def datasets(files: DataFrame) -> DataFrame:
     )
     rank = F.when(F.col("header").isNotNull(), 1).otherwise(F.when(F.col("format") == "czi", part).otherwise(0))
     known = joined.where(F.col("format").isNotNull() | F.col("header").isNotNull())
-    return known.groupBy(group.alias("dataset_id")).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "path", "content"))).alias("f")).select("dataset_id", F.transform("f", lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content"))).alias("files"))
+    held = F.struct(rank.alias("rank"), "path", "content", "length", "modificationTime", "format")
+    grouped = known.groupBy(group.alias("dataset_id")).agg(F.array_sort(F.collect_list(held)).alias("f"))
+    return grouped.select("dataset_id", F.get("f", F.lit(0))["format"].alias("format"), F.transform("f", lambda f: F.struct(f["path"].alias("path"), f["content"].alias("content"), f["length"].alias("length"), f["modificationTime"].alias("modificationTime"))).alias("files"))
 
 
-def parse(files: list[tuple[str, bytes]]) -> tuple[str, list[list[Level]]]:
-    """The format and the series of a dataset's files; an error after a match is final."""
-    (path, data), names = files[0], [p for p, _ in files]
+def _kind(data, path: str) -> str | None:
+    """The format of a file that comes without one, by the same marks."""
+    marked = next((n for n, at, mark in MARKS if data[at : at + len(mark)] == mark), None)
     extension = path.rpartition(".")[2].lower()
-    kind = next((k for k, ok in (
-        ("tiff", data[:4] in (b"II\x2a\0", b"MM\0\x2a", b"II\x2b\0", b"MM\0\x2b")), ("czi", data[:10] == b"ZISRAWFILE"), ("nd2", data[:4] == nd2.MARK or data[4:8] == b"jP  "),
-        ("nrrd", data[:4] == b"NRRD"), ("dcimg", data[:5] == b"DCIMG"), ("mrc", volumes.is_mrc(data)),
-    ) if ok), next((n for n, e in FORMATS if extension in e.split(",")), None))
+    return marked or ("mrc" if volumes.is_mrc(data) else next((n for n, e in FORMATS if extension in e), None))
+
+
+def parse(files: list[tuple], kind: str | None = None) -> tuple[str, list[list[Level]]]:
+    """The format and the series of a dataset's files (path, bytes or ranged file); an error after a match is final."""
+    (path, data), names = files[0], [p for p, _ in files]
+    kind = kind or _kind(data, path)
     if kind == "tiff":
         base = [n.rpartition("/")[2] for n in names]
         series = tiff.tiff(data, dict(zip(base[1:], (d for _, d in files[1:]))), base[0])
@@ -123,9 +158,16 @@ def parse(files: list[tuple[str, bytes]]) -> tuple[str, list[list[Level]]]:
     return kind, series
 
 
-def _opened(row: dict) -> tuple[list[bytes], str, list[list[Level]]]:
-    files = [(f["path"], f["content"]) for f in row["files"]]
-    return [d for _, d in files], *parse(files)
+@contextlib.contextmanager
+def _opened(row: dict):
+    """A dataset's files, its format and its series; what has been opened by path is closed again."""
+    files = [(f["path"], RangedFile(f["path"]) if f["content"] is None else f["content"]) for f in row["files"]]
+    try:
+        yield [d for _, d in files], *parse(files, row["format"])
+    finally:
+        for _, d in files:
+            if isinstance(d, RangedFile):
+                d.close()
 
 
 def _rows(schema: str, make):
@@ -155,13 +197,13 @@ def levels(sets: DataFrame) -> DataFrame:
     """One row per series and resolution."""
 
     def make(row):
-        _, kind, series = _opened(row)
-        for s, group in enumerate(series):
-            for r, v in enumerate(group):
-                yield (
-                    row["dataset_id"], kind, s, r, len(group), v.size_x, v.size_y, v.size_z, v.size_c, v.size_t, v.image_count, v.logical_channels, v.pixel_type, v.bits, v.samples, v.order,
-                    v.rgb, v.interleaved, v.indexed, v.false_color, v.little_endian, *v.physical, v.time_step, v.timestamp, *v.objective, json.dumps(v.channels), json.dumps(v.lut), json.dumps(v.extra, default=str),
-                )
+        with _opened(row) as (_, kind, series):
+            for s, group in enumerate(series):
+                for r, v in enumerate(group):
+                    yield (
+                        row["dataset_id"], kind, s, r, len(group), v.size_x, v.size_y, v.size_z, v.size_c, v.size_t, v.image_count, v.logical_channels, v.pixel_type, v.bits, v.samples, v.order,
+                        v.rgb, v.interleaved, v.indexed, v.false_color, v.little_endian, *v.physical, v.time_step, v.timestamp, *v.objective, json.dumps(v.channels), json.dumps(v.lut), json.dumps(v.extra, default=str),
+                    )
 
     return sets.mapInArrow(_rows(LEVELS, make), LEVELS)
 
@@ -170,44 +212,72 @@ def tiles(sets: DataFrame) -> DataFrame:
     """One row per stored block: where it lies in its plane and in its file."""
 
     def make(row):
-        _, _, series = _opened(row)
-        for s, group in enumerate(series):
-            for r, v in enumerate(group):
-                for p, blocks in enumerate(v.planes):
-                    z, c, t = plane_coordinates(v.order, (v.size_z, v.logical_channels, v.size_t), p)
-                    for i, b in enumerate(blocks):
-                        yield row["dataset_id"], s, r, p, z, c, t, i, b.source, b.offset, b.length, b.codec, b.x, b.y, b.width, b.height
+        with _opened(row) as (_, _, series):
+            for s, group in enumerate(series):
+                for r, v in enumerate(group):
+                    for p, blocks in enumerate(v.planes):
+                        z, c, t = plane_coordinates(v.order, (v.size_z, v.logical_channels, v.size_t), p)
+                        for i, b in enumerate(blocks):
+                            yield row["dataset_id"], s, r, p, z, c, t, i, b.source, b.offset, b.length, b.codec, b.x, b.y, b.width, b.height
 
     return sets.mapInArrow(_rows(TILES, make), TILES)
 
 
-def read(sets: DataFrame, requests: DataFrame | None = None, samples: bool = True) -> DataFrame:
+def planes(sets: DataFrame) -> DataFrame:
+    """One row per plane: its coordinates, and the time, place and exposure that its file tells or implies."""
+
+    def make(row):
+        with _opened(row) as (_, _, series):
+            for s, group in enumerate(series):
+                v = group[0]
+                for p in range(v.image_count):
+                    z, c, t = plane_coordinates(v.order, (v.size_z, v.logical_channels, v.size_t), p)
+                    told = v.plane_info[p] if p < len(v.plane_info) else {}
+                    delta = told.get("delta_t")
+                    yield row["dataset_id"], s, p, z, c, t, delta if delta is not None else None if v.time_step is None else v.time_step * t, *(told.get(f"position_{a}") for a in "xyz"), told.get("exposure")
+
+    return sets.mapInArrow(_rows(PLANE_INFO, make), PLANE_INFO)
+
+
+def read(sets: DataFrame, requests: DataFrame | None = None, samples: bool = True, everywhere: list[dict] | None = None) -> DataFrame:
     """Pixels of the planes asked for, as bytes and (if wanted) as doubles.
 
-    requests: dataset_id, series, resolution, plane_index, x, y, width, height; a null width or height
-    reaches to the edge, a null x or y is 0. Without requests every plane of full resolution is read.
+    requests: dataset_id, series, resolution, plane_index or z, c and t, x, y, width, height; a null width
+    or height reaches to the edge, a null x or y is 0, a column that is missing is null. everywhere: such
+    requests as dicts, for every dataset and without a join. Without either every plane of full
+    resolution is read. Requests of a small size are told to all tasks instead of moving the datasets.
     """
-    wanted = "array<struct<series:int,resolution:int,plane_index:int,x:int,y:int,width:int,height:int>>"
-    if requests is None:
-        asked = sets.select("dataset_id", "files", F.lit(None).cast(wanted).alias("wanted"))
+    names = ("series", "resolution", "plane_index", "z", "c", "t", "x", "y", "width", "height")
+    wanted = f"array<struct<{','.join(f'{n}:int' for n in names)}>>"
+    if everywhere is not None:
+        asked = sets.withColumn("wanted", F.array(*[F.struct(*[F.lit(q.get(n)).cast("int").alias(n) for n in names]) for q in everywhere]).cast(wanted))
+    elif requests is None:
+        asked = sets.withColumn("wanted", F.lit(None).cast(wanted))
     else:
-        part = F.struct(*[F.col(n).cast("int").alias(n) for n in ("series", "resolution", "plane_index", "x", "y", "width", "height")])
-        asked = sets.join(requests.groupBy("dataset_id").agg(F.collect_list(part).alias("wanted")), "dataset_id")
+        part = F.struct(*[(F.col(n) if n in requests.columns else F.lit(None)).cast("int").alias(n) for n in names])
+        told = requests.groupBy("dataset_id").agg(F.collect_list(part).alias("wanted"))
+        size = int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        asked = sets.join(F.broadcast(told) if size <= TOLD_BYTES else told, "dataset_id")
 
     def make(row):
-        files, _, series = _opened(row)
-        todo = row["wanted"]
-        if todo is None:
-            todo = [{"series": s, "resolution": 0, "plane_index": p, "x": 0, "y": 0, "width": None, "height": None} for s, group in enumerate(series) for p in range(group[0].image_count)]
-        for q in todo:
-            s, r = q["series"], q["resolution"]
-            if not 0 <= s < len(series) or not 0 <= r < len(series[s]):
-                raise ImageError("Range", f"series {s}, resolution {r}")
-            v, x, y = series[s][r], q["x"] or 0, q["y"] or 0
-            w, h = v.size_x - x if q["width"] is None else q["width"], v.size_y - y if q["height"] is None else q["height"]
-            data = pixels(v, q["plane_index"], files, x, y, w, h)
-            z, c, t = plane_coordinates(v.order, (v.size_z, v.logical_channels, v.size_t), q["plane_index"])
-            yield row["dataset_id"], s, r, q["plane_index"], z, c, t, x, y, w, h, v.pixel_type, v.samples, v.interleaved, v.little_endian, data, np.frombuffer(data, v.dtype).astype(np.float64) if samples else None
+        with _opened(row) as (files, _, series):
+            todo = row["wanted"]
+            if todo is None:
+                todo = [{"series": s, "plane_index": p} for s, group in enumerate(series) for p in range(group[0].image_count)]
+            for q in todo:
+                s, r = q["series"] or 0, q.get("resolution") or 0
+                if not 0 <= s < len(series) or not 0 <= r < len(series[s]):
+                    raise ImageError("Range", f"series {s}, resolution {r}")
+                v, x, y, at = series[s][r], q.get("x") or 0, q.get("y") or 0, q.get("plane_index")
+                sizes = v.size_z, v.logical_channels, v.size_t
+                if at is None:
+                    place = [q.get(a) or 0 for a in "zct"]
+                    if not all(0 <= p < n for p, n in zip(place, sizes)):
+                        raise ImageError("Range", f"plane at Z, C, T {place}")
+                    at = plane_index(v.order, sizes, *place)
+                w, h = (n if q.get(k) is None else q[k] for k, n in (("width", v.size_x - x), ("height", v.size_y - y)))
+                data = pixels(v, at, files, x, y, w, h)
+                yield row["dataset_id"], s, r, at, *plane_coordinates(v.order, sizes, at), x, y, w, h, v.pixel_type, v.samples, v.interleaved, v.little_endian, data, np.frombuffer(data, v.dtype).astype(np.float64) if samples else None
 
     return asked.mapInArrow(_rows(PLANES, make), PLANES)
 
@@ -222,9 +292,10 @@ def thumbnails(sets: DataFrame, level_table: DataFrame) -> DataFrame:
 
 def flattened(level_table: DataFrame) -> DataFrame:
     """Each level as a series of its own: the levels of earlier series come first."""
-    counts = level_table.select("dataset_id", "series", "resolution_count").distinct()
-    before = counts.alias("a").join(counts.alias("b"), (F.col("a.dataset_id") == F.col("b.dataset_id")) & (F.col("b.series") < F.col("a.series")), "left").groupBy("a.dataset_id", "a.series").agg(F.coalesce(F.sum("b.resolution_count"), F.lit(0)).alias("before"))
+    counts = level_table.where("resolution = 0").select("dataset_id", "series", "resolution_count")
+    earlier = W.partitionBy("dataset_id").orderBy("series").rowsBetween(W.unboundedPreceding, -1)  # over the series of a dataset
+    before = counts.select("dataset_id", "series", F.coalesce(F.sum("resolution_count").over(earlier), F.lit(0)).alias("before"))
     return level_table.join(before, ["dataset_id", "series"]).withColumn("flat_series", (F.col("before") + F.col("resolution")).cast("int")).drop("before")
 
 
-__all__ = ["datasets", "detect", "flattened", "levels", "load_files", "parse", "read", "supported_formats", "thumbnails", "tiles"]
+__all__ = ["datasets", "detect", "flattened", "levels", "load_files", "parse", "planes", "read", "supported_formats", "thumbnails", "tiles"]

@@ -354,7 +354,7 @@ def ome(xml: str, files: dict[str, File], first: str) -> list[list[Level]]:
             at = plane_index(order, (z, logical, t), _whole(e, "TheZ"), _whole(e, "TheC") // samples, _whole(e, "TheT"))
             if at >= count:
                 raise ImageError("InvalidData", "OME plane out of range")
-            level.plane_info[at] = {"delta_t": _quantity(e, "DeltaT", "DeltaTUnit", "s", units.TIMES), **{f"position_{a.lower()}": _quantity(e, f"Position{a}", f"Position{a}Unit", "reference frame", units.LENGTHS) for a in "XYZ"}}
+            level.plane_info[at] = {"exposure": _quantity(e, "ExposureTime", "ExposureTimeUnit", "s", units.TIMES), "delta_t": _quantity(e, "DeltaT", "DeltaTUnit", "s", units.TIMES), **{f"position_{a.lower()}": _quantity(e, f"Position{a}", f"Position{a}Unit", "reference frame", units.LENGTHS) if e.get(f"Position{a}Unit", "reference frame") in units.LENGTHS else None for a in "XYZ"}}
         series.append(_pyramid(files[first], pages, level) if len(files) == 1 else [level])
     if not series:
         raise ImageError("InvalidData", "OME document without images")

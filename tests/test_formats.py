@@ -338,3 +338,94 @@ def test_extremes_are_global_once_all_planes_are_read(spark):
     assert (lone.minimum, lone.maximum) == (float("inf"), float("-inf"))
     two = spark.createDataFrame([([10.0, 100.0, 20.0, 80.0],)], "samples array<double>")
     assert [(r.minimum, r.maximum) for r in stats.plane_min_max(two, 2).orderBy("component").collect()] == [(10.0, 20.0), (80.0, 100.0)]
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    from lumenplane.sources.files import RangedFile
+
+    planes = np.arange(6 * 300 * 400, dtype="u2").reshape(6, 300, 400)
+    (tmp_path / "a.tif").write_bytes(fixtures.tiff(planes, rows=10))
+    (tmp_path / "v.mrc").write_bytes(fixtures.mrc(planes))
+    (tmp_path / "h.nhdr").write_bytes(b"NRRD0004\ntype: uint8\ndimension: 2\nsizes: 3 2\nencoding: raw\n# " + b"long " * 30000 + b"\ndata file: h.raw\n")
+    (tmp_path / "h.raw").write_bytes(bytes(range(6)))
+    (tmp_path / "d").mkdir()
+    for k in range(2):
+        (tmp_path / "d" / f"z{k}.dcimg").write_bytes(fixtures.dcimg(np.full((1, 2, 4), k + 1, "u1")))
+    files = scan.load_files(spark, f"{tmp_path}/*").unionAll(scan.load_files(spark, f"{tmp_path}/d"))
+    assert "content" not in files.columns
+    sets = scan.datasets(files)
+    assert sorted((r.dataset_id.rpartition("/")[2], r.format, len(r.files)) for r in sets.collect()) == [("*.dcimg", "dcimg", 2), ("a.tif", "tiff", 1), ("h.nhdr", "nrrd", 2), ("v.mrc", "mrc", 1)]
+    assert all(f.content is None for r in sets.collect() for f in r.files)
+    got = scan.read(sets.where("format = 'tiff'"), everywhere=[{"plane_index": 4, "x": 7, "y": 205, "width": 3, "height": 2}]).first()
+    assert got.samples == planes[4, 205:207, 7:10].ravel().tolist()
+    ids = {r.format: r.dataset_id for r in sets.collect()}
+    asked = spark.createDataFrame([(ids["mrc"], 0, 3, 0, 0), (ids["dcimg"], 0, 1, 0, 0), (ids["nrrd"], 0, 0, 0, 0)], "dataset_id string, series int, z int, c int, t int")
+    samples = {r.dataset_id: r.samples for r in scan.read(sets, asked).collect()}
+    assert samples[ids["mrc"]] == planes[3].ravel().tolist() and samples[ids["dcimg"]] == [2.0] * 8 and samples[ids["nrrd"]] == [0, 1, 2, 3, 4, 5]
+    with pytest.raises(Exception, match="Range"):
+        scan.read(sets.where("format = 'mrc'"), everywhere=[{"z": 6}]).collect()
+
+    file = RangedFile(str(tmp_path / "v.mrc"))
+    _, [[level]] = scan.parse([("v.mrc", file)])
+    pixels(level, 5, [file], 0, 0, 400, 1)
+    assert len(file) > 1_400_000 and file.read_bytes < 400_000  # a header and one plane
+    whole_file = (tmp_path / "v.mrc").read_bytes()
+    assert file[70_000:200_000] == whole_file[70_000:200_000] and file[65_530:65_540] == whole_file[65_530:65_540] and file.find(whole_file[131_070:131_080], 131_000) == 131_070
+    file.close()
+
+
+def test_marks_follow_moved_files_and_groups(spark, tmp_path):
+    import shutil
+
+    from lumenplane.sources import cache
+
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+    for k in range(3):
+        (tmp_path / "one" / f"z{k}.dcimg").write_bytes(fixtures.dcimg(np.full((1, 2, 4), k + 1, "u1")))
+    files = scan.load_files(spark, str(tmp_path / "one"))
+    index = str(tmp_path / "index")
+    assert cache.load(spark, files, index).count() == 0 and cache.misses(files, cache.load(spark, files, index)).count() == 3
+    for _ in range(2):
+        cache.save(scan.levels(scan.datasets(files)), files, index)
+    assert cache.load(spark, files, index).count() == 1 and cache.misses(files, cache.load(spark, files, index)).count() == 0
+    for f in (tmp_path / "one").iterdir():
+        shutil.move(f, tmp_path / "two" / f.name)
+    moved = scan.load_files(spark, str(tmp_path / "two"))
+    assert "/two/" in cache.load(spark, moved, index).first().dataset_id
+    (tmp_path / "two" / "z1.dcimg").unlink()
+    fewer = scan.load_files(spark, str(tmp_path / "two"))
+    assert cache.load(spark, fewer, index).count() == 0
+
+
+def test_imagej_rgb_and_further_text():
+    level = lambda rgb, samples: tiff.Level(2, 2, samples=samples, rgb=rgb, size_c=samples)
+    for rgb, comment, pages, want in (
+        (True, "ImageJ=1\nslices=4", 4, (4, 3, 1)), (True, "ImageJ=1", 5, (1, 3, 5)), (True, "ImageJ=1\nchannels=2\nslices=3", 6, (3, 6, 1)), (True, "ImageJ=1\nchannels=3", 5, (1, 3, 5)),
+        (False, "ImageJ=1\nchannels=4294967296", 1, (1, 1, 1)), (False, "ImageJ=1\nchannels=2\nframes=3", 6, (1, 2, 3)),
+    ):
+        v = level(rgb, 3 if rgb else 1)
+        v.size_t = pages
+        tiff._imagej(v, comment, pages)
+        assert (v.size_z, v.size_c, v.size_t) == want, (rgb, comment)
+    assert tiff.plain_lines([73, 0, 109, 9, 103, 133, 120]) == "Im\ng\nx" and tiff.plain_lines("a\r\nb\rc") == "a\nb\nc"
+
+
+def test_czi_levels_are_powers_of_one_factor():
+    entry = lambda size, stored, at=0: _tile(at, 0, 0) | {"width": size[0], "height": size[1], "stored": stored, "data": bytes(stored[0] * stored[1])}
+    full = entry((400, 400), (400, 400))
+    _, [levels], _ = opened("a.czi", fixtures.czi([full, entry((300, 300), (100, 100)), entry((100, 8), (33, 3), 300)], 0))
+    assert [v.extra["scale"] for v in levels] == [1, 3]
+    for bad, kind in (([full, entry((100, 100), (50, 25))], "InvalidData"), ([full, entry((100, 100), (20, 20))], "Unsupported"), ([entry((4, 4), (8, 8))], "InvalidData")):
+        with pytest.raises(ImageError, match=kind):
+            opened("a.czi", fixtures.czi(bad, 0))
+
+
+def test_zstd_stops_at_its_limit():
+    import zstandard
+
+    from lumenplane.sources import codecs
+
+    bomb = zstandard.compress(bytes(1 << 28))
+    with pytest.raises(ImageError, match="more than 1000 bytes"):
+        codecs.decode("zstd", bomb, 1000)
