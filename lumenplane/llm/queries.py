@@ -198,3 +198,16 @@ ORACLES["op7_chat"] = (
     "CASE WHEN call_id IS NOT NULL AND call_turn IS NULL THEN 'result without a call' ELSE coalesce(fault, '') END AS problem, CASE WHEN call_id IS NOT NULL AND call_turn IS NULL THEN false ELSE fault IS NULL END AS valid, "
     "'{\"content\":' || to_json(CASE WHEN n > 0 OR call_id IS NOT NULL THEN coalesce(json_extract_string(j, '$.content'), '') ELSE text END) || ',\"role\":' || to_json(role) || CASE WHEN call_id IS NOT NULL THEN ',\"tool_call_id\":' || to_json(call_id) ELSE '' END || CASE WHEN n > 0 THEN ',\"tool_calls\":[' || calls || ']' ELSE '' END || '}' AS message FROM linked"
 )
+
+
+# exact: every pair of texts that share a shingle, and classes as the closure of the links
+ORACLES["op8_bagminhash"] = (
+    "WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10ffff}]+') AS w FROM documents), "
+    "bags AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS b FROM d), "
+    "told AS (SELECT doc_id, b, md5(array_to_string(list_sort(b), '|')) AS h FROM bags), reps AS (SELECT h, min(doc_id) AS rep FROM told WHERE len(b) > 0 GROUP BY h), "
+    "s AS (SELECT rep, x, count(*) AS c FROM (SELECT rep, unnest(b) AS x FROM reps JOIN told ON told.doc_id = reps.rep) GROUP BY ALL), n AS (SELECT rep, sum(c) AS n FROM s GROUP BY rep), "
+    "pairs AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.c, b.c)) AS shared FROM s a JOIN s b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), "
+    "near AS (SELECT a, b FROM pairs JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE shared >= 0.8::DOUBLE * (x.n + y.n - shared)), links AS (SELECT a, b FROM near UNION SELECT b, a FROM near), "
+    "reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a), classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a) "
+    "SELECT told.doc_id, coalesce(class_id, told.doc_id) AS class_id FROM told LEFT JOIN reps USING (h) LEFT JOIN classes USING (rep)"
+)

@@ -166,6 +166,39 @@ def test_decontamination_by_a_small_benchmark(spark):
         assert got == want and len(got) == len(asked) + 1
 
 
+def test_decontamination_by_edit_rate(spark):
+    """Of the pairs that reach 0.5 by a full alignment, nine in ten are found at any rate of edits (words replaced, left out, put in)."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(12)]
+    docs, rates = [], (0.0, 0.1, 0.2, 0.3, 0.4)
+    for r, rate in enumerate(rates):
+        for k in range(48):
+            copy = []
+            for w in words(items[k % 12][1]):
+                x = rng.random()
+                copy += [w] if x >= rate else [[word()], [], [word(), w]][rng.randrange(3)]
+            docs.append((r * 100 + k, " ".join([*(word() for _ in range(20)), *copy, *(word() for _ in range(20))])))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for r, rate in enumerate(rates):
+        want = {(d, i) for d, text in docs if d // 100 == r for i, item in items if _score(words(item), words(text)) >= 0.5}
+        assert len(want) >= (48 if rate <= 0.2 else 1) and len(found & want) >= 0.9 * len(want), (rate, len(want), len(found & want))
+    assert found <= {(d, i) for d, text in docs for i, item in items if _score(words(item), words(text)) >= 0.5}
+
+
+def test_decontamination_of_odd_rows_and_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"alpha beta gamma delta item{k} and its end", 1) for k in range(5)] + [(None, "lone words of no id", 1)], "item_id long, text string, score int")
+    rows = [(None, "say alpha beta gamma delta item3 and its end now"), (7, "alpha beta gamma delta item1 and its end, alpha beta gamma delta item1 and its end"), (7, "alpha beta gamma delta item1 and its end, alpha beta gamma delta item1 and its end"), (8, "lone words of no id")]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, Score double")
+    whole = sorted(map(tuple, decontaminate.contaminated(df, items, 0.9).collect()), key=repr)
+    assert [r[:3] for r in whole] == [(7, 1, 1.0), (7, 1, 1.0), (8, None, 1.0), (None, 3, 1.0)] and whole[0][3] == 8  # the first on a tie
+    flags = sorted((r.text, r.contaminated) for r in decontaminate.flag(df, items, 0.9).collect())
+    assert [f for _, f in flags] == [True] * 4
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    assert sorted(map(tuple, decontaminate.contaminated(df, items, 0.9).collect()), key=repr) == whole
+    assert sorted((r.text, r.contaminated) for r in decontaminate.flag(df, items, 0.9).collect()) == flags
+
+
 def test_tool_calls_are_linked(spark):
     call = lambda *calls: json.dumps({"content": "let me see", "tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in calls]})
     answer = lambda i, c: json.dumps({"tool_call_id": i, "content": c})

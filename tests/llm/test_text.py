@@ -6,10 +6,11 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 
 import corpus_pipeline
-from lumenplane.llm import bpe, langid, queries, toxicity
-from lumenplane.llm.common import words
+from lumenplane.llm import bpe, decontaminate, langid, queries, toxicity
+from lumenplane.llm.common import columns_of, word_hashes, words
 from tests.llm.test_search import _classes, _score
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -105,6 +106,80 @@ def test_toxicity_of_odd_texts(spark):
     assert toxicity.train(texts[:60], np.zeros(60), ["en"] * 60) is None
 
 
+def test_scores_against_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 40))) + (" you awful lot" if k % 2 else " kind and good") for k in range(400)]
+    langs = ["en" if k % 3 else "de" for k in range(400)]
+    texts = [t + (" der die das" if l == "de" else " the and of") for t, l in zip(texts, langs)]
+    model = toxicity.train(texts, np.arange(400) % 2, langs)
+    odd = [*texts[:40], "one", "two words", "unknown things entirely here", "awful", "you awful lot " * 500, "", None, "...", "Ünïcode wörds you AWFUL lot"]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(odd):
+        rows = [int(model.index[int(word_hashes([w])[0][0]) & (toxicity.BUCKETS - 1)]) for w in words(text)]
+        logit = float(model.offset)
+        for j, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = None
+                for at in range(len(rows) - width + 1):
+                    value = sum(float(model.tables[width][step][rows[at + step]][f]) for step in range(width))
+                    best = value if best is None or value > best else best
+                pooled = max(0.0, best + float(model.bias[width][f])) if best is not None else 0.0
+                logit += pooled * float(model.weights[j * toxicity.FILTERS + f])
+        votes = [sum(float(model.lang_logp[r][l]) for r in rows) for l in range(model.lang_logp.shape[1])]
+        logit += float(model.shifts[votes.index(max(votes))])
+        want = 1 / (1 + np.exp(-min(30, max(-30, logit)))) if rows else 0.0
+        assert got[k][0] == pytest.approx(want, abs=1e-4) and got[k][1] == (got[k][0] >= toxicity.CUT)
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).collect() == []
+
+
+def test_languages_against_plain_compression(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learned = langid.fit(docs.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    assert all(len(d) <= langid.DICTIONARY_BYTES for d in learned.values())
+    some = docs.where("doc_id % 9 = 0")
+    got = {r.doc_id: r for r in langid.predict(some, learned).collect()}
+    for d in some.collect():
+        data, sizes = langid.normalised(d.text), {}
+        for lang, content in learned.items():
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pack = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(pack.compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK))
+        r, (first, second) = got[d.doc_id], sorted(sizes.values())[:2]
+        if not data:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        margin = (second - first) / second
+        assert r.lang_pred == next(lang for lang in learned if sizes[lang] == first)
+        assert r.score == pytest.approx(margin / (margin + 0.01)) and r.rejected == (margin < langid.MARGIN)
+    tied = langid.predict(spark.createDataFrame([(1, "words of any kind")], "doc_id long, text string"), {"b": b"same", "a": b"same"}).first()
+    assert (tied.lang_pred, tied.score, tied.rejected) == ("b", 0.0, True)
+    assert langid.predict(docs.limit(0), learned).collect() == []
+
+
+def test_dictionaries_take_any_place_of_a_text():
+    text = " ".join("word" + "".join("abcdefghij"[int(d)] for d in f"{k:04}") for k in range(3000)).encode()
+    cut = langid.pieces(text)
+    places = [text.index(p) / len(text) for p in cut[:20]]
+    assert min(places) < 0.3 and max(places) > 0.7
+    assert sorted(b" ".join(cut).split()) == sorted(text.split()) and max(map(len, cut)) <= langid.PIECE
+
+
+def test_columns_that_bear_a_results_name(spark, library):
+    rows = [(1, "the dog and the cat", 0.5, "a", 7, True, "x"), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, SCORE double, Predicted string, lang_pred int, Contaminated boolean, Rejected string")
+    learned = {"en": b"the cat and the dog sat on the mat with another " * 40, "de": b"der hund und die katze sassen auf einer matte " * 40}
+    items = spark.createDataFrame([(1, "the dog and")], "item_id long, text string")
+    for out, names in (
+        (toxicity.score(df, None), ["doc_id", "text", "SCORE_given", "Predicted_given", "lang_pred", "Contaminated", "Rejected", "score", "predicted"]),
+        (langid.predict(df, learned), ["doc_id", "text", "SCORE_given", "Predicted", "lang_pred_given", "Contaminated", "Rejected_given", "lang_pred", "score", "rejected"]),
+        (decontaminate.flag(df, items), ["doc_id", "text", "SCORE", "Predicted", "lang_pred", "Contaminated_given", "Rejected", "contaminated"]),
+    ):
+        assert out.columns == names
+        assert sorted((tuple(r)[:7] for r in out.collect()), key=repr) == sorted(rows, key=repr)
+        assert columns_of(out, df).columns == df.columns
+
+
 def test_pipeline_against_brute_force(spark, library):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
