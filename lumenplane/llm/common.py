@@ -78,6 +78,17 @@ def partitions_for(docs: DataFrame, each: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, wanted, min(known // each, 1_000_000))
 
 
+#: A key of more rows is told to all tasks instead of being dealt to one: n rows have n / HOT_ROWS such keys at most.
+HOT_ROWS = 100_000
+
+
+def join_by(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined to right, which has one row for each key, however many rows of left share one. left is read three times."""
+    hot = F.broadcast(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select(key))
+    many = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return left.join(hot, key, "left_anti").join(right, key).unionByName(many)
+
+
 def beside(docs: DataFrame, *results: str) -> DataFrame:
     """docs with `_given` added to the names that a result bears, in any case, so that no column is lost."""
     taken, names = {r.lower() for r in results}, []

@@ -124,7 +124,7 @@ def _base32_sql(digest: str) -> str:
 
 
 ORACLES["op3_warc"] = (
-    "WITH p AS (SELECT DISTINCT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS r, sha1(h) AS s FROM p) "
+    "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS r, sha1(h) AS s FROM p) "
     f"SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, {_base32_sql('s')} AS payload_digest, CASE WHEN page_id = r THEN 'response' ELSE 'revisit' END AS record_type, "
     "CASE WHEN page_id <> r THEN r END AS refers_to, true AS verified FROM f"
 )

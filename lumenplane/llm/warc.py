@@ -8,9 +8,10 @@ compared with its key, so that a damaged payload raises an error.
 Of records with equal payloads of at least `least` bytes, the one with the largest page_id is the
 `response`; the others are `revisit` records that name it. Smaller ones are all responses.
 
-Defined results: a null page is an empty payload; rows alike in id, address and page collapse to one
-record; a null page_id is the smallest; extra columns are ignored. Payload bytes cross the network
-once, by page, so a payload that a third of all pages share makes no task large.
+Defined results: a null page is an empty payload; repeated rows all stay, each as a record of its own,
+and those of the response's page_id are responses; a null page_id is the smallest; extra columns are
+ignored. Payload bytes cross the network once, by page, so a payload that a third of all pages share makes
+no task large, and digests that very many records share are joined without being dealt to one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenplane.llm.common import join_by, work_dir, written
+
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -32,7 +35,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     spark = pages.sparkSession
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     told = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    told.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")).distinct().write.parquet(f"{path}/facts")
+    told.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes")).write.parquet(f"{path}/facts")
     facts = spark.read.parquet(f"{path}/facts")
     first = facts.groupBy("digest").agg(F.max("page_id").alias("response_id"))
 
@@ -42,7 +45,7 @@ def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "2024
     same = told.select(key, "digest", "payload").join(kept.hint("shuffle_hash"), ["k", "digest"], "left_semi")
     same.dropDuplicates(["k", "digest"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    linked = facts.join(first, "digest").withColumn("revisit", (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("response_id")))
+    linked = join_by(facts, first, "digest").withColumn("revisit", (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("response_id")))
     uuid = lambda c: F.concat(F.lit("<urn:lumenplane:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     header = F.concat(
@@ -72,7 +75,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name: F.regexp_extract(F.col("header").cast("string"), f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1)
     number = lambda name: F.regexp_extract(field(name), "page:(-?\\d+)>", 1).try_cast("long")
     sizes = _verified(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"))
-    return spark.read.parquet(f"{path}/headers").join(sizes, "digest").select(
+    return join_by(spark.read.parquet(f"{path}/headers"), written(sizes, f"{work_dir(spark)}/sizes"), "digest").select(
         number("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), "payload_bytes", "payload_digest",
         field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
         (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))).alias("verified"),
