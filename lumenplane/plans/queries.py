@@ -392,6 +392,23 @@ def ome_planes(spark, sf_dir):
     return table.select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("file"), "t", "delta_t_seconds", "position_x_um", "exposure_seconds")
 
 
+@query(f"WITH {PIXELS_SQL} SELECT t, CAST(vec_id % 50 AS INTEGER) AS z, y, x, value FROM pixels")
+def ome_companion(spark, sf_dir):
+    """Time points as files of their own that leave their description to one document beside them."""
+    alone = '<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><BinaryOnly MetadataFile="all.companion.ome" UUID="urn:uuid:0"/></OME>'
+    made = fixtures.build(planes(spark, sf_dir), "mem", "tif", lambda pages: fixtures.tiff(pages, description=alone), "f4")
+    entry = F.concat(F.lit('<TiffData FirstT="'), F.col("t").cast("string"), F.lit('" IFD="0" PlaneCount="50"><UUID FileName="'), F.col("t").cast("string"), F.lit('.tif">urn:uuid:1</UUID></TiffData>'))
+    times = planes(spark, sf_dir).select("t").distinct()  # a row a file
+    told = times.agg(F.count(F.lit(1)).cast("string").alias("n"), F.array_join(F.collect_list(entry), "").alias("data"))
+    text = F.concat(
+        F.lit('<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><Image ID="Image:0"><Pixels ID="Pixels:0" DimensionOrder="XYZCT" Type="float" SizeX="8" SizeY="8" SizeZ="50" SizeC="1" SizeT="'), "n",
+        F.lit('"><Channel ID="Channel:0:0"/>'), "data", F.lit("</Pixels></Image></OME>"),
+    )
+    document = told.select(F.lit("mem/all.companion.ome").alias("path"), F.encode(text, "utf-8").alias("content"))
+    read = scan.read(scan.datasets(made.unionByName(document)))
+    return pixel_rows(read.select("t", "z", "samples"), "t", "z")
+
+
 @query("SELECT CAST(vec_id // 50 AS INTEGER) AS t, CAST(vec_id % 50 AS INTEGER) AS plane_index, CAST(s AS INTEGER) AS tile_seq, CAST(s * 3 AS INTEGER) AS y, CAST(least(3, 8 - s * 3) AS INTEGER) AS height FROM embeddings, range(3) AS r(s)")
 def tile_index(spark, sf_dir):
     table = scan.tiles(scan.datasets(_files(spark, sf_dir, "tif", fixtures.tiff, "f4")))

@@ -76,35 +76,48 @@ def detect(head: Column, path: Column) -> Column:
     return F.coalesce(marked, F.when((F.octet_length(head) >= 1024) & plausible, "mrc"), by_name)
 
 
+def _companions(path: str, data) -> tuple[str | None, str | None]:
+    """The data file that an NRRD header names, and the key of an OME set; what cannot be read tells nothing yet."""
+    name = path.rpartition("/")[2]
+    try:
+        if data[:4] == b"NRRD":
+            return volumes.nrrd_companion(data), None
+        if data[:2] in (b"II", b"MM") or name.lower().endswith(".ome"):
+            return None, tiff.ome_group(name, data)
+    except ImageError:
+        pass
+    return None, None
+
+
 def _with_heads(files: DataFrame) -> DataFrame:
-    """path, content (null where it is not given), length, modificationTime, head and wanted (an NRRD header's data file)."""
-    if "content" not in files.columns:
-        told = files.select("path", F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length"), F.col("modificationTime") if "modificationTime" in files.columns else F.lit(None).cast("timestamp").alias("modificationTime")).dropDuplicates(["path"])
-
-        def look(batches):
-            for batch in batches:
-                heads, wanted = [], []
-                for path in batch.column(0).to_pylist():
-                    file = RangedFile(path)
-                    heads.append(file[:HEAD])
-                    wanted.append(volumes.nrrd_companion(file) if heads[-1].startswith(b"NRRD") else None)
-                    file.close()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(wanted, pa.string())], names=[*batch.schema.names, "head", "wanted"])
-
-        return told.mapInArrow(look, "path string, length long, modificationTime timestamp, head binary, wanted string").withColumn("content", F.lit(None).cast("binary"))
-    head = F.substring("content", 1, HEAD)
-    text = F.when(F.substring("content", 1, 4) == F.lit(bytearray(b"NRRD")), F.col("content").cast("string"))
-    header = F.substring_index(F.substring_index(text, "\n\n", 1), "\r\n\r\n", 1)  # as far as its blank line, wherever that is
-    wanted = F.nullif(F.trim(F.regexp_extract(header, '(?im)^data ?file\\s*:\\s*"?([^"\\r\\n]*)', 1)), F.lit(""))
-    modified = F.col("modificationTime") if "modificationTime" in files.columns else F.lit(None).cast("timestamp")
-    return files.select("path", "content", F.octet_length("content").cast("long").alias("length"), modified.alias("modificationTime"), head.alias("head"), wanted.alias("wanted"))
+    """path, content (null where it is not given), length, modificationTime, head, wanted (an NRRD header's data file) and ome (the key of an OME set)."""
+    listed = "content" not in files.columns
+    empty = {"content": "binary", "length": "long", "modificationTime": "timestamp"}
+    told = files.select("path", *[F.col(n) if n in files.columns else F.lit(None).cast(kind).alias(n) for n, kind in empty.items()])
+
+    def look(batches):
+        for batch in batches:
+            heads, wanted, groups = [], [], []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = RangedFile(path) if listed else content.as_py() or b""
+                heads.append(data[:HEAD])
+                other, group = _companions(path, data)
+                wanted.append(other)
+                groups.append(group)
+                if listed:
+                    data.close()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(wanted, pa.string()), pa.array(groups, pa.string())], names=[*batch.schema.names, "head", "wanted", "ome"])
+
+    schema = ", ".join(["path string", *(f"{n} {kind}" for n, kind in empty.items()), "head binary, wanted string, ome string"])
+    return (told.dropDuplicates(["path"]) if listed else told).mapInArrow(look, schema)
 
 
 def datasets(files: DataFrame) -> DataFrame:
     """(dataset_id, format, files): files that belong together, the primary one first.
 
     Parts of a split CZI and the DCIMG files of a folder are siblings; a detached NRRD data file is the
-    named companion of its header, and an error if it is missing. Paths are grouped (a path listed twice
+    named companion of its header, and an error if it is missing; the files of an OME set belong to the
+    document that tells of all of them, or to the first of their names. Paths are grouped (a path listed twice
     is one file), and contents only where rows hold them.
     """
     folder, name = F.regexp_extract("path", "^(.*/)?[^/]*$", 1), F.regexp_extract("path", "([^/]*)$", 1)
@@ -115,10 +128,12 @@ def datasets(files: DataFrame) -> DataFrame:
     group = (
         F.when(F.col("header").isNotNull(), F.col("header"))
         .when(F.col("format") == "dcimg", F.concat("folder", F.lit("*.dcimg")))
+        .when(F.col("ome").isNotNull(), F.concat("folder", "ome"))
         .when(F.col("format") == "czi", F.concat("folder", F.regexp_replace("name", "(?i) ?\\(\\d+\\)(?=\\.czi$)", "")))
         .otherwise(F.col("path"))
     )
-    rank = F.when(F.col("header").isNotNull(), 1).otherwise(F.when(F.col("format") == "czi", part).otherwise(0))
+    later = F.col("header").isNotNull() | (F.col("ome").isNotNull() & (F.col("ome") != F.col("name")))
+    rank = F.when(later, 1).otherwise(F.when(F.col("format") == "czi", part).otherwise(0))
     known = joined.where(F.col("format").isNotNull() | F.col("header").isNotNull())
     held = F.struct(rank.alias("rank"), "path", "content", "length", "modificationTime", "format")
     grouped = known.groupBy(group.alias("dataset_id")).agg(F.array_sort(F.collect_list(held)).alias("f"))

@@ -18,9 +18,9 @@ OME_TYPES = {"int8": "int8", "uint8": "uint8", "int16": "int16", "uint16": "uint
 
 
 class File:
-    """All directories of one file, main chain and sub-directories."""
+    """All directories of one file (or only the first), main chain and sub-directories."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, only_first: bool = False):
         mark = data[:4]
         order = {b"II": "<", b"MM": ">"}.get(mark[:2])
         if order is None:
@@ -38,6 +38,7 @@ class File:
         while at:
             tags, at = self.directory(at)
             self.chain.append(tags)
+            at = 0 if only_first else at
         if not self.chain:
             raise ImageError("Format", "TIFF without directories")
 
@@ -270,11 +271,28 @@ def generic(file: File) -> list[list[Level]]:
     return series
 
 
-def ome_xml(data: bytes | File) -> str | None:
-    text = (data if isinstance(data, File) else File(data)).chain[0].get(270)
+def ome_xml(data) -> str | None:
+    """The OME document of a file: of its first directory, or the file itself."""
+    if not isinstance(data, File):
+        if data[:2] not in (b"II", b"MM"):
+            text = data[: len(data)].decode("utf-8", "replace")
+            return text if "<OME" in text else None
+        data = File(data, only_first=True)
+    text = data.chain[0].get(270)
     return text if isinstance(text, str) and (text.lstrip().startswith(("<?xml", "<OME")) or "<OME " in text) else None
 
 
+def ome_group(name: str, data) -> str | None:
+    """What the files of an OME set have in common: the name of the file that tells of all, or the least of their names."""
+    xml = ome_xml(data)
+    if xml is None:
+        return None
+    if other := re.search(r"<(?:\w+:)?BinaryOnly\b[^>]*\bMetadataFile=\"([^\"]+)\"", xml):
+        return other[1]
+    names = set(re.findall(r"\bFileName=\"([^\"]+)\"", xml))
+    return name if data[:2] not in (b"II", b"MM") else min({name, *names})
+
+
 def _quantity(node, name: str, unit: str, default: str, table: dict) -> float | None:
     value = node.get(name)
     if value is None:
@@ -298,14 +316,14 @@ def _whole(node, name: str, default: int | None = None, least: int = 0) -> int:
     return int(text)
 
 
-def ome(xml: str, files: dict[str, File], first: str) -> list[list[Level]]:
-    """Series of an OME document; files by name, `first` for planes that name none."""
+def ome(xml: str, files: dict[str, File], first: str, places: dict[str, int]) -> list[list[Level]]:
+    """Series of an OME document; files by name, `first` for planes that name none; places: which of the dataset's files each is."""
     try:
         root = ET.fromstring(xml)
     except ET.ParseError as error:
         raise ImageError("InvalidData", f"OME-XML: {error}") from error
     tag = lambda e: e.tag.rpartition("}")[2]
-    names, series = list(files), []
+    series = []
     for image in (e for e in root.iter() if tag(e) == "Image"):
         px = next((e for e in image if tag(e) == "Pixels"), None)
         if px is None:
@@ -341,7 +359,7 @@ def ome(xml: str, files: dict[str, File], first: str) -> list[list[Level]]:
         pages = [Page(files[n].chain[i], files[n].bytes.order) for n, i in place]
         if len({p.layout for p in pages}) > 1 or pages[0].type != kind or (pages[0].width, pages[0].height) != (_whole(px, "SizeX"), _whole(px, "SizeY")):
             raise ImageError("InvalidData", "OME pixels differ from their TIFF")
-        level = pages[0].level([[_at(b, names.index(n)) for b in p.blocks()] for p, (n, _) in zip(pages, place)])
+        level = pages[0].level([[_at(b, places[n]) for b in p.blocks()] for p, (n, _) in zip(pages, place)])
         level.size_z, level.size_c, level.size_t, level.order = z, c, t, order
         level.bits = _whole(px, "SignificantBits", level.bits)
         level.physical = tuple(_quantity(px, f"PhysicalSize{a}", f"PhysicalSize{a}Unit", "µm", units.LENGTHS) for a in "XYZ")
@@ -354,7 +372,7 @@ def ome(xml: str, files: dict[str, File], first: str) -> list[list[Level]]:
             at = plane_index(order, (z, logical, t), _whole(e, "TheZ"), _whole(e, "TheC") // samples, _whole(e, "TheT"))
             if at >= count:
                 raise ImageError("InvalidData", "OME plane out of range")
-            level.plane_info[at] = {"exposure": _quantity(e, "ExposureTime", "ExposureTimeUnit", "s", units.TIMES), "delta_t": _quantity(e, "DeltaT", "DeltaTUnit", "s", units.TIMES), **{f"position_{a.lower()}": _quantity(e, f"Position{a}", f"Position{a}Unit", "reference frame", units.LENGTHS) if e.get(f"Position{a}Unit", "reference frame") in units.LENGTHS else None for a in "XYZ"}}
+            level.plane_info[at] = {"exposure": _quantity(e, "ExposureTime", "ExposureTimeUnit", "s", units.TIMES), "delta_t": _quantity(e, "DeltaT", "DeltaTUnit", "s", units.TIMES), **{f"position_{a.lower()}": _quantity(e, f"Position{a}", f"Position{a}Unit", "reference frame", units.LENGTHS) for a in "XYZ"}}
         series.append(_pyramid(files[first], pages, level) if len(files) == 1 else [level])
     if not series:
         raise ImageError("InvalidData", "OME document without images")
@@ -366,9 +384,19 @@ def _at(block: Block, source: int) -> Block:
     return block
 
 
-def tiff(data: bytes, companions: dict[str, bytes] | None = None, name: str = "") -> list[list[Level]]:
+def tiff(data, companions: dict | None = None, name: str = "") -> list[list[Level]]:
+    """Series of a TIFF, of an OME set, or of a document that tells of TIFFs beside it."""
+    others = {n: File(d) for n, d in (companions or {}).items() if d[:2] in (b"II", b"MM")}
+    places = {n: k for k, n in enumerate([name, *(companions or {})])}
+    if data[:2] not in (b"II", b"MM"):
+        xml = ome_xml(data)
+        if xml is None or not others:
+            raise ImageError("Format", "an OME document without its TIFFs")
+        return ome(xml, others, min(others), places)
     file = File(data)
     xml = ome_xml(file)
-    if xml is None:
-        return generic(file)
-    return ome(xml, {name: file, **{n: File(d) for n, d in (companions or {}).items() if d[:2] in (b"II", b"MM")}}, name)
+    if xml is not None and "BinaryOnly" in xml:
+        xml = next((x for d in (companions or {}).values() if d[:2] not in (b"II", b"MM") and (x := ome_xml(d))), None)
+        if xml is None:
+            raise ImageError("InvalidData", "the OME document of a BinaryOnly file is missing")
+    return generic(file) if xml is None else ome(xml, {name: file, **others}, name, places)

@@ -429,3 +429,25 @@ def test_zstd_stops_at_its_limit():
     bomb = zstandard.compress(bytes(1 << 28))
     with pytest.raises(ImageError, match="more than 1000 bytes"):
         codecs.decode("zstd", bomb, 1000)
+
+
+def test_ome_sets_of_several_files(spark):
+    head = '<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06">'
+    pixels_of = lambda n, data: f'<Image ID="Image:0"><Pixels DimensionOrder="XYZCT" Type="uint8" SizeX="2" SizeY="1" SizeZ="{n}" SizeC="1" SizeT="1">{data}</Pixels></Image></OME>'
+    entry = lambda z, name: f'<TiffData FirstZ="{z}" IFD="0" PlaneCount="1"><UUID FileName="{name}">urn:uuid:{z}</UUID></TiffData>'
+    both = head + pixels_of(2, entry(0, "p.ome.tif") + entry(1, "q.ome.tif"))
+    page = lambda v, text: fixtures.tiff(np.array([[[v, v + 1]]], "u1"), description=text)
+    alone = head + '<BinaryOnly MetadataFile="set.companion.ome" UUID="urn:uuid:9"/></OME>'
+    rows = [
+        ("a/q.ome.tif", page(20, both)), ("a/p.ome.tif", page(10, both)),
+        ("b/set.companion.ome", (head + pixels_of(2, entry(0, "y.tif") + entry(1, "x.tif"))).encode()), ("b/x.tif", page(30, alone)), ("b/y.tif", page(40, alone)),
+        ("c/one.tif", page(50, "")), ("c/two.tif", page(60, "")),
+    ]
+    df = spark.createDataFrame([(p, bytearray(d)) for p, d in rows], "path string, content binary")
+    got = {(r.dataset_id, r.z): r.samples for r in scan.read(scan.datasets(df)).collect()}
+    assert got == {("a/p.ome.tif", 0): [10, 11], ("a/p.ome.tif", 1): [20, 21], ("b/set.companion.ome", 0): [40, 41], ("b/set.companion.ome", 1): [30, 31], ("c/one.tif", 0): [50, 51], ("c/two.tif", 0): [60, 61]}
+    lost = df.where("path <> 'b/set.companion.ome'")
+    with pytest.raises(Exception, match="BinaryOnly"):
+        scan.read(scan.datasets(lost.where("path like 'b/%'"))).collect()
+    with pytest.raises(Exception, match="missing"):
+        scan.read(scan.datasets(df.where("path = 'a/p.ome.tif'"))).collect()
