@@ -24,15 +24,18 @@ from pyspark.sql import functions as F
 from lumenplane.llm.common import beside, partitions_for, work_dir, written
 
 _SECTION_END = "(?<=(?:^| )[0-3][0-9a-f]{63}) "
-#: A phrase ends behind one of these: as patterns that both Java and RE2 know.
-PHRASE_END = "[.,;:!?|#%$&*d][ \\t]|[、。，．！？；：」』）的了是在不一有人这和の はをにがとでたして다는이을에고의가นรกา]"
+#: A phrase ends behind one of these, and behind the separator itself: as patterns that both Java and RE2 know.
+MARKED, WIDE = "[.,;:!?|#%$&*d][ \\t]", "[、。，．！？；：」』）的了是在不一有人这和のはをにがとでたして다는이을에고의가นรกา]"
+SEPARATOR = "\x1e"
 #: Bytes of input to a partition, about.
 PART_BYTES = 32 << 20
 
 
 def leaves(text: Column) -> Column:
     """The digests of the phrases of each line of the text, in order."""
-    return F.transform(F.split(text, "\n"), lambda p: F.transform(F.split(p, f"(?<={PHRASE_END})"), lambda x: F.sha2(x, 256)))
+    cut = F.regexp_replace(text, f"({MARKED})", f"$1{SEPARATOR}")
+    cut = F.when(text.rlike("[\u0e00-\uffff]"), F.regexp_replace(cut, f"({WIDE})", f"$1{SEPARATOR}")).otherwise(cut)
+    return F.transform(F.split(cut, "\n"), lambda p: F.transform(F.split(p, SEPARATOR), lambda x: F.sha2(x, 256)))
 
 
 def paragraphs(leaf_digests: Column) -> Column:

@@ -148,8 +148,7 @@ ORACLES["op5_licenses"] = (
 
 def _tree_sql(name: str, source: str) -> str:
     """Leaves, paragraphs' nodes, root and distinct leaves of a text, beside what `source` has."""
-    sep = "chr(30) || chr(31)"
-    cut = f"string_split(regexp_replace(p, '({merkle.PHRASE_END})', '\\1' || {sep}, 'g'), {sep})"
+    cut = f"string_split(regexp_replace(p, '({merkle.MARKED}|{merkle.WIDE})', '\\1' || chr(30), 'g'), chr(30))"
     return (
         f"{name}_a AS (SELECT *, list_transform(string_split({source}, chr(10)), lambda p: list_transform({cut}, lambda x: sha256(x))) AS leaves FROM {{before}}), "
         f"{name}_b AS (SELECT *, list_transform(leaves, lambda x: sha256(array_to_string(x, ' '))) AS nodes FROM {name}_a), "

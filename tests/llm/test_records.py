@@ -151,7 +151,7 @@ def _sha(s):
 
 
 def _leaves(text):
-    return [[_sha(x) for x in re.split(f"(?:(?<=[.,;:!?|#%$&*d][ \t])|(?<={merkle.PHRASE_END.split(']|')[1]}))", line)] for line in text.split("\n")]
+    return [[_sha(x) for x in re.split(f"(?<=[.,;:!?|#%$&*d][ \t])|(?<={merkle.WIDE})|\x1e", line)] for line in text.split("\n")]
 
 
 def _nodes(text):
@@ -176,7 +176,7 @@ def _likeness(a, b):
 
 def test_merkle_against_brute_force(spark):
     chinese = "".join("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏的了是在不一有人这和"[(7 * i * i + i) % 34] for i in range(900))
-    docs = [*ODD, *((100 + i, "\n".join(f"Line {j * (i % 3)}, of {i}. Word and word" for j in range(i)), "en", 0.0) for i in range(30)), (200, chinese, "zh", 0.0), (199, chinese[:450] + "改" + chinese[450:], "zh", 0.0), (198, "x" * 3000, "", 0.0), (197, "a. b  d c,\td \u3002d d d x", "", 0.0)]
+    docs = [*ODD, *((100 + i, "\n".join(f"Line {j * (i % 3)}, of {i}. Word and word" for j in range(i)), "en", 0.0) for i in range(30)), (200, chinese, "zh", 0.0), (199, chinese[:450] + "改" + chinese[450:], "zh", 0.0), (198, "x" * 3000, "", 0.0), (197, "a. b  d c,\td \u3002d d d x, y", "", 0.0), (196, "a plain line of words without an end of any phrase", "", 0.0)]
     extra = spark.createDataFrame([(*d, "clash", 1) for d in docs], DOCS + ", fingerprint string, H int")
     found = merkle.compare_edits(extra).collect()
     rows = {(r.doc_id, r.n_chars, r.fingerprint): r for r in found}
@@ -202,8 +202,9 @@ def test_differing_branches(spark):
     nodes = lambda c: merkle.paragraphs(merkle.leaves(F.col(c)))
     row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.differing(nodes("a"), nodes("b")).alias("d"), nodes("a").alias("all")).first()
     assert row.d == [row.all[1]]
-    spaces = spark.createDataFrame([("a, b",), ("a,  b",), ("a,\tb",)], "text string")
-    assert merkle.tree(spaces).select("fingerprint").distinct().count() == 3
+    spaces = spark.createDataFrame([("a, b",), ("a,  b",), ("a,\tb",), ("a, \x1eb",), ("a,\x1e b",)], "text string")
+    assert merkle.tree(spaces).select("fingerprint").distinct().count() == 5
+    assert merkle.tree(spark.createDataFrame([("plain words only",)], "text string")).first().leaves == [[_sha("plain words only")]]
 
 
 def test_licences(spark):
