@@ -43,11 +43,80 @@ def dcimg(frames: np.ndarray, footer: int = 0) -> bytes:
     return bytes(head) + b"".join(f.tobytes() + bytes(footer) for f in frames)
 
 
+# The usual Huffman table of luminance DC differences (T.81, K.3), as counts by length and symbols.
+_DC = bytes((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)), bytes(range(12))
+
+
+def jpeg(image: np.ndarray, quantiser: int = 1, interval: int = 0, halved: bool = False) -> bytes:
+    """A baseline JPEG of (height, width[, 3]) bytes; AC codes are all eight bits long; halved: the second and third component are sub-sampled by two."""
+    from lumenplane.sources.jpeg import _COSINES, ZIGZAG
+
+    image = image.reshape(*image.shape[:2], -1).astype(np.int64)
+    symbols = [0x00, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))]
+    codes = {0: {}, 1: {s: (k, 8) for k, s in enumerate(symbols)}}
+    code, at = 0, 0
+    for bits, count in enumerate(_DC[0], 1):
+        for _ in range(count):
+            codes[0][_DC[1][at]] = (code, bits)
+            code, at = code + 1, at + 1
+        code <<= 1
+    parts = image.shape[2]
+    scale = [2 if halved and k else 1 for k in range(parts)]
+    most = max(scale)
+    high, wide = (-(-n // (8 * most)) * 8 * most for n in image.shape[:2])
+    padded = np.pad(image, ((0, high - image.shape[0]), (0, wide - image.shape[1]), (0, 0)), mode="edge")
+    planes = [padded[:: scale[k], :: scale[k], k] for k in range(parts)]
+    blocks = [np.rint(_COSINES.T @ (p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).swapaxes(1, 2) - 128.0) @ _COSINES / quantiser).astype(int) for p in planes]
+    body, text, last, done = b"", [], [0] * parts, 0
+
+    def flush() -> bytes:
+        bits = "".join(text)
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+    def put(table: int, symbol: int, value: int = 0, size: int = 0) -> None:
+        code, bits = codes[table][symbol]
+        text.append(f"{code:0{bits}b}" + (f"{value if value >= 0 else value + (1 << size) - 1:0{size}b}" if size else ""))
+
+    for y in range(high // (8 * most)):
+        for x in range(wide // (8 * most)):
+            if interval and done and done % interval == 0:
+                body += flush() + bytes([0xFF, 0xD0 + (done // interval - 1) % 8])
+                text, last = [], [0] * parts
+            done += 1
+            for k in range(parts):
+                n = most // scale[k]
+                for j in range(n):
+                    for i in range(n):
+                        block = blocks[k][y * n + j, x * n + i].ravel()[list(ZIGZAG)]
+                        difference, last[k] = int(block[0]) - last[k], int(block[0])
+                        put(0, abs(difference).bit_length(), difference, abs(difference).bit_length())
+                        run = 0
+                        for v in map(int, np.trim_zeros(block[1:], "b")):
+                            if v == 0:
+                                run += 1
+                                continue
+                            while run > 15:
+                                put(1, 0xF0)
+                                run -= 16
+                            put(1, run << 4 | abs(v).bit_length(), v, abs(v).bit_length())
+                            run = 0
+                        if not block[63]:
+                            put(1, 0)
+    body += flush()
+    segment = lambda mark, content: bytes([0xFF, mark]) + struct.pack(">H", len(content) + 2) + content
+    ids = [82, 71, 66] if parts == 3 and not halved else list(range(1, parts + 1))
+    out = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([quantiser]) * 64) + segment(0xC4, bytes([0]) + _DC[0] + _DC[1]) + segment(0xC4, bytes([16]) + bytes([0] * 7 + [len(symbols)] + [0] * 8) + bytes(symbols))
+    out += segment(0xDD, struct.pack(">H", interval)) if interval else b""
+    out += segment(0xC0, struct.pack(">BHHB", 8, *image.shape[:2], parts) + b"".join(bytes([ids[k], (most // scale[k]) * 17, 0]) for k in range(parts)))
+    return out + segment(0xDA, bytes([parts]) + b"".join(bytes([n, 0]) for n in ids) + bytes([0, 63, 0])) + body + b"\xff\xd9"
+
+
 def tiff(pages: np.ndarray, coding: str = "raw", rows: int = 3, order: str = "<", predictor: bool = False, tile: int = 0, description: str = "", first: tuple = ()) -> bytes:
     """Pages of one sample per pixel in strips of `rows` or tiles of side `tile`; `first`: further (tag, field type, values) of the first page."""
     n, y, x = pages.shape
     kind = {"f": 3, "i": 2, "u": 1}[pages.dtype.kind]
-    codes = {"raw": 1, "zlib": 8, "packbits": 32773, "zstd": 50000}
+    codes = {"raw": 1, "jpeg": 7, "zlib": 8, "packbits": 32773, "zstd": 50000}
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages.astype(pages.dtype.newbyteorder(order)):
@@ -61,7 +130,9 @@ def tiff(pages: np.ndarray, coding: str = "raw", rows: int = 3, order: str = "<"
                 native = part.astype(part.dtype.newbyteorder("="))
                 part = np.diff(native, axis=1, prepend=native.dtype.type(0)).astype(part.dtype)
             raw = part.tobytes()
-            if coding == "zlib":
+            if coding == "jpeg":
+                raw = jpeg(part)
+            elif coding == "zlib":
                 raw = zlib.compress(raw)
             elif coding == "zstd":
                 import zstandard

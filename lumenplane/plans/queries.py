@@ -318,6 +318,15 @@ def scan_tiff_tiles(spark, sf_dir):
     return _decoded(spark, sf_dir, "tif", lambda p: fixtures.tiff(p, "packbits", order=">", tile=16), "u2", True)
 
 
+@query(f"WITH {PIXELS_SQL}, firsts AS (SELECT vec_id, t, {QUANTISED} % 256 AS level FROM pixels WHERE y = 0 AND x = 0) SELECT p.t, CAST(p.vec_id % 50 AS INTEGER) AS plane_index, p.y, p.x, CAST(f.level AS DOUBLE) AS value FROM pixels p JOIN firsts f USING (vec_id)")
+def scan_tiff_jpeg(spark, sf_dir):
+    """Even planes, of their first sample, as JPEG strips: nothing of them is lost."""
+    level = F.pmod(F.get("samples", F.lit(0)), F.lit(256.0))
+    even = quantise(planes(spark, sf_dir)).withColumn("samples", F.transform("samples", lambda v: level))
+    read = scan.read(scan.datasets(fixtures.build(even, "mem", "tif", lambda p: fixtures.tiff(p, "jpeg", rows=8), "u1")))
+    return pixel_rows(read.select(F.regexp_extract("dataset_id", "/(\\d+)\\.", 1).cast("int").alias("t"), "plane_index", "samples"), "t", "plane_index")
+
+
 def _czi(planes):
     return fixtures.czi([{"X": 7, "Y": -4, "width": 8, "height": 8, "Z": i % Z, "C": i // Z, "T": 0, "data": p.tobytes()} for i, p in enumerate(planes)], 2)
 

@@ -134,6 +134,10 @@ def decode(codec: str, data: bytes, need: int, extra: bytes = b"") -> bytes:
         return zstd(data, need)
     if codec == "zstd1":
         return zstd_packed(data, need)
+    if codec == "jpeg":
+        from lumenplane.sources import jpeg
+
+        return jpeg.decode(data, need, extra).tobytes()
     if codec == "gzip":  # a stream of which the first `need` bytes are wanted
         try:
             return zlib.decompressobj(31).decompress(data, need)

@@ -451,3 +451,28 @@ def test_ome_sets_of_several_files(spark):
         scan.read(scan.datasets(lost.where("path like 'b/%'"))).collect()
     with pytest.raises(Exception, match="missing"):
         scan.read(scan.datasets(df.where("path = 'a/p.ome.tif'"))).collect()
+
+
+def test_jpeg_round_trips():
+    from lumenplane.sources import codecs, jpeg
+
+    rng = np.random.default_rng(4)
+    smooth = np.clip(np.add.outer(np.arange(37) * 3, np.arange(53) * 2) + rng.integers(0, 40, (37, 53)), 0, 255)
+    for image in (smooth, np.stack((smooth, 255 - smooth, smooth // 2), 2), rng.integers(0, 256, (16, 24))):
+        for interval in (0, 2):
+            got = jpeg.decode(fixtures.jpeg(image, interval=interval), image.size)
+            assert got.shape[:2] == image.shape[:2] and np.abs(got.reshape(image.shape).astype(int) - image).max() <= 1
+    flat = np.zeros((20, 36, 3), int) + [90, 140, 110]  # Y, Cb, Cr
+    want = [90 + 1.402 * (110 - 128), 90 - 0.344136 * 12 + 0.714136 * 18, 90 + 1.772 * 12]
+    assert np.abs(jpeg.decode(fixtures.jpeg(flat, halved=True), flat.size).reshape(-1, 3) - want).max() <= 1
+    data = fixtures.jpeg(smooth)
+    start = data.index(b"\xff\xc0")
+    assert codecs.decode("jpeg", b"\xff\xd8" + data[start:], smooth.size, data[:start] + b"\xff\xd9") == codecs.decode("jpeg", data, smooth.size)
+    for bad in (data[: len(data) // 2], data.replace(b"\xff\xc0", b"\xff\xc2"), b"\xff\xd8" + data[start:], data[1:], data[:30]):
+        with pytest.raises(ImageError):
+            codecs.decode("jpeg", bad, smooth.size)
+    with pytest.raises(ImageError, match="more than"):
+        codecs.decode("jpeg", data, smooth.size - 1)
+    pages = np.repeat(np.arange(3, dtype="u1"), 256).reshape(3, 16, 16) * 40
+    _, [[level]], files = opened("a.tif", fixtures.tiff(pages, "jpeg", rows=8))
+    assert [whole(level, files, i).tolist() for i in range(3)] == [p.ravel().tolist() for p in pages]
