@@ -138,6 +138,8 @@ def decode(codec: str, data: bytes, need: int, extra: bytes = b"") -> bytes:
         from lumenplane.sources import jpeg
 
         return jpeg.decode(data, need, extra).tobytes()
+    if codec == "jpeg-padded":
+        raise ImageError("Unsupported", "padded JPEG without the sizes of its block")
     if codec == "gzip":  # a stream of which the first `need` bytes are wanted
         try:
             return zlib.decompressobj(31).decompress(data, need)
@@ -146,6 +148,16 @@ def decode(codec: str, data: bytes, need: int, extra: bytes = b"") -> bytes:
     raise ImageError("Unsupported", f"codec {codec}")
 
 
+def padded_jpeg(data: bytes, width: int, height: int, samples: int) -> bytes:
+    """A JPEG of these sizes, or of one column and one row more, which are cut off."""
+    from lumenplane.sources import jpeg
+
+    image = jpeg.decode(data, (width + 1) * (height + 1) * samples)
+    if image.shape not in ((height, width, samples), (height + 1, width + 1, samples)):
+        raise ImageError("InvalidData", f"JPEG of {image.shape[1]}x{image.shape[0]}, {image.shape[2]} samples, in a block of {width}x{height}, {samples}")
+    return image[:height, :width].tobytes()
+
+
 def undo_predictor(samples: np.ndarray) -> np.ndarray:
     """Horizontal differences summed up along each row, modulo the sample's range."""
     if samples.dtype.itemsize > 2 or samples.dtype.kind == "f":

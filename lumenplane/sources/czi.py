@@ -9,7 +9,7 @@ from lumenplane.sources.model import Block, Bytes, ImageError, Level, plane_inde
 # Pixel type code -> type, samples (three or four: blue first).
 TYPES = {0: ("uint8", 1), 1: ("uint16", 1), 2: ("float32", 1), 3: ("uint8", 3), 4: ("uint16", 3), 8: ("float32", 3), 9: ("uint8", 4), 12: ("uint32", 1), 13: ("float64", 1)}
 # Compression codes.
-CODECS = {0: "raw", 1: "jpeg", 2: "lzw", 4: "jpegxr", 5: "zstd", 6: "zstd1"}
+CODECS = {0: "raw", 1: "jpeg-padded", 2: "lzw", 4: "jpegxr", 5: "zstd", 6: "zstd1"}
 
 
 def _segment(b: Bytes, at: int, name: str) -> int:

@@ -159,7 +159,10 @@ def _samples(level: Level, block: Block, files: list[bytes]) -> np.ndarray:
     width_bytes = block.width * block.samples * level.sample_bytes if not block.bits else (block.width * block.samples * block.bits + 7) // 8
     row = block.row_bytes or width_bytes
     need = block.skip + row * (block.height - 1) + width_bytes
-    raw = codecs.decode(block.codec, raw, need if block.codec == "gzip" else block.skip + row * block.height, block.extra)
+    if block.codec == "jpeg-padded":
+        raw = codecs.padded_jpeg(raw, block.width, block.height, block.samples)
+    else:
+        raw = codecs.decode(block.codec, raw, need if block.codec == "gzip" else block.skip + row * block.height, block.extra)
     if len(raw) < need:
         raise ImageError("Codec", f"{block.codec} gave {len(raw)} of {need} bytes")
     rows = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8)[block.skip :], (block.height, width_bytes), (row, 1), writeable=False)

@@ -476,3 +476,16 @@ def test_jpeg_round_trips():
     pages = np.repeat(np.arange(3, dtype="u1"), 256).reshape(3, 16, 16) * 40
     _, [[level]], files = opened("a.tif", fixtures.tiff(pages, "jpeg", rows=8))
     assert [whole(level, files, i).tolist() for i in range(3)] == [p.ravel().tolist() for p in pages]
+
+
+def test_czi_jpeg_tiles_lose_their_padding():
+    grey, colour = np.full((5, 5), 90), np.full((5, 5, 3), 0) + [10, 20, 30]
+    tile = lambda data: [_tile(0, 0, 0, codec=1) | {"data": data}]
+    for image in (grey, grey[:4, :4]):
+        _, [[level]], files = opened("a.czi", fixtures.czi(tile(fixtures.jpeg(image)), 0))
+        assert whole(level, files).tolist() == [90] * 16
+    _, [[level]], files = opened("a.czi", fixtures.czi(tile(fixtures.jpeg(colour)), 3))
+    assert list(pixels(level, 0, files))[:3] == [30, 20, 10]
+    _, [[level]], files = opened("a.czi", fixtures.czi(tile(fixtures.jpeg(grey[:5, :4])), 0))
+    with pytest.raises(ImageError, match="InvalidData"):
+        whole(level, files)
