@@ -67,10 +67,3 @@ def lookup(indices: Column, table: Column) -> Column:
 def lookup_ramp(peak: Column, entries: int) -> Column:
     """A channel's ramp of 256 or 65536 entries: peak times i / 255, truncated, at most 65535."""
     return F.transform(F.sequence(F.lit(0), F.lit(entries - 1)), lambda i: F.least(F.lit(65535), F.floor(peak.cast("double") * (i / F.lit(255.0))).cast("int")))
-
-
-def undo_predictor(samples: Column, width: int, modulus: int) -> Column:
-    """Horizontal differences of 8- or 16-bit samples summed along rows, modulo their range."""
-    rows = F.sequence(F.lit(0), F.floor(F.size(samples) / width).cast("int") - 1)
-    running = lambda row: F.aggregate(row, F.array().cast("array<bigint>"), lambda acc, v: F.concat(acc, F.array(F.pmod(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + v, F.lit(modulus)).cast("bigint"))))
-    return F.flatten(F.transform(rows, lambda r: running(F.slice(samples, r * width + 1, width))))

@@ -84,3 +84,22 @@ def stitch(planes: DataFrame, files: DataFrame) -> DataFrame:
     for a in "zct":
         moved = moved.withColumn(a, (F.col(f"file_{a}") * F.col(f"base_{a}") + F.col(a)).cast("int"))
     return moved.drop(*[f"{p}_{a}" for p in ("file", "base") for a in "zct"])
+
+
+def undo_predictor(planes: DataFrame, width: int, modulus: int) -> DataFrame:
+    """Horizontal differences of whole samples summed along rows of `width`, modulo their range, in one Arrow pass."""
+    at = planes.columns.index("samples")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(at)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            summed = (np.cumsum(flat.astype(np.int64), axis=1) % modulus).ravel()
+            offsets = pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(summed)) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'array<bigint>' if f.name == 'samples' else f.dataType.simpleString()}" for f in planes.schema.fields)
+    return planes.mapInArrow(run, kinds)

@@ -252,7 +252,7 @@ def canvas_extents(spark, sf_dir):
 @query(f"WITH {PIXELS_SQL}, q AS (SELECT vec_id, y, x, {QUANTISED} % 256 AS k FROM pixels) SELECT vec_id, y, x, CAST(sum(k) OVER (PARTITION BY vec_id, y ORDER BY x) % 256 AS BIGINT) AS value FROM q")
 def predictor(spark, sf_dir):
     raw = planes(spark, sf_dir).withColumn("samples", F.transform("samples", lambda v: F.pmod(F.floor((v + 16) * 1000), F.lit(256))))
-    return pixel_rows(raw.withColumn("samples", geometry.undo_predictor(F.col("samples"), SIZE, 256)), "vec_id")
+    return pixel_rows(reshape.undo_predictor(raw.select("vec_id", "samples"), SIZE, 256), "vec_id")
 
 
 @query("SELECT n_nationkey, CAST(i AS INTEGER) AS entry, CAST(least(65535, floor(CAST(n_nationkey * 10 AS DOUBLE) * (i / 255.0::DOUBLE))) AS INTEGER) AS value FROM nation, range(256) AS r(i)")

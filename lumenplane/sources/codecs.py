@@ -140,11 +140,8 @@ def decode(codec: str, data: bytes, need: int, extra: bytes = b"") -> bytes:
         return jpeg.decode(data, need, extra).tobytes()
     if codec == "jpeg-padded":
         raise ImageError("Unsupported", "padded JPEG without the sizes of its block")
-    if codec == "gzip":  # a stream of which the first `need` bytes are wanted
-        try:
-            return zlib.decompressobj(31).decompress(data, need)
-        except zlib.error as error:
-            raise ImageError("Codec", str(error)) from error
+    if codec == "gzip":  # of which the first `need` bytes are wanted
+        return Inflated(data, 0, len(data)).at(0, need)
     raise ImageError("Unsupported", f"codec {codec}")
 
 
@@ -158,6 +155,46 @@ def padded_jpeg(data: bytes, width: int, height: int, samples: int) -> bytes:
     return image[:height, :width].tobytes()
 
 
+class Inflated:
+    """A gzip stream within a file, read forward: places in order cost one pass, an earlier place begins anew."""
+
+    CHUNK = 1 << 20
+
+    def __init__(self, data, offset: int, length: int):
+        self.data, self.offset, self.length = data, offset, length
+        self.begin()
+
+    def begin(self) -> None:
+        self.inflate, self.taken, self.place, self.held = zlib.decompressobj(31), 0, 0, b""
+
+    def _more(self) -> bytes:
+        raw = self.inflate.unconsumed_tail
+        if not raw and self.taken < self.length and not self.inflate.eof:
+            raw = self.data[self.offset + self.taken : self.offset + min(self.length, self.taken + self.CHUNK)]
+            self.taken += len(raw)
+        try:
+            return self.inflate.decompress(raw, self.CHUNK) if raw else b""
+        except zlib.error as error:
+            raise ImageError("Codec", str(error)) from error
+
+    def at(self, start: int, size: int) -> bytes:
+        """size bytes from start on; fewer if the stream ends."""
+        if start < self.place:
+            self.begin()
+        out = []
+        while size > 0:
+            if start < self.place + len(self.held):
+                part = self.held[start - self.place : start - self.place + size]
+                out.append(part)
+                start, size = start + len(part), size - len(part)
+                continue
+            self.place += len(self.held)
+            self.held = self._more()
+            if not self.held and (self.inflate.eof or self.taken >= self.length and not self.inflate.unconsumed_tail):
+                break
+        return b"".join(out)
+
+
 def undo_predictor(samples: np.ndarray) -> np.ndarray:
     """Horizontal differences summed up along each row, modulo the sample's range."""
     if samples.dtype.itemsize > 2 or samples.dtype.kind == "f":

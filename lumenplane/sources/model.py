@@ -80,6 +80,7 @@ class Level:
     plane_info: list = field(default_factory=list)  # dicts by plane
     extra: dict = field(default_factory=dict)
     planes: list = field(default_factory=list)  # of lists of Block
+    streams: dict = field(default_factory=dict, repr=False)  # of files that are being inflated, by source and offset
 
     @property
     def image_count(self) -> int:
@@ -155,17 +156,24 @@ def _samples(level: Level, block: Block, files: list[bytes]) -> np.ndarray:
     """A block's samples as (height, width, samples kept)."""
     from lumenplane.sources import codecs
 
-    raw = Bytes(files[block.source]).at(block.offset, block.length)
+    from_stream = block.codec == "gzip"
+    raw = b"" if from_stream else Bytes(files[block.source]).at(block.offset, block.length)
     width_bytes = block.width * block.samples * level.sample_bytes if not block.bits else (block.width * block.samples * block.bits + 7) // 8
     row = block.row_bytes or width_bytes
-    need = block.skip + row * (block.height - 1) + width_bytes
-    if block.codec == "jpeg-padded":
+    skip = 0 if from_stream else block.skip
+    need = skip + row * (block.height - 1) + width_bytes
+    if from_stream:
+        key = block.source, block.offset
+        if key not in level.streams or level.streams[key].data is not files[block.source]:
+            level.streams[key] = codecs.Inflated(files[block.source], block.offset, block.length)
+        raw = level.streams[key].at(block.skip, need)
+    elif block.codec == "jpeg-padded":
         raw = codecs.padded_jpeg(raw, block.width, block.height, block.samples)
     else:
-        raw = codecs.decode(block.codec, raw, need if block.codec == "gzip" else block.skip + row * block.height, block.extra)
+        raw = codecs.decode(block.codec, raw, skip + row * block.height, block.extra)
     if len(raw) < need:
         raise ImageError("Codec", f"{block.codec} gave {len(raw)} of {need} bytes")
-    rows = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8)[block.skip :], (block.height, width_bytes), (row, 1), writeable=False)
+    rows = np.lib.stride_tricks.as_strided(np.frombuffer(raw, np.uint8)[skip:], (block.height, width_bytes), (row, 1), writeable=False)
     if block.bits:
         out = codecs.unpack_bits(rows, block.width * block.samples, block.bits, level.dtype)
     else:

@@ -124,7 +124,7 @@ def test_codecs_refuse_more_than_expected():
         with pytest.raises(ImageError):
             codecs.decode(codec, data, 50)
     assert codecs.decode("packbits", b"\x02abc\xfe\x07", 6) == b"abc\x07\x07\x07"
-    for codec in ("jpeg", "jpegxr", "jpeg2000"):
+    for codec in ("jpegxr", "jpeg2000"):
         with pytest.raises(ImageError, match="Unsupported"):
             codecs.decode(codec, b"", 1)
 
@@ -489,3 +489,21 @@ def test_czi_jpeg_tiles_lose_their_padding():
     _, [[level]], files = opened("a.czi", fixtures.czi(tile(fixtures.jpeg(grey[:5, :4])), 0))
     with pytest.raises(ImageError, match="InvalidData"):
         whole(level, files)
+
+
+def test_gzip_planes_in_order_are_inflated_once(monkeypatch):
+    from lumenplane.sources import codecs
+
+    planes = np.random.default_rng(2).integers(0, 60000, (40, 64, 64)).astype("u2")
+    monkeypatch.setattr(codecs.Inflated, "CHUNK", 5000)
+    _, [[level]], files = opened("a.nrrd", fixtures.nrrd(planes.reshape(40, 64, 64), "gzip"))
+    begun = []
+    monkeypatch.setattr(codecs.Inflated, "begin", lambda self, begin=codecs.Inflated.begin: (begun.append(1), begin(self))[1])
+    for k in range(40):
+        assert whole(level, files, k).tolist() == planes[k].ravel().tolist()
+    assert len(begun) == 1
+    assert whole(level, files, 7, (3, 60, 5, 4)).tolist() == planes[7, 60:, 3:8].ravel().tolist() and len(begun) == 2
+    short = fixtures.nrrd(planes, "gzip")
+    _, [[level]], files = opened("a.nrrd", short[:-2000])
+    with pytest.raises(ImageError, match="Codec"):
+        whole(level, files, 39)
