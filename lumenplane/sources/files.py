@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from collections import OrderedDict
@@ -81,3 +82,34 @@ class RangedFile:
                 return start + at
             start += BLOCK
         return -1
+
+    def cursor(self) -> io.BufferedReader:
+        """A file object over the same blocks, with a place of its own."""
+        return io.BufferedReader(_Cursor(self), BLOCK)
+
+
+class _Cursor(io.RawIOBase):
+    def __init__(self, file: RangedFile):
+        self.file, self.place = file, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        place = offset + (0, self.place, len(self.file))[whence]
+        if place < 0:
+            raise ValueError("a place in front of the file")
+        self.place = place
+        return place
+
+    def tell(self) -> int:
+        return self.place
+
+    def readinto(self, buffer) -> int:
+        got = self.file[self.place : self.place + len(buffer)]
+        buffer[: len(got)] = got
+        self.place += len(got)
+        return len(got)

@@ -258,18 +258,19 @@ def read(sets: DataFrame, requests: DataFrame | None = None, samples: bool = Tru
     """Pixels of the planes asked for, as bytes and (if wanted) as doubles.
 
     requests: dataset_id, series, resolution, plane_index or z, c and t, x, y, width, height; a null width
-    or height reaches to the edge, a null x or y is 0, a column that is missing is null. everywhere: such
+    or height reaches to the edge, a null x or y is 0, a column that is missing is null; byte_len, if given,
+    is what the window's bytes must come to, or an error is raised. everywhere: such
     requests as dicts, for every dataset and without a join. Without either every plane of full
     resolution is read. Requests of a small size are told to all tasks instead of moving the datasets.
     """
-    names = ("series", "resolution", "plane_index", "z", "c", "t", "x", "y", "width", "height")
-    wanted = f"array<struct<{','.join(f'{n}:int' for n in names)}>>"
+    names = ("series", "resolution", "plane_index", "z", "c", "t", "x", "y", "width", "height", "byte_len")
+    wanted = f"array<struct<{','.join(f'{n}:bigint' for n in names)}>>"
     if everywhere is not None:
-        asked = sets.withColumn("wanted", F.array(*[F.struct(*[F.lit(q.get(n)).cast("int").alias(n) for n in names]) for q in everywhere]).cast(wanted))
+        asked = sets.withColumn("wanted", F.array(*[F.struct(*[F.lit(q.get(n)).cast("bigint").alias(n) for n in names]) for q in everywhere]).cast(wanted))
     elif requests is None:
         asked = sets.withColumn("wanted", F.lit(None).cast(wanted))
     else:
-        part = F.struct(*[(F.col(n) if n in requests.columns else F.lit(None)).cast("int").alias(n) for n in names])
+        part = F.struct(*[(F.col(n) if n in requests.columns else F.lit(None)).cast("bigint").alias(n) for n in names])
         told = requests.groupBy("dataset_id").agg(F.collect_list(part).alias("wanted"))
         size = int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         asked = sets.join(F.broadcast(told) if size <= TOLD_BYTES else told, "dataset_id")
@@ -292,6 +293,8 @@ def read(sets: DataFrame, requests: DataFrame | None = None, samples: bool = Tru
                     at = plane_index(v.order, sizes, *place)
                 w, h = (n if q.get(k) is None else q[k] for k, n in (("width", v.size_x - x), ("height", v.size_y - y)))
                 data = pixels(v, at, files, x, y, w, h)
+                if q.get("byte_len") not in (None, len(data)):
+                    raise ImageError("Range", f"window of {len(data)} bytes instead of {q['byte_len']}")
                 yield row["dataset_id"], s, r, at, *plane_coordinates(v.order, sizes, at), x, y, w, h, v.pixel_type, v.samples, v.interleaved, v.little_endian, data, np.frombuffer(data, v.dtype).astype(np.float64) if samples else None
 
     return asked.mapInArrow(_rows(PLANES, make), PLANES)

@@ -366,7 +366,10 @@ def ome(xml: str, files: dict[str, File], first: str, places: dict[str, int]) ->
         level.time_step = _quantity(px, "TimeIncrement", "TimeIncrementUnit", "s", units.TIMES)
         date = next((e for e in image if tag(e) == "AcquisitionDate"), None)
         level.timestamp = date.text if date is not None else None
-        level.channels = [{"name": e.get("Name"), "excitation_nm": _quantity(e, "ExcitationWavelength", "ExcitationWavelengthUnit", "nm", units.NANOMETRES), "emission_nm": _quantity(e, "EmissionWavelength", "EmissionWavelengthUnit", "nm", units.NANOMETRES)} for e in channels]
+        lens = _objective(root, image)
+        if lens is not None:
+            level.objective = lens.get("Model"), *(None if lens.get(k) is None else _real(lens.get(k)) for k in ("NominalMagnification", "LensNA"))
+        level.channels = [{"name": e.get("Name"), "color": _colour(e.get("Color")), "excitation_nm": _quantity(e, "ExcitationWavelength", "ExcitationWavelengthUnit", "nm", units.NANOMETRES), "emission_nm": _quantity(e, "EmissionWavelength", "EmissionWavelengthUnit", "nm", units.NANOMETRES)} for e in channels]
         level.plane_info = [{} for _ in range(count)]
         for e in (e for e in px if tag(e) == "Plane"):
             at = plane_index(order, (z, logical, t), _whole(e, "TheZ"), _whole(e, "TheC") // samples, _whole(e, "TheT"))
@@ -379,6 +382,21 @@ def ome(xml: str, files: dict[str, File], first: str, places: dict[str, int]) ->
     return series
 
 
+def _objective(root, image):
+    """The objective that an image's settings name, else the only one there is."""
+    tag = lambda e: e.tag.rpartition("}")[2]
+    found = [e for e in root.iter() if tag(e) == "Objective"]
+    named = next((e.get("ID") for e in image if tag(e) in ("ObjectiveSettings", "ObjectiveRef")), None)
+    return next((e for e in found if e.get("ID") == named), found[0] if named is None and len(found) == 1 else None)
+
+
+def _colour(text: str | None) -> int | None:
+    """A signed or unsigned colour of 32 bits as an unsigned one."""
+    if text is None or not re.fullmatch(r"[+-]?[0-9]+", text) or not -(1 << 31) <= int(text) < 1 << 32:
+        return None
+    return int(text) & 0xFFFFFFFF
+
+
 def _at(block: Block, source: int) -> Block:
     block.source = source
     return block

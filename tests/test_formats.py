@@ -362,8 +362,10 @@ def test_files_are_read_by_ranges(spark, tmp_path):
     asked = spark.createDataFrame([(ids["mrc"], 0, 3, 0, 0), (ids["dcimg"], 0, 1, 0, 0), (ids["nrrd"], 0, 0, 0, 0)], "dataset_id string, series int, z int, c int, t int")
     samples = {r.dataset_id: r.samples for r in scan.read(sets, asked).collect()}
     assert samples[ids["mrc"]] == planes[3].ravel().tolist() and samples[ids["dcimg"]] == [2.0] * 8 and samples[ids["nrrd"]] == [0, 1, 2, 3, 4, 5]
-    with pytest.raises(Exception, match="Range"):
-        scan.read(sets.where("format = 'mrc'"), everywhere=[{"z": 6}]).collect()
+    for wrong in ({"z": 6}, {"z": 1, "byte_len": 300 * 400 * 2 - 1}):
+        with pytest.raises(Exception, match="Range"):
+            scan.read(sets.where("format = 'mrc'"), everywhere=[wrong]).collect()
+    assert scan.read(sets.where("format = 'mrc'"), everywhere=[{"z": 1, "byte_len": 300 * 400 * 2}]).count() == 1
 
     file = RangedFile(str(tmp_path / "v.mrc"))
     _, [[level]] = scan.parse([("v.mrc", file)])
@@ -371,9 +373,19 @@ def test_files_are_read_by_ranges(spark, tmp_path):
     assert len(file) > 1_400_000 and file.read_bytes < 400_000  # a header and one plane
     whole_file = (tmp_path / "v.mrc").read_bytes()
     assert file[70_000:200_000] == whole_file[70_000:200_000] and file[65_530:65_540] == whole_file[65_530:65_540] and file.find(whole_file[131_070:131_080], 131_000) == 131_070
+    with file.cursor() as cursor:
+        assert cursor.seek(-5, 2) == len(whole_file) - 5 and cursor.read() == whole_file[-5:] and cursor.read(1) == b""
+        cursor.seek(65_530)
+        assert cursor.read(200_000) == whole_file[65_530:265_530] and cursor.tell() == 265_530
     file.close()
 
 
+def test_objective_and_colours_of_ome():
+    xml = '<OME xmlns="o"><Instrument ID="I:0"><Objective ID="O:0" Model="a" LensNA="0.5"/><Objective ID="O:1" Model="b" NominalMagnification="63" LensNA="1.4"/></Instrument><Image><ObjectiveSettings ID="O:1"/><Pixels DimensionOrder="XYZCT" Type="uint8" SizeX="1" SizeY="1" SizeZ="1" SizeC="1" SizeT="1"><Channel Color="-16776961"/><TiffData/></Pixels></Image></OME>'
+    _, [[level]], _ = opened("a.ome.tif", fixtures.tiff(np.zeros((1, 1, 1), "u1"), description=xml))
+    assert level.objective == ("b", 63.0, 1.4) and level.channels[0]["color"] == 0xFF0000FF
+
+
 def test_marks_follow_moved_files_and_groups(spark, tmp_path):
     import shutil
 
