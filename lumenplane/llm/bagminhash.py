@@ -42,7 +42,7 @@ ROUNDS = 2
 #: So many wanted texts at most are told to all tasks (some 24 bytes each); more are joined by a shuffle.
 TOLD_ROWS = 500_000
 #: Bags in a row where classes are compared in full.
-BLOCK = 256
+BLOCK = 128
 #: Shingles that are compared at once there.
 COLUMNS = 4096
 #: Documents of a bucket that are dealt together.
