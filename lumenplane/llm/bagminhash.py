@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenplane.llm.common import mix, word_hashes, work_dir, written
+from lumenplane.llm.common import mix, tidily, word_hashes, work_dir, written
 
 N = 5
 LEAST = 0.8
@@ -164,7 +164,7 @@ def sign(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), _signed(d1), _signed(d2), pa.array(total), bands], names=["k", "h", "d1", "d2", "size", "bands"])
                 i = j
 
-    return rows.mapInArrow(run, "k long, h long, d1 long, d2 long, size long, bands array<long>")
+    return rows.mapInArrow(tidily(run), "k long, h long, d1 long, d2 long, size long, bands array<long>")
 
 
 def _doc(key: str):
@@ -185,7 +185,7 @@ def _bags_of(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
                 out.append(np.sort(shingles(hashes, bounds)[0]).tobytes())
             yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], names=["k", "bag"])
 
-    return rows.mapInArrow(run, "k long, bag binary")
+    return rows.mapInArrow(tidily(run), "k long, bag binary")
 
 
 class _Bags:
@@ -237,7 +237,7 @@ def verify(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
             kept = pa.array(sorted(good), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(kept), batch.column(2).take(kept)], names=["la", "lb"])
 
-    return both.mapInArrow(run, "la long, lb long")
+    return both.mapInArrow(tidily(run), "la long, lb long")
 
 
 def _elements(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,7 +317,7 @@ def verify_classes(open_members: DataFrame, bag: DataFrame, least: float, folder
                 found = [(p, q) for p, q in np.unique(np.stack((x[a], y[b]), 1), axis=0).tolist() if known.join(p, q)]
                 yield pa.RecordBatch.from_pydict({"la": pa.array([x for x, _ in found], pa.int64()), "lb": pa.array([x for _, x in found], pa.int64())})
 
-    return rows.mapInArrow(run, "la long, lb long")
+    return rows.mapInArrow(tidily(run), "la long, lb long")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside
+from lumenplane.llm.common import beside, tidily
 
 #: Documents of a task, about: the longer its partition, the fewer words are folded in several.
 TASK_DOCS = 20_000
@@ -371,8 +371,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     total = docs.count()
     tasks = max(2 * spark.sparkContext.defaultParallelism, total // TASK_DOCS)
     folded = _let(F.lit(bytearray(slots)), lambda s: F.transform("_new", lambda w: _if(w["cells"].isNull(), fold_word(w["word"], s), w["cells"])))
-    with_words = rows.coalesce(tasks).mapInArrow(split, split_schema).select(*names, "_numbers", "_begins", folded.alias("_words"))
-    return with_words.mapInArrow(assemble, T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])).toDF(*carried.columns, out)
+    with_words = rows.coalesce(tasks).mapInArrow(tidily(split), split_schema).select(*names, "_numbers", "_begins", folded.alias("_words"))
+    return with_words.mapInArrow(tidily(assemble), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])).toDF(*carried.columns, out)
 
 
 def _groups(numbers, a: int, b: int):

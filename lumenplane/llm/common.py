@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,22 @@ def partitions_for(docs: DataFrame, each: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, wanted, min(known // each, 1_000_000))
 
 
+def tidy(batches):
+    """The batches of a pass; behind the last one, a worker that may idle gives its free memory back to the system."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidily(run):
+    """A function for mapInArrow that ends with tidy()."""
+    return lambda batches: tidy(run(batches))
+
+
 #: A key of more rows is told to all tasks instead of being dealt to one: n rows have n / HOT_ROWS such keys at most.
 HOT_ROWS = 100_000
 

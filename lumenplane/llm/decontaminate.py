@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside, mix, word_hashes, work_dir, written
+from lumenplane.llm.common import beside, mix, tidily, word_hashes, work_dir, written
 
 N = 3
 #: Items held at once by the driver and each task.
@@ -140,7 +140,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.5, text: st
     block = next(blocks, None)
     while block is not None:
         after, shared = next(blocks, None), spark.sparkContext.broadcast(Index(*block))
-        found = rows.mapInArrow(_searcher(shared, least), schema)
+        found = rows.mapInArrow(tidily(_searcher(shared, least)), schema)
         if after is not None or parts:
             found = written(found, f"{work_dir(spark)}/found")
             shared.destroy()
@@ -165,7 +165,7 @@ def flag(docs: DataFrame, items: DataFrame, least: float = 0.5, text: str = "tex
                     held[[i + p[0] for p in pairs]] = True
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held)], names=names)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(tidily(run), schema)
 
     spark, blocks = docs.sparkSession, _blocks(items)
     block = next(blocks, None)

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside
+from lumenplane.llm.common import beside, tidily
 
 #: Texts a language is learned from, at most, and bytes of a dictionary.
 SAMPLE_DOCS = 400
@@ -135,4 +135,4 @@ def predict(docs: DataFrame, learned: dict[str, bytes], text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*(f.name for f in fields), *new])
 
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(tidily(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside, word_hashes
+from lumenplane.llm.common import beside, tidily, word_hashes
 
 #: Labelled documents learned from, at most; a third of them toxic where there are as many.
 TRAIN_DOCS = 6000
@@ -243,4 +243,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64()), pa.array((values >= CUT).astype(np.int32))], names=[*(f.name for f in fields), *new])
 
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(tidily(run), schema)
