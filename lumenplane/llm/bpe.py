@@ -326,15 +326,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     def split(batches):
         splitter, begins, pairs, cell_of = _Splitter(pattern), True, None, None
         for batch in batches:
-            texts = pc.fill_null(batch.column(n), "")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            texts = batch.column(n)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             i = 0
             while i < len(texts):
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + GROUP_BYTES, "right")))
                 if len(splitter.words) > BLOCK_WORDS:
                     splitter.begin()
                     begins = True
-                numbers, ends, words = splitter.take(texts.slice(i, j - i))
+                numbers, ends, words = splitter.take(pc.fill_null(texts.slice(i, j - i), ""))
                 raw = [w.encode("utf-8") for w in words]
                 merged = [None] * len(raw)
                 for k in [k for k, w in enumerate(raw) if len(w) > LONG_WORD]:
