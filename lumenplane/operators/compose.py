@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cells(df: DataFrame, grid: int, prefix: str) -> DataFrame:
@@ -26,11 +29,70 @@ def overlapping(tiles: DataFrame, windows: DataFrame, keys: list[str], grid: int
     return met.select(*[F.col(f"t.{k}").alias(k) for k in keys], "tile_seq", "window_id", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("width"), (y1 - y0).alias("height"))
 
 
+def mosaic_blocks(tiles: DataFrame, keys: list[str], grid: int = 512) -> DataFrame:
+    """Blocks (keys, x, y, width, height, samples) of a canvas on which tiles (tile_seq, x, y, width, samples) lie: the last tile wins.
+
+    Tiles are cut along a grid in one Arrow pass, pieces are dealt by their cell, and a second pass paints each
+    cell: what crosses the network are the tiles' samples, once and as arrays. Places without a tile are null.
+    """
+    own = [tiles.schema[k] for k in keys]
+    place = [T.StructField(n, T.LongType()) for n in ("gx", "gy", "tile_seq", "x", "y", "width")]
+    piece = T.StructType([*own, *place, T.StructField("samples", T.ArrayType(T.DoubleType()))])
+    rows = tiles.select(*keys, *[F.col(n).cast("bigint").alias(n) for n in ("tile_seq", "x", "y", "width")], F.col("samples").cast("array<double>").alias("samples"))
+
+    def cut(batches):
+        for batch in batches:
+            source, numbers, samples = [], [], []
+            seq, xs, ys, widths = (batch.column(len(keys) + i).to_pylist() for i in range(4))
+            for i in range(batch.num_rows):
+                values = batch.column(len(keys) + 4)[i].values.to_numpy(zero_copy_only=False)
+                image = values.reshape(-1, widths[i])
+                x0, y0, y1, x1 = xs[i], ys[i], ys[i] + image.shape[0], xs[i] + widths[i]
+                for gy in range(y0 // grid, (y1 - 1) // grid + 1):
+                    for gx in range(x0 // grid, (x1 - 1) // grid + 1):
+                        left, top, right, bottom = max(x0, gx * grid), max(y0, gy * grid), min(x1, (gx + 1) * grid), min(y1, (gy + 1) * grid)
+                        source.append(i)
+                        numbers.append((gx, gy, seq[i], left, top, right - left))
+                        samples.append(image[top - y0 : bottom - y0, left - x0 : right - x0].ravel())
+            if source:
+                at = pa.array(source)
+                columns = [batch.column(k).take(at) for k in range(len(keys))] + [pa.array(c, pa.int64()) for c in zip(*numbers)]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(samples)], names=piece.names)
+
+    cells = rows.mapInArrow(cut, piece).groupBy(*keys, "gx", "gy").agg(F.array_sort(F.collect_list(F.struct("tile_seq", "x", "y", "width", "samples"))).alias("pieces"))
+    block = T.StructType([*own, *[T.StructField(n, T.LongType()) for n in ("x", "y", "width", "height")], T.StructField("samples", T.ArrayType(T.DoubleType()))])
+
+    def paint(batches):
+        for batch in batches:
+            places, samples = [], []
+            for i in range(batch.num_rows):
+                held = batch.column(len(keys) + 2)[i].values
+                xs, ys, widths = (held.field(n).to_numpy() for n in ("x", "y", "width"))
+                images = [held.field("samples")[k].values.to_numpy(zero_copy_only=False).reshape(-1, w) for k, w in enumerate(widths.tolist())]
+                x0, y0 = int(xs.min()), int(ys.min())
+                wide, high = int((xs + widths).max()) - x0, max(int(y) + im.shape[0] for y, im in zip(ys, images)) - y0
+                canvas, covered = np.zeros((high, wide)), np.zeros((high, wide), bool)
+                for x, y, image in zip((xs - x0).tolist(), (ys - y0).tolist(), images):
+                    canvas[y : y + image.shape[0], x : x + image.shape[1]] = image
+                    covered[y : y + image.shape[0], x : x + image.shape[1]] = True
+                places.append((x0, y0, wide, high))
+                samples.append(pa.array(canvas.ravel(), mask=~covered.ravel()))
+            if places:
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *(pa.array(c, pa.int64()) for c in zip(*places)), _lists(samples)], names=block.names)
+
+    return cells.mapInArrow(paint, block)
+
+
+def _lists(parts: list) -> pa.Array:
+    """Arrays as one list array."""
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p, pa.float64()) for p in parts]))
+
+
 def mosaic(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels (keys, y, x, value) of tiles (tile_seq, x, y, width, samples): the last tile wins."""
-    px = tiles.select(*keys, "tile_seq", "x", "y", "width", F.posexplode("samples").alias("i", "value"))
-    px = px.select(*keys, "tile_seq", (F.col("y") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("x") + F.pmod("i", "width")).cast("int").alias("x"), "value")
-    return px.groupBy(*keys, "y", "x").agg(F.max_by("value", "tile_seq").alias("value"))
+    px = mosaic_blocks(tiles, keys).select(*keys, "x", "y", "width", F.posexplode("samples").alias("i", "value")).where("value is not null")
+    return px.select(*keys, (F.col("y") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("x") + F.pmod(F.col("i").cast("bigint"), F.col("width"))).cast("int").alias("x"), "value")
 
 
 def extents(tiles: DataFrame, keys: list[str]) -> DataFrame:

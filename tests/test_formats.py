@@ -519,3 +519,21 @@ def test_gzip_planes_in_order_are_inflated_once(monkeypatch):
     _, [[level]], files = opened("a.nrrd", short[:-2000])
     with pytest.raises(ImageError, match="Codec"):
         whole(level, files, 39)
+
+
+def test_mosaics_across_cells(spark):
+    from lumenplane.operators import compose
+
+    rng = np.random.default_rng(8)
+    tiles, canvas = [], {}
+    for seq in range(30):
+        w, h, x, y, k = (int(v) for v in (rng.integers(1, 40), rng.integers(1, 40), rng.integers(-20, 60), rng.integers(-20, 60), rng.integers(0, 2)))
+        image = rng.random((h, w))
+        tiles.append((k, f"c{k}", seq, x, y, w, image.ravel().tolist()))
+        canvas |= {(k, f"c{k}", y + j, x + i): image[j, i] for j in range(h) for i in range(w)}
+    df = spark.createDataFrame(tiles, "k int, name string, tile_seq int, x int, y int, width int, samples array<double>").repartition(4)
+    blocks = compose.mosaic_blocks(df, ["k", "name"], 16).collect()
+    got = {(b.k, b.name, b.y + i // b.width, b.x + i % b.width): v for b in blocks for i, v in enumerate(b.samples) if v is not None}
+    assert got == canvas and max(b.width for b in blocks) <= 16 and all(len(b.samples) == b.width * b.height for b in blocks)
+    assert {(r.k, r.name, r.y, r.x): r.value for r in compose.mosaic(df, ["k", "name"]).collect()} == canvas
+    assert compose.mosaic(df.limit(0), ["k", "name"]).collect() == []
