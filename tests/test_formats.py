@@ -537,3 +537,20 @@ def test_mosaics_across_cells(spark):
     assert got == canvas and max(b.width for b in blocks) <= 16 and all(len(b.samples) == b.width * b.height for b in blocks)
     assert {(r.k, r.name, r.y, r.x): r.value for r in compose.mosaic(df, ["k", "name"]).collect()} == canvas
     assert compose.mosaic(df.limit(0), ["k", "name"]).collect() == []
+
+
+def test_extremes_are_told_once_when_all_planes_are_read(spark, tmp_path):
+    from lumenplane.streaming import minmax
+
+    schema = "series int, plane_index int, image_count int, full boolean, minimum double, maximum double"
+    steps = [
+        [(0, 0, 3, True, 1.0, 5.0), (0, 1, 3, False, -9.0, 2.0), (1, 0, 1, True, 7.0, 8.0)], [(0, 1, 3, True, 0.0, 4.0), (0, 0, 3, True, 1.0, 5.0)],
+        [(0, 2, 3, True, 2.0, 6.0)], [(0, 2, 3, True, 2.0, 60.0), (1, 0, 1, True, 0.0, 9.0)],
+    ]
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = minmax.completed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["series"])
+        run = stream.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert run.awaitTermination(60) and run.exception() is None
+        told = sorted(map(tuple, spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()))
+        assert told == [[(1, 7.0, 8.0)], [(1, 7.0, 8.0)], [(0, -9.0, 6.0), (1, 7.0, 8.0)], [(0, -9.0, 6.0), (1, 7.0, 8.0)]][k]
