@@ -38,14 +38,16 @@ def expand(patterns: DataFrame, blocks: int, column: str = "pattern") -> DataFra
 
 
 def infer(names: DataFrame, column: str = "name") -> DataFrame:
-    """Patterns of names that differ in numbers only; bounds are the least and greatest as text."""
-    skeleton, digits = F.regexp_replace(column, "[0-9]+", "#"), F.regexp_extract_all(F.col(column), F.lit("([0-9]+)"), F.lit(1))
-    one = names.select(skeleton.alias("skeleton"), F.posexplode_outer(digits).alias("k", "n"))
-    ends = one.where("k is not null").groupBy("skeleton", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("files"))
+    """Patterns (folder, skeleton, files, pattern) of names in one folder that differ in numbers only; bounds are the least and greatest as text."""
+    folder, name = F.regexp_extract(column, "^(.*/)?", 0), F.regexp_extract(column, "([^/]*)$", 1)
+    skeleton, digits = F.regexp_replace(name, "[0-9]+", "#"), F.regexp_extract_all(name, F.lit("([0-9]+)"), F.lit(1))
+    one = names.select(folder.alias("folder"), skeleton.alias("skeleton"), F.posexplode_outer(digits).alias("k", "n"))
+    ends = one.where("k is not null").groupBy("folder", "skeleton", "k").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("files"))
     block = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.concat(F.lit("<"), "low", F.lit("-"), "high", F.lit(">")))
-    parts = ends.groupBy("skeleton").agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("parts"), F.max("files").alias("files"))
-    filled = F.aggregate("parts", F.struct(F.get(F.split("skeleton", "#"), F.lit(0)).alias("s"), F.lit(1).alias("i")), lambda acc, p: F.struct(F.concat(acc["s"], p["b"], F.get(F.split("skeleton", "#"), acc["i"])).alias("s"), (acc["i"] + 1).alias("i")))
-    return parts.select("skeleton", "files", filled["s"].alias("pattern"))
+    parts = ends.groupBy("folder", "skeleton").agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("parts"), F.max("files").alias("files"))
+    between = F.split("skeleton", "#")
+    filled = F.array_join(F.transform(F.arrays_zip(F.slice(between, F.lit(1), F.size("parts")).alias("s"), F.col("parts.b").alias("b")), lambda p: F.concat(p["s"], p["b"])), "")
+    return parts.select("folder", "skeleton", "files", F.concat("folder", filled, F.element_at(between, -1)).alias("pattern"))
 
 
 def axis_hint(before: Column, after: Column) -> Column:

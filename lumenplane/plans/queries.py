@@ -170,12 +170,16 @@ def file_pattern(spark, sf_dir):
 
 
 @query(
-    "SELECT skeleton, CAST(max(files) AS BIGINT) AS files, string_agg(b, '' ORDER BY k) AS pattern FROM (SELECT skeleton, k, CASE k WHEN 1 THEN 'img' ELSE '_T' END || CASE WHEN min(n) = max(n) THEN min(n) ELSE '<' || min(n) || '-' || max(n) || '>' END || CASE k WHEN 2 THEN '.tif' ELSE '' END AS b, count(*) AS files FROM "
-    "(SELECT 'img#_T#.tif' AS skeleton, 1 AS k, CAST(z AS VARCHAR) AS n FROM (SELECT vec_id % 5 AS z FROM embeddings) UNION ALL SELECT 'img#_T#.tif', 2, CAST(vec_id // 5 AS VARCHAR) FROM embeddings) GROUP BY skeleton, k) GROUP BY skeleton"
+    "WITH n AS (SELECT 'run' || vec_id % 3 || '/' AS folder, 'img#_T#.tif' AS skeleton, CAST(vec_id % 5 AS VARCHAR) AS a, CAST(vec_id // 5 AS VARCHAR) AS b FROM embeddings UNION ALL SELECT 'run' || vec_id % 3 || '/', 'other#.tif', CAST(vec_id AS VARCHAR), NULL FROM embeddings WHERE vec_id % 3 = 0) "
+    "SELECT folder, skeleton, count(*) AS files, folder || CASE skeleton WHEN 'other#.tif' THEN 'other<' || min(a) || '-' || max(a) || '>.tif' ELSE 'img<' || min(a) || '-' || max(a) || '>_T<' || min(b) || '-' || max(b) || '>.tif' END AS pattern FROM n GROUP BY folder, skeleton"
 )
 def find_pattern(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("img"), (F.col("vec_id") % 5).cast("string"), F.lit("_T"), F.floor(F.col("vec_id") / 5).cast("string"), F.lit(".tif")).alias("name"))
-    return patterns.infer(names)
+    """Names in three folders, and a second series of names in one of them; bounds are the least and greatest as text."""
+    v = F.col("vec_id")
+    folder = F.concat(F.lit("run"), (v % 3).cast("string"), F.lit("/"))
+    base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    names = base.select(F.concat(folder, F.lit("img"), (v % 5).cast("string"), F.lit("_T"), F.floor(v / 5).cast("string"), F.lit(".tif")).alias("name"))
+    return patterns.infer(names.unionAll(base.where("vec_id % 3 = 0").select(F.concat(folder, F.lit("other"), v.cast("string"), F.lit(".tif")))))
 
 
 @query(

@@ -44,3 +44,16 @@ def misses(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files of datasets that the cache does not hold."""
     held = scan.datasets(files).join(cached.select("dataset_id").distinct(), "dataset_id", "left_anti").select(F.explode("files.path").alias("path"))
     return files.join(held, "path", "left_semi")
+
+
+# The fields that two readings of a level must share.
+SHARED = (
+    "size_x", "size_y", "size_z", "size_c", "size_t", "pixel_type", "bits_per_pixel", "samples_per_pixel", "image_count", "dimension_order", "is_rgb", "is_interleaved", "is_indexed", "is_false_color", "is_little_endian",
+    "resolution_count",
+)
+
+
+def agreeing(fresh: DataFrame, kept: DataFrame) -> DataFrame:
+    """Levels of fresh that kept tells alike: the same dataset, series and resolution, and all shared fields, null like null."""
+    same = [fresh[c].eqNullSafe(kept[c]) if c in SHARED else fresh[c] == kept[c] for c in ("dataset_id", "series", "resolution", *SHARED)]
+    return fresh.join(kept, same, "left_semi")

@@ -147,6 +147,11 @@ def _kind(data, path: str) -> str | None:
     return marked or ("mrc" if volumes.is_mrc(data) else next((n for n, e in FORMATS if extension in e), None))
 
 
+def used_files(sets: DataFrame) -> DataFrame:
+    """dataset_id and path of every file that a dataset consists of, the primary one first (position 0)."""
+    return sets.select("dataset_id", F.posexplode("files.path").alias("position", "path"))
+
+
 def parse(files: list[tuple], kind: str | None = None) -> tuple[str, list[list[Level]]]:
     """The format and the series of a dataset's files (path, bytes or ranged file); an error after a match is final."""
     (path, data), names = files[0], [p for p, _ in files]
@@ -316,4 +321,4 @@ def flattened(level_table: DataFrame) -> DataFrame:
     return level_table.join(before, ["dataset_id", "series"]).withColumn("flat_series", (F.col("before") + F.col("resolution")).cast("int")).drop("before")
 
 
-__all__ = ["datasets", "detect", "flattened", "levels", "load_files", "parse", "planes", "read", "supported_formats", "thumbnails", "tiles"]
+__all__ = ["datasets", "detect", "flattened", "levels", "load_files", "parse", "planes", "read", "supported_formats", "thumbnails", "tiles", "used_files"]

@@ -403,6 +403,9 @@ def test_marks_follow_moved_files_and_groups(spark, tmp_path):
     assert cache.load(spark, files, index).count() == 1 and cache.misses(files, cache.load(spark, files, index)).count() == 0
     for f in (tmp_path / "one").iterdir():
         shutil.move(f, tmp_path / "two" / f.name)
+    table, again = scan.levels(scan.datasets(scan.load_files(spark, str(tmp_path / "two")))), cache.load(spark, scan.load_files(spark, str(tmp_path / "two")), index)
+    assert cache.agreeing(table, again).count() == 1 and cache.agreeing(table, again.withColumn("size_x", again.size_x + 1)).count() == 0
+    assert [r.position for r in scan.used_files(scan.datasets(scan.load_files(spark, str(tmp_path / "two")))).collect()] == [0, 1, 2]
     moved = scan.load_files(spark, str(tmp_path / "two"))
     assert "/two/" in cache.load(spark, moved, index).first().dataset_id
     (tmp_path / "two" / "z1.dcimg").unlink()
