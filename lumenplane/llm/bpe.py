@@ -38,7 +38,7 @@ BLOCK_WORDS = 600_000
 #: Folding costs the square of a word's bytes (4,096: half a second); longer words are merged with a heap, to the same ids.
 LONG_WORD = 4096
 #: Texts that are split together and handed on together hold about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 _BITS = 17
 _MASK = (1 << _BITS) - 1
