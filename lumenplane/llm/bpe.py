@@ -37,8 +37,8 @@ TASK_DOCS = 20_000
 BLOCK_WORDS = 600_000
 #: Folding costs the square of a word's bytes (4,096: half a second); longer words are merged with a heap, to the same ids.
 LONG_WORD = 4096
-#: Texts that are split together and handed on together hold about so many bytes.
-GROUP_BYTES = 1 << 20
+#: Texts that are split together and handed on together hold about so many bytes: larger groups take less time and more memory.
+GROUP_BYTES = 6 << 20
 
 _BITS = 17
 _MASK = (1 << _BITS) - 1
@@ -308,7 +308,7 @@ class _Dictionary:
         return self.flat[at], stop
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs (its columns `keep`, if given) with a column of token ids (array<int>)."""
     spark = docs.sparkSession
     ranks = load_ranks(spark, ranks_path)
@@ -330,7 +330,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
             sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             i = 0
             while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + GROUP_BYTES, "right")))
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + group_bytes, "right")))
                 if len(splitter.words) > BLOCK_WORDS:
                     splitter.begin()
                     begins = True
@@ -357,7 +357,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
             marks = begins.to_numpy(zero_copy_only=False)
             edges = sorted({0, *np.flatnonzero(marks).tolist(), len(marks)})
             for a, b in zip(edges, edges[1:]):
-                for i, j in _groups(numbers, a, b):
+                for i, j in _groups(numbers, a, b, group_bytes // 4):
                     if marks[i]:
                         known.begin()
                     new = words.slice(i, j - i).flatten().to_pylist()
@@ -375,13 +375,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     return with_words.mapInArrow(tidily(assemble), T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])).toDF(*carried.columns, out)
 
 
-def _groups(numbers, a: int, b: int):
-    """Rows a to b in groups of about a quarter as many words as GROUP_BYTES."""
+def _groups(numbers, a: int, b: int, words: int):
+    """Rows a to b in groups of about so many words."""
     sizes = np.diff(np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset : numbers.offset + len(numbers) + 1])
     i = a
     while i < b:
         j, size = i + 1, int(sizes[i]) // 4
-        while j < b and size + int(sizes[j]) // 4 <= GROUP_BYTES // 4:
+        while j < b and size + int(sizes[j]) // 4 <= words:
             size += int(sizes[j]) // 4
             j += 1
         yield i, j
