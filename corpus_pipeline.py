@@ -15,8 +15,8 @@ from lumenplane.llm import bagminhash, bpe, decontaminate, langid, toxicity
 from lumenplane.llm.common import columns_of, held_out, settings, table, work_dir, written
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
-#: Rows of an Arrow batch in the last stage.
-BATCH_ROWS = "2000"
+#: Rows of an Arrow batch in the last stage, and bytes of texts split together: its executors have other stages behind them.
+BATCH_ROWS, GROUP_BYTES = "2000", 1 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, written in small batches: several workers of a task hold texts at once."""
-    ids = bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    ids = bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id", "lang", "source"], group_bytes=GROUP_BYTES).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
         return written(ids, f"{work_dir(spark)}/ids")
 
