@@ -19,6 +19,7 @@ the result, in any case, gets `_given` added to its name.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import zlib
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside, tidily
+from lumenplane.llm.common import beside, give_back, tidily
 
 #: Documents of a task, about: the longer its partition, the fewer words are folded in several.
 TASK_DOCS = 20_000
@@ -108,6 +109,15 @@ def cuckoo(ranks: dict[bytes, int]) -> bytes:
     return b"".join((e or b"\xff" * (_SLOT - 1)) + (b"+" if i in more else b"-") for i, e in enumerate(table))
 
 
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str) -> tuple[dict[bytes, int], bytes, np.ndarray]:
+    """Ranks, the rank map and the ids of cells of a file, kept by the driver: building them takes memory many times theirs."""
+    ranks = load_ranks(None, path)
+    made = ranks, cuckoo(ranks), np.array(cell_ids(ranks), np.int32)
+    give_back()
+    return made
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with value evaluated once, and not copied."""
     return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)
@@ -311,8 +321,7 @@ class _Dictionary:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """docs (its columns `keep`, if given) with a column of token ids (array<int>)."""
     spark = docs.sparkSession
-    ranks = load_ranks(spark, ranks_path)
-    slots, ids_of = cuckoo(ranks), np.array(cell_ids(ranks), np.int32)
+    ranks, slots, ids_of = _vocabulary(ranks_path)
     vocabulary = spark.sparkContext.broadcast((ranks, ids_of))
     carried = beside(docs.select(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]), out)
     # private names, the text last: any column may be carried, and the text need not be

@@ -81,15 +81,20 @@ def partitions_for(docs: DataFrame, each: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, wanted, min(known // each, 1_000_000))
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(batches):
-    """The batches of a pass; behind the last one, a worker that may idle gives its free memory back to the system."""
+    """The batches of a pass; behind the last one, a worker that may idle gives its free memory back."""
     try:
         yield from batches
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def tidily(run):

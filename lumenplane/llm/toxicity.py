@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenplane.llm.common import beside, tidily, word_hashes
+from lumenplane.llm.common import beside, give_back, tidily, word_hashes
 
 #: Labelled documents learned from, at most; a third of them toxic where there are as many.
 TRAIN_DOCS = 6000
@@ -216,7 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lan
     texts = docs.select(key, F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l")).alias("row"))
     rows = texts.join(F.broadcast(chosen), key).groupBy(key, "toxic").agg(F.min("row").alias("row")).select("row.*", "toxic").collect()
     rows.sort(key=lambda r: (r.h, r.t or "", r.l or "", r.toxic))  # the fit must not hang on the order of arrival
-    return train([r.t for r in rows], [r.toxic for r in rows], [r.l for r in rows], share[1] / share[0])
+    texts, toxic, langs = [r.t for r in rows], [r.toxic for r in rows], [r.l for r in rows]
+    del rows
+    model = train(texts, toxic, langs, share[1] / share[0])
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
