@@ -69,6 +69,28 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(k, v)
 
 
+#: Arrow batches between the JVM and a Python worker hold about so many bytes (Spark's own bound is 64 MB, or 10,000
+#: rows), and batches out of Parquet so many rows: each of a task's workers holds some of them, and the JVM their buffers.
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
+
+
+def frugal(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its settings as they are now, in which batches are small.
+
+    What is read or made through it keeps to that whenever it runs; the session itself stays as it is.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    return own
+
+
+def frugally(df: DataFrame) -> DataFrame:
+    """df as it would be, had it been made through frugal(); files are read by the session that df has."""
+    own = frugal(df.sparkSession)
+    return DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
+
+
 def partitions_for(docs: DataFrame, each: int) -> int:
     """Partitions of about `each` bytes of the tables below docs, as the optimiser knows them; at least two a core.
 

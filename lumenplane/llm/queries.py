@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplane.llm import bagminhash, bpe, chat, decontaminate, langid, licenses, merkle, tokenfile, toxicity, warc
-from lumenplane.llm.common import held_out, table, work_dir
+from lumenplane.llm.common import frugal, held_out, table, work_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(frugal(spark), sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, path, P.PATTERN, keep=["doc_id"])
     return bpe.decode(encoded, path).select(
         "doc_id",

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
 
 import corpus_pipeline
 from lumenplane.llm import bpe, decontaminate, langid, queries, toxicity
-from lumenplane.llm.common import columns_of, word_hashes, words
+from lumenplane.llm.common import BATCH_BYTES, columns_of, frugally, word_hashes, words
 from tests.llm.test_search import _classes, _score
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +54,27 @@ def test_long_words_are_merged_alike(library):
         assert bpe.merge_long(word, ranks, pairs) == library._encode_single_piece(word)
 
 
+def _bounds(df):
+    """What the session that runs df allows an Arrow batch: bytes, and the records of a Parquet batch."""
+    conf = df._jdf.sparkSession().conf()
+    return [conf.get(f"spark.sql.{k}") for k in ("execution.arrow.maxBytesPerBatch", "parquet.columnarReaderBatchSize")]
+
+
+def _measured(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    before = _bounds(spark.range(1))
+    wide = spark.range(0, 400, 1, 2).selectExpr("id", "repeat('abcdefghij', 5000) as text")
+    sizes = frugally(wide).mapInArrow(_measured, "n long, size long").collect()
+    assert sum(r.n for r in sizes) == 400 and max(r.size for r in sizes) < 1.1 * BATCH_BYTES
+    found = queries.op1_bpe(spark, SF)
+    assert int(_bounds(found)[0]) == BATCH_BYTES and int(_bounds(found)[1]) < int(before[1])
+    assert _bounds(spark.range(1)) == before and _bounds(wide) == before
+
+
 def _out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
