@@ -7,12 +7,14 @@ null are documents like others, and rows that share a doc_id are told apart by t
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplane.llm import bagminhash, bpe, decontaminate, langid, toxicity
-from lumenplane.llm.common import columns_of, held_out, settings, table, work_dir, written
+from lumenplane.llm.common import columns_of, frugally, held_out, settings, table, work_dir, written
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 #: Rows of an Arrow batch in the last stage, and bytes of texts split together: its executors have other stages behind them.
@@ -44,16 +46,21 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, written in small batches: several workers of a task hold texts at once."""
     ids = bpe.encode(docs, RANKS, P.PATTERN, keep=["doc_id", "lang", "source"], group_bytes=GROUP_BYTES).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
         return written(ids, f"{work_dir(spark)}/ids")
 
 
+def _small(stage):
+    """The stage over small batches, whoever writes what it returns: executors have other stages behind them."""
+    return functools.wraps(stage)(lambda spark, docs, sf_dir: stage(spark, frugally(docs), sf_dir))
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", drop_unknown_language),
-    ("near_dedup", drop_near_duplicates),
-    ("decontamination", drop_benchmark_copies),
-    ("bpe", tokenize),
+    ("toxicity", _small(drop_toxic)),
+    ("language_id", _small(drop_unknown_language)),
+    ("near_dedup", _small(drop_near_duplicates)),
+    ("decontamination", _small(drop_benchmark_copies)),
+    ("bpe", _small(tokenize)),
 ]
 
 #: Trained models and hashed signatures are beyond SQL; tests compare with a brute-force version.

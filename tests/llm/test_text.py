@@ -202,6 +202,14 @@ def test_columns_that_bear_a_results_name(spark, library):
         assert columns_of(out, df).columns == df.columns
 
 
+def test_stages_run_in_small_batches(spark):
+    sf, before = "/root/testdata/sf0.001", _bounds(spark.range(1))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert int(_bounds(stage(spark, docs, sf))[0]) == BATCH_BYTES
+    assert _bounds(spark.range(1)) == before
+
+
 def test_pipeline_against_brute_force(spark, library):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
