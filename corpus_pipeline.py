@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenplane.llm import bagminhash, bpe, decontaminate, langid, toxicity
-from lumenplane.llm.common import columns_of, frugally, held_out, settings, table, work_dir, written
+from lumenplane.llm.common import columns_of, driver_gives_back, frugally, held_out, settings, table, work_dir, written
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 #: Rows of an Arrow batch in the last stage, and bytes of texts split together: its executors have other stages behind them.
@@ -51,8 +51,14 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _small(stage):
-    """The stage over small batches, whoever writes what it returns: executors have other stages behind them."""
-    return functools.wraps(stage)(lambda spark, docs, sf_dir: stage(spark, frugally(docs), sf_dir))
+    """The stage over small batches, whoever writes what it returns: executors have other stages behind them, and so has the driver."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        driver_gives_back(spark)
+        return stage(spark, frugally(docs), sf_dir)
+
+    return run
 
 
 STAGES = [

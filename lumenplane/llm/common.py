@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,25 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def driver_gives_back(spark: SparkSession) -> str | None:
+    """Return the free native memory of the driver's JVM to the system; what the JVM says of it.
+
+    Compilers and buffers free theirs, but glibc keeps it, the more the longer a session runs. A JVM that cannot
+    do this (other libraries, releases before 17.0.9) keeps it, too.
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, 4)  # the server's own class is closed to py4j, its interface is not
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    given = array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return None
+
+
 def tidy(batches):
     """The batches of a pass; behind the last one, a worker that may idle gives its free memory back."""
     try:

@@ -1,6 +1,8 @@
 """BPE against the tiktoken library, classifiers on rows held out, and the pipeline against brute force."""
 
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -75,6 +77,21 @@ def test_texts_reach_workers_in_small_batches(spark):
     assert _bounds(spark.range(1)) == before and _bounds(wide) == before
 
 
+def test_stages_begin_with_the_drivers_free_memory_given_back(spark):
+    jvm = spark._jvm
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text())[1]) / 1024
+    stage, docs = corpus_pipeline._small(lambda spark, docs, sf_dir: docs), spark.range(1)
+    assert all(f.__wrapped__ for _, f in corpus_pipeline.STAGES)
+    stage(spark, docs, SF)
+    packers = [jvm.java.util.zip.Deflater() for _ in range(600)]  # each takes some 100 KB outside the heap
+    for p in packers[:-1]:  # the last one keeps glibc from giving the rest back by itself
+        p.end()
+    before = held()
+    stage(spark, docs, SF)
+    assert held() < before - 30
+    packers[-1].end()
+
+
 def _out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
