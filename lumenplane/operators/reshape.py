@@ -35,19 +35,28 @@ def separated_order(order: str) -> str:
     return "XYCZT" if order.index("Z") < order.index("T") else "XYCTZ"
 
 
-def merge_channels(planes: DataFrame) -> DataFrame:
+def merge_channels(planes: DataFrame, size_c: Column | None = None) -> DataFrame:
     """The two to four one-sample channels of each Z and T as one planar RGB plane (its c is 0); others stay.
 
     Planes are one where they agree in series, resolution, window and type. Rows have the columns of SAME
-    that planes have, c and samples; a group holds no more planes than there are channels.
+    that planes have, c and samples; a group holds no more planes than there are channels. size_c: how many
+    channels a dataset has (without it, those at hand), where planes may be missing: samples of a channel that is
+    not there are null, and a further column `channels` tells which are (null for planes that stay).
     """
     keys = [k for k in SAME if k in planes.columns]
     own = F.col("samples_per_pixel") if "samples_per_pixel" in planes.columns else F.lit(1)
-    parts = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "samples"))).alias("parts"), F.max(own).alias("own"))
-    merged = F.flatten(F.transform("parts", lambda p: p["samples"]))
-    few = F.size("parts").between(2, 4) & (F.col("own") == 1)
-    whole = F.when(few, F.array(F.struct(F.lit(0).alias("c"), merged.alias("samples")))).otherwise(F.col("parts"))
-    return parts.select(*keys, F.explode(whole).alias("p")).select(*keys, "p.c", "p.samples")
+    size = F.max(F.lit(None).cast("int") if size_c is None else size_c.cast("int"))
+    parts = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "samples"))).alias("parts"), F.max(own).alias("own"), size.alias("size"))
+    if size_c is None:
+        merged, count, more = F.flatten(F.transform("parts", lambda p: p["samples"])), F.size("parts"), []
+    else:
+        missing = F.array_repeat(F.lit(None).cast("double"), F.size(F.get("parts", F.lit(0))["samples"]))
+        at = lambda i: F.coalesce(F.get(F.filter("parts", lambda p: p["c"] == i), F.lit(0))["samples"], missing)
+        merged, count, more = F.flatten(F.transform(F.sequence(F.lit(0), F.col("size") - 1), at)), F.col("size"), ["channels"]
+    few = count.between(2, 4) & (F.col("own") == 1)
+    one = F.array(F.struct(F.lit(0).alias("c"), merged.alias("samples"), F.transform("parts", lambda p: p["c"]).alias("channels")))
+    each = F.transform("parts", lambda p: F.struct(p["c"].alias("c"), p["samples"].alias("samples"), F.lit(None).cast("array<int>").alias("channels")))
+    return parts.select(*keys, F.explode(F.when(few, one).otherwise(each)).alias("p")).select(*keys, *[f"p.{n}" for n in ("c", "samples", *more)])
 
 
 def fill_channels(planes: DataFrame, red: Column, green: Column, blue: Column, interleaved: bool = True) -> DataFrame:

@@ -19,7 +19,7 @@ def cut(tmp_path_factory):
 
 
 @pytest.mark.parametrize("count", COUNTS)
-@pytest.mark.parametrize("name", ["ome_companion", "scan_dcimg_group"])
+@pytest.mark.parametrize("name", ["ome_companion", "scan_dcimg_group", "channel_merger"])
 def test_last_time_point_in_part(spark, cut, name, count):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{cut[count]}/embeddings.parquet')")
@@ -29,3 +29,13 @@ def test_last_time_point_in_part(spark, cut, name, count):
     assert sorted(got.columns) == columns
     rows = want.project(", ".join(f'"{c}"' for c in columns)).fetchall()
     assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_merged_channels_keep_their_places(spark):
+    from lumenplane.operators import reshape
+
+    df = spark.createDataFrame([("d", 0, 1, 0, [5.0]), ("d", 1, 0, 0, [6.0]), ("d", 1, 2, 0, [7.0])], "dataset_id string, z int, c int, t int, samples array<double>")
+    got = reshape.merge_channels(df, reshape.F.lit(3)).orderBy("z").collect()
+    assert [(r.c, r.samples, r.channels) for r in got] == [(0, [None, 5.0, None], [1]), (0, [6.0, None, 7.0], [0, 2])]
+    alone = reshape.merge_channels(df, reshape.F.lit(5)).orderBy("z", "c").collect()
+    assert [(r.c, r.samples, r.channels) for r in alone] == [(1, [5.0], None), (0, [6.0], None), (2, [7.0], None)]
