@@ -21,14 +21,14 @@ def plane_coordinates(order: str, index: Column, z: Column, c: Column, t: Column
     return F.struct(*[out[a].cast("bigint").alias(a.lower()) for a in "ZCT"])
 
 
-def plane_index(order: str, sizes: tuple[Column, Column, Column], z: Column, c: Column, t: Column) -> Column:
-    """The plane's index; null if a coordinate is out of range."""
+def plane_index(order: str, sizes: tuple[Column, Column, Column], z: Column, c: Column, t: Column, checked: bool = True) -> Column:
+    """The plane's index; null if a coordinate is out of range, if that is checked."""
     size, at = dict(zip("ZCT", sizes)), dict(zip("ZCT", (z, c, t)))
     a, b, d = order[2:]
-    inside = F.lit(True)
+    index, inside = at[a] + size[a] * (at[b] + size[b] * at[d]), F.lit(True)
     for axis in "ZCT":
         inside = inside & (at[axis] >= 0) & (at[axis] < size[axis])
-    return F.when(inside, at[a] + size[a] * (at[b] + size[b] * at[d]))
+    return F.when(inside, index) if checked else index
 
 
 def parse_order(order: Column) -> Column:

@@ -78,9 +78,9 @@ def swap_dimensions(levels: DataFrame, source: str, target: str) -> DataFrame:
     return levels.select(*[c for c in levels.columns if c not in ("size_z", "size_c", "size_t")], *[sizes[a].alias(f"size_{a.lower()}") for a in "ZCT"])
 
 
-def reorder(planes: DataFrame, order: str, sizes: tuple[Column, Column, Column]) -> DataFrame:
-    """plane_index by another axis order; coordinates and pixels stay."""
-    return planes.withColumn("plane_index", geometry.plane_index(order, sizes, F.col("z"), F.col("c"), F.col("t")))
+def reorder(planes: DataFrame, order: str, sizes: tuple[Column, Column, Column], checked: bool = True) -> DataFrame:
+    """plane_index by another axis order; coordinates and pixels stay. Unless checked, planes beyond the sizes have one, too."""
+    return planes.withColumn("plane_index", geometry.plane_index(order, sizes, F.col("z"), F.col("c"), F.col("t"), checked))
 
 
 def stitch(planes: DataFrame, files: DataFrame) -> DataFrame:
